@@ -7,20 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat_format, mixing, oracles, packing, quality, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: A host is listed if at least this share of its pages carries a campaign parameter.
+TRACKED_SHARE = 0.2
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    url = F.col("url")
+    tracked = F.coalesce(url.contains("utm_"), F.lit(False)).cast("double")
+    listed = pages.groupBy(url_filter.url_host(url).alias("host")).agg(F.avg(tracked).alias("share")).where(F.col("share") >= TRACKED_SHARE).select("host")
+    return url_filter.judge_urls(pages, listed, URL_RULES)
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    pieces = chat_format.format_turns(chat_format.as_parts(turns))
+    return chat_format.digests(chat_format.read_turns(pieces))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_chat_format": op2_chat_format,
+    "op4_source_mix": op4_source_mix,
+    "op6_quality_rules": op6_quality_rules,
     "op8_simhash_near_dup": op8_simhash_near_dup,
+    "op10_best_two_fit": op10_best_two_fit,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
