@@ -68,8 +68,20 @@ SELECT doc_id, size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, floor(target - epochs * source_size) - ahead)) AS BIGINT) AS taken
 FROM r"""
 
+_KEY = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER p" for k in range(1, 13))])
+_REPEATS = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+k AS (SELECT doc_id, i, {_KEY} AS key FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT key, min(doc_id) AS least FROM k WHERE key IS NOT NULL GROUP BY key),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM k JOIN f USING (key) WHERE least < doc_id),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL,
     "op2_chat_format": _CHAT,
+    "op3_recompression": _REPEATS,
     "op4_source_mix": _MIX,
 }
