@@ -79,9 +79,20 @@ kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FRO
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(c.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL,
     "op2_chat_format": _CHAT,
     "op3_recompression": _REPEATS,
     "op4_source_mix": _MIX,
+    "op5_kd_top_k": _TOP_K,
 }

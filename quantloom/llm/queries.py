@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, difference_cover, mixing, oracles, packing, quality, recompression, simhash, url_filter
+from . import chat_format, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return knn.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_recompression": op3_recompression,
     "op4_source_mix": op4_source_mix,
+    "op5_kd_top_k": op5_kd_top_k,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash_near_dup": op8_simhash_near_dup,
     "op9_suffix_dedup": op9_suffix_dedup,
