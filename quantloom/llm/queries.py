@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter
+from . import chat_format, cotraining, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op7_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_kd_top_k": op5_kd_top_k,
     "op6_quality_rules": op6_quality_rules,
+    "op7_co_training": op7_co_training,
     "op8_simhash_near_dup": op8_simhash_near_dup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_two_fit": op10_best_two_fit,
