@@ -73,7 +73,7 @@ def _samples(length: int, parts: int):
     width = length - v + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in R.portions(batches, R.text_sizes):
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = K.text_buffers(batch.column(2))
             found = []
@@ -119,7 +119,7 @@ def _pieces(length: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in R.portions(batches, R.packed_sizes):
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw, near = R.texts(batch.column(2)), batch.column(3).to_pylist()
             offsets = np.cumsum([0, *map(len, raw)])
@@ -223,14 +223,15 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     def split(left: pa.Table, right: pa.Table) -> pa.Table:
         """Rows without a repeated sample are done; the others keep their text and its places."""
         at = [p for p, _ in R.places_of(left, right)]
-        made = [(None, None, None) if len(p) else (len(t), [], hashlib.sha256(t).hexdigest()) for p, t in zip(at, R.texts(left.column("_z")), strict=True)]
+        made = [(None, None, None) if len(p) else (len(t := R.text(z)), [], hashlib.sha256(t).hexdigest()) for p, z in zip(at, left.column("_z").to_pylist(), strict=True)]
         z = pa.array([z if len(p) else None for z, p in zip(left.column("_z").to_pylist(), at, strict=True)], pa.binary())
         near = pa.array([p.astype("<u4").tobytes() if len(p) else None for p in at], pa.binary())
         return table(left.column("_doc"), made, {"_part": left.column("_part"), "_copy": left.column("_copy"), "_z": z, "_near": near}).select(["_part", "_doc", "_copy", "_z", "_near", "n_bytes", "spans", "kept_sha256"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
-        for text, (p, n) in zip(R.texts(left.column("_z")), R.places_of(left, right), strict=True):
+        for z, (p, n) in zip(left.column("_z").to_pylist(), R.places_of(left, right), strict=True):
+            text = R.text(z)
             step = np.zeros(len(text) + 1, np.int64)
             np.add.at(step, p, 1)
             np.add.at(step, p + n - 1 + length, -1)

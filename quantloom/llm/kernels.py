@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that the kernels hold expanded at once; a single longer document is taken whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _SEPARATOR = np.zeros(256, bool)

@@ -106,7 +106,7 @@ def _later(start: np.ndarray, size: np.ndarray, doc: np.ndarray, flag: np.ndarra
 
 def _survey(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in R.portions(batches, R.text_sizes):
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = K.text_buffers(batch.column(2))
             found = []
@@ -136,7 +136,7 @@ def _windows(window: int, parts: int):
     """Names of the windows around shared neighbourhoods: (_doc, _copy, _z, _near) to entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in R.portions(batches, R.packed_sizes):
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw, near = R.texts(batch.column(2)), batch.column(3).to_pylist()
             found = []
@@ -201,13 +201,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     def split(left: pa.Table, right: pa.Table) -> pa.Table:
         """Rows without a shared neighbourhood are done; the others keep their text and its places."""
         at = [p for p, _ in R.places_of(left, right)]
-        raw = R.texts(left.column("_z"))
-        words = [None if len(p) else t.split() for p, t in zip(at, raw, strict=True)]
+        n, sha = [], []
+        for p, z in zip(at, left.column("_z").to_pylist(), strict=True):
+            words = None if len(p) else R.text(z).split()
+            n.append(None if words is None else len(words))
+            sha.append(None if words is None else hashlib.sha256(b" ".join(words)).hexdigest())
         made = {
             "_near": pa.array([p.astype("<u4").tobytes() if len(p) else None for p in at], pa.binary()),
-            "n_words": pa.array([None if w is None else len(w) for w in words], pa.int64()),
-            "n_removed": pa.array([None if w is None else 0 for w in words], pa.int64()),
-            "kept_sha256": pa.array([None if w is None else hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()),
+            "n_words": pa.array(n, pa.int64()),
+            "n_removed": pa.array([None if x is None else 0 for x in n], pa.int64()),
+            "kept_sha256": pa.array(sha, pa.string()),
         }
         if not keep:
             z = pa.array([z if len(p) else None for z, p in zip(left.column("_z").to_pylist(), at, strict=True)], pa.binary())
@@ -218,7 +221,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for text, (p, _) in zip(R.texts(left.column("_z")), R.places_of(left, right), strict=True):
+        for z, (p, _) in zip(left.column("_z").to_pylist(), R.places_of(left, right), strict=True):
+            text = R.text(z)
             starts, _, _ = K.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
             gone = K.covered(p, window, len(starts))
             kept = _kept(text, starts, gone) if len(p) else text

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,30 @@ def unpack(blobs: list[bytes], kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+#: Bytes of text whose entries a task holds at once; a single longer text is taken whole.
+PORTION = 10_000_000
+
+
+def portions(batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces of about PORTION bytes of text."""
+    for batch in batches:
+        ends = np.cumsum(sizes(batch))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            last = max(at + 1, int(np.searchsorted(ends, done + PORTION, "right")))
+            yield batch.slice(at, last - at)
+            at = last
+
+
+def text_sizes(batch: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def packed_sizes(batch: pa.RecordBatch) -> np.ndarray:
+    return 3 * text_sizes(batch)
+
+
 class Entries:
     """Collects entry rows of one batch."""
 
@@ -136,10 +161,16 @@ def squeezed(rows: DataFrame, text_col: str, doc_parts: int, keep: bool) -> Data
     return typed.mapInArrow(run, schema)
 
 
-def texts(column: pa.ChunkedArray) -> list[bytes]:
-    """The compressed texts of a column; a null one is empty."""
-    unpress = zstandard.ZstdDecompressor()
-    return [b"" if z is None else unpress.decompress(z) for z in column.to_pylist()]
+_unpress = zstandard.ZstdDecompressor()
+
+
+def text(z: bytes | None) -> bytes:
+    """A compressed text; a null one is empty."""
+    return b"" if z is None else _unpress.decompress(z)
+
+
+def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return [text(z) for z in column.to_pylist()]
 
 
 def places_of(docs: pa.Table, found: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -148,7 +179,7 @@ def places_of(docs: pa.Table, found: pa.Table) -> list[tuple[np.ndarray, np.ndar
     order = np.lexsort((pos, copy, doc))
     doc, copy, pos, length = doc[order], copy[order], pos[order].astype(np.int64), length[order].astype(np.int64)
     edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])))) if len(doc) else np.zeros(0, np.int64)
-    ranges = {(d, c): (a, b) for d, c, a, b in zip(doc[edge].tolist(), copy[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(doc)], strict=True)}
+    ranges = {(d, c): (a, b) for d, c, a, b in zip(doc[edge].tolist(), copy[edge].tolist(), edge.tolist(), np.append(edge, len(doc))[1:].tolist(), strict=True)}
     none = (0, 0)
     of = [ranges.get(k, none) for k in zip(docs.column("_doc").to_pylist(), docs.column("_copy").to_pylist(), strict=True)]
     return [(pos[a:b], length[a:b]) for a, b in of]
