@@ -7,6 +7,8 @@ UTF-8 equals the character class ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,9 @@ U64 = np.uint64
 SLICE_BYTES = 1_000_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+with contextlib.suppress(AttributeError, OSError):  # where there is glibc: freed arrays go back to the system at once, not to the idle worker's heap
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))

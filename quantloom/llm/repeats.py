@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import U64, mix
+from .storage import bounded_batches
 
 ENTRY = "part long, kind int, key binary, doc binary, copy binary, pos binary, len binary, extra binary"
 PLACE = "doc_part long, doc binary, copy binary, pos binary, len binary"
@@ -44,15 +45,26 @@ PORTION = 10_000_000
 
 
 def portions(batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in pieces of about PORTION bytes of text."""
+    """The rows of batches, gathered or cut into pieces of about PORTION bytes of text."""
+    held, size = [], 0
+
+    def gathered() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         ends = np.cumsum(sizes(batch))
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            last = max(at + 1, int(np.searchsorted(ends, done + PORTION, "right")))
-            yield batch.slice(at, last - at)
+            last = max(at + 1, int(np.searchsorted(ends, done + PORTION - size, "right")))
+            held.append(batch.slice(at, last - at))
+            size += int(ends[last - 1] - done)
             at = last
+            if size >= PORTION or at < batch.num_rows:
+                yield gathered()
+                held, size = [], 0
+    if held:
+        yield gathered()
 
 
 def text_sizes(batch: pa.RecordBatch) -> np.ndarray:
@@ -136,6 +148,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     """docs with the columns _doc and _copy, and the bytes of all texts.
 
     _doc: the id, a null one as the largest number.  _copy tells different texts of one id apart."""
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_copy", F.lit(0))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ids = out.select("_doc", F.xxhash64(text).alias("h"), F.octet_length(text).alias("n")).groupBy("_doc").agg(F.sum("n").alias("n"), (F.min("h") != F.max("h")).alias("differ"))

@@ -15,6 +15,13 @@ def use_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch from here on in this session, as rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and read back from the shared folder, so that a lost executor costs nothing."""
     use_checkpoints(df.sparkSession)
