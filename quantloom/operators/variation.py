@@ -29,11 +29,14 @@ def _numbered(parts: DataFrame) -> DataFrame:
     return met.select(F.col("child").alias("tree_id"), F.col("new").alias("node_idx"), "node_type", F.coalesce("_up", F.lit(-1)).alias("parent_idx"), "depth", *_P)
 
 
-def root_branch_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth: int = 10) -> DataFrame:
-    """Children that take each of their branches, whole, from one of their two parents."""
+def root_branch_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth: int = 10, first_donor: Column | None = None) -> DataFrame:
+    """Children that take each of their branches, whole, from one of their two parents.
+
+    first_donor: when the first gives (over child and branch); by default, half of the time."""
     paths = with_paths(nodes, max_depth)
     both = _parents(pairs, paths, "first").withColumn("part", F.lit(1)).unionByName(_parents(pairs, paths, "second").withColumn("part", F.lit(2)))
-    donor = F.when(uniform(seed, F.lit("branch"), "child", "branch") < 0.5, 1).otherwise(2)
+    chosen = uniform(seed, F.lit("branch"), "child", "branch") < 0.5 if first_donor is None else first_donor
+    donor = F.when(chosen, 1).otherwise(2)
     return _numbered(both.where(F.col("part") == donor).withColumn("part", F.col("branch")).withColumn("parent_part", F.col("branch")))
 
 
