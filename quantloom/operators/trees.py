@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut_lineage
+
 ROOT, DECISION, ACTION = 1, 2, 3
 LONG, HOLD, SHORT = 0, 1, 2
 NEW_LONG, NEW_SHORT, CLOSE_ALL, CLOSE_PARTIAL, ADD_POSITION, FLIP_POSITION = range(1, 7)
@@ -89,7 +91,7 @@ def random_population(spark: SparkSession, n_trees: int, catalog: list[tuple], m
             *[F.when(F.col("leaf"), act[p]).otherwise(ask[p]).alias(p) for p in ("p1", "p2", "p3", "p4")], "branch", "used",
         )
         levels.append(level)
-    return reduce(DataFrame.unionByName, levels).select(COLUMNS)
+    return cut_lineage(reduce(DataFrame.unionByName, levels).select(COLUMNS))  # what follows reads it many times
 
 
 def _hint(nodes: DataFrame, n_nodes: int | None) -> DataFrame:
