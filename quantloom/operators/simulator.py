@@ -60,6 +60,8 @@ def simulate_series(bars: list[tuple], actions: list[list[tuple]], market: Marke
         leaving = sell if side == LONG else buy
         gain = side * (leaving - price) / price * lever if side else 0.0
         size = want or 0.0
+        if not next_open > 0:  # nothing can be traded at such a price
+            action = 0
         if side == FLAT and action in (T.NEW_LONG, T.NEW_SHORT):
             side = LONG if action == T.NEW_LONG else SHORT
             price, lever, ratio, added = buy if side == LONG else sell, int(wanted_lever or 1), size, 0
