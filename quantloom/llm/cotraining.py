@@ -219,6 +219,7 @@ def _columns(docs: DataFrame, *first: str) -> DataFrame:
 def _sampled(docs: DataFrame, first: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of a bounded sample, and its first column."""
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content, metadata = _views(batch, 2)
@@ -252,6 +253,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     A null or empty text has no content features; missing metadata counts as empty; repeated rows come
     back repeated; an empty table gives an empty result; other columns are ignored."""
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta, both = model.scores(*_views(batch, 1))

@@ -72,6 +72,7 @@ def _samples(length: int, parts: int):
     sampled[members] = True
     width = length - v + 1
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in R.portions(batches, R.text_sizes):
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -117,6 +118,7 @@ def _pieces(length: int, parts: int):
     """(_doc, _copy, _z, _near) to entries: runs of candidate windows with one least string, as text."""
     v, _ = cover_for(length)
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in R.portions(batches, R.packed_sizes):
@@ -172,6 +174,7 @@ def _pieces(length: int, parts: int):
 def _compare(length: int, doc_parts: int):
     """Sorts one part's windows by name, compares neighbours, and gives the runs that repeat."""
 
+    @K.lean
     def run(table: pa.Table) -> pa.Table:
         unpress = zstandard.ZstdDecompressor()
         kind = table.column("kind").to_numpy()
@@ -220,6 +223,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         n, spans, sha = zip(*made, strict=True) if made else ((),) * 3
         return pa.table({"_doc": doc, **more, "n_bytes": pa.array(n, pa.int64()), "spans": pa.array(spans, span_type), "kept_sha256": pa.array(sha, pa.string())})
 
+    @K.lean
     def split(left: pa.Table, right: pa.Table) -> pa.Table:
         """Rows without a repeated sample are done; the others keep their text and its places."""
         at = [p for p, _ in R.places_of(left, right)]
@@ -228,6 +232,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         near = pa.array([p.astype("<u4").tobytes() if len(p) else None for p in at], pa.binary())
         return table(left.column("_doc"), made, {"_part": left.column("_part"), "_copy": left.column("_copy"), "_z": z, "_near": near}).select(["_part", "_doc", "_copy", "_z", "_near", "n_bytes", "spans", "kept_sha256"])
 
+    @K.lean
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         for z, (p, n) in zip(left.column("_z").to_pylist(), R.places_of(left, right), strict=True):

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,42 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that the kernels hold expanded at once; a single longer document is taken whole.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-with contextlib.suppress(AttributeError, OSError):  # where there is glibc: freed arrays go back to the system at once, not to the idle worker's heap
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+_libc = ctypes.CDLL(None)
+with contextlib.suppress(AttributeError):  # where there is glibc: large freed arrays go back to the system at once
+    _libc.mallopt(-3, 1 << 20)
+
+
+def release() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):
+        _libc.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, for a partition or a group, leaving no freed memory behind in the worker, which idles on."""
+
+    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    def on_group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    def on_groups(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        release()
+        return out
+
+    if inspect.isgeneratorfunction(run):
+        return on_partition
+    return on_group if len(inspect.signature(run).parameters) == 1 else on_groups
+
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ranges, text_buffers
-from .storage import checkpointed
+from .kernels import lean, ranges, text_buffers
+from .storage import bounded_batches, checkpointed
 
 GROUP_PIECES = 20_000
 CACHED_WORDS = 500_000
@@ -93,6 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
 
     names, wide = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"], 6 if with_ids else 5
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = CachedTokenizer.at(tokenizer_path)
         end = np.array([end_id], np.uint32)
@@ -100,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
             data, offsets = text_buffers(batch.column(1))
             raw, n, row, rows = data.tobytes(), len(offsets) - 1, 0, []
             while row < n:
-                last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 2_000_000, "right")) - 1)
+                last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 1_000_000, "right")) - 1)
                 last = min(last, n)
                 for k, ids in enumerate(tokenizer.ids([raw[offsets[i] : offsets[i + 1]] for i in range(row, last)]), row):
                     packed = np.concatenate([ids, end]).astype("<u4")
@@ -112,7 +113,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
             made = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
             columns = [batch.column(0).take(made[0]), *made[1:]]
             yield pa.RecordBatch.from_arrays(columns[:wide], names[:wide])
+        tokenizer.forget()
 
+    bounded_batches(docs.sparkSession)
     typed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return typed.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
@@ -176,6 +179,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIEC
     pieces = checkpointed(pieces)
     groups = max(1, math.ceil(pieces.count() / group_pieces))
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return table.append_column("sequence_id", pa.array([], pa.int64())).append_column("offset", pa.array([], pa.int64())).drop_columns(["packing_group"])

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import lean
+from .storage import bounded_batches
+
 _SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
 _NOISY = re.compile(rb"[#*$%&|<>]|!!|\?\?|\.\.\.\.")
@@ -113,10 +116,12 @@ def judge_documents(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
     Null and empty texts have no words and fail the base rules.  Repeated rows come back repeated; an
     empty table gives an empty result; other columns are ignored.  A text is judged as a whole."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(batch.column(1).to_pylist(), rules)], ["doc_id", *_NAMES])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, {_SCHEMA}")
 
 
@@ -124,10 +129,12 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     """The rows of docs that are kept, with their failing lines removed from text; other columns stay."""
     at, names = docs.columns.index("text"), docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *_, kept, cleaned = _judged(batch.column(at).to_pylist(), rules)
             columns = [cleaned if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names).filter(kept)
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

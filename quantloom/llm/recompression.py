@@ -105,6 +105,7 @@ def _later(start: np.ndarray, size: np.ndarray, doc: np.ndarray, flag: np.ndarra
 
 
 def _survey(window: int, parts: int):
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in R.portions(batches, R.text_sizes):
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -135,6 +136,7 @@ def _survey(window: int, parts: int):
 def _windows(window: int, parts: int):
     """Names of the windows around shared neighbourhoods: (_doc, _copy, _z, _near) to entries."""
 
+    @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in R.portions(batches, R.packed_sizes):
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -198,6 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     more = "".join(f", `{c}` {t}" for c, t in packed.dtypes[4:])
     results = ", n_words long, n_removed long, kept_sha256 string"
 
+    @K.lean
     def split(left: pa.Table, right: pa.Table) -> pa.Table:
         """Rows without a shared neighbourhood are done; the others keep their text and its places."""
         at = [p for p, _ in R.places_of(left, right)]
@@ -219,6 +222,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             left = left.append_column(name, column)
         return left
 
+    @K.lean
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for z, (p, _) in zip(left.column("_z").to_pylist(), R.places_of(left, right), strict=True):
@@ -241,6 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     gone = R.settled(again, _later, np.uint64, doc_parts)
     finished = open_.select("_part", "_doc", "_copy", "_z", *[f"`{c}`" for c in rest]).groupBy("_part").cogroup(gone.groupBy("doc_part")).applyInArrow(finish, "_doc long" + more + ", _kept binary" + results)
 
+    @K.lean
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = batch.column(1)

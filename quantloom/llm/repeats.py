@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, mix
+from .kernels import U64, lean, mix
 from .storage import bounded_batches
 
 ENTRY = "part long, kind int, key binary, doc binary, copy binary, pos binary, len binary, extra binary"
@@ -41,7 +41,7 @@ def unpack(blobs: list[bytes], kind: type) -> np.ndarray:
 
 
 #: Bytes of text whose entries a task holds at once; a single longer text is taken whole.
-PORTION = 10_000_000
+PORTION = 5_000_000
 
 
 def portions(batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +123,7 @@ def places(blobs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def settled(entries: DataFrame, rule: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], key_kind: type, doc_parts: int) -> DataFrame:
     """Places of the entries of which rule(starts of the key groups, group sizes, doc, flag) is true; all in key order."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         done = places(table.filter(pa.array(kind == 1)))
@@ -164,6 +165,7 @@ def squeezed(rows: DataFrame, text_col: str, doc_parts: int, keep: bool) -> Data
     typed = rows.select("_doc", "_copy", F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`") for c in rest])
     schema = "_part long, _doc long, _copy int, _z binary" + "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in rest)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .storage import checkpointed
+from .storage import bounded_batches, checkpointed
 
 U64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -139,6 +139,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     """(doc_id, fp[, fp1, ...]): fingerprints as signed longs; a text without words has 0."""
     names = ["fp", *(f"fp{k}" for k in range(1, n_fps))]
 
+    @K.lean
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(1))
@@ -146,6 +147,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             fp = np.concatenate(fps) if fps else np.zeros((0, n_fps), U64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(n_fps))], ["doc_id", *names])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(compute, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
@@ -251,6 +253,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, segments: int | No
         raise ValueError(f"{segments} segments leave more than one differing bit in each; take {distance // 2 + 1}")
     parts = parts or max(64, distinct.count() * segments // 60_000)
 
+    @K.lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
@@ -263,6 +266,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, segments: int | No
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["part", "keys", "fps"])
 
+    @K.lean
     def meet(table: pa.Table) -> pa.Table:
         read = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), U64)
         a, b = links_of_entries(read("keys"), read("fps"), distance)
