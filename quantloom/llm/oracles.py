@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import quality
+
 _PARTS = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -89,10 +91,35 @@ s AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5"""
 
+#: quality.py's phrases, with the pattern's own characters as they are.
+_PHRASES = quality.BOILERPLATE.replace("'", "''")
+_RULES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+w AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+g AS (SELECT r, i, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS k FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM g WHERE k IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+repeated AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS i FROM twice) GROUP BY r),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM d),
+x AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+y AS (SELECT *, len(ws) AS n, row_number() OVER (PARTITION BY r, line ORDER BY j) > 1 AS again,
+  len(list_filter(ws, lambda v: v IN ('|', '>', '/', '::', '»', '•', '·'))) AS marks, len(list_filter(ws, lambda v: regexp_matches(v, '[#*$%&|<>]|!!|\?\?|\.\.\.\.'))) AS noisy,
+  len(list_filter(ws, lambda v: regexp_matches(v, '[A-Z]') AND NOT regexp_matches(v, '[a-z]') AND strlen(v) > 1)) AS loud FROM x WHERE len(ws) > 0),
+z AS (SELECT r, n, again, again OR (marks >= 3 AND marks >= 0.2::DOUBLE * n) OR noisy > 0.3::DOUBLE * n
+  OR (n >= 4 AND 3 * strlen(regexp_replace(line, '[A-Z]', '', 'g')) < 2 * strlen(line) AND loud > 0.6::DOUBLE * n)
+  OR (n >= 8 AND NOT regexp_matches(ws[n], '[.!?:;…。！？"''”’»)\]]$') AND NOT contains(line, '.'))
+  OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASES}') AS gone FROM y),
+s AS (SELECT r, count(*) FILTER (again) AS dup, coalesce(sum(n) FILTER (gone), 0) AS lost FROM z GROUP BY r),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN repeated USING (r) LEFT JOIN s USING (r))
+SELECT * EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.4::DOUBLE * n_words AS kept FROM m"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL,
     "op2_chat_format": _CHAT,
     "op3_recompression": _REPEATS,
     "op4_source_mix": _MIX,
     "op5_kd_top_k": _TOP_K,
+    "op6_quality_rules": _RULES,
 }

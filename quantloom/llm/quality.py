@@ -26,10 +26,11 @@ _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MARKS = frozenset([b"|", b">", b"/", b"::", *(x.encode() for x in "»•·")])
 _ENDS = tuple(x.encode() for x in ".!?:;…。！？\"'”’»)]")
 #: Phrases of pages rather than of texts, in the corpus's languages.
-_BOILERPLATE = re.compile(
+BOILERPLATE = (
     "all rights reserved|privacy policy|terms of use|terms of service|cookie|javascript|lorem ipsum|subscribe to our|sign up for|click here|read more"
-    "|alle rechte vorbehalten|datenschutzerkl|tous droits réservés|politique de confidentialité|todos los derechos reservados|política de privacidad".encode(),
+    "|alle rechte vorbehalten|datenschutzerkl|tous droits réservés|politique de confidentialité|todos los derechos reservados|política de privacidad"
 )
+_BOILERPLATE = re.compile(BOILERPLATE.encode())
 
 
 @dataclass(frozen=True)
