@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import connected_components
+from .components import connected_components, join_forest
 from .storage import bounded_batches, checkpointed
 
 U64 = np.uint64
@@ -164,31 +164,12 @@ def _variants(fp: np.ndarray, segments: int) -> Iterator[tuple[int, int, np.ndar
             yield piece, bit, K.mix((fp & U64(mask & ~(1 << bit))) ^ K.mix(np.array([bit + 1], U64)))
 
 
-def _join_forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the edges (a, b) that connect two trees of the forest, which grows with them."""
-    kept_a, kept_b = [], []
-    while len(a):
-        ra, rb = parent[a], parent[b]
-        live = ra != rb
-        a, b, ra, rb = a[live], b[live], ra[live], rb[live]
-        if not len(a):
-            break
-        high, low = np.maximum(ra, rb), np.minimum(ra, rb)
-        _, pick = np.unique(high, return_index=True)  # each root hangs below one smaller root
-        kept_a.append(a[pick])
-        kept_b.append(b[pick])
-        parent[high[pick]] = low[pick]
-        while not np.array_equal(up := parent[parent], parent):
-            parent[:] = up
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(kept_a), np.concatenate(kept_b)) if kept_a else (none, none)
-
-
 def _links_in(fp: np.ndarray, distance: int, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect distinct fingerprints as all links of at most distance bits do.
 
-    Up to ``most`` fingerprints are compared directly.  A larger set is first split exactly: cut
-    into distance + 1 pieces, linked fingerprints agree in one piece, so each piece's groups are
+    Up to ``most`` fingerprints are compared directly.  From a larger set, crowds around a middle are
+    taken out first: their members are one component, and done once every other fingerprint has been
+    tested against them.  What stays large is split exactly: cut into distance + 1 pieces, linked fingerprints agree in one piece, so each piece's groups are
     compared on their own, in blocks of bounded size when a piece does not split them either."""
     parent = np.arange(len(fp))
     out_a, out_b = [], []
@@ -198,22 +179,47 @@ def _links_in(fp: np.ndarray, distance: int, most: int = 1024) -> tuple[np.ndarr
             for y in range(x, len(rows), most):
                 near = _popcount(fp[rows[x : x + most], None] ^ fp[None, rows[y : y + most]]) <= distance
                 a, b = np.nonzero(near)
-                a, b = _join_forest(parent, rows[x + a], rows[y + b])
+                a, b = join_forest(parent, rows[x + a], rows[y + b])
                 out_a.append(a)
                 out_b.append(b)
 
-    if len(fp) <= most:
-        compare(np.arange(len(fp)))
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        a, b = join_forest(parent, a, b)
+        out_a.append(a)
+        out_b.append(b)
+
+    rest = np.arange(len(fp))
+    while len(rest) > most:  # a crowd around one fingerprint: its members are one component, and done once the others are tested against them
+        bits = np.unpackbits(fp[rest].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        middle = np.packbits(2 * bits.sum(axis=0) > len(rest), bitorder="little").view(U64)[0]
+        pivot = rest[np.argmin(_popcount(fp[rest] ^ middle))]
+        near = _popcount(fp[rest] ^ fp[pivot]) <= distance
+        crowd = rest[near]
+        if 16 * len(crowd) < len(rest):
+            break
+        link(np.full(len(crowd) - 1, pivot), crowd[crowd != pivot])
+        rest = open_ = rest[~near]
+        for x in range(0, len(crowd), most):
+            met, at = np.zeros(len(open_), bool), np.zeros(len(open_), np.int64)
+            for y in range(0, len(open_), most):
+                hit = _popcount(fp[open_[y : y + most], None] ^ fp[None, crowd[x : x + most]]) <= distance
+                met[y : y + most], at[y : y + most] = hit.any(axis=1), hit.argmax(axis=1)
+            link(open_[met], crowd[x + at[met]])
+            open_ = open_[~met]
+    if len(rest) <= most:
+        compare(rest)
     else:
         cuts = np.linspace(0, 64, distance + 2).round().astype(int)
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            piece = (fp >> U64(low)) & U64((1 << int(high - low)) - 1)
+            piece = (fp[rest] >> U64(low)) & U64((1 << int(high - low)) - 1)
             order = np.argsort(piece, kind="stable")
             edge = np.flatnonzero(np.diff(piece[order], prepend=~piece[order[:1]])).tolist() + [len(order)]
+            order = rest[order]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if y - x > 1:
                     compare(order[x:y])
-    return np.concatenate(out_a), np.concatenate(out_b)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
 def links_of_entries(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
