@@ -308,6 +308,19 @@ def test_near_duplicates_of_eight_tenths_and_more(spark):
             assert max(j for p, j in like.items() if i in p) >= 0.6
 
 
+@pytest.mark.parametrize(("gone", "linked"), [(4, 150), (5, 0)])
+def test_pairs_of_eight_tenths_link_and_lower_ones_do_not(spark, gone, linked):
+    """150 pairs of 180 shingles each, of which 20 (similarity 0.8) or 25 (0.756) are a text's own."""
+    x = random.Random(gone)
+    rows = []
+    for i in range(150):
+        one = [f"w{x.randrange(10**9)}" for _ in range(184)]
+        two = [f"v{x.randrange(10**9)}" if k % 12 == 10 and k < 12 * gone else w for k, w in enumerate(one)]
+        rows += [(2 * i, " ".join(one), "s"), (2 * i + 1, " ".join(two), "s")]
+    comp = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, rows)).collect()}
+    assert sum(comp[2 * i] == comp[2 * i + 1] for i in range(150)) == linked
+
+
 # 9
 
 
