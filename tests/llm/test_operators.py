@@ -321,6 +321,23 @@ def test_pairs_of_eight_tenths_link_and_lower_ones_do_not(spark, gone, linked):
     assert sum(comp[2 * i] == comp[2 * i + 1] for i in range(150)) == linked
 
 
+def test_crowds_keep_components_of_verified_links(spark, monkeypatch):
+    """Copies of one template around the threshold, in groups of many blocks, against all pairs by force."""
+    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
+    x = random.Random(3)
+    base = [f"w{k}" for k in range(124)]
+    rows = [(i, " ".join(f"v{x.randrange(10**9)}" if x.random() < 0.026 else w for w in base), "s") for i in range(150)]
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t, _ in rows]
+    least = list(range(len(rows)))
+    links = [(a, b) for a in least for b in least[:a] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert 20 < len(set(least)) < 130
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == dict(enumerate(least))
+
+
 # 9
 
 
