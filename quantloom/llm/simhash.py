@@ -484,11 +484,19 @@ def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, id_co
     return rows.join(joined.join(least, "component").select("cid", "component_id"), "cid").select("doc_id", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, width: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the first of their near-duplicate group; all columns stay.
 
-    Among rows of equal smallest doc_id one stays; a document without words is a group with its like."""
-    found = similar_documents(docs, text_col=text_col, **options).where("component_id <=> doc_id").select(F.col("doc_id").alias("_first")).distinct()
-    firsts = docs.join(found, docs["doc_id"].eqNullSafe(found["_first"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c] in ("string", "bigint", "int")])
-    return firsts.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    One row of each group stays: that of the smallest id, a null one being the largest, and among rows of
+    one id that of the smallest hash of all columns; of truly equal rows any.  A document without words is
+    a group with its like."""
+    rows, components = _similar(docs, width, share, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    classes = rows.groupBy("cid").agg(F.min(order).alias("r")).join(components, "cid", "left")
+    found = classes.groupBy(F.coalesce("component", "cid")).agg(F.min("r").alias("r")).select(F.col("r.h1").alias("_h1"), F.col("r.h2").alias("_h2"))
+    found = checkpointed(found)
+    firsts = docs.withColumns(dict(zip(("_h1", "_h2"), _identity(docs), strict=True))).join(found, ["_h1", "_h2"], "left_semi")
+    if rows.groupBy("h1", "h2").count().where("count > 1").limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1"))
+        firsts = firsts.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return firsts.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -338,6 +338,16 @@ def test_crowds_keep_components_of_verified_links(spark, monkeypatch):
     assert got == dict(enumerate(least))
 
 
+def test_rows_of_one_id_are_kept_by_their_texts(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, words(k), "s") for k in range(5)] + [(7, words(k), "s") for k in range(5, 8)] + [(8, words(0), "s"), (9, words(6), "s"), (9, words(9), "s")]
+    rows += [(None, words(8), "s")] * 3 + [(None, None, "s"), (3, "", "s"), (3, " ", None)]
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one_per_group(docs_of(spark, rows)).collect())
+    want = {(None, words(k)) for k in (1, 2, 3, 4, 8)} | {(7, words(k)) for k in (5, 6, 7)} | {(8, words(0)), (9, words(9))}
+    blank = [k for k in got if k[0] == 3]
+    assert len(blank) == 1 and got == Counter([*want, *blank])
+
+
 # 9
 
 
