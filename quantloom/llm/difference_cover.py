@@ -212,7 +212,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     the input.  Null text is empty; repeated rows repeat each other's strings and come back repeated;
     an empty table gives an empty result; other columns are ignored."""
     rows, size = R.numbered(docs, id_col, text_col)
-    rows = _repeated_rows(rows, id_col, text_col)
+    rows = _repeated_rows(rows.select("_doc", "_copy", F.col(text_col)))
     parts, doc_parts = R.parts_for(size, 10_000_000), R.parts_for(size, R.TEXT_PART)
     slim = rows.select("_doc", "_copy", F.col(text_col).cast("string").alias("_text"))
     near = R.settled(slim.mapInArrow(_samples(length, parts), R.ENTRY), _twice, np.uint32, doc_parts)
@@ -246,7 +246,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         return table(left.column("_doc"), made, {})
 
     packed = R.squeezed(rows, text_col, doc_parts, False)
-    joined = packed.groupBy("_part").cogroup(near.groupBy("doc_part")).applyInArrow(split, "_part long, _doc long, _copy int, _z binary, _near binary" + results)
+    joined = packed.groupBy("_part").cogroup(near.groupBy("doc_part")).applyInArrow(split, "_part long, _doc long, _copy long, _z binary, _near binary" + results)
     joined = stored(joined)
     open_ = joined.where("_near IS NOT NULL")
     pieces_parts = R.parts_for(size, 2_000_000)
@@ -258,11 +258,10 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     return both.select(F.when(F.col("_doc") != R.NULL_ID, F.col("_doc")).alias("doc_id"), "n_bytes", removed.alias("n_removed"), "spans", "kept_sha256")
 
 
-def _repeated_rows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows that agree in id and text get copy numbers of their own, as each is a place of its own."""
-    from pyspark.sql import Window
+def _repeated_rows(rows: DataFrame) -> DataFrame:
+    """Rows that agree in id and text get copy numbers of their own, as each is a place of its own.
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    The numbers hold for the table that is written with them, as the rows are read more than once."""
     if rows.groupBy("_doc", "_copy").count().where("count > 1").limit(1).count():
-        rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_doc").orderBy(F.xxhash64(text))) - 1)
+        rows = stored(rows.withColumn("_copy", F.monotonically_increasing_id()))
     return rows

@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             done = done.append_column(name, column)
         return done
 
-    joined = packed.groupBy("_part").cogroup(near.groupBy("doc_part")).applyInArrow(split, "_part long, _doc long, _copy int, _z binary" + more + ", _near binary" + results)
+    joined = packed.groupBy("_part").cogroup(near.groupBy("doc_part")).applyInArrow(split, "_part long, _doc long, _copy long, _z binary" + more + ", _near binary" + results)
     joined = stored(joined)
     open_ = joined.where("_near IS NOT NULL")
     again = open_.select("_doc", "_copy", "_z", "_near").mapInArrow(_windows(window, parts), R.ENTRY)

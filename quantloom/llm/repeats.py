@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, lean, mix
@@ -75,6 +75,11 @@ def packed_sizes(batch: pa.RecordBatch) -> np.ndarray:
     return 3 * text_sizes(batch)
 
 
+def home(doc: np.ndarray, copy: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a row, by its id and copy, so that rows of one id are dealt out."""
+    return (mix(doc.view(U64) ^ mix(copy.astype(np.int64).view(U64))) % U64(parts)).astype(np.int64)
+
+
 class Entries:
     """Collects entry rows of one batch."""
 
@@ -90,12 +95,12 @@ class Entries:
         for p in np.flatnonzero(np.diff(cut)).tolist():
             o = order[cut[p] : cut[p + 1]]
             more = extra(o) if callable(extra) else pack(extra[o])
-            self.rows.append((p, kind, pack(key[o]), pack(doc[o]), pack(copy[o].astype(np.uint16)), pack(pos[o].astype(np.uint32)), pack(length[o].astype(np.uint32)), more))
+            self.rows.append((p, kind, pack(key[o]), pack(doc[o]), pack(copy[o].astype(np.int64)), pack(pos[o].astype(np.uint32)), pack(length[o].astype(np.uint32)), more))
 
     def settle(self, parts: int, doc: np.ndarray, copy: np.ndarray, pos: np.ndarray, length: np.ndarray | None = None) -> None:
         """Places that need no more meeting; they travel through the part of their document."""
         length = np.ones(len(doc), np.uint32) if length is None else length
-        self.add(parts, 1, (mix(doc.view(U64)) % U64(parts)).astype(np.int64), np.zeros(len(doc), np.uint8), doc, copy, pos, length, np.zeros(len(doc), np.uint8))
+        self.add(parts, 1, home(doc, copy, parts), np.zeros(len(doc), np.uint8), doc, copy, pos, length, np.zeros(len(doc), np.uint8))
 
     def batch(self) -> pa.RecordBatch:
         columns = zip(*self.rows, strict=True) if self.rows else [()] * 8
@@ -103,7 +108,7 @@ class Entries:
 
 
 def place_rows(doc: np.ndarray, copy: np.ndarray, pos: np.ndarray, length: np.ndarray, doc_parts: int) -> pa.Table:
-    part = (mix(doc.view(U64)) % U64(doc_parts)).astype(np.int64)
+    part = home(doc, copy, doc_parts)
     order = np.lexsort((pos, copy, doc, part))
     cut = np.searchsorted(part[order], np.arange(doc_parts + 1))
     rows = []
@@ -117,7 +122,7 @@ def place_rows(doc: np.ndarray, copy: np.ndarray, pos: np.ndarray, length: np.nd
 
 def places(blobs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     get = lambda name, kind: unpack(blobs.column(name).to_pylist(), kind)
-    return get("doc", np.int64), get("copy", np.uint16), get("pos", np.uint32), get("len", np.uint32)
+    return get("doc", np.int64), get("copy", np.int64), get("pos", np.uint32), get("len", np.uint32)
 
 
 def settled(entries: DataFrame, rule: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], key_kind: type, doc_parts: int) -> DataFrame:
@@ -148,14 +153,15 @@ def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """docs with the columns _doc and _copy, and the bytes of all texts.
 
-    _doc: the id, a null one as the largest number.  _copy tells different texts of one id apart."""
+    _doc: the id, a null one as the largest number.  _copy tells different texts of one id apart: 0, or a hash of
+    the text where some id has several."""
     bounded_batches(docs.sparkSession)
-    out = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_copy", F.lit(0))
+    out = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_copy", F.lit(0).cast("long"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ids = out.select("_doc", F.xxhash64(text).alias("h"), F.octet_length(text).alias("n")).groupBy("_doc").agg(F.sum("n").alias("n"), (F.min("h") != F.max("h")).alias("differ"))
     size, differ = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("differ"), F.lit(False))).first()
     if differ:
-        out = out.withColumn("_copy", F.dense_rank().over(Window.partitionBy("_doc").orderBy(F.xxhash64(text))) - 1)
+        out = out.withColumn("_copy", F.xxhash64(text))
     return out, size
 
 
@@ -163,13 +169,13 @@ def squeezed(rows: DataFrame, text_col: str, doc_parts: int, keep: bool) -> Data
     """(_part, _doc, _copy, _z, other columns if keep): texts compressed for the shuffle."""
     rest = [c for c in rows.columns if c not in (text_col, "_doc", "_copy")] if keep else []
     typed = rows.select("_doc", "_copy", F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`") for c in rest])
-    schema = "_part long, _doc long, _copy int, _z binary" + "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in rest)
+    schema = "_part long, _doc long, _copy long, _z binary" + "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in rest)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            part = (mix(batch.column(0).to_numpy().view(U64)) % U64(doc_parts)).astype(np.int64)
+            part = home(batch.column(0).to_numpy(), batch.column(1).to_numpy(), doc_parts)
             z = pa.array([None if t is None else press.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(1), z, *batch.columns[3:]], ["_part", "_doc", "_copy", "_z", *rest])
 

@@ -385,6 +385,18 @@ def test_repeated_bytes_odd_rows(spark):
     assert difference_cover.repeated_bytes(odd(spark).limit(0)).count() == 0
 
 
+def test_more_rows_of_one_id_than_sixteen_bits_count(spark):
+    passage = " ".join(f"p{k}" for k in range(13))
+    n = 66_000
+    ids = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(passage + " u"), "id").alias("text"))
+    docs = ids.unionByName(spark.createDataFrame([(1, passage)], "doc_id long, text string"))
+    found = recompression.remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in found} == {(1, 0, 1), (None, 13, n)}
+    same = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("abcdefghij" * 4).alias("text"))
+    found = difference_cover.repeated_bytes(same, 40).groupBy("n_removed").count().collect()
+    assert [tuple(r) for r in found] == [(40, n)]
+
+
 # 10
 
 
