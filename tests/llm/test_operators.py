@@ -424,8 +424,58 @@ def test_packing(spark):
         assert at <= 4096
     assert len(bins) <= 1.01 * sum(r.length for r in got) / 4096 + 1
     assert packing.pack_documents(docs.limit(0), TOKENS).count() == 0
-    one = packing.sequences(docs, packing.pack_documents(docs, TOKENS), TOKENS).collect()
+    one = packing.sequences(docs, TOKENS).collect()
     assert sum(len(r.ids) for r in one) == 4 * sum(r.length for r in got)
+    assert Counter(i for r in one for i in r.doc_ids) == Counter(r.doc_id for r in got)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_tokenizers_own(name):
+    """Of both kinds of tokenizers, over texts of everything that parts words."""
+    from tokenizers import Tokenizer
+
+    full, x = Tokenizer.from_file(queries.tokenizer_path(name)), random.Random(1)
+    bits = [*"ab zÀÉß×÷ÿ'éN<|>.,!-\n\t09٣ïﬁéΣς日本😀\x00\x1f\xa0\u2028İ", "'s", "'re", "<|endoftext|>", "<|EndOfText|>", "don't", "’s", " ", "  ", "e\u0301"]
+    texts = ["".join(x.choice(bits) for _ in range(x.randrange(60))) for _ in range(2000)] + ["", "<|", " ", "x" * 50_000]
+    ids, first = packing.Ids(queries.tokenizer_path(name)).of(*K.text_buffers(packing.pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [full.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_equal_rows_are_packed_in_many_groups(spark):
+    same = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    pieces = packing.token_pieces(same, TOKENS)
+    found = packing.pack(pieces, capacity=8, group_pieces=100).collect()
+    assert len(found) == 900 and len({r.sequence_id >> 32 for r in found}) == 9
+    assert max(Counter(r.sequence_id for r in found).values()) == 2 and {r.offset for r in found} == {0, 4}
+
+
+def test_best_two_fit_against_every_choice():
+    """Bins by the rule itself: the longest that fit, then the tightest pair in the smallest's place."""
+    x = random.Random(2)
+    for _ in range(60):
+        lengths = [x.randrange(1, 21) for _ in range(x.randrange(1, 40))]
+        left, want = sorted(lengths), []
+        while left:
+            inside, gap = [], 20
+            while fits := [n for n in left if n <= gap]:
+                inside.append(max(fits))
+                left.remove(max(fits))
+                gap -= max(fits)
+            if gap and left:
+                pairs = [left[i] + left[j] for i in range(len(left)) for j in range(i) if inside[-1] < left[i] + left[j] <= gap + inside[-1]]
+                if pairs:
+                    gap += inside[-1] - max(pairs)
+                    one = max(b for b in left if max(pairs) - b in left and (2 * b != max(pairs) or left.count(b) > 1))
+                    left = sorted([*left, inside.pop()])
+                    for n in (one, max(pairs) - one):
+                        inside.append(n)
+                        left.remove(n)
+            want.append(sorted(inside))
+        bins, _ = packing.best_two_fit(np.array(lengths), 20)
+        got = defaultdict(list)
+        for b, n in zip(bins.tolist(), lengths, strict=True):
+            got[b].append(n)
+        assert sorted(map(sorted, got.values())) == sorted(want)
 
 
 def test_two_replace_the_smallest():
