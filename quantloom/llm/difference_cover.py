@@ -22,16 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import repeats as R
-from .storage import stored
+from .storage import checkpointed, stored
 
 U64 = np.uint64
 GRAM = 32  # bytes of the strings that lead windows together
+#: Windows that one task sorts at once.
+PART_WINDOWS = 2_000_000
 
 
 def difference_cover(prime: int) -> tuple[int, np.ndarray]:
@@ -68,8 +71,7 @@ def _twice(start: np.ndarray, size: np.ndarray, doc: np.ndarray, flag: np.ndarra
 
 def _samples(length: int, parts: int):
     v, members = cover_for(length)
-    sampled = np.zeros(v, bool)
-    sampled[members] = True
+    before = np.searchsorted(members, np.arange(v))  # members below each place of a period
     width = length - v + 1
 
     @K.lean
@@ -82,10 +84,9 @@ def _samples(length: int, parts: int):
                 part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 size = np.diff(local)
                 n = np.where(size >= length, size - width + 1, 0)
-                pos = K.ranges(np.zeros(b - a, np.int64), n)
-                row = np.repeat(np.arange(b - a), n)
-                pick = sampled[pos % v]
-                pos, row = pos[pick], row[pick]
+                n = n // v * len(members) + before[n % v]
+                turn, member = np.divmod(K.ranges(np.zeros(b - a, np.int64), n), len(members))
+                pos, row = turn * v + members[member], np.repeat(np.arange(b - a), n)
                 at = local[row] + pos
                 found.append((K.range_hashes(K.byte_codes(part), at, at + width), a + row, pos))
             key, row, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -141,7 +142,7 @@ def _pieces(length: int, parts: int):
                 candidate = np.cumsum(step[:-1]) > 0
                 if not candidate.any():
                     continue
-                gram = K.window_hashes(K.byte_codes(data, 1), GRAM, 1)
+                gram = K.sifting_windows(K.byte_codes(data, 1), GRAM, 1)
                 lead = sliding_least(gram, length - GRAM + 1)
                 at = np.flatnonzero(candidate[: len(lead)])
                 new = np.ones(len(at), bool)
@@ -151,14 +152,16 @@ def _pieces(length: int, parts: int):
                 count = np.diff(np.append(begin, len(at)))
                 start = at[begin]
                 row = np.searchsorted(local, start, "right") - 1
-                name = K.range_hashes(K.byte_codes(data), start, start + count + length - 1)
-                found.append((lead[start], name, a + row, start - local[row], count, offsets[a] + start))
-            empty = [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 4
-            lead, name, row, pos, count, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
-            order = np.argsort(name, kind="stable")
-            lead, name, row, pos, count, place = (x[order] for x in (lead, name, row, pos, count, place))
+                found.append((lead[start], a + row, start - local[row], count, offsets[a] + start))
+            empty = [np.zeros(0, U64)] + [np.zeros(0, np.int64)] * 4
+            lead, row, pos, count, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
+            seen = memoryview(whole)
+            names = b"".join(xxhash.xxh3_128_digest(seen[p : p + n + length - 1]) for p, n in zip(place.tolist(), count.tolist(), strict=True))
+            name, other = np.frombuffer(names, U64).reshape(-1, 2).T
+            order = np.lexsort((other, name))
+            lead, name, other, row, pos, count, place = (x[order] for x in (lead, name, other, row, pos, count, place))
             doc, copy = ids[row], copies[row]
-            start, size = R.groups(name)
+            start, size = R.groups(name, other)
             same = _twice(start, size, doc, np.zeros(len(doc), np.uint8))  # equal pieces: all of their windows repeat
             out = R.Entries()
             out.settle(parts, doc[same], copy[same], pos[same], count[same])
@@ -171,27 +174,50 @@ def _pieces(length: int, parts: int):
     return run
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Which of the pairs of places have the same length bytes.
+
+    A pair right behind one that is equal needs a look at its last bytes only."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    behind = np.zeros(len(a), bool)
+    behind[1:] = (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1)
+    good = data[a + length - 1] == data[b + length - 1]
+
+    def whole(at: np.ndarray) -> None:
+        for x in range(0, len(at), 10_000):
+            i = at[x : x + 10_000]
+            step = np.arange(length)
+            good[i] = (data[a[i, None] + step] == data[b[i, None] + step]).all(axis=1)
+
+    whole(np.flatnonzero(~behind))
+    chain = np.cumsum(~behind) - 1
+    first = np.full(len(a) and int(chain[-1]) + 1, len(a))
+    bad = np.flatnonzero(~good)
+    np.minimum.at(first, chain[bad], bad)
+    whole(np.flatnonzero(np.arange(len(a)) > first[chain]))  # behind an unequal pair
+    out = np.zeros(len(a), bool)
+    out[order] = good
+    return out
+
+
 def _compare(length: int, doc_parts: int):
-    """Sorts one part's windows by name, compares neighbours, and gives the runs that repeat."""
+    """Sorts one part's windows by name, compares neighbours byte by byte, and gives the runs that repeat."""
 
     @K.lean
     def run(table: pa.Table) -> pa.Table:
-        unpress = zstandard.ZstdDecompressor()
         kind = table.column("kind").to_numpy()
         done = R.places(table.filter(pa.array(kind == 1)))
         open_ = table.filter(pa.array(kind == 0))
         doc, copy, pos, count = R.places(open_)
-        data = np.frombuffer(b"".join(unpress.decompress(x) for x in open_.column("extra").to_pylist()), np.uint8)
-        n = count.astype(np.int64)
-        first = np.cumsum(n + length - 1) - (n + length - 1)
-        at = K.ranges(first, n)
-        names = [K.range_hashes(K.byte_codes(data, lane), at, at + length, lane) for lane in (0, 1)]
-        order = np.lexsort((names[1], names[0]))
-        equal = (names[0][order][1:] == names[0][order][:-1]) & (names[1][order][1:] == names[1][order][:-1])
+        data, n, at = _opened(open_.column("extra").to_pylist(), count, length)
+        name = K.byte_windows(data, length)[at]
+        order = np.argsort(name, kind="stable")
+        alike = np.flatnonzero(name[order][1:] == name[order][:-1])
+        alike = alike[same_bytes(data, at[order[alike]], at[order[alike + 1]], length)]
         twice = np.zeros(len(at), bool)
-        twice[order[1:][equal]] = True
-        twice[order[:-1][equal]] = True
-        del names, order
+        twice[order[alike]] = twice[order[alike + 1]] = True
+        del name, order
         starts, ends = K.runs(twice)
         edges = np.cumsum(n)  # a run over several pieces is cut where they meet
         cuts = np.unique(np.concatenate([starts, edges[:-1][twice[edges[:-1]]]])) if len(n) else starts
@@ -204,6 +230,60 @@ def _compare(length: int, doc_parts: int):
     return run
 
 
+def _opened(texts: list[bytes], count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the pieces in compressed texts, their numbers of windows, and the windows' places in the bytes."""
+    unpress = zstandard.ZstdDecompressor()
+    data = np.frombuffer(b"".join(map(unpress.decompress, texts)), np.uint8)
+    n = count.astype(np.int64)
+    return data, n, K.ranges(np.cumsum(n + length - 1) - (n + length - 1), n)
+
+
+def _single(length: int, parts: int):
+    """Pieces of large parts to entries of their windows, each going by a name of 124 bits."""
+
+    @K.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(k, 1)])
+                doc, copy, pos, count = R.places(row)
+                data, n, at = _opened(row.column("extra").to_pylist(), count, length)
+                piece = np.repeat(np.arange(len(n)), n)
+                doc, copy, pos = doc[piece], copy[piece], (pos[piece] + K.ranges(np.zeros(len(n), np.int64), n)).astype(np.uint32)
+                name, other = (K.byte_windows(data, length, lane)[at] for lane in (0, 1))
+                order = np.lexsort((other, name))
+                doc, copy, pos, name, other = (x[order] for x in (doc, copy, pos, name, other))
+                start, size = R.groups(name, other)
+                out = R.Entries()
+                same = np.repeat(size > 1, size)
+                out.settle(parts, doc[same], copy[same], pos[same])
+                out.add(parts, 0, (other[start] % U64(parts)).astype(np.int64), name[start], doc[start], copy[start], pos[start], np.ones(len(start)), other[start])
+                yield out.batch()
+
+    return run
+
+
+def _met(start: np.ndarray, size: np.ndarray, doc: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.repeat(size > 1, size)
+
+
+def _repeating(pieces: DataFrame, length: int, doc_parts: int) -> DataFrame:
+    """Places of the windows of pieces that occur twice.
+
+    A part of more than PART_WINDOWS windows, as one common string may lead that many, is not sorted in one place: its
+    windows go on one by one, by their own names, equal ones of a task as one."""
+    pieces = stored(pieces)
+    sizes = pieces.where("kind = 0").groupBy("part").agg(F.sum("size").alias("windows")).where(F.col("windows") > PART_WINDOWS)
+    large, windows = sizes.agg(F.count("*"), F.coalesce(F.sum("windows"), F.lit(0))).first()
+    if not large:
+        return pieces.groupBy("part").applyInArrow(_compare(length, doc_parts), R.PLACE)
+    sizes = checkpointed(sizes.select("part"))
+    few = pieces.where("kind = 1").unionByName(pieces.where("kind = 0").join(sizes, "part", "left_anti"))
+    many = pieces.where("kind = 0").join(sizes, "part", "left_semi").select(pieces.columns)
+    single = many.mapInArrow(_single(length, R.parts_for(windows, 1_000_000)), R.ENTRY)
+    return few.groupBy("part").applyInArrow(_compare(length, doc_parts), R.PLACE).unionByName(R.settled(single, _met, U64, U64, doc_parts))
+
+
 def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, spans (start, end), kept_sha256.
 
@@ -215,7 +295,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = _repeated_rows(rows.select("_doc", "_copy", F.col(text_col)))
     parts, doc_parts = R.parts_for(size, 10_000_000), R.parts_for(size, R.TEXT_PART)
     slim = rows.select("_doc", "_copy", F.col(text_col).cast("string").alias("_text"))
-    near = R.settled(slim.mapInArrow(_samples(length, parts), R.ENTRY), _twice, np.uint32, doc_parts)
+    near = R.settled(slim.mapInArrow(_samples(length, parts), R.ENTRY), _twice, np.uint32, np.uint8, doc_parts)
     results = ", n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -251,7 +331,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     open_ = joined.where("_near IS NOT NULL")
     pieces_parts = R.parts_for(size, 2_000_000)
     again = open_.select("_doc", "_copy", "_z", "_near").mapInArrow(_pieces(length, pieces_parts), R.ENTRY)
-    gone = again.groupBy("part").applyInArrow(_compare(length, doc_parts), R.PLACE)
+    gone = _repeating(again, length, doc_parts)
     finished = open_.select("_part", "_doc", "_copy", "_z").groupBy("_part").cogroup(gone.groupBy("doc_part")).applyInArrow(finish, "_doc long" + results)
     both = joined.where("_near IS NULL").select("_doc", "n_bytes", "spans", "kept_sha256").unionByName(finished)
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0).cast("long"))

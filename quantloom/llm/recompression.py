@@ -10,7 +10,8 @@ than two words, which hold a run, stay as they are in the second round).
 So a window of at least 13 words always holds borders that its own words decide.  Every window
 picks the one whose neighbourhood of eight words has the smallest name - or, inside a long run, its
 seventh word - and only these neighbourhoods, about a quarter of all places, are named globally.
-Windows around a neighbourhood that two documents share are then verified on their own names.
+Windows around a neighbourhood that two documents share are then verified on their own names: trees of mixed
+pairs over the XXH64 of their words, in two lanes with seeds of their own, 128 bits together.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def borders(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     edge[:1] = True
     start = np.flatnonzero(edge)
     size = np.diff(np.append(start, n))
-    names = K.range_hashes(codes, start, start + size)
+    names = K.mix(codes[start] ^ K.mix(codes[start + size - 1] + size.astype(U64)))  # of longer symbols no names are needed
     second = begins[start].copy()
     second[1:] |= ~_merged(names, size <= 2, 1)
     second[:1] = True
@@ -99,8 +100,8 @@ def _in_documents(start: np.ndarray, size: np.ndarray, doc: np.ndarray, flag: np
     return np.repeat(hit, size)
 
 
-def _later(start: np.ndarray, size: np.ndarray, doc: np.ndarray, flag: np.ndarray) -> np.ndarray:
-    """Entries whose key an earlier document has."""
+def _later(start: np.ndarray, size: np.ndarray, doc: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Entries whose name an earlier document has."""
     return doc > np.repeat(np.minimum.reduceat(doc, start), size) if len(start) else np.zeros(0, bool)
 
 
@@ -156,17 +157,17 @@ def _windows(window: int, parts: int):
                     fits[p[(p >= first[row]) & (p <= last[row])]] = True
                 p = np.flatnonzero(fits)
                 row = np.searchsorted(first, p, "right") - 1
-                h = [K.range_hashes(K.word_hashes(data, starts, ends, lane), p, p + window, lane) for lane in (0, 1)]
+                h = [K.window_hashes(K.word_hashes(data, starts, ends, lane), window)[p] for lane in (0, 1)]
                 found.append((*h, a + row, p - first[row]))
             key, other, row, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((other, key))
             key, other, row, pos = key[order], other[order], row[order], pos[order]
             doc, copy = ids[row], copies[row]
-            later = _later(*R.groups(key), doc, copy)
+            later = _later(*R.groups(key, other), doc, other)
             out = R.Entries()
             out.settle(parts, doc[later], copy[later], pos[later])
             send = ~later
-            out.add(parts, 0, (other[send] % U64(parts)).astype(np.int64), key[send], doc[send], copy[send], pos[send], np.ones(send.sum()), np.zeros(send.sum(), np.uint8))
+            out.add(parts, 0, (other[send] % U64(parts)).astype(np.int64), key[send], doc[send], copy[send], pos[send], np.ones(send.sum()), other[send])
             yield out.batch()
 
     return run
@@ -194,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     rows, size = R.numbered(docs, id_col, text_col)
     parts, doc_parts = R.parts_for(size, 7_500_000), R.parts_for(size, R.TEXT_PART)
     slim = rows.select("_doc", "_copy", F.col(text_col).cast("string").alias("_text"))
-    near = R.settled(slim.mapInArrow(_survey(window, parts), R.ENTRY), _in_documents, np.uint32, doc_parts)
+    near = R.settled(slim.mapInArrow(_survey(window, parts), R.ENTRY), _in_documents, np.uint32, np.uint8, doc_parts)
     packed = R.squeezed(rows, text_col, doc_parts, keep)
     rest = packed.columns[4:]
     more = "".join(f", `{c}` {t}" for c, t in packed.dtypes[4:])
@@ -242,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     joined = stored(joined)
     open_ = joined.where("_near IS NOT NULL")
     again = open_.select("_doc", "_copy", "_z", "_near").mapInArrow(_windows(window, parts), R.ENTRY)
-    gone = R.settled(again, _later, np.uint64, doc_parts)
+    gone = R.settled(again, _later, np.uint64, np.uint64, doc_parts)
     finished = open_.select("_part", "_doc", "_copy", "_z", *[f"`{c}`" for c in rest]).groupBy("_part").cogroup(gone.groupBy("doc_part")).applyInArrow(finish, "_doc long" + more + ", _kept binary" + results)
 
     @K.lean

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .kernels import U64, lean, mix
 from .storage import bounded_batches
 
-ENTRY = "part long, kind int, key binary, doc binary, copy binary, pos binary, len binary, extra binary"
+ENTRY = "part long, kind int, key binary, doc binary, copy binary, pos binary, len binary, extra binary, size long"
 PLACE = "doc_part long, doc binary, copy binary, pos binary, len binary"
 #: Bytes of text of which one part of the documents holds about so many.
 TEXT_PART = 8_000_000
@@ -81,10 +81,10 @@ def home(doc: np.ndarray, copy: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Entries:
-    """Collects entry rows of one batch."""
+    """Collects entry rows of one batch; size: the places that a row's entries stand for."""
 
-    names = ("part", "kind", "key", "doc", "copy", "pos", "len", "extra")
-    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+    names = ("part", "kind", "key", "doc", "copy", "pos", "len", "extra", "size")
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.int64())
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -95,7 +95,7 @@ class Entries:
         for p in np.flatnonzero(np.diff(cut)).tolist():
             o = order[cut[p] : cut[p + 1]]
             more = extra(o) if callable(extra) else pack(extra[o])
-            self.rows.append((p, kind, pack(key[o]), pack(doc[o]), pack(copy[o].astype(np.int64)), pack(pos[o].astype(np.uint32)), pack(length[o].astype(np.uint32)), more))
+            self.rows.append((p, kind, pack(key[o]), pack(doc[o]), pack(copy[o].astype(np.int64)), pack(pos[o].astype(np.uint32)), pack(length[o].astype(np.uint32)), more, int(length[o].sum())))
 
     def settle(self, parts: int, doc: np.ndarray, copy: np.ndarray, pos: np.ndarray, length: np.ndarray | None = None) -> None:
         """Places that need no more meeting; they travel through the part of their document."""
@@ -103,7 +103,7 @@ class Entries:
         self.add(parts, 1, home(doc, copy, parts), np.zeros(len(doc), np.uint8), doc, copy, pos, length, np.zeros(len(doc), np.uint8))
 
     def batch(self) -> pa.RecordBatch:
-        columns = zip(*self.rows, strict=True) if self.rows else [()] * 8
+        columns = zip(*self.rows, strict=True) if self.rows else [()] * 9
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, self.kinds, strict=True)], list(self.names))
 
 
@@ -125,28 +125,32 @@ def places(blobs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return get("doc", np.int64), get("copy", np.int64), get("pos", np.uint32), get("len", np.uint32)
 
 
-def settled(entries: DataFrame, rule: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], key_kind: type, doc_parts: int) -> DataFrame:
-    """Places of the entries of which rule(starts of the key groups, group sizes, doc, flag) is true; all in key order."""
+def settled(entries: DataFrame, rule: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], key_kind: type, extra_kind: type, doc_parts: int) -> DataFrame:
+    """Places of the entries of which rule(starts of the key groups, group sizes, doc, extra) is true; all in key order.
+
+    extra is a flag of one byte, or the second half of the key."""
 
     @lean
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         done = places(table.filter(pa.array(kind == 1)))
         open_ = table.filter(pa.array(kind == 0))
-        key, flag = unpack(open_.column("key").to_pylist(), key_kind), unpack(open_.column("extra").to_pylist(), np.uint8)
-        order = np.argsort(key, kind="stable")
+        key, extra = unpack(open_.column("key").to_pylist(), key_kind), unpack(open_.column("extra").to_pylist(), extra_kind)
+        both = extra_kind is not np.uint8
+        order = np.lexsort((extra, key)) if both else np.argsort(key, kind="stable")
         doc, copy, pos, length = (x[order] for x in places(open_))
-        hit = rule(*groups(key[order]), doc, flag[order])
+        hit = rule(*groups(key[order], extra[order] if both else None), doc, extra[order])
         return place_rows(*(np.concatenate([a, b[hit]]) for a, b in zip(done, (doc, copy, pos, length), strict=True)), doc_parts)
 
     return entries.groupBy("part").applyInArrow(run, PLACE)
 
 
-def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the runs of equal keys."""
+def groups(key: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys, or of equal pairs of key and other."""
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    new = key[1:] != key[:-1]
+    start = np.flatnonzero(np.concatenate(([True], new if other is None else new | (other[1:] != other[:-1]))))
     return start, np.diff(np.append(start, len(key)))
 
 

@@ -29,68 +29,6 @@ from .storage import bounded_batches, checkpointed, stored
 U64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: The primes of XXH64, fixed values.
-P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def _turn(x: np.ndarray, n: int) -> np.ndarray:
-    return (x << U64(n)) | (x >> U64(64 - n))
-
-
-def xxh64_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of data[start:end) for many ranges at once."""
-    padded = np.zeros((len(data) // 8 + 3) * 8, np.uint8)
-    padded[: len(data)] = data
-    aligned = padded.view("<u8")
-
-    def load(at: np.ndarray) -> np.ndarray:
-        shift = ((at & 7) << 3).astype(U64)
-        low = aligned[at >> 3] >> shift
-        high = aligned[(at >> 3) + 1] << (U64(63) - shift) << U64(1)
-        return low | high
-
-    seed = U64(seed)
-    length = (ends - starts).astype(np.int64)
-    at = starts.astype(np.int64).copy()
-    with np.errstate(over="ignore"):
-        h = np.full(len(starts), seed + P5, U64)
-        long = np.flatnonzero(length >= 32)
-        if len(long):
-            lanes = [np.full(len(long), s, U64) for s in (seed + P1 + P2, seed + P2, seed, seed - P1)]
-            blocks, step = length[long] >> 5, 0
-            while (live := np.flatnonzero(blocks > step)).size:
-                base = at[long[live]] + 32 * step
-                for k in range(4):
-                    lanes[k][live] = _turn(lanes[k][live] + load(base + 8 * k) * P2, 31) * P1
-                step += 1
-            acc = _turn(lanes[0], 1) + _turn(lanes[1], 7) + _turn(lanes[2], 12) + _turn(lanes[3], 18)
-            for lane in lanes:
-                acc = (acc ^ (_turn(lane * P2, 31) * P1)) * P1 + P4
-            h[long] = acc
-            at[long] += blocks << 5
-        h += length.astype(U64)
-        left = length & 31
-        for step in range(3):
-            live = np.flatnonzero(left >= 8 * (step + 1))
-            if not live.size:
-                break
-            h[live] = _turn(h[live] ^ (_turn(load(at[live]) * P2, 31) * P1), 27) * P1 + P4
-            at[live] += 8
-        live = np.flatnonzero(left & 4)
-        h[live] = _turn(h[live] ^ ((load(at[live]) & U64(0xFFFFFFFF)) * P1), 23) * P2 + P3
-        at[live] += 4
-        for step in range(3):
-            live = np.flatnonzero((left & 3) > step)
-            if not live.size:
-                break
-            h[live] = _turn(h[live] ^ (padded[at[live]].astype(U64) * P5), 11) * P1
-            at[live] += 1
-        h ^= h >> U64(33)
-        h *= P2
-        h ^= h >> U64(29)
-        h *= P3
-        h ^= h >> U64(32)
-    return h
 
 
 def majority_bits(hashes: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -128,7 +66,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     n_shingles = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     head = K.ranges(first[:-1], n_shingles)
     last = head + np.repeat(np.minimum(n_words, width), n_shingles) - 1
-    return xxh64_ranges(joined, at[head], at[last] + size[last]), n_shingles
+    return K.xxh64_ranges(joined, at[head], at[last] + size[last]), n_shingles
 
 
 def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, width: int, n_fps: int = 1) -> np.ndarray:
@@ -341,7 +279,7 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for band in range(BANDS):
         key = np.full(len(full), band + 1, U64)
         for factor in _FACTORS[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
-            key = K.mix(key * P1 + np.minimum.reduceat(hashes * factor, first))
+            key = K.mix(key * K.P1 + np.minimum.reduceat(hashes * factor, first))
         out[full, band] = key
     return out
 
