@@ -2,25 +2,27 @@
 
 One logistic classifier sees the text's content (word buckets, character classes, marks,
 repetition), the other the page's metadata (source, language, length, layout).  Over some rounds
-each labels the unlabelled documents it is surest of for the other.  Each view is then calibrated on
-labelled rows kept out of training, the calibrated log odds are combined, and all documents scored
-in one pass without a shuffle.
+each labels the unlabelled documents it is surest of for the other: every round scores the whole corpus with
+both views, each task keeps its surest rows, and the surest of all come to the driver.  Each view is then
+calibrated on labelled rows kept out of training, the calibrated log odds are combined, and all documents scored.
 
-Fitting works on bounded samples drawn by a hash of the id: at most about ``max_labelled`` labelled and
-``max_pool`` unlabelled documents, whatever the size of the corpus.
+Both views' features are computed once and written as a table; rounds and scores read that.  Bounded are the
+labelled rows (``max_labelled``) and the pseudo-labels of a round (``each``), not what they are chosen from.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import checkpointed, stored
 
 U64 = np.uint64
 BUCKETS = 64
@@ -154,47 +156,60 @@ class Model:
     text: View
     meta: View
     mix: np.ndarray  # weights of the calibrated views' log odds, and a constant
+    exchanged: list[tuple[int, int, float, int]] = field(default_factory=list)  # round, view that learns, label, documents
+
+    def views(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.text.log_odds(content), self.meta.log_odds(metadata)
 
     def scores(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.text.log_odds(content), self.meta.log_odds(metadata)
+        a, b = self.views(content, metadata)
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_metadata: np.ndarray, rounds: int = 3, sure: float = 0.95, each: int = 200) -> Model:
-    """y: 0 or 1.  Every fifth labelled row calibrates and combines; the others train."""
+#: A choice of unlabelled rows: the view that is sure of them, their label, and how many.
+Wish = tuple[int, float, int]
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # names, content, metadata
+
+
+def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, surest: Callable[[Model, list[Wish], list[set[int]]], list[Found]], rounds: int = 3, sure: float = 0.95, each: int = 200) -> Model:
+    """y: 0 or 1.  Every fifth labelled row calibrates and combines; the others train.
+
+    surest(model, wishes, taken) answers each wish with the surest unlabelled rows whose names the learning view has
+    not taken yet; only those at least ``sure`` are learnt."""
     held = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:  # nothing to tell apart: everything scores the share of ones
         share = (y.sum() + 1) / (len(y) + 2)
         flat = lambda x: View(mean=np.zeros(x.shape[1]), scale=np.zeros(x.shape[1]), weights=np.append(np.zeros(x.shape[1]), np.log(share / (1 - share))))
         return Model(flat(content), flat(metadata), np.array([0.5, 0.5, 0.0]))
-    views, pools = (content, metadata), (pool_content, pool_metadata)
+    views, truth = (content, metadata), y[held].astype(float)
     own = [(x[~held], y[~held].astype(float)) for x in views]
-    taken = [np.zeros(len(pool_content), bool), np.zeros(len(pool_content), bool)]
-    models = [View().fit(*d) for d in own]
-    for _ in range(rounds):
-        gains = []
-        for k in (0, 1):
-            models[k].calibrate(views[k][held], y[held].astype(float))  # a view that tells nothing apart is never sure
-            p = _sigmoid(models[k].log_odds(pools[k]))
-            for label, surety in ((1.0, p), (0.0, 1 - p)):
-                rest = np.flatnonzero((surety >= sure) & ~taken[1 - k])
-                best = rest[np.argsort(-surety[rest], kind="stable")[: max(1, round(each * (y.mean() if label else 1 - y.mean())))]]
-                gains.append((1 - k, best, label))
-        if not any(len(best) for _, best, _ in gains):
+    taken: list[set[int]] = [set(), set()]
+    model = Model(*(View().fit(*d) for d in own), np.array([0.5, 0.5, 0.0]))
+    wishes = [(k, label, max(1, round(each * (y.mean() if label else 1 - y.mean())))) for k in (0, 1) for label in (1.0, 0.0)]
+    for turn in range(rounds):
+        for view, x in zip((model.text, model.meta), views, strict=True):
+            view.calibrate(x[held], truth)  # a view that tells nothing apart is never sure
+        for (k, label, _), (names, *rows) in zip(wishes, surest(model, wishes, taken), strict=True):
+            odds = (model.text, model.meta)[k].log_odds(rows[k]) if len(names) else np.zeros(0)
+            good = _sigmoid(odds if label else -odds) >= sure
+            if good.any():
+                learner = 1 - k
+                own[learner] = (np.vstack([own[learner][0], rows[learner][good]]), np.append(own[learner][1], np.full(good.sum(), label)))
+                taken[learner] |= set(names[good].tolist())
+                model.exchanged.append((turn, learner, label, int(good.sum())))
+        if not any(t == turn for t, *_ in model.exchanged):
             break
-        for k, best, label in gains:
-            taken[k][best] = True
-            own[k] = (np.vstack([own[k][0], pools[k][best]]), np.append(own[k][1], np.full(len(best), label)))
-        models = [View().fit(*d) for d in own]
-    for model, x in zip(models, views, strict=True):
-        model.calibrate(x[held], y[held].astype(float))
-    odds = np.stack([m.log_odds(x[held]) for m, x in zip(models, views, strict=True)] + [np.ones(held.sum())], 1)
-    mix = _logistic(np.clip(odds, -10, 10), y[held].astype(float), 0.1)
+        model.text, model.meta = (View().fit(*d) for d in own)
+    for view, x in zip((model.text, model.meta), views, strict=True):
+        view.calibrate(x[held], truth)
+    odds = np.stack([*model.views(content[held], metadata[held]), np.ones(held.sum())], 1)
+    mix = _logistic(np.clip(odds, -10, 10), truth, 0.1)
     for k in (0, 1):  # a view can't vote against itself: without it, the other alone
         if mix[k] < 0:
             odds[:, k] = 0
-            mix = _logistic(np.clip(odds, -10, 10), y[held].astype(float), 0.1)
-    return Model(*models, mix)
+            mix = _logistic(np.clip(odds, -10, 10), truth, 0.1)
+    model.mix = mix
+    return model
 
 
 def _views(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,57 +222,103 @@ def _views(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
         content.append(content_features(part, local))
         newlines = np.searchsorted(np.flatnonzero(part == 0x0A), local)
         metadata.append(metadata_features(source[a:b], lang[a:b], np.diff(local), np.diff(newlines) + 1))
-    width = BUCKETS + N_CLASSES + N_STATS, META_SOURCES + META_LANGS + 12
-    return tuple(np.vstack(x) if x else np.zeros((0, w), np.float32) for x, w in zip((content, metadata), width, strict=True))
+    return tuple(np.vstack(x) if x else np.zeros((0, w), np.float32) for x, w in zip((content, metadata), (CONTENT, METADATA), strict=True))
 
 
-def _columns(docs: DataFrame, *first: str) -> DataFrame:
-    have = set(docs.columns)
-    return docs.select(*first, F.col("text").cast("string").alias("text"), *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in ("source", "lang")])
+CONTENT, METADATA = BUCKETS + N_CLASSES + N_STATS, META_SOURCES + META_LANGS + 12
 
 
-def _sampled(docs: DataFrame, first: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of a bounded sample, and its first column."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, name, content, metadata): both views of every row, as bytes of 32-bit numbers; name: their hash.
+
+    A null text counts as empty and has no content features; missing or null source and language count as
+    empty; a null id stays null; repeated rows come back repeated; a text of any length is read whole; an empty
+    table gives no rows; other columns are ignored."""
 
     @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, metadata = _views(batch, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in metadata], pa.binary())], ["label", "rank", "content", "metadata"])
+            content, metadata = ([x.tobytes() for x in view] for view in _views(batch, 1))
+            names = [xxhash.xxh64_intdigest(a + b) - 2**63 for a, b in zip(content, metadata, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(content, pa.binary()), pa.array(metadata, pa.binary())], ["doc_id", "name", "content", "metadata"])
+
+    have = set(docs.columns)
+    typed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in ("source", "lang")])
+    return typed.mapInArrow(run, "doc_id long, name long, content binary, metadata binary")
+
 
-    out = _columns(docs, *first).mapInArrow(run, "label int, rank long, content binary, metadata binary").toArrow().sort_by("rank")
-    read = lambda c, w: np.frombuffer(b"".join(out.column(c).to_pylist()), np.float32).reshape(-1, w).astype(float)
-    return read("content", BUCKETS + N_CLASSES + N_STATS), read("metadata", META_SOURCES + META_LANGS + 12), out.column("label").to_numpy()
+def _read(batch: pa.RecordBatch | pa.Table, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The views in the columns from at on."""
+    return tuple(np.frombuffer(b"".join(batch.column(at + i).to_pylist()), np.float32).reshape(-1, w).astype(float) for i, w in enumerate((CONTENT, METADATA)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 6000, label_col: str = "quality", **options) -> Model:
-    """A model from samples of about max_labelled labelled and max_pool other documents, the same in every run."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    rank = F.xxhash64(F.col("doc_id").cast("long"))
-    span = 2.0**64
+def surest_rows(rows: DataFrame, model: Model, wishes: list[Wish], taken: list[set[int]]) -> list[Found]:
+    """For each wish the surest of all distinct rows of features that its learner has not taken; of equally sure ones the least names.
 
-    def below(share: float):
-        return rank < F.lit(min(2**63 - 1, round(-(2**63) + span * min(1.0, share))))
+    Every task keeps the surest n of its rows, so what leaves it is bounded by the wishes alone."""
 
-    n_labelled, n_docs = usable.count(), docs.count()
-    chosen = usable.where(below(max_labelled / max(n_labelled, 1))).withColumn("_rank", rank)
-    content, metadata, y = _sampled(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), ["label", "_rank"])
-    pool = docs.where(below(max_pool / max(n_docs, 1))).withColumn("_rank", rank).withColumn("label", F.lit(0)).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
-    pool_content, pool_metadata, _ = _sampled(pool, ["label", "_rank"])
-    return co_train(content, metadata, y, pool_content, pool_metadata, **options)
+    def best(names: np.ndarray, surety: np.ndarray, n: int) -> np.ndarray:
+        order = np.lexsort((names, -surety))
+        _, first = np.unique(names[order], return_index=True)  # equal rows are one
+        return order[np.sort(first)[:n]]
+
+    @K.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table | None] = [None] * len(wishes)
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            odds = model.views(*_read(batch, 1))
+            for i, (k, label, n) in enumerate(wishes):
+                surety = np.round(_sigmoid(odds[k] if label else -odds[k]), 9)
+                old = np.flatnonzero(np.isin(names, list(taken[1 - k]), invert=True))
+                pick = old[best(names[old], surety[old], n)]
+                new = pa.Table.from_batches([batch]).take(pick).append_column("surety", pa.array(surety[pick]))
+                both = new if held[i] is None else pa.concat_tables([held[i], new])
+                held[i] = both.take(best(both.column("name").to_numpy(), both.column("surety").to_numpy(), n))
+        for i, table in enumerate(held):
+            if table is not None:
+                yield from table.append_column("wish", pa.array(np.full(table.num_rows, i, np.int32))).combine_chunks().to_batches()
+
+    kept = checkpointed(rows.select("name", "content", "metadata").mapInArrow(run, "name long, content binary, metadata binary, surety double, wish int"))
+    out = []
+    for i, (_, _, n) in enumerate(wishes):
+        one = kept.where(F.col("wish") == i).groupBy("name").agg(F.max("surety").alias("surety"), F.first("content").alias("content"), F.first("metadata").alias("metadata"))
+        table = one.orderBy(F.desc("surety"), "name").limit(n).toArrow()
+        out.append((table.column("name").to_numpy(), *_read(table, 2)))
+    return out
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text_score, meta_score, score, kept) for every row; kept: score is one half or more.
+def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = 6000, label_col: str = "quality", label_id: str = "doc_id", **options) -> Model:
+    """A model from rows of features and a table of labels; the same in every run.
 
-    A null or empty text has no content features; missing metadata counts as empty; repeated rows come
-    back repeated; an empty table gives an empty result; other columns are ignored."""
+    Training takes at most ``max_labelled`` labelled documents, those of the least hashed ids; pseudo-labels come
+    from all other rows.  Labels other than 0 and 1 and null ids are left out; of an id's contradicting labels 1
+    wins; of rows with one id that of the least features is taken; labels without a document are ignored.  Without two different
+    labels everything scores the share of ones."""
+    label = F.col(f"`{label_col}`").cast("int")
+    ids = F.col(f"`{label_id}`").cast("long")
+    usable = labels.select(ids.alias("doc_id"), label.alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = checkpointed(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # at most max_labelled rows of two numbers are broadcast
+    met = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("content", "metadata")).alias("x"))
+    table = met.select("label", "x.content", "x.metadata").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    content, metadata = _read(table, 1)
+    rest = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    return co_train(content, metadata, table.column("label").to_numpy(), lambda *w: surest_rows(rest, *w), **options)
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text_score, meta_score, score, kept) for every row of features; kept: score is one half or more."""
 
     @K.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, meta, both = model.scores(*_views(batch, 1))
+            text, meta, both = model.scores(*_read(batch, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(meta), pa.array(both), pa.array(both >= 0.5)], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    rows = _columns(docs.withColumn("doc_id", F.col(id_col).cast("long")), "doc_id")
-    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return rows.select("doc_id", "content", "metadata").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+
+
+def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Scores of all documents by a model fitted on those that have labels; see features, fit and score."""
+    rows = stored(features(docs))
+    return score(rows, fit(rows, labels, **options))

@@ -60,8 +60,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    return cotraining.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,13 +244,66 @@ def test_rules_agree_with_labels(spark):
 def test_classifier_on_unseen_labels(spark):
     docs, labels = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
-    found = cotraining.score(docs, cotraining.fit(docs, train)).join(test, "doc_id")
+    rows = cotraining.features(docs).cache()
+    model = cotraining.fit(rows, train)
+    found = cotraining.score(rows, model).join(test, "doc_id")
     right = found.where("kept = (quality = 1)").count()
     assert right >= 0.95 * found.count()
-    odd_scores = cotraining.score(odd(spark), cotraining.fit(docs, train)).collect()
+    assert {learner for _, learner, _, n in model.exchanged if n} == {0, 1} or all(n for *_, n in model.exchanged)
+    clash = odd(spark).withColumns({c: F.lit(1) for c in ("label", "_rank", "name", "content", "metadata", "quality")})
+    odd_scores = cotraining.score(cotraining.features(clash), model).collect()
     assert len(odd_scores) == 10 and all(0 <= r.score <= 1 for r in odd_scores)
-    none = cotraining.fit(odd(spark), labels.limit(0))
-    assert {r.score for r in cotraining.score(odd(spark), none).collect()} == {0.5}
+    none = cotraining.fit(cotraining.features(odd(spark)), labels.limit(0))
+    assert {r.score for r in cotraining.score(cotraining.features(odd(spark)), none).collect()} == {0.5}
+    assert cotraining.classified(odd(spark).limit(0), labels.limit(0)).count() == 0
+    mixed = spark.createDataFrame([(1, 0), (1, 1), (2, 7), (None, 1), (77, 0)], "doc_id long, quality int")
+    assert cotraining.classified(odd(spark), mixed).count() == 10
+
+
+def two_views(n, seed):
+    """Labels, and views that each tell them with noise of their own."""
+    x = np.random.default_rng(seed)
+    y = (np.arange(n) % 2).astype(float)
+    content, metadata = (x.normal(size=(n, w)).astype(np.float32) for w in (cotraining.CONTENT, cotraining.METADATA))
+    content[:, :12] += 2.2 * (2 * y - 1)[:, None] / 12**0.5
+    metadata[:, :12] += 2.2 * (2 * y - 1)[:, None] / 12**0.5
+    return content, metadata, y
+
+
+def test_surest_rows_by_force(spark):
+    content, metadata, _ = two_views(300, 1)
+    names = np.arange(300) % 270  # some rows twice
+    content[270:], metadata[270:] = content[:30], metadata[:30]
+    rows = spark.createDataFrame([(int(n), bytearray(c.tobytes()), bytearray(m.tobytes())) for n, c, m in zip(names, content, metadata, strict=True)], "name long, content binary, metadata binary").repartition(7)
+    c, m, y = two_views(60, 2)
+    model = cotraining.Model(cotraining.View().fit(c, y), cotraining.View().fit(m, y), np.zeros(3))
+    wishes, taken = [(0, 1.0, 9), (0, 0.0, 4), (1, 1.0, 3), (1, 0.0, 300)], [{1, 2, 3}, set(range(0, 300, 2))]
+    for (k, label, n), found in zip(wishes, cotraining.surest_rows(rows, model, wishes, taken), strict=True):
+        odds = model.views(content.astype(float), metadata.astype(float))[k]
+        surety = np.round(cotraining._sigmoid(odds if label else -odds), 9)
+        want = sorted({(-s, i) for s, i in zip(surety.tolist(), names.tolist(), strict=True) if i not in taken[1 - k]})[:n]
+        assert found[0].tolist() == [i for _, i in want] and found[1].shape[0] == found[2].shape[0] == len(want)
+
+
+def test_pseudo_labels_cross_between_views_and_help():
+    content, metadata, y = two_views(4000, 3)
+    few = np.arange(100)
+
+    def surest(model, wishes, taken):
+        out = []
+        for k, label, n in wishes:
+            odds = model.views(content, metadata)[k]
+            free = [i for i in range(100, 2000) if i not in taken[1 - k]]
+            best = np.array(sorted(free, key=lambda i: -odds[i] if label else odds[i])[:n])
+            out.append((best, content[best], metadata[best]))
+        return out
+
+    right = {}
+    for rounds in (0, 4):
+        model = cotraining.co_train(content[few], metadata[few], y[few], surest, rounds=rounds, sure=0.9)
+        right[rounds] = [np.mean((odds[2000:] > 0) == (y[2000:] == 1)) for odds in model.views(content, metadata)]
+    assert {(learner, label) for _, learner, label, _ in model.exchanged} == {(0, 0.0), (0, 1.0), (1, 0.0), (1, 1.0)}
+    assert min(right[4]) > max(right[0]) + 0.01
 
 
 # 8
@@ -261,7 +314,7 @@ def test_xxh64():
     texts = [bytes(x.randrange(256) for _ in range(n)) for n in range(100)]
     ends = np.cumsum([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    got = simhash.xxh64_ranges(data, np.append(0, ends[:-1]), ends)
+    got = K.xxh64_ranges(data, np.append(0, ends[:-1]), ends)
     assert got.tolist() == [xxhash.xxh64_intdigest(t, seed=42) for t in texts]
 
 
@@ -363,6 +416,10 @@ def test_repeated_bytes(spark, length):
     blocks = ["".join(x.choice("abé ") for _ in range(x.randrange(length // 2, 2 * length))) for _ in range(10)] + ["z" * 3 * length]
     rows = [(i, "".join(str(x.random())[: x.randrange(5)] + x.choice(blocks)[x.randrange(3) :] for _ in range(x.randrange(4)))) for i in range(80)]
     rows += [(80, None), (81, ""), (82, rows[5][1]), (82, rows[5][1]), (83, "q" * (length - 1)), (84, "q" * length)]
+    assert_repeats(spark, rows, length)
+
+
+def assert_repeats(spark, rows, length):
     seen = Counter(t.encode()[k : k + length] for _, t in rows if t for k in range(len(t.encode()) - length + 1))
     want = []
     for i, t in rows:
@@ -379,6 +436,51 @@ def test_repeated_bytes(spark, length):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, [tuple(s) for s in r.spans], r.kept_sha256) for r in got.collect()) == sorted(want)
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    """Documents alike but for a Thue-Morse string and its complement, as a word and as bytes."""
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"h{k}" for k in range(12))
+    found = recompression.remove_repeats(docs_of(spark, [(1, f"{head} {one}", "s"), (2, f"{head} {two}", "s"), (3, f"x {head} {one}", "s")])).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 0, 3: 13}
+    for n in (128, 256):
+        rows = [(1, thue_morse(n)[:200], "s"), (2, thue_morse(n)[:200].translate(str.maketrans("ab", "ba")), "s")]
+        assert {r.n_removed for r in difference_cover.repeated_bytes(docs_of(spark, rows), min(n, 200)).collect()} == {0}
+
+
+def test_window_hashes_by_force():
+    x = np.random.default_rng(4)
+    data = x.integers(97, 99, 3000).astype(np.uint8)
+    for width in (1, 2, 7, 8, 13, 100, 200):
+        windows = [data[i : i + width].tobytes() for i in range(len(data) - width + 1)]
+        for names in (K.byte_windows(data, width), K.byte_windows(data, width, 1), K.window_hashes(K.byte_codes(data), width)):
+            assert len(set(zip(names.tolist(), windows, strict=True))) == len(set(windows)) == len(set(names.tolist()))
+        assert len(K.byte_windows(data[: width - 1], width)) == len(K.window_hashes(K.byte_codes(data[: width - 1]), width)) == 0
+
+
+def test_same_bytes_by_force():
+    x = random.Random(6)
+    data = np.array([x.choice(b"ab") for _ in range(400)] * 2, np.uint8)
+    a = np.array([x.randrange(380) for _ in range(3000)])
+    b = np.where(np.arange(3000) % 3 > 0, a + 400, np.roll(a, 1))
+    got = difference_cover.same_bytes(data, a, b, 20)
+    assert got.tolist() == [bytes(data[i : i + 20]) == bytes(data[j : j + 20]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_large_parts_go_by_their_windows(spark, monkeypatch):
+    """One common string in many documents, between texts of their own and shared ones."""
+    monkeypatch.setattr(difference_cover, "PART_WINDOWS", 300)
+    x = random.Random(8)
+    word = lambda n: "".join(x.choice("abcdefgh ") for _ in range(n))
+    common, shared = word(150), [word(60) for _ in range(5)]
+    rows = [(i, word(50) + x.choice(shared) + common + x.choice(shared) + word(x.randrange(99))) for i in range(60)]
+    assert_repeats(spark, rows, 200)
+
+
 def test_repeated_bytes_odd_rows(spark):
     found = difference_cover.repeated_bytes(odd(spark)).collect()
     assert len(found) == 10 and {r.n_removed for r in found if r.doc_id == 5} == {150_000}
