@@ -87,7 +87,8 @@ def _tokenizer(path: str):
 
 
 def as_parts(conversations: DataFrame, text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, parts) of a table whose turns are plain texts."""
+    """(conv_id, turn, role, parts) of a table whose turns are plain texts, a row for each row; a null text is a part of null text,
+    which counts as empty; nulls in other columns stay; an empty table gives an empty result; other columns are ignored."""
     part = F.struct(F.lit("text").alias("kind"), F.col(text_col).cast("string").alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))])
     return conversations.select("conv_id", "turn", "role", F.array(part).cast(PARTS).alias("parts"))
 
@@ -128,21 +129,27 @@ def format_turns(turns: DataFrame, tokenizer_path: str | None = None) -> DataFra
 _PIECE = re.compile(r"(?s)(?:\[INST\])?<\|(.*?)\|>(.*)(?:</s>|\[/INST\])\Z")
 
 
-def read_piece(piece: str) -> tuple[str, str]:
-    """Role and text of a formatted turn; placeholders stay as they are."""
+def read_piece(piece: str | None) -> tuple[str, str]:
+    """Role and text of a formatted turn; placeholders stay as they are.  A null piece has an empty role and text."""
+    if piece is None:
+        return "", ""
     role, content = _PIECE.fullmatch(piece).groups()
     return unescape(role), unescape(content)
 
 
 def read_turns(pieces: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, loss_text, chars), read back from the formatted pieces alone."""
+    """(conv_id, turn, role, text, loss_text, chars), read back from the formatted pieces alone.
+
+    A null piece reads as an empty role and text of no characters, a null end of the loss span as no loss; repeated rows come back
+    repeated; an empty table gives an empty result; other columns are ignored.  What format_turns makes of null roles and texts
+    reads as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             role, text = zip(*map(read_piece, texts), strict=True) if texts else ((), ())
-            loss = [unescape(t[a:b]) for t, a, b in zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(loss, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["conv_id", "turn", "role", "text", "loss_text", "chars"])
+            loss = ["" if None in (t, a, b) else unescape(t[a:b]) for t, a, b in zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(loss, pa.string()), pa.array([len(t or "") for t in texts], pa.int64())], ["conv_id", "turn", "role", "text", "loss_text", "chars"])
 
     return pieces.select("conv_id", "turn", "piece", "loss_start", "loss_end").mapInArrow(run, "conv_id long, turn long, role string, text string, loss_text string, chars long")
 
@@ -151,7 +158,9 @@ def digests(turns: DataFrame) -> DataFrame:
     """Digests of each conversation's turns, in order of turn, role and text.
 
     A task reads its conversations in sorted order and keeps only running hashes, so that a
-    conversation of any length takes no memory."""
+    conversation of any length takes no memory.  A null id is a conversation of its own, a null role or text counts as
+    empty; turns of equal number follow each other by role and text, repeated rows count each; an empty table
+    gives an empty result; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
@@ -163,6 +172,7 @@ def digests(turns: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for conv, role, text, loss, size in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                role, text, loss, size = role or "", text or "", loss or "", size or 0
                 if n and conv != now:
                     out.append(row())
                     n = 0

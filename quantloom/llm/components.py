@@ -14,6 +14,8 @@ from .kernels import lean
 from .storage import checkpointed
 
 EDGES_A_TASK = 500_000
+#: A key is hot if it has more than one in so many of all rows.
+HOT_SHARE = 1000
 
 
 def join_forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,11 +38,25 @@ def join_forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
     return (np.concatenate(kept_a), np.concatenate(kept_b)) if kept_a else (none, none)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, *values: str) -> DataFrame:
+    """rows with the values of table at their key, which is unique there; nulls where it has none.
+
+    Keys of more than one row in HOT_SHARE are looked up by broadcast - there can't be more than HOT_SHARE of them -
+    and all others by a join, in which no key has a large share.  rows are read three times: give a written table."""
+    n = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_SHARE > n).select(key)
+    few = table.join(F.broadcast(hot), key, "left_semi").select(key, *values, F.lit(True).alias("_hot"))
+    met = rows.join(F.broadcast(few), key, "left")
+    rest = met.where("_hot IS NULL").drop(*values, "_hot").join(table.select(key, *values), key, "left")
+    return met.where("_hot").drop("_hot").unionByName(rest)
+
+
 def thinned(edges: DataFrame) -> DataFrame:
-    """(a, b): fewer of the edges (a, b), with the same components.
+    """(a, b): fewer of the edges (a, b), with the same components and few at each node.
 
-    Each task keeps a forest of its edges, so that a dense group of g nodes comes down to g - 1 edges
-    for each EDGES_A_TASK edges instead of one for each pair that was found."""
+    Each task finds the components of its edges, and ties each one's nodes into a binary tree, the smallest on top: a
+    dense group of g nodes comes down to g - 1 edges for each EDGES_A_TASK edges, and a node has three at most
+    in each task, however many it had."""
     edges = checkpointed(edges.select("a", "b").where("a <> b").distinct())
 
     @lean
@@ -48,13 +64,18 @@ def thinned(edges: DataFrame) -> DataFrame:
         table = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
         a, b = (table.column(c).to_numpy() for c in ("a", "b"))
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        kept = join_forest(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[x]) for x in kept], ["a", "b"])
+        top = np.arange(len(nodes))
+        join_forest(top, at[: len(a)], at[len(a) :])
+        order = np.argsort(top, kind="stable")
+        head = np.flatnonzero(np.concatenate(([True], np.diff(top[order]) > 0))) if len(nodes) else np.zeros(0, np.int64)
+        first = np.repeat(head, np.diff(np.append(head, len(nodes))))
+        place = np.arange(len(nodes)) - first
+        low = np.flatnonzero(place > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[order[first[low] + (place[low] - 1) // 2]]), pa.array(nodes[order[low]])], ["a", "b"])
 
     return edges.coalesce(max(1, math.ceil(edges.count() / EDGES_A_TASK))).mapInArrow(forest, "a long, b long")
 
 
-
 def connected_components(spark: SparkSession, edges: DataFrame, node: str) -> DataFrame:
     """(node, component): component is the smallest node reachable over edges (a, b).
 
@@ -69,9 +90,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, node: str) -> Da
         near = both.join(labels, "u").groupBy("v").agg(F.min("l").alias("m")).withColumnRenamed("v", "u")
         seen = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
         hooked = seen.where("m < l").groupBy(F.col("l").alias("u")).agg(F.min("m").alias("h"))
-        moved = seen.join(hooked, "u", "left").select("u", "l", F.least("m", F.coalesce("h", "m")).alias("m"))
+        moved = checkpointed(seen.join(hooked, "u", "left").select("u", "l", F.least("m", F.coalesce("h", "m")).alias("m")))
         up = moved.select(F.col("u").alias("m"), F.col("m").alias("top"))
-        step = checkpointed(moved.join(up, "m").select("u", "l", F.least("m", "top").alias("n")))
+        step = checkpointed(looked_up(moved, up, "m", "top").select("u", "l", F.least("m", "top").alias("n")))
         changed = step.where("n < l").limit(1).count()
         labels = step.select("u", F.col("n").alias("l"))
         if not changed:

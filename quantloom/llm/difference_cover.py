@@ -292,10 +292,9 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     the input.  Null text is empty; repeated rows repeat each other's strings and come back repeated;
     an empty table gives an empty result; other columns are ignored."""
     rows, size = R.numbered(docs, id_col, text_col)
-    rows = _repeated_rows(rows.select("_doc", "_copy", F.col(text_col)))
+    rows = _repeated_rows(rows.select("_doc", "_copy", "_text"))
     parts, doc_parts = R.parts_for(size, 10_000_000), R.parts_for(size, R.TEXT_PART)
-    slim = rows.select("_doc", "_copy", F.col(text_col).cast("string").alias("_text"))
-    near = R.settled(slim.mapInArrow(_samples(length, parts), R.ENTRY), _twice, np.uint32, np.uint8, doc_parts)
+    near = R.settled(rows.mapInArrow(_samples(length, parts), R.ENTRY), _twice, np.uint32, np.uint8, doc_parts)
     results = ", n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -325,7 +324,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             made.append((len(text), [{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in K.runs(gone)), strict=True)], hashlib.sha256(kept).hexdigest()))
         return table(left.column("_doc"), made, {})
 
-    packed = R.squeezed(rows, text_col, doc_parts, False)
+    packed = R.squeezed(rows, doc_parts)
     joined = packed.groupBy("_part").cogroup(near.groupBy("doc_part")).applyInArrow(split, "_part long, _doc long, _copy long, _z binary, _near binary" + results)
     joined = stored(joined)
     open_ = joined.where("_near IS NOT NULL")

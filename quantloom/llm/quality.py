@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import lean
-from .storage import bounded_batches
 
 _SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
@@ -122,12 +121,14 @@ def judge_documents(docs: DataFrame, rules: LineRules = LineRules(), id_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(batch.column(1).to_pylist(), rules)], ["doc_id", *_NAMES])
 
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, {_SCHEMA}")
 
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The rows of docs that are kept, with their failing lines removed from text; other columns stay."""
+    """The rows of docs that are kept, with their failing lines removed from text; other columns stay.
+
+    Null, empty and wordless texts are not kept; null ids and clashing names don't matter; repeated rows are judged each
+    for itself, with one verdict; a text of any length is judged whole; an empty table gives an empty result."""
     at, names = docs.columns.index("text"), docs.columns
 
     @lean
@@ -137,5 +138,4 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
             columns = [cleaned if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names).filter(kept)
 
-    bounded_batches(docs.sparkSession)
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, cotraining, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter
+from .storage import bounded_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder.  The queries' session, which is theirs, passes rows of whole texts to Python in small batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -182,23 +182,27 @@ def _kept(text: bytes, starts: np.ndarray, gone: np.ndarray) -> bytes:
     return np.frombuffer(text, np.uint8)[np.cumsum(step[:-1]) == 0].tobytes()
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, report: str = "repeats") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space).
 
     Words covered by a window of words that also starts in a document with a smaller id are removed;
-    windows are judged on the input.  With keep, the columns of docs come first, and their text lacks the removed
-    words.  Null text has no words; a null id counts as the largest; rows of one id are not earlier
-    than each other, whatever their texts; repeated rows come back repeated; an empty table gives an
-    empty result; other columns don't matter (names beginning with "_" apart)."""
+    windows are judged on the input.  With keep, the columns of docs come first, whatever their names, their text
+    without the removed words, and then one struct of the three numbers by the name of ``report``.  Null text has no
+    words and stays null; a null id counts as the largest; rows of one id are not earlier
+    than each other, whatever their texts; repeated rows come back repeated; a text of any length is read whole; an
+    empty table gives an empty result; other columns don't matter."""
     if window < 13:
         raise ValueError("two rounds of recompression decide borders in windows of 13 words or more")
+    if keep and report.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the columns already have a {report}: name the report otherwise")
     rows, size = R.numbered(docs, id_col, text_col)
+    if keep:  # the text travels once, compressed
+        rows = rows.withColumn("_row", F.col("_row").withField(f"`{text_col}`", F.lit(None).cast("string")))
     parts, doc_parts = R.parts_for(size, 7_500_000), R.parts_for(size, R.TEXT_PART)
-    slim = rows.select("_doc", "_copy", F.col(text_col).cast("string").alias("_text"))
-    near = R.settled(slim.mapInArrow(_survey(window, parts), R.ENTRY), _in_documents, np.uint32, np.uint8, doc_parts)
-    packed = R.squeezed(rows, text_col, doc_parts, keep)
-    rest = packed.columns[4:]
-    more = "".join(f", `{c}` {t}" for c, t in packed.dtypes[4:])
+    near = R.settled(rows.select("_doc", "_copy", "_text").mapInArrow(_survey(window, parts), R.ENTRY), _in_documents, np.uint32, np.uint8, doc_parts)
+    rest = ["_row"] if keep else []
+    packed = R.squeezed(rows, doc_parts, *rest)
+    more = "".join(f", {c} {t}" for c, t in packed.dtypes[4:])
     results = ", n_words long, n_removed long, kept_sha256 string"
 
     @K.lean
@@ -244,7 +248,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     open_ = joined.where("_near IS NOT NULL")
     again = open_.select("_doc", "_copy", "_z", "_near").mapInArrow(_windows(window, parts), R.ENTRY)
     gone = R.settled(again, _later, np.uint64, np.uint64, doc_parts)
-    finished = open_.select("_part", "_doc", "_copy", "_z", *[f"`{c}`" for c in rest]).groupBy("_part").cogroup(gone.groupBy("doc_part")).applyInArrow(finish, "_doc long" + more + ", _kept binary" + results)
+    finished = open_.select("_part", "_doc", "_copy", "_z", *rest).groupBy("_part").cogroup(gone.groupBy("doc_part")).applyInArrow(finish, "_doc long" + more + ", _kept binary" + results)
 
     @K.lean
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +257,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             kept = pa.array([None if r is None else t for r, t in zip(z.to_pylist(), R.texts(z), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:-3], kept, *batch.columns[-3:]], ["_doc", *rest, "_kept", "n_words", "n_removed", "kept_sha256"])
 
-    done = joined.where("_near IS NULL").select("_doc", "_z", *[f"`{c}`" for c in rest], "n_words", "n_removed", "kept_sha256").mapInArrow(plain, "_doc long" + more + ", _kept binary" + results)
+    done = joined.where("_near IS NULL").select("_doc", "_z", *rest, "n_words", "n_removed", "kept_sha256").mapInArrow(plain, "_doc long" + more + ", _kept binary" + results)
     both = done.unionByName(finished)
     made = ["n_words", "n_removed", "kept_sha256"]
     if keep:
-        return both.select(*[F.decode("_kept", "utf-8").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *made)
+        columns = [F.decode("_kept", "utf-8").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
+        return both.select(*columns, F.struct(*made).alias(report))
     return both.select(F.when(F.col("_doc") != R.NULL_ID, F.col("_doc")).alias("doc_id"), *made)

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, lean, mix
-from .storage import bounded_batches
 
 ENTRY = "part long, kind int, key binary, doc binary, copy binary, pos binary, len binary, extra binary, size long"
 PLACE = "doc_part long, doc binary, copy binary, pos binary, len binary"
@@ -155,13 +154,13 @@ def groups(key: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """docs with the columns _doc and _copy, and the bytes of all texts.
+    """(_doc, _copy, _text, _row) of docs, and the bytes of all texts.
 
     _doc: the id, a null one as the largest number.  _copy tells different texts of one id apart: 0, or a hash of
-    the text where some id has several."""
-    bounded_batches(docs.sparkSession)
-    out = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_copy", F.lit(0).cast("long"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    the text where some id has several.  _row: all columns as one struct, so that their names don't matter."""
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    out = docs.select(ident.alias("_doc"), F.lit(0).cast("long").alias("_copy"), F.col(f"`{text_col}`").cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    text = F.coalesce("_text", F.lit(""))
     ids = out.select("_doc", F.xxhash64(text).alias("h"), F.octet_length(text).alias("n")).groupBy("_doc").agg(F.sum("n").alias("n"), (F.min("h") != F.max("h")).alias("differ"))
     size, differ = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("differ"), F.lit(False))).first()
     if differ:
@@ -169,11 +168,9 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     return out, size
 
 
-def squeezed(rows: DataFrame, text_col: str, doc_parts: int, keep: bool) -> DataFrame:
-    """(_part, _doc, _copy, _z, other columns if keep): texts compressed for the shuffle."""
-    rest = [c for c in rows.columns if c not in (text_col, "_doc", "_copy")] if keep else []
-    typed = rows.select("_doc", "_copy", F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`") for c in rest])
-    schema = "_part long, _doc long, _copy long, _z binary" + "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in rest)
+def squeezed(rows: DataFrame, doc_parts: int, *more: str) -> DataFrame:
+    """(_part, _doc, _copy, _z, more columns) of rows (_doc, _copy, _text): texts compressed for the shuffle."""
+    schema = "_part long, _doc long, _copy long, _z binary" + "".join(f", {c} {dict(rows.dtypes)[c]}" for c in more)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +178,9 @@ def squeezed(rows: DataFrame, text_col: str, doc_parts: int, keep: bool) -> Data
         for batch in batches:
             part = home(batch.column(0).to_numpy(), batch.column(1).to_numpy(), doc_parts)
             z = pa.array([None if t is None else press.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(1), z, *batch.columns[3:]], ["_part", "_doc", "_copy", "_z", *rest])
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(1), z, *batch.columns[3:]], ["_part", "_doc", "_copy", "_z", *more])
 
-    return typed.mapInArrow(run, schema)
+    return rows.select("_doc", "_copy", "_text", *more).mapInArrow(run, schema)
 
 
 _unpress = zstandard.ZstdDecompressor()

@@ -16,15 +16,16 @@ Inside one key only the edges that connect its fingerprints leave the task, neve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import connected_components, join_forest
-from .storage import bounded_batches, checkpointed, stored
+from .components import connected_components, join_forest, looked_up
+from .storage import checkpointed, stored
 
 U64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -92,7 +93,6 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             fp = np.concatenate(fps) if fps else np.zeros((0, n_fps), U64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(n_fps))], ["doc_id", *names])
 
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(compute, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
@@ -194,6 +194,18 @@ def links_of_entries(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np
     return pairs[:, 0], pairs[:, 1]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
+    """The first column of the batches, in arrays of at least so many rows but for the last."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(batch.column(0).to_numpy(zero_copy_only=False))
+        if sum(map(len, held)) >= rows:
+            yield np.concatenate(held)
+            held = []
+    if sum(map(len, held)):
+        yield np.concatenate(held)
+
+
 def fingerprint_links(distinct: DataFrame, distance: int = 4, segments: int | None = None, parts: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough to connect what is linked.
 
@@ -206,16 +218,15 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, segments: int | No
 
     @K.lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+        for held in _gathered(batches, 20_000):
+            fp = held.view(U64)
             keys = [key for _, _, key in _variants(fp, segments)]
             key, fp = np.concatenate(keys), np.tile(fp, len(keys))
             part = (key % U64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, key[o].tobytes(), fp[o].tobytes()) for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["part", "keys", "fps"])
+            edge = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist() + [len(part)]
+            rows = [(int(part[order[x]]), key[order[x:y]].tobytes(), fp[order[x:y]].tobytes()) for x, y in pairwise(edge)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["part", "keys", "fps"])
 
     @K.lean
     def meet(table: pa.Table) -> pa.Table:
@@ -238,10 +249,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     fps = checkpointed(fingerprints(docs, width, id_col, text_col))
     classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     components = connected_components(spark, fingerprint_links(classes, distance), "fp")
-    joined = classes.join(components, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = checkpointed(classes.join(components, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = checkpointed(looked_up(joined, least, "component", "component_id").select("fp", "component_id"))
+    return looked_up(fps, named, "fp", "component_id").select("doc_id", "fp", "component_id")
 
 
 #: MinHash bands of the pipeline's candidates and the rows of each: a pair of similarity 0.8 shares no band in 4 of 10,000 cases.
@@ -355,7 +366,6 @@ def _block(seed: int, n: str):
 def _similar(docs: DataFrame, width: int, share: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, doc_id, cid) of every row, and (cid, component) of the sets that have a link."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     names = [f"b{k}" for k in range(BANDS)]
 
     @K.lean
@@ -382,7 +392,8 @@ def _similar(docs: DataFrame, width: int, share: float, id_col: str, text_col: s
     entries = classes.select("cid", F.explode(F.array(*names)).alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
     shared = checkpointed(shared.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))  # bands that hold the same sets count once
-    members = checkpointed(entries.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
+    members = looked_up(entries, shared, "key", "n").where("n IS NOT NULL")
+    members = checkpointed(members.withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
     texts = slim.select("h1", "_text").join(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("h1"), "h1", "left_semi").select("_text")
     sets = stored(texts.mapInArrow(shingled, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles")))
     # a small group is one unit; a large one is dealt into blocks, each with the same one of its sets
@@ -398,7 +409,7 @@ def _similar(docs: DataFrame, width: int, share: float, id_col: str, text_col: s
         sizes = named.groupBy("key", "label").agg(F.count("*").alias("m"))
         tops = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
         tops = tops.where("top.m < all").select("key", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).alias("rests"))
-        named = checkpointed(named.join(tops, "key"))
+        named = checkpointed(looked_up(named, tops, "key", "top", "rests").where("top IS NOT NULL"))
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         whole = named.select("key", "cid", _block(0, "blocks").alias("j"), each("rests").alias("i"))
         rest = named.where("label <> top").select("key", "cid", _block(1, "rests").alias("i"), each("blocks").alias("j"))
@@ -419,7 +430,8 @@ def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, id_co
     classes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"))
     joined = checkpointed(classes.join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(joined.join(least, "component").select("cid", "component_id"), "cid").select("doc_id", "component_id")
+    named = checkpointed(looked_up(joined, least, "component", "component_id").select("cid", "component_id"))
+    return looked_up(rows, named, "cid", "component_id").select("doc_id", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, width: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,10 +443,10 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, share: float = 0.8, id_c
     rows, components = _similar(docs, width, share, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     classes = rows.groupBy("cid").agg(F.min(order).alias("r")).join(components, "cid", "left")
-    found = classes.groupBy(F.coalesce("component", "cid")).agg(F.min("r").alias("r")).select(F.col("r.h1").alias("_h1"), F.col("r.h2").alias("_h2"))
+    found = classes.groupBy(F.coalesce("component", "cid")).agg(F.min("r").alias("r")).select("r.h1", "r.h2")
     found = checkpointed(found)
-    firsts = docs.withColumns(dict(zip(("_h1", "_h2"), _identity(docs), strict=True))).join(found, ["_h1", "_h2"], "left_semi")
+    whole = docs.select(*_identity(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    firsts = whole.join(found, ["h1", "h2"], "left_semi")
     if rows.groupBy("h1", "h2").count().where("count > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1"))
-        firsts = firsts.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return firsts.select(*[F.col(f"`{c}`") for c in docs.columns])
+        firsts = firsts.groupBy("h1", "h2").agg(F.first("row").alias("row"))  # truly equal rows
+    return firsts.select("row.*")

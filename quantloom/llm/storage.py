@@ -16,7 +16,9 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch from here on in this session, as rows hold whole texts."""
+    """At most so many rows in an Arrow batch from here on in this session, as rows hold whole texts.
+
+    The operators leave the session as it is; the queries and the pipeline call this."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, rows)

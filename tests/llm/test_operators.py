@@ -136,9 +136,12 @@ def test_recompression(spark, seed):
 
 
 def test_recompression_keeps_columns_and_odd_rows(spark):
-    got = recompression.remove_repeats(odd(spark).drop("n_words"), keep=True)
-    assert got.columns[: len(odd(spark).columns) - 1] == odd(spark).drop("n_words").columns and got.count() == 10
-    assert {(r.doc_id, r.n_words, r.n_removed) for r in got.collect()} >= {(4, 2, 0), (5, 30_000, 0), (None, 3, 0), (1, 0, 0)}
+    got = recompression.remove_repeats(odd(spark), keep=True)
+    assert got.columns == [*odd(spark).columns, "repeats"] and got.count() == 10
+    assert {(r.doc_id, r.repeats.n_words, r.repeats.n_removed) for r in got.collect()} >= {(4, 2, 0), (5, 30_000, 0), (None, 3, 0), (1, 0, 0)}
+    assert Counter(map(str, got.drop("repeats").collect())) == Counter(map(str, odd(spark).collect()))
+    with pytest.raises(ValueError, match="repeats"):
+        recompression.remove_repeats(odd(spark).withColumn("Repeats", F.lit(1)), keep=True)
     texts = [(2, "a " * 20), (2, "a " * 20), (2, "b " * 20), (7, "b " * 20), (None, "a " * 20)]
     again = sorted((r.doc_id or 99, r.n_removed) for r in recompression.remove_repeats(docs_of(spark, [(i, t, "s") for i, t in texts])).collect())
     assert again == [(2, 0), (2, 0), (2, 0), (7, 20), (99, 20)]
@@ -168,6 +171,27 @@ def test_mix(spark):
     assert words == sum(r.taken for r in found) and texts.columns == odd(spark).columns
 
 
+def test_mixed_documents_are_what_the_mix_takes(spark):
+    """One text under two sources, rows without ids, and rows that agree in all, with cut and repeated ones."""
+    rows = [(1, "a b c d e f g", "big"), (1, "a b c d e f g", "small")] + [(None, f"w{i} x y z", "big") for i in range(20)] + [(2, "one two three", "big")] * 7 + [(None, "same same", None)] * 5 + [(3, None, "big"), (4, "", None)]
+    docs = docs_of(spark, rows).repartition(3)
+    for share in (0.3, 0.75, 1.5):
+        found = mixing.mix(docs, share=share).collect()
+        assert len(found) == len(rows)
+        takes = Counter((r.doc_id, r.text_hash, r.source, r.taken) for r in found if r.taken)
+        made = mixing.mixed_documents(docs, share=share).withColumn("n", mixing.n_words(F.col("text"))).collect()
+        words = lambda rows, n: {s: sum(n(r) for r in rows if r.source == s) for s in ("big", "small", None)}
+        assert words(made, lambda r: r.n) == words(found, lambda r: r.taken)
+        by_id = Counter()
+        for (i, _, source, taken), n in takes.items():
+            by_id[i, source] += taken * n
+        for r in made:
+            by_id[r.doc_id, r.source] -= r.n
+        assert not any(by_id.values())
+        alone = [r.taken for r in found if r.doc_id is None and r.source == "big"]
+        assert share > 0.5 or 0 < sum(t > 0 for t in alone) < 20  # not all or none
+
+
 # 5
 
 
@@ -591,6 +615,34 @@ def test_two_replace_the_smallest():
 # pipeline
 
 
+#: Names that the stages use inside, and others that might be.
+CLASHES = "_doc _copy _text _row _z _part _near _kept repeats _id _hash _size _taken _nth _h1 _h2 row name number n taken part i epochs h1 h2 cid component n_words n_removed kept_sha256 cleaned target source_size _hot bucket".split()
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_any_names(spark, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    good = "\n".join(" ".join(f"Word{i}x{k}" for k in range(9)) + "." for i in range(9))
+    more = docs_of(spark, [(20, good, "b"), (20, good, "b"), (None, good, "b"), (21, good + " More.", None)])
+    docs = odd(spark).select("doc_id", "text", "lang", "source", "n_chars").unionByName(more).withColumns({c: F.lit(7) for c in CLASHES})
+    got = run(spark, docs, "").collect()
+    assert run(spark, docs.limit(0), "").count() == 0
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    if stage == "best-fit packing":
+        assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(i for i, _ in texts.elements())
+        return
+    assert run(spark, docs, "").columns == docs.columns and all(r[c] == 7 for r in got for c in CLASHES)
+    kept = Counter((r.doc_id, r.text) for r in got)
+    if stage == "quality rules":
+        assert kept == Counter({(20, good): 2, (None, good): 1, (21, good + " More."): 1})
+    elif stage == "simhash near-dedup":
+        assert kept == Counter([(20, good), (1, None), (5, "word " * 30_000), (4, "one two"), (6, "x" * 5000), (6, "other text"), (None, "one two three")])
+    elif stage == "substring dedup":
+        assert kept[20, good] == 2 and (None, good) not in kept and kept[1, None] == kept[2, ""] == kept[4, "one two"] - 1 == 1
+    else:
+        assert kept[1, None] == 0 and sum(kept.values()) > 0
+
+
 def test_pipeline(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
     wide = docs.columns
