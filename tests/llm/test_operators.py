@@ -72,7 +72,34 @@ def test_urls(spark, monkeypatch):
         monkeypatch.setattr(url_filter, "MAX_BROADCAST", limit)
         got = url_filter.judge_urls(pages, listed, queries.URL_RULES).collect()
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
-    assert url_filter.judge_urls(pages.limit(0), listed.limit(0), queries.URL_RULES).count() == 0
+        assert url_filter.judge_urls(pages.union(pages), listed, queries.URL_RULES).count() == 2 * len(want)
+        assert url_filter.judge_urls(pages.limit(0), listed.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_streamed_levels_agree_with_the_list(spark, monkeypatch):
+    """Many shards and few places, a hot host, and no broadcast."""
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", 50)
+    monkeypatch.setattr(url_filter, "SPREAD", 3)
+    hosts = [f"h{k % 700}.org" if k % 3 else "hot.com" for k in range(6000)] + [None]
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(hosts)], "page_id long, key string")
+    listed = spark.createDataFrame([(f"h{k}.org",) for k in range(0, 900, 7)] + [("hot.com",)], "host string")
+    names = {r.host for r in listed.collect()}
+    found = url_filter.Cascade.build(rows.select("key").distinct(), listed).mark(rows, "key", "listed").collect()
+    assert sorted((r.page_id, r.listed) for r in found) == [(k, h in names) for k, h in enumerate(hosts)]
+
+
+def test_rules_by_force():
+    x = random.Random(4)
+    label = lambda: x.choice(["a", "bb", "c"])
+    rules = [(".".join(label() for _ in range(x.randrange(1, 4))) + "/" + "".join(x.choice("xy/") for _ in range(x.randrange(4))), x.choice(["block", "allow"])) for _ in range(3000)]
+    table = url_filter.Rules(rules)
+    for _ in range(500):
+        host, path = ".".join(label() for _ in range(x.randrange(1, 5))), "/" * x.randrange(2) + "".join(x.choice("xy/") for _ in range(x.randrange(5)))
+        fits = [(t, v) for t, v in rules if (host == t.partition("/")[0] or host.endswith("." + t.partition("/")[0])) and path.startswith("/" + t.partition("/")[2])]
+        longest = max((len(t) for t, _ in fits), default=0)
+        got = table.match(table.hosts(host), path)
+        assert got == next(((t, v) for t, v in fits if len(t) == longest), (None, None)) or (len(got[0]) == longest and got in fits)
 
 
 # 2
