@@ -93,32 +93,34 @@ def simulate_series(bars: list[tuple], actions: list[list[tuple]], market: Marke
     return out
 
 
-def simulate(predictions: DataFrame, bars: DataFrame, market: Market = Market()) -> DataFrame:
-    """(tree_id, bar, position, ratio, leverage, profit, compound, held) for each tree and bar but the last.
+def simulate(predictions: DataFrame, bars: DataFrame, market: Market = Market(), series: tuple[str, ...] = ()) -> DataFrame:
+    """(series..., tree_id, bar, position, ratio, leverage, profit, compound, held) for each tree and bar but a series' last.
 
-    predictions: see predict; bars: (bar, ts, open, high, low[, funding_rate]).  Each tree's bars are folded in
-    order by one task; trees are independent, so work spreads over the population."""
-    branches = ["tree_id", "bar"] + [f"{k}{b}" for b in range(3) for k in ("a", "r", "l")]
+    predictions: see predict; bars: (series..., bar, ts, open, high, low[, funding_rate]).  Each tree's bars of a series are
+    folded in order by one task; trees and series are independent, so work spreads over both."""
+    branches = [*series, "tree_id", "bar"] + [f"{k}{b}" for b in range(3) for k in ("a", "r", "l")]
     pick = [F.max(F.when(F.col("branch") == b, F.col(c))).alias(f"{k}{b}") for b in range(3) for k, c in (("a", "action"), ("r", "ratio"), ("l", "leverage"))]
     rate = F.coalesce("funding_rate", F.lit(0.0)) if "funding_rate" in bars.columns else F.lit(0.0)
-    prices = bars.select("bar", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "open", "high", "low", rate.alias("rate"))
-    rows = predictions.groupBy("tree_id", "bar").agg(*pick).select(branches).join(prices, "bar")
+    prices = bars.select(*series, "bar", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "open", "high", "low", rate.alias("rate"))
+    rows = predictions.groupBy(*series, "tree_id", "bar").agg(*pick).select(branches).join(prices, [*series, "bar"])
 
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("bar")
-        clean = series.fillna({f"{k}{b}": 0 for k in "arl" for b in range(3)})
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bar")
+        clean = rows.fillna({f"{k}{b}": 0 for k in "arl" for b in range(3)})
         bars = list(zip((clean.us // 1_000_000).tolist(), clean.open.tolist(), clean.high.tolist(), clean.low.tolist(), clean.rate.tolist(), strict=True))
         acts = list(zip(*(list(zip(clean[f"a{b}"].tolist(), clean[f"r{b}"].tolist(), clean[f"l{b}"].tolist(), strict=True)) for b in range(3)), strict=True))
         found = simulate_series(bars, acts, market)
         made = pd.DataFrame(found, columns=["position", "ratio", "leverage", "profit", "compound", "held"])
-        return made.assign(tree_id=series.tree_id.iloc[0], bar=series.bar.to_numpy()[: len(found)])
+        return made.assign(**{c: rows[c].iloc[0] for c in (*series, "tree_id")}, bar=rows.bar.to_numpy()[: len(found)])
 
-    return rows.groupBy("tree_id").applyInPandas(run, "tree_id long, bar long, position int, ratio double, leverage int, profit double, compound double, held int")
+    keys = "".join(f"{c} {dict(bars.dtypes)[c]}, " for c in series)
+    return rows.groupBy(*series, "tree_id").applyInPandas(run, f"{keys}tree_id long, bar long, position int, ratio double, leverage int, profit double, compound double, held int")
 
 
 def metrics(profits: DataFrame, minimum: int = 1) -> DataFrame:
     """(tree_id, n, mean_return, profit_factor, win_rate, max_drawdown, compound_value) of (tree_id, bar, profit).
 
+    bar may be anything that orders a tree's profits, such as a bar and a symbol.
     Only bars with a profit or loss count.  Drawdown is that of the summed profit from its highest value so far,
     0 at the start.  Trees with fewer than minimum such bars have null metrics."""
     p = F.col("profit")
@@ -155,7 +157,7 @@ def fitness(measured: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
     return measured.join(F.broadcast(ends), how="cross").select("tree_id", F.coalesce(F.when(F.col("mean_return").isNotNull(), total), F.lit(-1.0)).alias("fitness"))
 
 
-def predict_population(nodes: DataFrame, bars: DataFrame, feature_count: int, max_depth: int = 10) -> DataFrame:
+def predict_population(nodes: DataFrame, bars: DataFrame, max_depth: int = 10) -> DataFrame:
     """predict for large populations: bars stream through tasks that hold the population as arrays.
 
     The same rows as predict.  Only for populations of at most MAX_BROADCAST_NODES nodes; larger ones go through predict."""
@@ -165,6 +167,8 @@ def predict_population(nodes: DataFrame, bars: DataFrame, feature_count: int, ma
     held = nodes.orderBy("tree_id", "node_idx").toPandas()
     shared = nodes.sparkSession.sparkContext.broadcast({int(t): g.to_numpy() for t, g in held.groupby("tree_id")})
 
+    keys = [c for c in bars.columns if c != "features"]
+
     def run(batches):
         for batch in batches:
             x = np.array([np.asarray([np.nan if v is None else v for v in f], float) for f in batch.features]).reshape(len(batch), -1)
@@ -174,26 +178,27 @@ def predict_population(nodes: DataFrame, bars: DataFrame, feature_count: int, ma
                 for row in rows:
                     kids.setdefault(int(row[3]), []).append(row)
                 for root in kids.get(-1, ()):
-                    out.append(_branch(x, kids, root, batch.bar.to_numpy(), tree))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["bar", "tree_id", "branch", "action", "ratio", "leverage"])
+                    out.append(batch[keys].reset_index(drop=True).join(_branch(x, kids, root, tree, max_depth)))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[*keys, "tree_id", "branch", "action", "ratio", "leverage"])
 
-    return bars.select("bar", "features").mapInPandas(run, "bar long, tree_id long, branch int, action int, ratio double, leverage double")
+    named = "".join(f"`{c}` {t}, " for c, t in bars.dtypes if c != "features")
+    return bars.select(*keys, "features").mapInPandas(run, f"{named}tree_id long, branch int, action int, ratio double, leverage double")
 
 
-def _branch(x: np.ndarray, kids: dict[int, list], root: np.ndarray, bar: np.ndarray, tree: int) -> pd.DataFrame:
+def _branch(x: np.ndarray, kids: dict[int, list], root: np.ndarray, tree: int, max_depth: int) -> pd.DataFrame:
     """The first action of one branch for all bars of a batch, breadth first with a mask for each node."""
     n, width = x.shape
     left, action, ratio, lever = np.ones(n, bool), np.zeros(n, int), np.full(n, np.nan), np.full(n, np.nan)
-    queue = [(int(root[1]), np.ones(n, bool))]
-    for at, mask in queue:
-        for row in kids.get(at, ()):
+    queue = [(int(root[1]), np.ones(n, bool), 1)]
+    for at, mask, depth in queue:
+        for row in kids.get(at, ()) if depth < max_depth else ():
             here = mask & left
             if row[2] == T.ACTION:
                 action[here], ratio[here], lever[here] = int(row[5]), row[6], row[7]
                 left &= ~here
             elif here.any():
-                queue.append((int(row[1]), here & _holds(x, width, row)))
-    return pd.DataFrame({"bar": bar, "tree_id": tree, "branch": int(root[5]), "action": action, "ratio": pd.Series(ratio).astype(object).where(~np.isnan(ratio), None), "leverage": pd.Series(lever).astype(object).where(~np.isnan(lever), None)})
+                queue.append((int(row[1]), here & _holds(x, width, row), depth + 1))
+    return pd.DataFrame({"tree_id": tree, "branch": int(root[5]), "action": action, "ratio": pd.Series(ratio).astype(object).where(~np.isnan(ratio), None), "leverage": pd.Series(lever).astype(object).where(~np.isnan(lever), None)})
 
 
 def _holds(x: np.ndarray, width: int, row: np.ndarray) -> np.ndarray:

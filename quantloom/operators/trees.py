@@ -99,7 +99,7 @@ def _hint(nodes: DataFrame, n_nodes: int | None) -> DataFrame:
 
 
 def with_paths(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
-    """nodes with their branch and the path of node indices from the root, level by level."""
+    """nodes with their branch and the path of node indices from the root, level by level; computed once, as its users read it many times."""
     level = nodes.where("parent_idx = -1").select(*COLUMNS, F.col("p1").cast("int").alias("branch"), F.array("node_idx").alias("path"))
     levels = [level]
     for depth in range(1, max_depth):
@@ -107,7 +107,7 @@ def with_paths(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
         below = nodes.where(F.col("depth") == depth)
         level = below.join(up, (F.col("tree_id") == F.col("_t")) & (F.col("parent_idx") == F.col("_i"))).select(*COLUMNS, "branch", F.concat("_path", F.array("node_idx")).alias("path"))
         levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    return cut_lineage(reduce(DataFrame.unionByName, levels))
 
 
 def adjacency(nodes: DataFrame) -> DataFrame:
@@ -183,20 +183,21 @@ def decision_holds(features: Column, p1: Column, p2: Column, p3: Column, p4: Col
 def predict(nodes: DataFrame, bars: DataFrame, max_depth: int = 10, n_nodes: int | None = None) -> DataFrame:
     """(bar, tree_id, branch, action, ratio, leverage) for each bar (bar, features), tree and branch.
 
-    All branches are answered at once, so that a simulator only has to pick one.  From the root on, true decisions are
+    Other columns of bars, such as a symbol, are part of what identifies a bar and come back with it.  All branches are answered at once, so that a simulator only has to pick one.  From the root on, true decisions are
     expanded level by level; the first action in breadth-first order is the one of least (depth, path).
     Branches that reach none give action 0."""
     small = _hint(nodes, n_nodes)
     roots = nodes.where(F.col("node_type") == ROOT).select("tree_id", F.col("p1").cast("int").alias("branch"), "node_idx")
-    level = bars.join(_hint(roots, n_nodes), how="cross").select("bar", "features", "tree_id", "branch", F.array("node_idx").alias("path"), F.col("node_idx").alias("at"))
-    everyone, found = level.select("bar", "tree_id", "branch"), []
+    keys = [c for c in bars.columns if c != "features"]
+    level = bars.join(_hint(roots, n_nodes), how="cross").select(*keys, "features", "tree_id", "branch", F.array("node_idx").alias("path"), F.col("node_idx").alias("at"))
+    everyone, found = level.select(*keys, "tree_id", "branch"), []
     child = small.select(F.col("tree_id").alias("_t"), "node_idx", "node_type", F.col("parent_idx").alias("_p"), "p1", "p2", "p3", "p4")
     for _ in range(1, max_depth):
         met = level.join(child, (F.col("tree_id") == F.col("_t")) & (F.col("at") == F.col("_p"))).withColumn("path", F.concat("path", F.array("node_idx")))
-        found.append(met.where(F.col("node_type") == ACTION).select("bar", "tree_id", "branch", "path", "p1", "p2", "p3"))
-        level = met.where((F.col("node_type") == DECISION) & decision_holds(F.col("features"), *map(F.col, ("p1", "p2", "p3", "p4")))).select("bar", "features", "tree_id", "branch", "path", F.col("node_idx").alias("at"))
+        found.append(met.where(F.col("node_type") == ACTION).select(*keys, "tree_id", "branch", "path", "p1", "p2", "p3"))
+        level = met.where((F.col("node_type") == DECISION) & decision_holds(F.col("features"), *map(F.col, ("p1", "p2", "p3", "p4")))).select(*keys, "features", "tree_id", "branch", "path", F.col("node_idx").alias("at"))
     none = everyone.select("*", F.lit(None).cast("array<int>").alias("path"), *[F.lit(None).cast("double").alias(p) for p in ("p1", "p2", "p3")])
     acts = reduce(DataFrame.unionByName, found, none)
     first = F.min_by(F.struct("p1", "p2", "p3"), F.when(F.col("path").isNotNull(), F.struct(F.size("path"), F.col("path"))))
-    best = acts.groupBy("bar", "tree_id", "branch").agg(first.alias("a"))
-    return best.select("bar", "tree_id", "branch", F.coalesce(F.col("a.p1").cast("int"), F.lit(0)).alias("action"), F.col("a.p2").alias("ratio"), F.col("a.p3").alias("leverage"))
+    best = acts.groupBy(*keys, "tree_id", "branch").agg(first.alias("a"))
+    return best.select(*keys, "tree_id", "branch", F.coalesce(F.col("a.p1").cast("int"), F.lit(0)).alias("action"), F.col("a.p2").alias("ratio"), F.col("a.p3").alias("leverage"))

@@ -87,18 +87,25 @@ def subtree_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth:
 
 
 def crossover_chain(pairs: DataFrame, nodes: DataFrame, seed: int, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), rate: float = 0.8, max_depth: int = 10, max_nodes: int = 256) -> DataFrame:
-    """Pairs dealt over subtree, node and root-branch crossover by weight; without crossover a child copies a parent."""
+    """Pairs dealt over subtree, node and root-branch crossover; without crossover a child copies a parent.
+
+    Of k crossed pairs, in random order, the first int(w * k) go to the first crossover, the next to the second, and the rest
+    to the last, each by its weight w."""
     if abs(sum(weights) - 1) > 1e-9:
         raise ValueError("the weights of the crossovers must sum to 1")
-    u = uniform(seed, F.lit("chain"), "child")
     crossed = uniform(seed, F.lit("rate"), "child") < rate
-    one, two = weights[0], weights[0] + weights[1]
+    order = Window.orderBy(uniform(seed, F.lit("chain"), "child"), "child")  # one row for each child of a generation
+    dealt = pairs.where(crossed).withColumn("_i", F.row_number().over(order)).withColumn("_k", F.count("*").over(Window.partitionBy()))
+    one = F.floor(F.lit(weights[0]) * F.col("_k"))
+    two = one + F.floor(F.lit(weights[1]) * F.col("_k"))
+    dealt = dealt.withColumn("_to", F.when(F.col("_i") <= one, 0).when(F.col("_i") <= two, 1).otherwise(2))
+    share = lambda to: dealt.where(F.col("_to") == to).select(pairs.columns)
     copies = pairs.where(~crossed).withColumn("from", F.when(uniform(seed, F.lit("copy"), "child") < 0.5, F.col("first")).otherwise(F.col("second")))
     copied = copies.join(nodes, F.col("from") == F.col("tree_id")).select(F.col("child").alias("tree_id"), *COLUMNS[1:])
     made = [
-        subtree_crossover(pairs.where(crossed & (u < one)), nodes, seed, max_depth, max_nodes),
-        node_crossover(pairs.where(crossed & (u >= one) & (u < two)), nodes, seed, max_depth),
-        root_branch_crossover(pairs.where(crossed & (u >= two)), nodes, seed, max_depth),
+        subtree_crossover(share(0), nodes, seed, max_depth, max_nodes),
+        node_crossover(share(1), nodes, seed, max_depth),
+        root_branch_crossover(share(2), nodes, seed, max_depth),
     ]
     return reduce(DataFrame.unionByName, made, copied)
 

@@ -261,17 +261,17 @@ nodes AS (
   UNION ALL SELECT tree_id, CAST(3 + 4 * b + k AS INT), 2, CAST(b AS INT), 1, CAST((tree_id + b + k) % 3 AS DOUBLE), CAST((tree_id + k) % 2 AS DOUBLE), CAST(CASE WHEN (tree_id + b) % 5 = 4 THEN 1 ELSE 0 END AS DOUBLE),
     CAST(CASE WHEN (tree_id + b) % 5 = 4 THEN (tree_id + k) % 4 ELSE 20 + (tree_id * 7 + b * 11 + k * 13) % 60 END AS DOUBLE) FROM t, r, k
   UNION ALL SELECT tree_id, CAST(5 + 4 * b + k AS INT), 3, CAST(3 + 4 * b + k AS INT), 2, CAST(CASE WHEN b = 1 THEN 1 + (tree_id + k) % 2 ELSE 3 + (tree_id + k) % 4 END AS DOUBLE), 0.5::DOUBLE, CAST(1 + tree_id AS DOUBLE), 0.0::DOUBLE FROM t, r, k)"""
-_X = f"x AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS bar, [close, high, coalesce(avg(close) {over(5)}, 0), volume] AS f FROM bars WHERE symbol = 'click')"
+_X = f"x AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar, [close, high, coalesce(avg(close) {over(5)}, 0), volume] AS f FROM bars)"
 _TRUE = "coalesce(CASE WHEN n.p3 = 0 THEN CASE WHEN n.p2 = 0 THEN f[CAST(n.p1 AS INT) + 1] >= n.p4 ELSE f[CAST(n.p1 AS INT) + 1] <= n.p4 END WHEN n.p3 = 1 THEN CASE WHEN n.p2 = 0 THEN f[CAST(n.p1 AS INT) + 1] >= f[CAST(n.p4 AS INT) + 1] ELSE f[CAST(n.p1 AS INT) + 1] <= f[CAST(n.p4 AS INT) + 1] END ELSE f[CAST(n.p1 AS INT) + 1] = n.p4 END, false)"
 _WALK = f"""walk AS (
-  SELECT bar, f, tree_id, CAST(p1 AS INT) AS branch, node_idx, node_type, [node_idx] AS path, p1, p2, p3 FROM x, nodes WHERE node_type = 1
-  UNION ALL SELECT w.bar, w.f, w.tree_id, w.branch, n.node_idx, n.node_type, list_append(w.path, n.node_idx), n.p1, n.p2, n.p3
+  SELECT symbol, bar, f, tree_id, CAST(p1 AS INT) AS branch, node_idx, node_type, [node_idx] AS path, p1, p2, p3 FROM x, nodes WHERE node_type = 1
+  UNION ALL SELECT w.symbol, w.bar, w.f, w.tree_id, w.branch, n.node_idx, n.node_type, list_append(w.path, n.node_idx), n.p1, n.p2, n.p3
   FROM walk w JOIN nodes n ON n.tree_id = w.tree_id AND n.parent_idx = w.node_idx WHERE w.node_type <> 3 AND (n.node_type = 3 OR {_TRUE}))"""
 _BROKEN = "broken AS (SELECT * FROM nodes WHERE NOT (tree_id = 1 AND node_idx = 5) AND NOT (tree_id = 2 AND node_idx = 0) AND NOT (tree_id = 3 AND node_idx IN (3, 4)))"
 OTHER |= {
     "tree_predict": f"""WITH RECURSIVE {BARS}, {_X}, {_TREES}, {_WALK},
-a AS (SELECT bar, tree_id, branch, arg_min((p1, p2, p3), (len(path), path)) AS a FROM walk WHERE node_type = 3 GROUP BY ALL)
-SELECT w.bar, w.tree_id, w.branch, CAST(coalesce(a.a[1], 0) AS INT) AS action, a.a[2] AS ratio, a.a[3] AS leverage FROM walk w LEFT JOIN a USING (bar, tree_id, branch) WHERE w.node_type = 1""",
+a AS (SELECT symbol, bar, tree_id, branch, arg_min((p1, p2, p3), (len(path), path)) AS a FROM walk WHERE node_type = 3 GROUP BY ALL)
+SELECT w.symbol, w.bar, w.tree_id, w.branch, CAST(coalesce(a.a[1], 0) AS INT) AS action, a.a[2] AS ratio, a.a[3] AS leverage FROM walk w LEFT JOIN a USING (symbol, bar, tree_id, branch) WHERE w.node_type = 1""",
     "adjacency": f"WITH {_TREES} SELECT tree_id, parent_idx, count(*) AS n_children, string_agg(CAST(node_idx AS VARCHAR), ',' ORDER BY node_idx) AS children FROM nodes WHERE parent_idx >= 0 GROUP BY ALL",
     "child_overflow": f"WITH {_TREES}, c AS (SELECT tree_id, parent_idx, count(*) AS n FROM nodes WHERE parent_idx >= 0 GROUP BY ALL) SELECT tree_id, max(n) AS most_children, max(n) > 1 AS overflow FROM c GROUP BY tree_id",
     "tree_validate": f"""WITH {_TREES}, {_BROKEN},
@@ -296,7 +296,7 @@ SELECT tree_id, node_idx, node_type, parent_idx, p1 FROM cut UNION ALL SELECT 3,
 
 _SCORES = "s AS (SELECT user_id % 50 AS tree_id, round(avg(value), 3) - 40 AS fitness FROM events GROUP BY 1)"
 _DRAWN = "((range * 7919 + 17) * 1664525 + 1013904223 & 4294967295) / 4294967296.0::DOUBLE"
-_PROFITS = "p AS (SELECT user_id % 20 AS tree_id, event_id AS bar, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE (value - 50) / 5000 END AS profit FROM events WHERE event_type IN ('click', 'view'))"
+_PROFITS = "p AS (SELECT user_id % 20 AS tree_id, event_id AS bar, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE (value - 50) / 5000 END AS profit FROM events)"
 _MEASURED = f"""{_PROFITS},
 q AS (SELECT *, sum(profit) OVER w AS cum FROM p WINDOW w AS (PARTITION BY tree_id ORDER BY bar)),
 d AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY tree_id ORDER BY bar)) - cum AS drop FROM q),
@@ -315,7 +315,7 @@ d AS (SELECT range // 4 AS draw, range % 4 AS entry, {_DRAWN} AS u FROM range(40
 SELECT e.new AS tree_id, node_idx, node_type, parent_idx FROM nodes JOIN e ON tree_id = old UNION ALL SELECT tree_id + 3, node_idx, node_type, parent_idx FROM nodes WHERE tree_id < 4""",
     "metrics": f"WITH {_MEASURED} SELECT tree_id, n, round(mean_return, 8) AS mean_return, round(profit_factor, 6) AS profit_factor, round(win_rate, 6) AS win_rate, round(max_drawdown, 6) AS max_drawdown, round(compound_value, 6) AS compound_value FROM m",
     "fitness": f"""WITH {_MEASURED} SELECT tree_id, round(0.1 * ({_PART("mean_return")}) + 0.2 * ({_PART("profit_factor")}) + 0.15 * ({_PART("win_rate")}) + 0.15 * (1 - ({_PART("max_drawdown")})) + 0.4 * ({_PART("compound_value")}), 6) AS fitness FROM m""",
-    "train_test_split": f"WITH {BARS}, {_X} SELECT CASE WHEN bar < CAST(floor((SELECT max(bar) FROM x) * 0.7) AS BIGINT) THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(bar) AS first_bar, max(bar) AS last_bar FROM x GROUP BY 1",
+    "train_test_split": f"WITH {BARS}, {_X}, y AS (SELECT *, CAST(floor((max(bar) OVER (PARTITION BY symbol)) * 0.7::DOUBLE) AS BIGINT) AS last FROM x) SELECT symbol, CASE WHEN bar < last THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(bar) AS first_bar, max(bar) AS last_bar FROM y GROUP BY ALL",
 }
 
 OTHER["tree_predict_batched"], OTHER["streaming_bars"] = OTHER["tree_predict"], OTHER["ohlc_resample"]

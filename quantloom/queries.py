@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +14,7 @@ from .operators import selection, simulator, trees, variation
 from .operators.bars import align, as_of, resample, ticks_to_bars
 from .plans import evolution, pipeline
 from .sources import market
+from .sources.storage import shared_folder
 from .streaming.bars import streamed_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,18 +138,18 @@ def _trees(spark: SparkSession, n: int = 10) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The click series as numbered bars with a feature array."""
+    """Every symbol's bars, numbered, with a feature array."""
     order = Window.partitionBy("symbol").orderBy("ts")
-    rows = _bars(spark, sf_dir).where("symbol = 'click'").withColumn("bar", (F.row_number().over(order) - 1).cast("long"))
+    rows = _bars(spark, sf_dir).withColumn("bar", (F.row_number().over(order) - 1).cast("long"))
     return rows.withColumn("features", F.array("close", "high", F.coalesce(F.avg("close").over(order.rowsBetween(-4, 0)), F.lit(0.0)), "volume"))
 
 
 def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.predict(_trees(spark), _numbered(spark, sf_dir).select("bar", "features"), 3, n_nodes=150)
+    return trees.predict(_trees(spark), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3, n_nodes=150)
 
 
 def tree_predict_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulator.predict_population(_trees(spark), _numbered(spark, sf_dir).select("bar", "features"), 4, 3)
+    return simulator.predict_population(_trees(spark), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3)
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +222,7 @@ def next_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
+    rows = _read(spark, sf_dir, "events")
     profit = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise((F.col("value") - 50) / 5000)
     return simulator.metrics(rows.select((F.col("user_id") % 20).alias("tree_id"), F.col("event_id").alias("bar"), profit.alias("profit")))
 
@@ -238,12 +239,12 @@ def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = zip(("train", "test"), evolution.split(_numbered(spark, sf_dir), 0.7), strict=True)
     one, two = (p.withColumn("part", F.lit(n)) for n, p in parts)
-    return one.unionByName(two).groupBy("part").agg(F.count("*").alias("n"), F.min("bar").alias("first_bar"), F.max("bar").alias("last_bar"))
+    return one.unionByName(two).groupBy("symbol", "part").agg(F.count("*").alias("n"), F.min("bar").alias("first_bar"), F.max("bar").alias("last_bar"))
 
 
 def simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = _numbered(spark, sf_dir)
-    return simulator.simulate(tree_predict_batched(spark, sf_dir), bars)
+    return simulator.simulate(tree_predict_batched(spark, sf_dir), bars, series=("symbol",))
 
 
 CATALOG = [(0, "num", 0.0, 200.0), (1, "num", 0.0, 300.0), (2, "comparison", None, None), (3, "comparison", None, None)]
@@ -266,11 +267,10 @@ def _crossed(make: Callable[..., DataFrame]) -> Query:
 
 
 def evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generation of a small search over the click series; the new population."""
+    """One generation of a small search over all series; the new population."""
     bars = _numbered(spark, sf_dir)
     search = evolution.Search(CATALOG, population=8, n_elites=2, parents=4, max_depth=5)
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-evolve-")
-    return evolution.evolve(spark, _trees(spark), bars.select("bar", "features"), bars, search, 1, f"{where}/evolve-{abs(hash((sf_dir, id(spark))))}")
+    return evolution.evolve(spark, _trees(spark), bars.select("symbol", "bar", "features"), bars, search, 1, f"{shared_folder(spark)}/evolve-{uuid.uuid4().hex}")
 
 
 def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

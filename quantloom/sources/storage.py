@@ -1,15 +1,26 @@
-"""Cutting lineage between the steps of iterative work."""
+"""Folders that all executors share, and cutting lineage between the steps of iterative work."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names; one of our own only on a local master without one, as in tests."""
+    sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
+    if not have.isEmpty():
+        return have.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df computed once into the folder of spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    """df computed once into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

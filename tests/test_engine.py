@@ -80,7 +80,7 @@ def test_both_predictors_agree(spark):
     x = random.Random(1)
     data = [(i, [x.uniform(0, 200) if x.random() < 0.9 else None for _ in range(4)]) for i in range(40)]
     feats = spark.createDataFrame(data, "bar long, features array<double>")
-    a, b = (rows(d.columns, d.collect()) for d in (trees.predict(nodes, feats, 5), simulator.predict_population(nodes, feats, 4, 5)))
+    a, b = (rows(d.columns, d.collect()) for d in (trees.predict(nodes, feats, 5), simulator.predict_population(nodes, feats, 5)))
     assert a == b and len(a) == 10 * 40 * 3
 
 
@@ -148,12 +148,116 @@ def test_all_configured_functions_make_columns(spark):
 def test_resume(spark, tmp_path):
     bars_ = queries._numbered(spark, DATA).where("bar < 60")
     search = evolution.Search(queries.CATALOG, population=4, n_elites=1, parents=2, max_depth=5)
-    args = (spark, queries._trees(spark, 4), bars_.select("bar", "features"), bars_, search)
+    args = (spark, queries._trees(spark, 4), bars_.select("symbol", "bar", "features"), bars_, search)
     evolution.evolve(*args, 1, str(tmp_path))
     assert os.path.isdir(tmp_path / "generation=0") and evolution._latest(spark, str(tmp_path)) == 0
     assert evolution.evolve(*args, 1, str(tmp_path)).select("tree_id").distinct().count() == 4
 
 
+def test_predictors_stop_at_the_depth_asked_for(spark):
+    nodes = trees.random_population(spark, 6, queries.CATALOG, max_depth=6, seed=9)
+    feats = spark.createDataFrame([(i, [float(i * 7 % 200)] * 4) for i in range(30)], "bar long, features array<double>")
+    for depth in (2, 3, 6):
+        a, b = (rows(d.columns, d.collect()) for d in (trees.predict(nodes, feats, depth), simulator.predict_population(nodes, feats, depth)))
+        assert a == b
+
+
+def test_crossovers_get_exact_shares(spark, monkeypatch):
+    got = {}
+    for k, name in enumerate(("subtree_crossover", "node_crossover", "root_branch_crossover")):
+        real = getattr(variation, name)
+        monkeypatch.setattr(variation, name, lambda pairs, *a, real=real, k=k: (got.__setitem__(k, pairs.count()), real(pairs, *a))[1])
+    pairs = spark.range(17).select(F.col("id").alias("child"), (F.col("id") % 10).alias("first"), ((F.col("id") * 3 + 1) % 10).alias("second"))
+    made = variation.crossover_chain(pairs, queries._trees(spark), 4, (0.6, 0.2, 0.2), rate=1.0, max_depth=5)
+    assert got == {0: 10, 1: 3, 2: 4} and made.select("tree_id").distinct().count() == 17
+
+
+def test_streams_in_many_batches_give_the_same_bars(spark, tmp_path):
+    """Files one by one, in order of time: every batch changes bars of an earlier one."""
+    from quantloom.streaming import bars as streaming
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    edges = events.select(F.percentile_approx("ts", [0.0, 0.31, 0.62, 1.0])).first()[0]
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = events.where((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if k < 2 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ticks = market.event_ticks(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    streaming.write_bars(streaming.bar_stream(ticks, "4h", "30 days"), str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True).awaitTermination()
+    want, got = bars.ticks_to_bars(market.event_ticks(events), "4h"), streaming.read_bars(spark, str(tmp_path / "out"))
+    assert len(os.listdir(tmp_path / "out")) >= 3 and rows(want.columns, want.collect()) == rows(got.columns, got.collect())
+
+
+CONFIG = """
+environment: {seed: 3}
+data: {train_ratio: 0.7}
+ga_core:
+  population: {size: 4, max_nodes: 64, max_depth: 3, max_children: 5}
+  evolution_loop: {generations: 1, parent_pool_size: 3, elite_size: 1, best_chromosome_pool_size: 2, warming_steps: 0}
+operators:
+  selection: {type: TournamentSelection, tournament_k_size: 2}
+  crossover: {weights: [0.6, 0.2, 0.2]}
+  mutation: {probabilities: {add_node: 0.5, delete_node: 0.5, add_subtree: 0.5, delete_subtree: 0.5, reinitialize_node: 0.1, node_param: 0.5}}
+evaluation:
+  simulation_env: {taker_fee_rate: 0.001, max_additional_entries: 2}
+  fitness_function: {minimum_trades: 1}
+feature_classification:
+  feature_num: {RSI: [0, 100], ROC: [-50, 50]}
+  feature_comparison: [SMA]
+"""
+FUNCTIONS = """
+5m:
+  calculate_ma: [{window: 3}, {window: 5}]
+  calculate_rsi: [{window: 3}]
+15m:
+  calculate_roc: [{window: 2}]
+1d: {}
+"""
+
+
+def test_jobs_from_configuration_files(spark, tmp_path):
+    from quantloom.plans import config as C
+    from quantloom.plans import jobs
+    from quantloom.sources import populations
+
+    (tmp_path / "config.yaml").write_text(CONFIG)
+    (tmp_path / "functions.yaml").write_text(FUNCTIONS)
+    config = C.read_config(str(tmp_path / "config.yaml"))
+    with pytest.warns(UserWarning, match="4h"):
+        functions = C.feature_config(C.read_config(str(tmp_path / "functions.yaml")), ["5m", "15m", "4h"])
+    with pytest.raises(ValueError), pytest.warns(UserWarning, match="2h"):
+        C.feature_config(functions, ["2h"])
+    walk = market.random_walk(spark, "AAA", 400).unionByName(market.random_walk(spark, "BBB", 300, seed=5))
+    funding = spark.createDataFrame([("AAA", 0.0001)], "symbol string, funding_rate double").select("symbol", F.lit("2024-01-01").cast("timestamp_ntz").alias("funding_ts"), "funding_rate")
+    table, catalog = jobs.preprocess(spark, walk, config, functions, str(tmp_path / "data"), funding)
+    assert [r.feature for r in catalog.orderBy("idx").collect()] == ["ROC_2_15m", "RSI_3_5m", "SMA_3_5m", "SMA_5_5m"]
+    assert {r.symbol for r in table.select("symbol").distinct().collect()} == {"AAA", "BBB"} and "bar_funding_rate" in table.columns
+    before = os.path.getmtime(tmp_path / "data" / "features" / "_SUCCESS")
+    jobs.preprocess(spark, walk.limit(0), config, functions, str(tmp_path / "data"))
+    assert os.path.getmtime(tmp_path / "data" / "features" / "_SUCCESS") == before  # what is there stays
+    search = C.search(config, [])
+    assert (search.population, search.n_elites, search.tournament, search.weights, search.market.fee, search.market.max_added) == (4, 1, 2, (0.6, 0.2, 0.2), 0.001, 2)
+    search_best = evolution.Search(queries.CATALOG, min_compound=-1e9, most_drawdown=1e9)
+    scored = spark.createDataFrame([(i, float(i), 1.0, 0.1) for i in range(4)], "tree_id long, fitness double, compound_value double, max_drawdown double")
+    for g in (0, 1):
+        evolution._pooled(spark, str(tmp_path / "pool"), g, queries._trees(spark, 4), scored, search_best)
+    pooled = spark.read.parquet(str(tmp_path / "pool" / "generation=1" / "pool"))
+    assert pooled.select("tree_id").distinct().count() == 8 and pooled.count() == 8 * 15
+    best, judged = jobs.train(spark, config, table, catalog, str(tmp_path / "run"))
+    assert best.columns == trees.COLUMNS and judged.count() == best.select("tree_id").distinct().count() <= 2
+    assert trees.validate(spark.read.parquet(str(tmp_path / "run" / "search" / "generation=0" / "nodes")), 3, 5).where("faults <> 0").count() == 0
+    populations.save_population(queries._trees(spark, 3), catalog, str(tmp_path / "saved"))
+    turned = catalog.withColumn("idx", (3 - F.col("idx")).cast("int"))
+    moved, _ = populations.load_population(spark, str(tmp_path / "saved"), turned, trees=[0, 2])
+    old = {(r.tree_id, r.node_idx): r for r in queries._trees(spark, 3).collect()}
+    for r in moved.collect():
+        was = old[r.tree_id, r.node_idx]
+        assert r.p1 == (3 - was.p1 if r.node_type == 2 else was.p1) and r.p4 == (3 - was.p4 if r.node_type == 2 and r.p3 == 1 else was.p4)
+    with pytest.raises(ValueError, match="lacks"):
+        populations.load_population(spark, str(tmp_path / "saved"), turned.where("idx < 2"))
+
+
 def test_search_checks_its_sizes():
+    with pytest.raises(ValueError, match="named"):
+        evolution.Search([], rates={"none": 1.0})
     with pytest.raises(ValueError):
         evolution.Search([], population=4, n_elites=4)
