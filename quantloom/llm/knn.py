@@ -2,18 +2,22 @@
 
 A tree halves its shard at the median of the widest side of each node's tight bounding box, down to
 leaves of about ``LEAF`` vectors.  A query's inner product with anything in a box is at most the sum,
-over the dimensions, of the larger product with the box's two sides.  A search expands nodes whose
-bound reaches the query's kth best score so far, visits leaves from the best bound down, and stops
-when no bound reaches it.  The kth score travels: a first search of one shard gives every query a
-score to beat in all shards, and within a task it goes on from shard to shard.
-
-Queries are broadcast in blocks of ``BLOCK_BYTES``; every block meets every shard once.
+over the dimensions, of the larger product with the box's two sides.  A search is best-first: each query opens its
+nodes in the order of their bounds, from a queue of its own, and stops when the best bound left does not reach its kth
+best score so far.  Queries of a block that open the same node at the same turn do so together.  The kth score
+travels: a first search of one shard gives every query a score to beat in all shards, and within a task it goes
+on from shard to shard.
+
+Queries are a table of blocks, trees a table of shards.  Every group of at most ``GROUP_SHARDS`` shards meets all blocks in
+one place, where its trees are held and the blocks stream past, so a task holds a few trees and one block however many
+there are.  Of all this only the first shard's tree, one of at most ``SHARD_ROWS`` vectors, is broadcast.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from .storage import checkpointed
 
 SHARD_ROWS, LEAF = 4096, 128
-BLOCK_BYTES = 32 << 20
+#: Shards whose trees a task holds at most at once, and queries of a block.
+GROUP_SHARDS, BLOCK_QUERIES = 32, 1000
 LEAST = np.iinfo(np.int64).min + 1  # can be negated
 FREE = np.iinfo(np.int64).max
 
@@ -76,22 +81,28 @@ class Search:
         return self.up[rows] @ high.T + self.down[rows] @ low.T
 
     def add(self, ids: np.ndarray, points: np.ndarray, boxes: list, cuts: np.ndarray) -> None:
-        everyone = np.arange(len(self.ids))
-        nodes = np.zeros(1, np.int64)
-        for level, (low, high) in enumerate(boxes):
-            bound = self._bound(everyone, low[nodes], high[nodes])
-            open_ = (bound >= self.kth()[:, None]).any(axis=0)
-            if level < len(boxes) - 1:
-                nodes = (2 * nodes[open_][:, None] + np.arange(2)).ravel()
-        best = np.argsort(-bound, axis=1, kind="stable")
-        for turn in range(bound.shape[1]):
-            leaf = best[:, turn]
-            live = np.flatnonzero(bound[everyone, leaf] >= self.kth())
-            if not len(live):
-                break
-            for n in np.unique(leaf[live]):
-                a, b = cuts[nodes[n]], cuts[nodes[n] + 1]
-                self._offer(live[leaf[live] == n], ids[a:b], points[a:b])
+        """Searches one tree; its nodes are numbered from 1, those below n are 2 n and 2 n + 1."""
+        everyone, leaves = np.arange(len(self.ids)), 1 << (len(boxes) - 1)
+        none = np.finfo(np.float64).min if self.q.dtype == np.float64 else LEAST
+        queue = np.full((len(self.ids), 2 * leaves), none, self.q.dtype)  # bounds of each query's open nodes
+        low, high = (np.concatenate([b[side] for b in boxes]) for side in (0, 1))
+        queue[:, 1] = self._bound(everyone, low[:1], high[:1])[:, 0]
+        live = everyone
+        while len(live):
+            node = queue[live].argmax(axis=1)
+            bound = queue[live, node]
+            going = (bound > none) & (bound >= self.kth()[live])
+            live, node = live[going], node[going]
+            queue[live, node] = none
+            order = np.argsort(node, kind="stable")
+            edge = np.flatnonzero(np.diff(node[order], prepend=-1)).tolist() + [len(node)]
+            for x, y in pairwise(edge):
+                rows, n = live[order[x:y]], int(node[order[x]])
+                if n >= leaves:
+                    first, last = cuts[n - leaves], cuts[n - leaves + 1]
+                    self._offer(rows, ids[first:last], points[first:last])
+                else:
+                    queue[rows, 2 * n : 2 * n + 2] = self._bound(rows, low[2 * n - 1 : 2 * n + 1], high[2 * n - 1 : 2 * n + 1])
 
     def _offer(self, rows: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
         score = (self.q[rows] @ points.T).astype(np.int64)
@@ -134,24 +145,71 @@ def _load(row: dict, kind: type) -> tuple:
     return read("ids"), read("points").reshape(len(read("ids")), dim).astype(kind), boxes, read("cuts")
 
 
-def _searched(trees: DataFrame, block, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best of each query in each task's shards."""
+def _blocks(asked: DataFrame, n: int) -> DataFrame:
+    """One row for each block of queries of one length: their ids and vectors as arrays."""
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id")
+        vectors = np.array(table.column("v").to_pylist(), np.int64)
+        row = {"block": table.column("block")[0].as_py(), "dim": table.column("dim")[0].as_py(), "qids": table.column("vec_id").to_numpy().tobytes(), "vectors": vectors.tobytes()}
+        return pa.Table.from_pylist([row], pa.schema([("block", pa.int64()), ("dim", pa.int64()), ("qids", pa.binary()), ("vectors", pa.binary())]))
+
+    blocks = max(1, math.ceil(n / BLOCK_QUERIES))
+    dealt = asked.select("vec_id", "v", F.size("v").cast("long").alias("dim"), F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(blocks)).alias("block"))
+    return dealt.groupBy("block", "dim").applyInArrow(build, "block long, dim long, qids binary, vectors binary")
+
+
+def _search_of(row: dict, k: int, kind: type) -> Search:
+    ids = np.frombuffer(row["qids"], np.int64)
+    beat = np.full(len(ids), LEAST) if row.get("beat") is None else np.frombuffer(row["beat"], np.int64)
+    return Search(ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dim"]).astype(kind), k, beat)
+
+
+def _piloted(blocks: DataFrame, trees: DataFrame, k: int, kind: type) -> DataFrame:
+    """blocks with the score that each query has to beat: its kth best in the first shard's trees, one for each length of vectors."""
+    first = {row["dim"]: row for row in trees.where("shard = 0").toArrow().to_pylist()}  # at most SHARD_ROWS vectors or so
+    shared = blocks.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches: dict[int, Search] = {}
         for batch in batches:
+            beat = []
             for row in batch.to_pylist():
-                if row["dim"] not in block.value:
-                    continue
-                ids, queries, to_beat, exact = block.value[row["dim"]]
-                tree = _load(row, np.float64 if exact else np.int64)
-                if row["dim"] not in searches:
-                    searches[row["dim"]] = Search(ids, queries.astype(tree[1].dtype), k, to_beat)
-                searches[row["dim"]].add(*tree)
-        for search in searches.values():
-            yield search.table()
+                search = _search_of(row, k, kind)
+                if row["dim"] in shared.value:
+                    search.add(*_load(shared.value[row["dim"]], kind))
+                beat.append(search.score[:, -1].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(beat, pa.binary())], [*batch.schema.names, "beat"])
+
+    return blocks.mapInArrow(run, "block long, dim long, qids binary, vectors binary, beat binary")
+
 
-    return trees.mapInArrow(run, "query_id long, vec_id long, score long")
+def _searched(trees: DataFrame, blocks: DataFrame, shards: int, k: int, kind: type) -> DataFrame:
+    """(query_id, vec_id, score): the best of each query in each group of shards."""
+    cores = trees.sparkSession.sparkContext.defaultParallelism
+    groups = max(math.ceil(shards / GROUP_SHARDS), min(shards, cores))
+    none = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    tree_columns, block_columns = ["shard", "ids", "points", "boxes", "cuts"], ["block", "qids", "vectors", "beat"]
+    left = trees.select(F.pmod("shard", F.lit(groups)).alias("at"), F.lit(0).alias("side"), "dim", *tree_columns, *none(blocks, block_columns))
+    right = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("at"), F.lit(1).alias("side"), "dim", *none(trees, tree_columns), *block_columns)
+    met = left.unionByName(right).repartition(groups, "at").sortWithinPartitions("at", "side", "shard", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for k_ in range(batch.num_rows):
+                row = batch.slice(k_, 1).to_pylist()[0]
+                if row["at"] != at:
+                    at, held = row["at"], []
+                if row["side"] == 0:
+                    held.append((row["dim"], _load(row, kind)))
+                else:
+                    search = _search_of(row, k, kind)
+                    for dim, tree in held:
+                        if dim == row["dim"]:
+                            search.add(*tree)
+                    yield search.table()
+
+    return met.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -161,28 +219,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0,
     take no part; vectors of different lengths don't meet; repeated queries count once (the smallest
     vector of an id), repeated rows each.  No queries or no rows give no result; other columns are
     ignored.  Products are exact while they fit a long."""
-    spark = rows.sparkSession
     vectors = checkpointed(quantized(rows, id_col, vector_col, scale))
     n, largest = vectors.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x))))).first()
-    trees = checkpointed(_trees(vectors, max(1, math.ceil(n / SHARD_ROWS))))
+    shards = max(1, math.ceil(n / SHARD_ROWS))
+    trees = checkpointed(_trees(vectors, shards))
     asked = checkpointed(quantized(queries, id_col, vector_col, scale).groupBy(F.col("vec_id")).agg(F.min("v").alias("v")))
     n_queries, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n_queries * (dim + k + 1) * 8 / BLOCK_BYTES))
-    exact = dim * max(largest or 0, 1) ** 2 < 2**53
-    results = []
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        ids, vecs = part.column("vec_id").to_numpy(), part.column("v").to_pylist()
-        of = {d: [i for i, v in enumerate(vecs) if len(v) == d] for d in {len(v) for v in vecs}}
-        block = {d: (ids[i], np.array([vecs[j] for j in i], np.int64).reshape(len(i), d), np.full(len(i), LEAST), exact) for d, i in of.items()}
-        pilot = _searched(trees.where("shard = 0"), spark.sparkContext.broadcast(block), k)
-        kth = pilot.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).toArrow()
-        beat = dict(zip(kth.column("query_id").to_pylist(), kth.column("kth").to_pylist(), strict=True))
-        for d, (i, q, _, e) in block.items():
-            block[d] = (i, q, np.array([beat.get(x, LEAST) for x in i.tolist()], np.int64), e)
-        results.append(_searched(trees, spark.sparkContext.broadcast(block), k))
-    found = results[0]
-    for more in results[1:]:
-        found = found.unionByName(more)
+    kind = np.float64 if dim * max(largest or 0, 1) ** 2 < 2**53 else np.int64
+    blocks = checkpointed(_piloted(_blocks(asked, n_queries), trees, k, kind))
+    found = _searched(trees, blocks, shards, k, kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a task and query at most
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

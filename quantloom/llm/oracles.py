@@ -81,6 +81,19 @@ kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FRO
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
+_BYTES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200),
+h AS (SELECT r, i, hash(b[i + 1 : i + 200]) AS h FROM w JOIN d USING (r)),
+twice AS (SELECT r, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+run AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g
+        FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -999) AS before FROM twice)),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM run GROUP BY r, g),
+per AS (SELECT r, sum(z - a)::BIGINT AS gone, count(*) AS n, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM spans GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(CASE WHEN n IS NULL THEN b ELSE list_reduce(list_transform(range(0, n + 1), lambda k: b[CASE WHEN k = 0 THEN 1 ELSE ends[k] + 1 END : CASE WHEN k = n THEN octet_length(b) ELSE starts[k + 1] END]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN per USING (r)"""
+
 _TOP_K = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
@@ -122,4 +135,5 @@ ORACLES: dict[str, str] = {
     "op4_source_mix": _MIX,
     "op5_kd_top_k": _TOP_K,
     "op6_quality_rules": _RULES,
+    "op9_suffix_dedup": _BYTES,
 }

@@ -222,7 +222,7 @@ def test_mixed_documents_are_what_the_mix_takes(spark):
 # 5
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     x = random.Random(3)
     vecs = [(i, [x.choice((-0.5, 0.0, 0.25, 1e-3)) for _ in range(6)]) for i in range(400)] + [(400, None), (450, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (500, [float("nan")] * 6), (550, [float("inf")] * 6), (None, [1.0] * 6), (600, [1.0, 2.0]), (650, [3.0, 1.0])]
     rows = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
@@ -235,6 +235,9 @@ def test_top_k(spark):
             want |= {(i, n): (j, -s) for n, (s, j) in enumerate(best, 1)}
     assert got == want
     assert knn.top_k(rows.limit(0), rows.limit(0)).count() == 0
+    for name, size in (("SHARD_ROWS", 30), ("GROUP_SHARDS", 3), ("BLOCK_QUERIES", 2), ("LEAF", 4)):  # many trees, groups and blocks
+        monkeypatch.setattr(knn, name, size)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.top_k(rows, rows.where("vec_id % 50 = 0")).collect()} == want
 
 
 def test_trees_prune_and_stay_exact():
@@ -245,7 +248,11 @@ def test_trees_prune_and_stay_exact():
     offered = []
     plain_offer = search._offer
     search._offer = lambda rows, i, p: (offered.append(len(rows) * len(i)), plain_offer(rows, i, p))
+    opened = []
+    plain_bound = search._bound
+    search._bound = lambda rows, low, high: (opened.append(len(rows) * len(low)), plain_bound(rows, low, high))[1]
     search.add(*knn.build_tree(ids, points.astype(float)))
+    assert sum(opened) < 60  # of 2 times 63 nodes
     for k, q in enumerate(search.q):
         s = (points @ q).astype(int)
         want = sorted(zip((-s).tolist(), ids.tolist(), strict=True))[:4]
