@@ -25,8 +25,11 @@ MAX_BROADCAST_NODES = 1_000_000
 
 
 def uniform(seed: int, *key: Column | str) -> Column:
-    """A number in [0, 1) that depends on the seed and the key alone, not on partitions."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) that depends on the seed and the key alone, not on partitions.
+
+    52 bits of an MD5 digest, so that any SQL engine draws the same numbers; nulls in a key don't count."""
+    parts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def lcg(state: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trees import ACTION, CLOSE_ALL, COLUMNS, DECISION, ROOT, random_action, random_decision, uniform, with_paths
+from .trees import ACTION, CLOSE_ALL, COLUMNS, DECISION, HOLD, LONG, ROOT, random_action, random_decision, uniform, with_paths
 
 _P = ("p1", "p2", "p3", "p4")
 
@@ -40,14 +40,20 @@ def root_branch_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_dep
     return _numbered(both.where(F.col("part") == donor).withColumn("part", F.col("branch")).withColumn("parent_part", F.col("branch")))
 
 
-def node_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth: int = 10) -> DataFrame:
+def _place(free: bool) -> Column:
+    """What two nodes must share to be exchanged: the branch, or, freely, only what actions it allows."""
+    return F.when(F.col("branch") == HOLD, HOLD).otherwise(LONG) if free else F.col("branch")
+
+
+def node_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth: int = 10, free: bool = False) -> DataFrame:
     """Children like their first parent, with the parameters of some nodes taken from nodes of the same type and branch of the second.
 
-    At most half of the nodes of a kind are paired, at least one."""
+    free: of any branch that allows the same actions.  At most half of the nodes of a kind are paired, at least one."""
     paths = with_paths(nodes, max_depth)
-    kind = ["child", "node_type", "branch"]
+    kind = ["child", "node_type", "place"]
 
     def ranked(df: DataFrame, salt: str) -> DataFrame:
+        df = df.withColumn("place", _place(free))
         order = Window.partitionBy(*kind).orderBy(uniform(seed, F.lit(salt), "child", "node_idx"))
         return df.where(F.col("node_type") != ROOT).withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*kind)))
 
@@ -58,11 +64,12 @@ def node_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth: int
     return child.select(F.col("child").alias("tree_id"), "node_idx", "node_type", "parent_idx", "depth", *[F.when(F.col("_c").isNotNull(), F.col(f"_{p}")).otherwise(F.col(p)).alias(p) for p in _P])
 
 
-def subtree_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth: int = 10, max_nodes: int = 256) -> DataFrame:
+def subtree_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth: int = 10, max_nodes: int = 256, free: bool = False) -> DataFrame:
     """Children like their first parent, with one subtree replaced by one of the second parent's.
 
-    Both subtrees have roots of the same type and branch, so siblings stay alike.  Of some random candidates the
-    first that keeps depth and size limits is taken; without one the child is a copy of the first parent."""
+    Both subtrees have roots of the same type and branch, so siblings stay alike (free: of any branch that allows the same
+    actions).  Candidates are paired at random; one of those that keep depth and size limits is taken; without one the
+    child is a copy of the first parent."""
     paths = with_paths(nodes, max_depth)
     span = paths.select("tree_id", F.explode("path").alias("top"), F.col("depth").alias("d")).groupBy("tree_id", "top").agg(F.max("d").alias("deepest"), F.count("*").alias("size"))
     sized = paths.join(span.withColumnRenamed("top", "node_idx"), ["tree_id", "node_idx"])
@@ -70,13 +77,14 @@ def subtree_crossover(pairs: DataFrame, nodes: DataFrame, seed: int, max_depth:
 
     def candidates(which: str, salt: str) -> DataFrame:
         rows = pairs.join(sized, F.col(which) == F.col("tree_id")).where(F.col("node_type") != ROOT)
-        order = Window.partitionBy("child", "node_type", "branch").orderBy(uniform(seed, F.lit(salt), "child", "node_idx"))
-        return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 8").select("child", "first", "node_type", "branch", "rank", "node_idx", "parent_idx", "depth", "deepest", "size")
+        rows = rows.withColumn("place", _place(free))
+        order = Window.partitionBy("child", "node_type", "place").orderBy(uniform(seed, F.lit(salt), "child", "node_idx"))
+        return rows.withColumn("rank", F.row_number().over(order)).select("child", "first", "node_type", "place", "rank", "node_idx", "parent_idx", "depth", "deepest", "size")
 
     a, b = candidates("first", "a").alias("a"), candidates("second", "b").alias("b")
     fits = (F.col("a.depth") + F.col("b.deepest") - F.col("b.depth") < max_depth) & (F.col("total") - F.col("a.size") + F.col("b.size") <= max_nodes)
-    met = a.join(b, ["child", "node_type", "branch", "rank"]).join(total, F.col("a.first") == F.col("tree_id")).where(fits)
-    chosen = F.min_by(F.struct(F.col("a.node_idx").alias("at"), F.col("a.parent_idx").alias("under"), F.col("b.node_idx").alias("from"), (F.col("a.depth") - F.col("b.depth")).alias("shift")), uniform(seed, F.lit("pick"), "child", "node_type", "branch", "rank"))
+    met = a.join(b, ["child", "node_type", "place", "rank"]).join(total, F.col("a.first") == F.col("tree_id")).where(fits)
+    chosen = F.min_by(F.struct(F.col("a.node_idx").alias("at"), F.col("a.parent_idx").alias("under"), F.col("b.node_idx").alias("from"), (F.col("a.depth") - F.col("b.depth")).alias("shift")), uniform(seed, F.lit("pick"), "child", "node_type", "place", "rank"))
     cut = met.groupBy("child").agg(chosen.alias("x")).select(F.col("child").alias("_c"), "x.*")
     own = _parents(pairs, paths, "first").join(cut, F.col("child") == F.col("_c"), "left").where("at IS NULL OR NOT array_contains(path, at)")
     own = own.select("child", *COLUMNS[1:], "branch", F.lit(1).alias("part"), F.lit(1).alias("parent_part"))
@@ -187,28 +195,50 @@ def delete_node(nodes: DataFrame, seed: int, rate: float = 0.2, max_depth: int =
 
 
 def add_subtree(nodes: DataFrame, catalog: list[tuple], seed: int, rate: float = 0.2, most: int = 3, max_depth: int = 10, max_children: int = 30, max_nodes: int = 256) -> DataFrame:
-    """A chain of 1 to most decisions that ends in an action, under one node of some trees that has decisions below."""
+    """A subtree of 1 to most decisions under one node of some trees that has decisions below.
+
+    A new decision hangs below that node or a new one before it, as drawn, where depth allows it and else below that
+    node; new decisions without others below end in an action.  Only nodes and trees with room for the largest are chosen."""
     paths = with_paths(nodes, max_depth)
-    room = _spans(paths).where((F.col("kids") > 0) & (F.col("acts") == 0) & (F.col("kids") < max_children) & (F.col("depth") + 2 < max_depth) & (F.col("total") + most + 1 <= max_nodes))
+    room = _spans(paths).where((F.col("kids") > 0) & (F.col("acts") == 0) & (F.col("kids") + most <= max_children) & (F.col("depth") + 2 < max_depth) & (F.col("total") + 2 * most <= max_nodes))
     cut = _picked(room, seed, "add_subtree", rate, (max_children - F.col("kids")) / (F.col("depth") + 1.0))
     last = nodes.groupBy("tree_id").agg(F.max("node_idx").alias("last"))
-    n = F.least(F.floor(1 + most * uniform(seed, F.lit("length"), "_t")), F.lit(max_depth) - F.col("level") - 2).cast("int")
-    steps = cut.join(last, F.col("_t") == F.col("tree_id")).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") + 1)))
-    leaf = F.col("k") > F.col("n")
+
+    def grow(made: Column, k: Column) -> Column:
+        drawn = F.floor(uniform(seed, F.lit("under"), "_t", k) * k).cast("int")
+        above = F.try_element_at(made, F.greatest(drawn, F.lit(1)))["level"]
+        nested = (drawn > 0) & (above + 2 < max_depth)
+        one = F.struct(F.when(nested, drawn).otherwise(0).alias("up"), (F.when(nested, above).otherwise(F.col("level")) + 1).alias("level"))
+        return F.concat(made, F.array(one))
+
+    numbers = F.sequence(F.lit(1), F.floor(1 + most * uniform(seed, F.lit("length"), "_t")).cast("int"))
+    grown = cut.join(last, F.col("_t") == F.col("tree_id")).withColumn("made", F.aggregate(numbers, F.array().cast("array<struct<up:int,level:int>>"), grow))
+    places = F.sequence(F.lit(1), F.size("made"))
+    ends = F.filter(places, lambda k: ~F.exists(F.col("made"), lambda one: one["up"] == k))
     ask, act = random_decision(catalog, "_t", "k", seed=seed), random_action(F.col("side"), "_t", "k", seed=seed)
-    new = steps.select(
-        "tree_id", (F.col("last") + F.col("k")).cast("int").alias("node_idx"), F.when(leaf, ACTION).otherwise(DECISION).alias("node_type"),
-        F.when(F.col("k") == 1, F.col("at")).otherwise(F.col("last") + F.col("k") - 1).cast("int").alias("parent_idx"), (F.col("level") + F.col("k")).cast("int").alias("depth"), *[F.when(leaf, act[p]).otherwise(ask[p]).alias(p) for p in _P],
+    asks = grown.withColumn("k", F.explode(places)).withColumn("one", F.element_at("made", F.col("k"))).select(
+        "tree_id", (F.col("last") + F.col("k")).alias("node_idx"), F.lit(DECISION).alias("node_type"), F.when(F.col("one.up") == 0, F.col("at")).otherwise(F.col("last") + F.col("one.up")).alias("parent_idx"),
+        F.col("one.level").alias("depth"), *[ask[p].alias(p) for p in _P],
     )
-    return nodes.select(COLUMNS).unionByName(new)
+    acts = grown.select("*", F.posexplode(ends).alias("nth", "k")).select(
+        "tree_id", (F.col("last") + F.size("made") + F.col("nth") + 1).alias("node_idx"), F.lit(ACTION).alias("node_type"), (F.col("last") + F.col("k")).alias("parent_idx"),
+        (F.element_at("made", F.col("k"))["level"] + 1).alias("depth"), *[act[p].alias(p) for p in _P],
+    )
+    return nodes.select(COLUMNS).unionByName(asks).unionByName(acts)
 
 
 def delete_subtree(nodes: DataFrame, seed: int, rate: float = 0.2, alpha: float = 1.0, max_depth: int = 10) -> DataFrame:
-    """One subtree of some trees goes, rather a large one; only one with siblings, so no node is left without children."""
+    """One subtree of some trees goes, rather a large one, with the decisions above it that would be left without children.
+
+    So what is cut hangs at the nearest node on its path that has siblings; a subtree without such a node, the only
+    thing below its root, stays."""
     paths = with_paths(nodes, max_depth)
-    room = _spans(paths).where((F.col("node_type") != ROOT) & (F.col("siblings") > 1))
-    cut = _picked(room, seed, "delete_subtree", rate, F.pow(F.col("size").cast("double"), F.lit(alpha)))
-    return paths.join(cut, F.col("tree_id") == F.col("_t"), "left").where("at IS NULL OR NOT array_contains(path, at)").select(COLUMNS)
+    spans = _spans(paths).where(F.col("node_type") != ROOT)
+    tops = spans.where("siblings > 1").select("tree_id", F.col("node_idx").alias("top"), F.col("depth").alias("_d"))
+    lifted = spans.select("tree_id", "node_idx", F.explode("path").alias("top")).join(tops, ["tree_id", "top"]).groupBy("tree_id", "node_idx").agg(F.max_by("top", "_d").alias("top"))
+    cut = _picked(spans.join(lifted, ["tree_id", "node_idx"]), seed, "delete_subtree", rate, F.pow(F.col("size").cast("double"), F.lit(alpha)))
+    cut = cut.join(lifted, F.expr("_t = tree_id AND at = node_idx")).select("_t", "top")
+    return paths.join(cut, F.col("tree_id") == F.col("_t"), "left").where("top IS NULL OR NOT array_contains(path, top)").select(COLUMNS)
 
 
 def repair_roots(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import variation_oracles
 from .functions.candles import PATTERNS
 from .functions.registry import RULES
 
@@ -325,4 +326,4 @@ OTHER["feature_pipeline"] = f"""WITH {TICKS}, {bars_cte("bars", "30 minutes")},
 SELECT b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS ts, {", ".join(f'round({a}."{n}", 6) AS "{n}_{tf}"' for n in _WIDE for a, tf in (("b", "30m"), ("h", "1h")))}
 FROM b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.ts + INTERVAL '30 minutes' >= h.ts + INTERVAL '1 hour' WHERE b."SMA_20" IS NOT NULL AND h."SMA_20" IS NOT NULL"""
 
-ORACLES: dict[str, str] = FEATURES | OTHER
+ORACLES: dict[str, str] = FEATURES | OTHER | variation_oracles.oracles(_TREES)

@@ -254,8 +254,13 @@ def random_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.random_population(spark, 50, CATALOG, max_depth=5, seed=7)
 
 
-def _varied(make: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: make(_trees(spark)).select(trees.COLUMNS)
+def _varied(make: Callable[[DataFrame], DataFrame], deeper: bool = False) -> Query:
+    """make over the trees; deeper: over trees of which each got a decision more, so that their branches differ."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = _trees(spark)
+        return make(variation.add_node(nodes, CATALOG, 9, rate=1.0, max_depth=5) if deeper else nodes).select(trees.COLUMNS)
+
+    return run
 
 
 def _crossed(make: Callable[..., DataFrame]) -> Query:
@@ -295,10 +300,12 @@ QUERIES: dict[str, Query] = {
     "mutate_parameters": _varied(lambda n: variation.mutate_parameters(n, CATALOG, 1, rate=0.5)),
     "reinitialize_nodes": _varied(lambda n: variation.reinitialize_nodes(n, CATALOG, 1, rate=0.5, max_depth=5)),
     "add_node": _varied(lambda n: variation.add_node(n, CATALOG, 1, rate=1.0, max_depth=5)),
-    "delete_node": _varied(lambda n: variation.delete_node(n, 1, rate=1.0, max_depth=5)),
-    "add_subtree": _varied(lambda n: variation.add_subtree(n, CATALOG, 1, rate=1.0, max_depth=6)),
-    "delete_subtree": _varied(lambda n: variation.delete_subtree(n, 1, rate=1.0, max_depth=5)),
+    "delete_node": _varied(lambda n: variation.delete_node(n, 1, rate=1.0, max_depth=5), deeper=True),
+    "add_subtree": _varied(lambda n: variation.add_subtree(n, CATALOG, 1, rate=1.0, max_depth=6), deeper=True),
+    "delete_subtree": _varied(lambda n: variation.delete_subtree(n, 1, rate=1.0, max_depth=5), deeper=True),
     "subtree_crossover": _crossed(variation.subtree_crossover),
     "node_crossover": _crossed(variation.node_crossover),
+    "subtree_crossover_free": _crossed(lambda *x: variation.subtree_crossover(*x, free=True)),
+    "node_crossover_free": _crossed(lambda *x: variation.node_crossover(*x, free=True)),
     "root_branch_crossover": _crossed(variation.root_branch_crossover),
 }
