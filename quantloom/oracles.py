@@ -326,4 +326,36 @@ OTHER["feature_pipeline"] = f"""WITH {TICKS}, {bars_cte("bars", "30 minutes")},
 SELECT b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS ts, {", ".join(f'round({a}."{n}", 6) AS "{n}_{tf}"' for n in _WIDE for a, tf in (("b", "30m"), ("h", "1h")))}
 FROM b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.ts + INTERVAL '30 minutes' >= h.ts + INTERVAL '1 hour' WHERE b."SMA_20" IS NOT NULL AND h."SMA_20" IS NOT NULL"""
 
+_QUAD = lambda now, past: f"(0.0962 * {now} + 0.5769 * {past}[2] - 0.5769 * {past}[4] - 0.0962 * {past}[6]) * (0.075 * period + 0.54)"
+_PUSH = lambda now, past, n=6: f"list_prepend({now}, {past}[1:{n - 1}])"
+_ZEROS = "[0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[]"
+#: Dominant cycle, bar after bar: h holds the state after each bar, lists of past values the latest first.
+OTHER["hilbert"] = f"""WITH RECURSIVE {BARS},
+m AS (SELECT *, CASE WHEN rn >= 4 THEN (4 * close + 3 * {lag("close")} + 2 * {lag("close", 2)} + {lag("close", 3)}) / 10 ELSE 0 END AS smooth FROM bars),
+b AS (SELECT symbol, ts, rn, smooth, list_reverse(list(smooth) {over(50)}) AS xs, list_reverse(list(close) {over(50)}) AS cs FROM m),
+h AS (
+  SELECT DISTINCT symbol, NULL::TIMESTAMP AS ts, 0::BIGINT AS rn, {_ZEROS} AS sm, {_ZEROS} AS dt, {_ZEROS} AS q1, {_ZEROS} AS i1, 0.0::DOUBLE AS i2, 0.0::DOUBLE AS q2, 0.0::DOUBLE AS re, 0.0::DOUBLE AS im, 0.0::DOUBLE AS period, 0.0::DOUBLE AS sp,
+    {_ZEROS} AS line, 0::BIGINT AS days, 0.0::DOUBLE AS phase, 0.0::DOUBLE AS s, 0.0::DOUBLE AS t, 0 AS flat FROM bars
+  UNION ALL
+  SELECT symbol, ts, rn, {_PUSH("smooth", "sm")}, {_PUSH("dt0", "dt")}, {_PUSH("q0", "q1")}, {_PUSH("i0", "i1")}, i2n, q2n, ren, imn, pn, spn,
+    {_PUSH("CASE WHEN span = 0 THEN 0.0 ELSE l0 END", "line")}, CASE WHEN span = 0 THEN days ELSE dn END, CASE WHEN span = 0 THEN phase ELSE ph END, CASE WHEN span = 0 THEN s ELSE sn END, CASE WHEN span = 0 THEN t ELSE tn END,
+    CASE WHEN tl <> 0 AND abs((smooth - tl) / tl) >= 0.015 THEN 1 WHEN dn = 1 AND turned OR dn < 0.5 * spn OR (spn <> 0 AND ph - phase > 0.67 * 360 / spn AND ph - phase < 1.5 * 360 / spn) THEN 0 ELSE 1 END
+  FROM (SELECT *, CASE WHEN turned THEN 1 ELSE days + 1 END AS dn, (4 * l0 + 3 * line[1] + 2 * line[2] + line[3]) / 10 AS tl
+  FROM (SELECT *, (sn > tn) <> (s > t) AS turned
+  FROM (SELECT *, sin(radians(ph)) AS sn, sin(radians(ph + 45)) AS tn
+  FROM (SELECT *, CASE WHEN raw > 315 THEN raw - 360 ELSE raw END AS ph
+  FROM (SELECT *, CASE WHEN abs(imag) > 0.01 THEN degrees(atan(real / imag)) ELSE 90 * sign(real) END + 90 + 360 / greatest(spn, 1e-9) + CASE WHEN imag < 0 THEN 180 ELSE 0 END AS raw
+  FROM (SELECT *, list_sum(list_transform(range(len), lambda k: sin(radians(360 * k / span)) * xs[k + 1])) AS real, list_sum(list_transform(range(len), lambda k: cos(radians(360 * k / span)) * xs[k + 1])) AS imag, list_avg(cs[1:len]) AS l0
+  FROM (SELECT *, least(span, rn) AS len
+  FROM (SELECT *, CAST(floor(spn + 0.5) AS BIGINT) AS span
+  FROM (SELECT *, 0.33 * pn + 0.67 * sp AS spn
+  FROM (SELECT *, 0.2 * least(greatest(CASE WHEN period <> 0 THEN least(greatest(found, 0.67 * period), 1.5 * period) ELSE found END, 6), 50) + 0.8 * period AS pn
+  FROM (SELECT *, CASE WHEN imn <> 0 AND ren <> 0 THEN 360 / degrees(atan(imn / ren)) ELSE period END AS found
+  FROM (SELECT *, 0.2 * (i2n * i2 + q2n * q2) + 0.8 * re AS ren, 0.2 * (i2n * q2 - q2n * i2) + 0.8 * im AS imn
+  FROM (SELECT *, 0.2 * (i0 - {_QUAD("q0", "q1")}) + 0.8 * i2 AS i2n, 0.2 * (q0 + {_QUAD("i0", "i1")}) + 0.8 * q2 AS q2n
+  FROM (SELECT *, {_QUAD("dt0", "dt")} AS q0, dt[3] AS i0
+  FROM (SELECT h.* EXCLUDE (ts, rn, flat), b.ts, b.rn, b.smooth, b.xs, b.cs, {_QUAD("b.smooth", "sm")} AS dt0 FROM h JOIN b ON b.symbol = h.symbol AND b.rn = h.rn + 1)))))))))))))))
+)
+SELECT symbol, {STAMP}, CASE WHEN rn > 32 THEN round(sp, 6) END AS "HT_DCPERIOD", CASE WHEN rn > 63 THEN flat ELSE 0 END AS "HT_TRENDMODE", CASE WHEN rn > 63 THEN round(s, 6) END AS "HT_SINE", CASE WHEN rn > 63 THEN round(t, 6) END AS "HT_LEADSINE" FROM h WHERE rn > 0"""
+
 ORACLES: dict[str, str] = FEATURES | OTHER | variation_oracles.oracles(_TREES)
