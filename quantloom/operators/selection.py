@@ -23,15 +23,20 @@ def roulette(fitness: DataFrame, drawn: DataFrame) -> DataFrame:
     whole = Window.partitionBy()  # one row for each tree of a population
     shifted = fitness.withColumn("w", F.col("fitness") - F.least(F.min("fitness").over(whole), F.lit(0.0)))
     weighed = shifted.withColumn("w", F.when(F.sum("w").over(whole) > 0, F.col("w")).otherwise(1.0))
-    upto = weighed.withColumn("hi", F.sum("w").over(Window.orderBy("tree_id"))).withColumn("lo", F.col("hi") - F.col("w")).withColumn("all", F.sum("w").over(whole))
-    met = drawn.join(F.broadcast(upto), F.expr("u * all >= lo AND u * all < hi"))
+    upto = weighed.withColumn("hi", F.sum("w").over(Window.orderBy("tree_id"))).withColumn("lo", F.col("hi") - F.col("w"))
+    whole = weighed.agg(F.sum("w").alias("all"), F.count("*").alias("n"))  # one row
+    bucket = lambda x: F.floor(x / F.col("all") * F.col("n"))  # noqa: E731  rises with x, so a draw meets its tree by an equal bucket
+    spread = upto.join(F.broadcast(whole), how="cross").select("tree_id", "lo", "hi", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))).alias("bucket"))
+    placed = drawn.join(F.broadcast(whole), how="cross").withColumn("x", F.col("u") * F.col("all")).withColumn("bucket", bucket(F.col("x")))
+    met = placed.join(spread, "bucket").where("x >= lo AND x < hi")
     return met.groupBy("draw").agg(F.min("tree_id").alias("tree_id"))
 
 
 def tournament(fitness: DataFrame, entries: DataFrame) -> DataFrame:
     """(draw, tree_id): the fittest of the trees that a draw's entries (draw, entry, u) pick; the earlier entry of equals."""
-    ranked = fitness.withColumn("rank", F.row_number().over(Window.orderBy("tree_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    met = entries.join(F.broadcast(ranked), F.expr("CAST(floor(u * n) AS INT) = rank"))
+    ranked = fitness.withColumn("rank", F.row_number().over(Window.orderBy("tree_id")) - 1)
+    n = fitness.agg(F.count("*").alias("n"))  # one row
+    met = entries.join(F.broadcast(n), how="cross").withColumn("rank", F.floor(F.col("u") * F.col("n")).cast("int")).join(ranked, "rank")
     return met.groupBy("draw").agg(F.max_by("tree_id", F.struct("fitness", -F.col("entry"))).alias("tree_id"))
 
 

@@ -304,6 +304,9 @@ d AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY tree_id ORDER BY bar)) -
 m AS (SELECT tree_id, count(*) FILTER (profit <> 0) AS n, sum(profit) / count(*) FILTER (profit <> 0) AS mean_return,
   CASE WHEN sum(greatest(-profit, 0)) > 0 THEN least(sum(greatest(profit, 0)) / (sum(greatest(-profit, 0)) + 1e-9), 100) ELSE 100 END AS profit_factor,
   count(*) FILTER (profit > 0) / count(*) FILTER (profit <> 0) AS win_rate, max(drop) AS max_drawdown, product(1 + profit) AS compound_value FROM d GROUP BY tree_id)"""
+_MOST = _MEASURED.replace("user_id % 20", "CAST(length(bin(user_id)) AS BIGINT)").replace("max(drop) AS max_drawdown", "max(drop) AS max_drawdown, sum(profit * profit) AS sum_squares, sum(least(profit, 0)) AS sum_losses, count(*) FILTER (profit < 0) AS n_losses, sum(CASE WHEN profit < 0 THEN profit * profit ELSE 0 END) AS sum_square_losses")
+_MATED = f"{_SCORES}, e AS (SELECT * FROM s ORDER BY fitness DESC, tree_id LIMIT 16), d AS (SELECT range AS draw, {variation_oracles.drawn(3, None, 'range')} AS u FROM range(80))"
+_PAIRS = "SELECT draw // 2 AS child, arg_min(tree_id, draw) AS first, arg_max(tree_id, draw) AS second FROM drawn GROUP BY ALL"
 _PART = lambda c: f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END"
 OTHER |= {
     "elites": f"WITH {_SCORES} SELECT tree_id, fitness FROM s ORDER BY fitness DESC, tree_id LIMIT 8",
@@ -314,6 +317,14 @@ d AS (SELECT range // 4 AS draw, range % 4 AS entry, {_DRAWN} AS u FROM range(40
     "best_pool": f"WITH {_SCORES}, x AS (SELECT tree_id, fitness FROM s WHERE tree_id < 5 UNION ALL SELECT tree_id, fitness FROM s WHERE tree_id >= 5 AND tree_id % 10 > 6 AND tree_id % 4 / 4.0 < 0.6) SELECT * FROM x ORDER BY fitness DESC, tree_id LIMIT 8",
     "next_generation": f"""WITH {_TREES}, e AS (SELECT tree_id AS old, row_number() OVER (ORDER BY (tree_id * 7) % 10 DESC, tree_id) - 1 AS new FROM t QUALIFY new < 3)
 SELECT e.new AS tree_id, node_idx, node_type, parent_idx FROM nodes JOIN e ON tree_id = old UNION ALL SELECT tree_id + 3, node_idx, node_type, parent_idx FROM nodes WHERE tree_id < 4""",
+    "mating_roulette": f"""WITH {_MATED}, w AS (SELECT tree_id, fitness - least(min(fitness) OVER (), 0) AS w FROM e), c AS (SELECT tree_id, w, sum(w) OVER (ORDER BY tree_id) AS hi, sum(w) OVER () AS a FROM w),
+drawn AS (SELECT draw, min(tree_id) AS tree_id FROM d JOIN c ON u * a >= hi - w AND u * a < hi GROUP BY draw) {_PAIRS}""",
+    "mating_tournament": f"""WITH {_MATED}, k AS (SELECT *, row_number() OVER (ORDER BY tree_id) - 1 AS rank FROM e), t AS (SELECT draw, entry, {variation_oracles.drawn(3, None, 'draw', 'entry')} AS u FROM d, (SELECT range AS entry FROM range(5))),
+drawn AS (SELECT draw, arg_max(tree_id, (fitness, -entry)) AS tree_id FROM t JOIN k ON floor(u * 16) = rank GROUP BY draw) {_PAIRS}""",
+    "metrics_minimum": f"WITH {_MOST} SELECT tree_id, n, " + ", ".join(f"CASE WHEN n >= 500 THEN round({c}, 6) END AS {c}" for c in ("mean_return", "profit_factor", "win_rate", "max_drawdown", "compound_value", "sum_squares", "sum_losses", "sum_square_losses")) + ", CASE WHEN n >= 500 THEN n_losses END AS n_losses FROM m",
+    "kline_files": f"WITH {BARS} SELECT symbol, {STAMP}, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume FROM bars",
+    "funding_files": "SELECT 'ALL' AS symbol, strftime(time_bucket(INTERVAL '8 hours', ts), '%Y-%m-%d %H:%M:%S') AS ts, round((avg(value) - 50) / 1e5, 12) AS funding_rate FROM events WHERE event_type = 'error' GROUP BY ALL",
+    "population_files": f"WITH {_TREES} SELECT tree_id, node_idx, node_type, parent_idx, depth, CASE WHEN node_type = 2 THEN 3 - p1 ELSE p1 END AS p1, p2, p3, CASE WHEN node_type = 2 AND p3 = 1 THEN 3 - p4 ELSE p4 END AS p4 FROM nodes",
     "metrics": f"WITH {_MEASURED} SELECT tree_id, n, round(mean_return, 8) AS mean_return, round(profit_factor, 6) AS profit_factor, round(win_rate, 6) AS win_rate, round(max_drawdown, 6) AS max_drawdown, round(compound_value, 6) AS compound_value FROM m",
     "fitness": f"""WITH {_MEASURED} SELECT tree_id, round(0.1 * ({_PART("mean_return")}) + 0.2 * ({_PART("profit_factor")}) + 0.15 * ({_PART("win_rate")}) + 0.15 * (1 - ({_PART("max_drawdown")})) + 0.4 * ({_PART("compound_value")}), 6) AS fitness FROM m""",
     "train_test_split": f"WITH {BARS}, {_X}, y AS (SELECT *, CAST(floor((max(bar) OVER (PARTITION BY symbol)) * 0.7::DOUBLE) AS BIGINT) AS last FROM x) SELECT symbol, CASE WHEN bar < last THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(bar) AS first_bar, max(bar) AS last_bar FROM y GROUP BY ALL",

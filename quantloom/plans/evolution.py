@@ -64,18 +64,24 @@ def evaluate(nodes: DataFrame, features: DataFrame, bars: DataFrame, search: Sea
     return trees.join(measured, "tree_id", "left").join(simulator.fitness(measured), "tree_id", "left").fillna(-1.0, ["fitness"])
 
 
-def offspring(nodes: DataFrame, fitness: DataFrame, search: Search, generation: int) -> DataFrame:
-    """Children of parents drawn from the mating pool, crossed and mutated."""
-    seed = search.seed * 1_000_003 + generation
+def parent_pairs(fitness: DataFrame, search: Search, seed: int) -> DataFrame:
+    """(child, first, second): two parents for each child to come, drawn from the mating pool of the fittest."""
     n = search.population - search.n_elites
     pool = selection.elites(fitness.select("tree_id", "fitness"), search.parents)
+    drawn = selection.draws(fitness.sparkSession, 2 * n, seed)
     if search.tournament:
-        entries = selection.draws(nodes.sparkSession, 2 * n, seed).withColumn("entry", F.explode(F.sequence(F.lit(0), F.lit(search.tournament - 1)))).withColumn("u", uniform(seed, "draw", "entry"))
-        drawn = selection.tournament(pool, entries)
+        entries = drawn.withColumn("entry", F.explode(F.sequence(F.lit(0), F.lit(search.tournament - 1)))).withColumn("u", uniform(seed, "draw", "entry"))
+        parents = selection.tournament(pool, entries)
     else:
-        drawn = selection.roulette(pool, selection.draws(nodes.sparkSession, 2 * n, seed))
+        parents = selection.roulette(pool, drawn)
     child = F.floor(F.col("draw") / 2).alias("child")
-    pairs = drawn.groupBy(child).agg(F.min_by("tree_id", "draw").alias("first"), F.max_by("tree_id", "draw").alias("second"))
+    return parents.groupBy(child).agg(F.min_by("tree_id", "draw").alias("first"), F.max_by("tree_id", "draw").alias("second"))
+
+
+def offspring(nodes: DataFrame, fitness: DataFrame, search: Search, generation: int) -> DataFrame:
+    """Children of parents drawn from the mating pool, crossed and mutated."""
+    seed = search.seed * 1_000_003 + generation
+    pairs = parent_pairs(fitness, search, seed)
     pairs = cut_lineage(pairs)  # every step reads its input many times
     born = variation.crossover_chain(pairs, nodes, seed, search.weights, search.crossover_rate, search.max_depth, search.max_nodes)
     for mutate in mutations(search, seed):

@@ -14,6 +14,7 @@ from .operators import selection, simulator, trees, variation
 from .operators.bars import align, as_of, resample, ticks_to_bars
 from .plans import evolution, pipeline
 from .sources import market
+from .sources.populations import load_population, save_population
 from .sources.storage import shared_folder
 from .streaming.bars import streamed_bars
 
@@ -42,6 +43,7 @@ def _features(*calls: tuple[str, dict]) -> Query:
     return run
 
 
+_PRICES = ["open", "high", "low", "close", "volume"]
 _W14, _W20 = {"window": 14}, {"window": 20}
 _MACD = {"short_window": 12, "long_window": 26, "signal_window": 9}
 FEATURES: dict[str, Query] = {
@@ -236,6 +238,45 @@ def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulator.fitness(_measured(spark, sf_dir)).select("tree_id", F.round("fitness", 6).alias("fitness"))
 
 
+def metrics_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics, sums for further ones included; trees of fewer than 500 trades have none."""
+    rows = _read(spark, sf_dir, "events")
+    profit = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise((F.col("value") - 50) / 5000)
+    found = simulator.metrics(rows.select(F.length(F.bin("user_id")).cast("long").alias("tree_id"), F.col("event_id").alias("bar"), profit.alias("profit")), 500)
+    return found.select("tree_id", "n", *[F.round(c, 6).alias(c) for c in found.columns[2:] if c != "n_losses"], "n_losses")
+
+
+def _mated(tournament: int) -> Query:
+    search = evolution.Search(CATALOG, population=48, n_elites=8, parents=16, pool_size=8, tournament=tournament)
+    return lambda spark, sf_dir: evolution.parent_pairs(_scores(spark, sf_dir), search, 3)
+
+
+def kline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written as raw kline CSV files, a folder for each symbol, and read back."""
+    path = f"{shared_folder(spark)}/klines-{uuid.uuid4().hex}"
+    raw = _bars(spark, sf_dir).select("symbol", F.unix_millis(F.col("ts").cast("timestamp")).alias("Open time"), *[F.col(c).alias(c.title()) for c in _PRICES])
+    market.write_table(raw, path, "csv", if_missing=True, partition_by=["symbol"])
+    return _shown(market.read_klines(spark, path, F.col("symbol")), _PRICES, 8)
+
+
+def funding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funding rates written as a raw CSV file and read back."""
+    path = f"{shared_folder(spark)}/funding-{uuid.uuid4().hex}"
+    at = F.window("ts", "8 hours")["start"].cast("timestamp")
+    rates = _read(spark, sf_dir, "events").where("event_type = 'error'").groupBy(F.unix_millis(at).alias("fundingTime")).agg(((F.avg("value") - 50) / 1e5).alias("fundingRate"))
+    market.write_table(rates, path, "csv")
+    back = market.read_funding_csv(spark, path, "ALL")
+    return back.select("symbol", F.date_format("funding_ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("funding_rate", 12).alias("funding_rate"))
+
+
+def population_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A population saved with its catalogue and loaded against one in another order."""
+    path = f"{shared_folder(spark)}/population-{uuid.uuid4().hex}"
+    own = spark.createDataFrame([(f"F{i}", f, lo, hi, i) for i, f, lo, hi in CATALOG], "feature string, family string, low double, high double, idx int")
+    save_population(_trees(spark), own, path)
+    return load_population(spark, path, own.withColumn("idx", 3 - F.col("idx")))[0]
+
+
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = zip(("train", "test"), evolution.split(_numbered(spark, sf_dir), 0.7), strict=True)
     one, two = (p.withColumn("part", F.lit(n)) for n, p in parts)
@@ -294,9 +335,11 @@ QUERIES: dict[str, Query] = {
     **FEATURES,
     **{f.__name__: f for f in (
         ohlc_resample, daily_resample, asof_funding, asof_multi_tf, asof_multi_tf_compat, classify, feature_order, comparison_pairs, tree_predict, tree_predict_batched, adjacency, child_overflow,
-        tree_validate, compact, subtree, root_branch_copy, critical_repair, lcg, elites, roulette, tournament, best_pool, next_generation, metrics, fitness, train_test_split, simulate, random_population,
+        tree_validate, compact, subtree, root_branch_copy, critical_repair, lcg, elites, roulette, tournament, best_pool, next_generation, metrics, metrics_minimum, fitness, kline_files, funding_files, population_files, train_test_split, simulate, random_population,
         evolve, feature_pipeline, streaming_bars,
     )},
+    "mating_roulette": _mated(0),
+    "mating_tournament": _mated(5),
     "mutate_parameters": _varied(lambda n: variation.mutate_parameters(n, CATALOG, 1, rate=0.5)),
     "reinitialize_nodes": _varied(lambda n: variation.reinitialize_nodes(n, CATALOG, 1, rate=0.5, max_depth=5)),
     "add_node": _varied(lambda n: variation.add_node(n, CATALOG, 1, rate=1.0, max_depth=5)),

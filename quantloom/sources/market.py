@@ -41,21 +41,31 @@ def from_millis(ms: Column) -> Column:
     return F.timestamp_millis(ms.try_cast("long")).cast("timestamp_ntz")
 
 
-def klines(raw: DataFrame, symbol: str) -> DataFrame:
-    """Raw kline rows with our names and types; what isn't a number becomes null."""
-    named = raw.select(*[F.col(f"`{a}`").alias(b) for a, b in KLINE_COLUMNS.items() if a in raw.columns])
+def _symbol(symbol: str | Column) -> Column:
+    return F.lit(symbol) if isinstance(symbol, str) else symbol
+
+
+def klines(raw: DataFrame, symbol: str | Column) -> DataFrame:
+    """Raw kline rows with our names and types; what isn't a number becomes null.
+
+    symbol: a name, or a column of the raw rows."""
+    named = raw.select(*[F.col(f"`{a}`").alias(b) for a, b in KLINE_COLUMNS.items() if a in raw.columns], _symbol(symbol).alias("symbol"))
     kind = dict(named.dtypes)
     when = {c: from_millis(F.col(c)) if not kind[c].startswith("timestamp") else F.col(c).cast("timestamp_ntz") for c in ("ts", "close_ts") if c in kind}
     number = {c: F.col(c).try_cast("double") for c in _PRICES if c in kind} | ({"n_trades": F.col("n_trades").try_cast("long")} if "n_trades" in kind else {})
-    return named.withColumns(when | number).withColumn("symbol", F.lit(symbol))
+    return named.withColumns(when | number)
 
 
-def read_klines_csv(spark: SparkSession, path: str, symbol: str, rows: int | None = None) -> DataFrame:
-    """A kline CSV with a header; rows: only so many, to look at a file."""
-    raw = spark.read.csv(path, header=True)
+def read_klines(spark: SparkSession, path: str, symbol: str | Column, kind: str = "csv", rows: int | None = None) -> DataFrame:
+    """Kline files of any kind that Spark reads, CSV ones with a header; rows: only so many, to look at a file."""
+    raw = spark.read.option("header", True).format(kind).load(path)
     return klines(raw.limit(rows) if rows else raw, symbol)
 
 
+def read_klines_csv(spark: SparkSession, path: str, symbol: str | Column, rows: int | None = None) -> DataFrame:
+    return read_klines(spark, path, symbol, "csv", rows)
+
+
 def read_funding_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     raw = spark.read.csv(path, header=True)
     return raw.select(F.lit(symbol).alias("symbol"), from_millis(F.col("fundingTime")).alias("funding_ts"), F.col("fundingRate").try_cast("double").alias("funding_rate"))

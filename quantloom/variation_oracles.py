@@ -5,9 +5,10 @@ from __future__ import annotations
 _COLUMNS = "tree_id, node_idx, node_type, parent_idx, depth, p1, p2, p3, p4"
 
 
-def drawn(seed: int, name: str, *key: str) -> str:
-    """SQL of a number in [0, 1): 52 bits of the digest of seed, name and key."""
-    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join([str(seed), repr(name), *key])})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+def drawn(seed: int, name: str | None, *key: str) -> str:
+    """SQL of a number in [0, 1): 52 bits of the digest of seed, name (if any) and key."""
+    parts = [str(seed), *([repr(name)] if name else []), *key]
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
 def action(seed: int, branch: str, *key: str) -> list[str]:
