@@ -8,8 +8,11 @@ An action is p1 in 1..6 with ratio p2 and leverage p3.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,55 @@ def random_population(spark: SparkSession, n_trees: int, catalog: list[tuple], m
     return cut_lineage(reduce(DataFrame.unionByName, levels).select(COLUMNS))  # what follows reads it many times
 
 
+def _shape(rng: np.random.Generator, budget: int, max_depth: int, max_children: int) -> list[tuple[int, int, int, int]]:
+    """(type, parent, depth, branch) of one tree's nodes, as weighted_population grows them."""
+    kinds, up, depth, branch, kids = [ROOT] * 3, [-1] * 3, [0] * 3, [0, 1, 2], [0] * 3
+    closed, open_ = [False] * 3, 3  # closed: has an action; open: nodes still without children
+
+    def add(kind: int, parent: int) -> None:
+        nonlocal open_
+        open_ += (kind == DECISION) - (kids[parent] == 0)
+        kids[parent] += 1
+        closed[parent] |= kind == ACTION
+        for column, x in ((kinds, kind), (up, parent), (depth, depth[parent] + 1), (branch, branch[parent]), (kids, 0), (closed, kind == ACTION)):
+            column.append(x)
+
+    while True:
+        room = (max_children - np.array(kids)) * ~np.array(closed) * (np.array(depth) + 2 < max_depth)
+        fits = np.array([len(kinds) + 1 + open_ + (k > 0) <= budget for k in kids])
+        weight = np.maximum(room * fits, 0) / (np.array(depth) + 1.0)
+        if not weight.any():
+            break
+        parent = int(rng.choice(len(kinds), p=weight / weight.sum()))
+        add(ACTION if kids[parent] == 0 and rng.random() < 0.5 else DECISION, parent)
+    for i in [i for i, k in enumerate(kids) if k == 0 and kinds[i] != ACTION]:
+        add(ACTION, i)
+    return list(zip(kinds, up, depth, branch, strict=True))
+
+
+def weighted_population(spark: SparkSession, n_trees: int, catalog: list[tuple], max_depth: int = 6, max_children: int = 30, max_nodes: int = 256, seed: int = 0) -> DataFrame:
+    """Random valid trees of half to all of max_nodes nodes, grown one node at a time.
+
+    The next node's parent is drawn by its free places over its depth + 1; a first child is an action half of the time.
+    One node stays reserved for every node without children, so that each ends in an action within the limit; a tree
+    may stay smaller where actions close all its nodes.  Trees spread over tasks, each grown from (seed, tree) alone."""
+    if max_nodes < 6 or max_depth < 2:
+        raise ValueError("a tree needs room for three roots with an action each")
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for trees in batches:
+            for t in trees["id"]:
+                rng = np.random.default_rng([seed, int(t)])
+                nodes = _shape(rng, int(rng.integers(max(6, max_nodes // 2), max_nodes + 1)), max_depth, max_children)
+                yield pd.DataFrame(nodes, columns=["node_type", "parent_idx", "depth", "branch"]).assign(tree_id=t, node_idx=range(len(nodes)))
+
+    shape = spark.range(n_trees).mapInPandas(grow, "node_type int, parent_idx int, depth int, branch int, tree_id long, node_idx int")
+    act, ask = random_action(F.col("branch"), "tree_id", "node_idx", seed=seed), random_decision(catalog, "tree_id", "node_idx", seed=seed)
+    root, leaf = F.col("node_type") == ROOT, F.col("node_type") == ACTION
+    drawn = lambda p: F.when(root, F.col("branch") if p == "p1" else 0).when(leaf, act[p]).otherwise(ask[p]).cast("double").alias(p)
+    return cut_lineage(shape.select(*COLUMNS[:5], *map(drawn, COLUMNS[5:])))
+
+
 def _hint(nodes: DataFrame, n_nodes: int | None) -> DataFrame:
     return F.broadcast(nodes) if n_nodes is not None and n_nodes <= MAX_BROADCAST_NODES else nodes
 

@@ -295,6 +295,10 @@ def random_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.random_population(spark, 50, CATALOG, max_depth=5, seed=7)
 
 
+def weighted_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.weighted_population(spark, 50, CATALOG, max_depth=6, seed=7)
+
+
 def _varied(make: Callable[[DataFrame], DataFrame], deeper: bool = False) -> Query:
     """make over the trees; deeper: over trees of which each got a decision more, so that their branches differ."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +339,7 @@ QUERIES: dict[str, Query] = {
     **FEATURES,
     **{f.__name__: f for f in (
         ohlc_resample, daily_resample, asof_funding, asof_multi_tf, asof_multi_tf_compat, classify, feature_order, comparison_pairs, tree_predict, tree_predict_batched, adjacency, child_overflow,
-        tree_validate, compact, subtree, root_branch_copy, critical_repair, lcg, elites, roulette, tournament, best_pool, next_generation, metrics, metrics_minimum, fitness, kline_files, funding_files, population_files, train_test_split, simulate, random_population,
+        tree_validate, compact, subtree, root_branch_copy, critical_repair, lcg, elites, roulette, tournament, best_pool, next_generation, metrics, metrics_minimum, fitness, kline_files, funding_files, population_files, train_test_split, simulate, random_population, weighted_population,
         evolve, feature_pipeline, streaming_bars,
     )},
     "mating_roulette": _mated(0),

@@ -69,6 +69,18 @@ def test_every_node_stays_valid(spark):
         assert found and not [r for r in found if r.faults], name
 
 
+def test_weighted_population_keeps_its_limits(spark):
+    nodes = trees.weighted_population(spark, 12, queries.CATALOG, max_depth=5, max_children=3, max_nodes=40, seed=3)
+    trees.require_valid(nodes, max_depth=5, max_children=3)
+    sizes = [r["count"] for r in nodes.groupBy("tree_id").count().collect()]
+    assert len(sizes) == 12 and max(sizes) <= 40 and min(sizes) >= 6 and len(set(sizes)) > 3
+    again = trees.weighted_population(spark, 12, queries.CATALOG, max_depth=5, max_children=3, max_nodes=40, seed=3)
+    assert nodes.exceptAll(again).count() == 0
+    small = trees.weighted_population(spark, 2, queries.CATALOG, max_nodes=6)
+    trees.require_valid(small)
+    assert small.count() == 12
+
+
 def test_invalid_trees_are_named(spark):
     bad = queries._trees(spark, 3).where("NOT (tree_id = 1 AND node_idx = 5)")
     with pytest.raises(ValueError, match="1 \\(faults 4\\)"):
