@@ -97,7 +97,7 @@ def random_population(spark: SparkSession, n_trees: int, catalog: list[tuple], m
             *[F.when(F.col("leaf"), act[p]).otherwise(ask[p]).alias(p) for p in ("p1", "p2", "p3", "p4")], "branch", "used",
         )
         levels.append(level)
-    return cut_lineage(reduce(DataFrame.unionByName, levels).select(COLUMNS))  # what follows reads it many times
+    return cut_lineage(reduce(DataFrame.unionByName, levels).select(COLUMNS).repartition("tree_id"))  # what follows reads it many times
 
 
 def _shape(rng: np.random.Generator, budget: int, max_depth: int, max_children: int) -> list[tuple[int, int, int, int]]:
@@ -162,7 +162,7 @@ def with_paths(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
         below = nodes.where(F.col("depth") == depth)
         level = below.join(up, (F.col("tree_id") == F.col("_t")) & (F.col("parent_idx") == F.col("_i"))).select(*COLUMNS, "branch", F.concat("_path", F.array("node_idx")).alias("path"))
         levels.append(level)
-    return cut_lineage(reduce(DataFrame.unionByName, levels))
+    return cut_lineage(reduce(DataFrame.unionByName, levels).repartition("tree_id"))  # what groups by tree needs no further shuffle
 
 
 def adjacency(nodes: DataFrame) -> DataFrame:

@@ -55,6 +55,8 @@ def test_every_node_stays_valid(spark):
     made = {
         "population": nodes,
         "subtree crossover": variation.subtree_crossover(pairs, nodes, 3, 5),
+        "free subtree crossover": variation.subtree_crossover(pairs, nodes, 3, 5, free=True),
+        "free node crossover": variation.node_crossover(pairs, nodes, 3, 5, free=True),
         "node crossover": variation.node_crossover(pairs, nodes, 3, 5),
         "root crossover": variation.root_branch_crossover(pairs, nodes, 3, 5),
         "parameters": variation.mutate_parameters(nodes, queries.CATALOG, 3, rate=0.7),
