@@ -319,8 +319,8 @@ d AS (SELECT range // 4 AS draw, range % 4 AS entry, {_DRAWN} AS u FROM range(40
 SELECT e.new AS tree_id, node_idx, node_type, parent_idx FROM nodes JOIN e ON tree_id = old UNION ALL SELECT tree_id + 3, node_idx, node_type, parent_idx FROM nodes WHERE tree_id < 4""",
     "mating_roulette": f"""WITH {_MATED}, w AS (SELECT tree_id, fitness - least(min(fitness) OVER (), 0) AS w FROM e), c AS (SELECT tree_id, w, sum(w) OVER (ORDER BY tree_id) AS hi, sum(w) OVER () AS a FROM w),
 drawn AS (SELECT draw, min(tree_id) AS tree_id FROM d JOIN c ON u * a >= hi - w AND u * a < hi GROUP BY draw) {_PAIRS}""",
-    "mating_tournament": f"""WITH {_MATED}, k AS (SELECT *, row_number() OVER (ORDER BY tree_id) - 1 AS rank FROM e), t AS (SELECT draw, entry, {variation_oracles.drawn(3, None, 'draw', 'entry')} AS u FROM d, (SELECT range AS entry FROM range(5))),
-drawn AS (SELECT draw, arg_max(tree_id, (fitness, -entry)) AS tree_id FROM t JOIN k ON floor(u * 16) = rank GROUP BY draw) {_PAIRS}""",
+    "mating_tournament": f"""WITH {_MATED}, k AS (SELECT *, row_number() OVER (ORDER BY tree_id) - 1 AS rank, count(*) OVER () AS n FROM e), t AS (SELECT draw, entry, {variation_oracles.drawn(3, None, 'draw', 'entry')} AS u FROM d, (SELECT range AS entry FROM range(5))),
+drawn AS (SELECT draw, arg_max(tree_id, (fitness, -entry)) AS tree_id FROM t JOIN k ON floor(u * n) = rank GROUP BY draw) {_PAIRS}""",
     "metrics_minimum": f"WITH {_MOST} SELECT tree_id, n, " + ", ".join(f"CASE WHEN n >= 500 THEN round({c}, 6) END AS {c}" for c in ("mean_return", "profit_factor", "win_rate", "max_drawdown", "compound_value", "sum_squares", "sum_losses", "sum_square_losses")) + ", CASE WHEN n >= 500 THEN n_losses END AS n_losses FROM m",
     "kline_files": f"WITH {BARS} SELECT symbol, {STAMP}, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume FROM bars",
     "funding_files": "SELECT 'ALL' AS symbol, strftime(time_bucket(INTERVAL '8 hours', ts), '%Y-%m-%d %H:%M:%S') AS ts, round((avg(value) - 50) / 1e5, 12) AS funding_rate FROM events WHERE event_type = 'error' GROUP BY ALL",
