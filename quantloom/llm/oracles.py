@@ -128,6 +128,32 @@ m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_r
 SELECT * EXCLUDE (lost), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.4::DOUBLE * n_words AS kept FROM m"""
 
+_DISTANCE = " + ".join(f"(x[{k}] - c[{k}]) * (x[{k}] - c[{k}])" for k in range(1, 5))
+
+
+def _round(n: int) -> str:
+    """Assign by the codebooks c{n}, and move them to c{n + 1}."""
+    mean = ", ".join(f"floor(sum(x[{k}]) / count(*)::DOUBLE)::BIGINT" for k in range(1, 5))
+    return f"""a{n} AS (SELECT vec_id, label, part, x, min(({_DISTANCE}) * 64 + entry) AS best FROM p JOIN c{n} USING (part) GROUP BY ALL),
+m{n} AS (SELECT part, best % 64 AS entry, [{mean}] AS c FROM a{n} GROUP BY ALL),
+c{n + 1} AS (SELECT part, entry, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (part, entry))"""
+
+
+#: For ids that are unique and vectors of 64 components.
+_CODES = f"""
+WITH p AS (
+  SELECT vec_id, label, part, list_transform(embedding[part * 4 + 1 : part * 4 + 4], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings, range(16) r(part)
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 64),
+{_round(0)},
+{_round(1)},
+f AS (SELECT vec_id, label, part, min(({_DISTANCE}) * 64 + entry) AS best FROM p JOIN c2 USING (part) GROUP BY ALL),
+v AS (SELECT vec_id, label, lower(string_agg(printf('%02x', best % 64), '' ORDER BY part)) AS code, sum(best // 64)::BIGINT AS error FROM f GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM v"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL,
     "op2_chat_format": _CHAT,
@@ -136,4 +162,5 @@ ORACLES: dict[str, str] = {
     "op5_kd_top_k": _TOP_K,
     "op6_quality_rules": _RULES,
     "op9_suffix_dedup": _BYTES,
+    "op11_vector_codes": _CODES,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cotraining, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter
+from . import chat_format, cotraining, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter, vector_codes
 from .storage import bounded_batches
 
 
@@ -80,6 +80,12 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+    digests = F.create_map(*[F.lit(x) for d in books.books for x in (d, books.digest(d))]) if books.books else F.lit(None).cast("map<long,string>")
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digests[F.col("dim")].alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dup": op8_simhash_near_dup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_two_fit": op10_best_two_fit,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES

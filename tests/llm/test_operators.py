@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import chat_format, cotraining, difference_cover, knn, mixing, oracles, packing, queries, quality, recompression, simhash, url_filter
+from quantloom.llm import chat_format, cotraining, difference_cover, knn, mixing, oracles, packing, queries, quality, recompression, simhash, url_filter, vector_codes
 from quantloom.llm import kernels as K
 
 DATA = "/root/testdata/sf0.001"
@@ -646,6 +646,73 @@ def test_two_replace_the_smallest():
     assert sorted(sizes.values()) == [3, 10]
 
 
+# 11
+
+
+def nearest_by_force(x, entries):
+    exact = [[sum((int(a) - int(b)) ** 2 for a, b in zip(v, c, strict=True)) for c in entries] for v in x]
+    return [min(range(len(entries)), key=lambda k: (d[k], k)) for d in exact], [min(d) for d in exact]
+
+
+def test_nearest_entries_by_force():
+    """Small and huge components, ties, equal entries, and distances that float32 can't tell apart."""
+    rng = np.random.default_rng(5)
+    close = np.int64(2**29) + rng.integers(-3, 4, (300, 4))
+    cases = [(rng.integers(-9, 9, (500, 3)), rng.integers(-9, 9, (64, 3))), (rng.integers(-(2**28), 2**28, (200, 4)), rng.integers(-(2**28), 2**28, (64, 4))), (close, close[:64] + rng.integers(-1, 2, (64, 4))), (np.zeros((5, 2), np.int64), np.zeros((7, 2), np.int64)), (np.zeros((3, 0), np.int64), np.zeros((2, 0), np.int64))]
+    for x, entries in cases:
+        index, distance, decided = vector_codes.nearest(x, entries)
+        assert (index.tolist(), distance.tolist()) == nearest_by_force(x, entries)
+        assert decided <= len(x) * len(entries)
+    *_, decided = vector_codes.nearest(rng.integers(-128, 128, (20_000, 4)), rng.integers(-128, 128, (64, 4)))
+    assert decided < 1.2 * 20_000  # few entries overlap the best one's interval
+
+
+def codes_by_force(rows, parts, entries, rounds):
+    """rows: (id, label, vector of one length)."""
+    dim = len(rows[0][2])
+    cut = [0]
+    for p in range(parts):
+        cut.append(cut[-1] + dim // parts + (p < dim % parts))
+    pieces = [[[v[a:b] for _, _, v in rows] for a, b in zip(cut, cut[1:], strict=False)]][0]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][2]))[:entries]
+    books = [[of[k] for k in order] for of in pieces]
+    for _ in range(rounds):
+        for of, book in zip(pieces, books, strict=True):
+            at, _ = nearest_by_force(of, book)
+            for e in range(len(book)):
+                mine = [x for x, k in zip(of, at, strict=True) if k == e]
+                book[e] = [sum(c) // len(mine) for c in zip(*mine, strict=True)] if mine else book[e]
+    found = [nearest_by_force(of, book) for of, book in zip(pieces, books, strict=True)]
+    return [(bytes(at[k] for at, _ in found), sum(d[k] for _, d in found)) for k in range(len(rows))], hashlib.sha256(",".join(str(c) for book in books for e in book for c in e).encode()).hexdigest()
+
+
+def test_codes(spark):
+    """Nulls, odd components, several lengths, repeated rows and ids, clashing names, one label on most rows."""
+    x = random.Random(8)
+    vecs = [(i // 2 if i < 40 else i, None if i % 7 == 0 else x.choice([1, 1, 1, 2]), [x.uniform(-1, 1) if i % 3 else x.choice((0.5, -0.25)) for _ in range(10)]) for i in range(200)]
+    vecs += [vecs[9], (None, 2, [0.5] * 10), (500, 1, [0.125] * 3), (501, None, [0.5, -0.5, 0.25]), (502, 2, [])]
+    odd_ones = [(600, 1, None), (601, 1, [1.0, None] * 5), (602, 1, [float("nan")] * 10), (603, 1, [float("inf")] * 10)]
+    schema = "vec_id long, label int, embedding array<float>"
+    rows = spark.createDataFrame(vecs + odd_ones, schema).withColumns({c: F.lit(7) for c in ("id", "v", "dim", "code", "error", "_key", "_hot")}).repartition(5)
+    found, books = vector_codes.compressed(rows, parts=4, entries=6, rounds=2)
+    ints = [(i, label, [math.floor(256 * float(np.float32(c))) for c in v]) for i, label, v in vecs]
+    want, totals = [], Counter()
+    for dim in (10, 3, 0):
+        mine = [r for r in ints if len(r[2]) == dim]
+        codes, digest = codes_by_force(mine, 4, 6, 2)
+        assert books.digest(dim) == digest
+        want += [(i, label, dim, code, error) for (i, label, _), (code, error) in zip(mine, codes, strict=True)]
+    for _, label, _, _, error in want:
+        totals[label] += error
+    assert Counter((r.vec_id, r.label, r.dim, bytes(r.code), r.error, r.label_error) for r in found.collect()) == Counter((*w, totals[w[1]]) for w in want)
+    code = next(c for i, _, d, c, _ in want if i == 501 and d == 3)
+    assert [*books.decode(3, code)] == next(v for i, _, v in ints if i == 501)
+    empty, none = vector_codes.compressed(rows.limit(0))
+    assert empty.count() == 0 and none.books == {}
+    with pytest.raises(Exception, match="don't fit a long"):
+        vector_codes.compressed(spark.createDataFrame([(1, 1, [1e12] * 4)], schema))
+
+
 # pipeline
 
 
