@@ -154,6 +154,28 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
   (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
 FROM v"""
 
+_PHRASES = "\n  UNION ALL ".join(f"SELECT lang, {k} AS size, array_to_string(w[i : i + {k - 1}], ' ') AS phrase FROM p, unnest(range(1, len(w) - {k - 2})) s(i)" for k in range(1, 5))
+_COLLOCATIONS = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+g AS ({_PHRASES}),
+t AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.size, c.a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1 : c.size], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, a, array_to_string(string_split(phrase, ' ')[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, phrase, size, f AS a, unnest(range(2, size)) AS k FROM f WHERE size > 2), unnest(range(1, size - k + 2)) q(i)),
+around AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank, low.phrase, a, l, r, n, score
+FROM low LEFT JOIN around o ON o.lang = low.lang AND o.phrase = low.phrase JOIN t ON t.lang = low.lang
+WHERE coalesce(100 * o.most < 80 * a, true)
+QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL,
     "op2_chat_format": _CHAT,
@@ -163,4 +185,5 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": _RULES,
     "op9_suffix_dedup": _BYTES,
     "op11_vector_codes": _CODES,
+    "op12_collocations": _COLLOCATIONS,
 }

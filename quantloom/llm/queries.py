@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cotraining, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter, vector_codes
+from . import chat_format, collocations, cotraining, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter, vector_codes
 from .storage import bounded_batches
 
 
@@ -86,6 +86,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digests[F.col("dim")].alias("codebooks_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), most_words=4, min_count=30, percent=80, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_two_fit": op10_best_two_fit,
     "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
