@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import chat_format, cotraining, difference_cover, knn, mixing, oracles, packing, queries, quality, recompression, simhash, url_filter, vector_codes
+from quantloom.llm import chat_format, collocations, cotraining, difference_cover, knn, mixing, oracles, packing, queries, quality, recompression, simhash, url_filter, vector_codes
 from quantloom.llm import kernels as K
 
 DATA = "/root/testdata/sf0.001"
@@ -713,6 +714,82 @@ def test_codes(spark):
         vector_codes.compressed(spark.createDataFrame([(1, 1, [1e12] * 4)], schema))
 
 
+# 12
+
+
+def collocations_by_force(rows, least, most_words=4, percent=80, most=2000):
+    """rows: (lang, text)."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", lower):
+            w = re.findall("[^\\x20\\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, most_words + 1):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, of in f.items():
+        often = {p: c for p, c in of.items() if c >= least and len(p) > 1}
+        kept = []
+        for p, a in often.items():
+            if any(len(q) > len(p) and 100 * b >= percent * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in often.items()):
+                continue
+            score, _, left, right = min((2_000_000 * a // (of[p[:k]] + of[p[k:]]), k, of[p[:k]], of[p[k:]]) for k in range(1, len(p)))
+            kept.append((score, a, " ".join(p), left, right))
+        kept.sort(key=lambda r: (-r[0], -r[1], r[2].encode()))
+        out += [(lang, k, p, a, left, right, n[lang], score) for k, (score, a, p, left, right) in enumerate(kept[:most], 1)]
+    return sorted(out)
+
+
+def phrases_of(x, n):
+    words = [x.choice(["New", "york", "CITY", "the", "of", "Ünder", "under", "a", "\u00a0b", "stra\u00dfe"]) for _ in range(n)]
+    return "".join(w + x.choice([" "] * 9 + ["\t", ", ", ".", "\n", "\x0b", "? "]) for w in words)
+
+
+def test_collocations(spark, monkeypatch):
+    x = random.Random(12)
+    rows = [(x.choice(["en", "en", "de", None]), phrases_of(x, x.randrange(60))) for _ in range(300)]
+    rows += [("en", None), ("en", ""), (None, None), ("fr", " .,\n"), ("en", "the city " * 5000), ("und", "new york " * 9), ("en", rows[0][1]), ("en", rows[0][1])]
+    docs = spark.createDataFrame(rows, "lang string, text string").withColumns({c: F.lit(7) for c in ("phrase", "n", "h", "block", "counts", "f", "a", "k", "size", "_n", "_at", "rank")}).repartition(3)
+    for room, buckets in ((collocations.ROOM, collocations.MAX_BUCKETS), (20, 64)):  # 64: buckets that let all through
+        monkeypatch.setattr(collocations, "ROOM", room)
+        monkeypatch.setattr(collocations, "MAX_BUCKETS", buckets)
+        for least, most in ((5, 2000), (3, 7)):
+            got = sorted(tuple(r) for r in collocations.collocations(docs, min_count=least, most=most).collect())
+            assert got == collocations_by_force(rows, least, most=most) and len(got) > 20
+    assert collocations.collocations(docs, min_count=10**6).count() == 0  # counts beyond a byte
+    assert collocations.collocations(docs.limit(0)).count() == 0
+
+
+def test_sieves_let_through_what_is_frequent_and_little_else():
+    """Both bitmaps prune, and bites cut between pieces only."""
+    x = random.Random(3)
+    text = " ".join(f"w{min(int(x.paretovariate(0.6)), 5000)}" for _ in range(60_000)).encode()
+    words = collocations.Words(["en"], [text])
+    at, h = words.candidates(1, {}, {})
+    two, h2 = words.longer(at, h, 1)
+    bits = lambda h, n, keep: np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) >= keep, bitorder="little")
+    _, _, n, hashes = words.counted(at, h, 1)
+    often = hashes.to_numpy().view(np.uint64)[n.to_numpy() >= 30]
+    for frequent, bucket in ((bits(often, 1 << 20, 1), np.full(1 << 13, 255, np.uint8)), (np.full(1 << 13, 255, np.uint8), bits(h2, 1 << 16, 30)), (bits(often, 1 << 20, 1), bits(h2, 1 << 16, 30))):
+        through, _ = words.candidates(2, {1: frequent}, {2: bucket})
+        pairs = Counter(zip(words.word[two].tolist(), words.word[two + 1].tolist(), strict=True))
+        left = Counter(zip(words.word[through].tolist(), words.word[through + 1].tolist(), strict=True))
+        assert all(left[p] == c for p, c in pairs.items() if c >= 30) and len(left) < 0.6 * len(pairs)
+
+
+@pytest.mark.parametrize("text", ["", "one two. " * 900_000, "x" * 6_000_000, "word " * 1_200_000 + "end"])
+def test_long_texts_are_cut_between_pieces(text):
+    import pyarrow as pa
+
+    batch = pa.record_batch({"lang": ["en", "en"], "text": [text, "tail"]})
+    found = list(collocations.bites(iter([batch])))
+    chunks = [t for _, texts in found for t in texts]
+    assert b"".join(chunks) == (text + "tail").encode()
+    assert all(c.endswith((b".", b"tail")) or c.decode() in (text, "tail") or text.endswith(c.decode()) for c in chunks)
+
+
 # pipeline
 
 
