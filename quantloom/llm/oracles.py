@@ -176,6 +176,14 @@ FROM low LEFT JOIN around o ON o.lang = low.lang AND o.phrase = low.phrase JOIN
 WHERE coalesce(100 * o.most < 80 * a, true)
 QUALIFY rank <= 2000"""
 
+_LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (o.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN often o ON k.key = o.key GROUP BY r, doc_id"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _URL,
     "op2_chat_format": _CHAT,
@@ -186,4 +194,5 @@ ORACLES: dict[str, str] = {
     "op9_suffix_dedup": _BYTES,
     "op11_vector_codes": _CODES,
     "op12_collocations": _COLLOCATIONS,
+    "op13_line_dedup": _LINES,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, cotraining, difference_cover, knn, mixing, oracles, packing, quality, recompression, simhash, url_filter, vector_codes
+from . import chat_format, collocations, cotraining, difference_cover, knn, line_dedup, mixing, oracles, packing, quality, recompression, simhash, url_filter, vector_codes
 from .storage import bounded_batches
 
 
@@ -90,6 +90,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), most_words=4, min_count=30, percent=80, most=2000)
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "lines.*", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_two_fit": op10_best_two_fit,
     "op11_vector_codes": op11_vector_codes,
     "op12_collocations": op12_collocations,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import chat_format, collocations, cotraining, difference_cover, knn, mixing, oracles, packing, queries, quality, recompression, simhash, url_filter, vector_codes
+from quantloom.llm import chat_format, collocations, cotraining, difference_cover, knn, line_dedup, mixing, oracles, packing, queries, quality, recompression, simhash, url_filter, vector_codes
 from quantloom.llm import kernels as K
 
 DATA = "/root/testdata/sf0.001"
@@ -790,6 +790,60 @@ def test_long_texts_are_cut_between_pieces(text):
     assert all(c.endswith((b".", b"tail")) or c.decode() in (text, "tail") or text.endswith(c.decode()) for c in chunks)
 
 
+# 13
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 60_000])
+def test_perfect_hash(n):
+    """Every name has a number of its own below n, loaded or built; foreign names have any or none."""
+    rng = np.random.default_rng(n)
+    a, b = rng.integers(0, 2**63, (2, n)).astype(np.uint64)
+    made = line_dedup.PerfectHash.build(a, b)
+    for h in (made, line_dedup.PerfectHash.load(made.dump())):
+        assert sorted(h.index(a, b).tolist()) == list(range(n))
+        other = h.index(*rng.integers(0, 2**63, (2, 500)).astype(np.uint64))
+        assert other.min() >= -1 and other.max() < n or n == 0
+    if n > 10_000:
+        assert 8 * len(made.dump()) < 4 * n
+    shard = line_dedup.Shard(made, np.zeros(n, np.uint64), np.arange(n, dtype=np.uint32) + 1)
+    shard.fingerprints[made.index(a, b)] = b
+    assert (shard.documents(a, b) == made.index(a, b) + 1).all()
+    assert not shard.documents(*rng.integers(0, 2**63, (2, 500)).astype(np.uint64)).any()
+
+
+def lines_by_force(texts, min_docs, min_chars):
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    docs = Counter(k for t in texts for k in {key(line) for line in (t or "").split("\n")})
+    out = []
+    for t in texts:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if not (len(key(x)) >= min_chars and docs[key(x)] >= min_docs)]
+        out.append((None if t is None else "\n".join(stay), len(lines), len(lines) - len(stay)))
+    return out
+
+
+@pytest.mark.parametrize("limit", [line_dedup.MAX_BROADCAST, 0])
+def test_common_lines(spark, monkeypatch, limit):
+    """By broadcast and past the shards: one line in most documents, one very often in one, blanks, capitals, nulls, clashing names."""
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST", limit)
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 100)
+    x = random.Random(13)
+    some = ["Menu", "menu ", "\tMENU\r", "É", "é", "ab", "AB\x0b", "", "  ", "\u00a0menu", "x" * 300]
+    texts = ["\n".join([*(["Hot line"] if i % 3 else []), *[x.choice([*some, f"only {i}", f"line {x.randrange(60)}"]) for _ in range(x.randrange(8))]]) for i in range(300)]
+    texts += [None, "", "\n", "\n\n", "often here\n" * 5000, "hot line", "Menu\nmenu", texts[5], texts[5]]
+    docs = spark.createDataFrame([(None if i % 50 == 1 else i // 2 if i < 20 else i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in CLASHES}).repartition(4)
+    for min_docs, min_chars in ((10, 1), (3, 3), (2, 0), (300, 1)):
+        got = line_dedup.drop_common_lines(docs, min_docs, min_chars, report="made")
+        assert got.columns == [*docs.columns, "made"]
+        found = got.collect()
+        want = Counter((r[0], *w) for r, w in zip([(None if i % 50 == 1 else i // 2 if i < 20 else i,) for i in range(len(texts))], lines_by_force(texts, min_docs, min_chars), strict=True))
+        assert Counter((r.doc_id, r.text, r.made.n_lines, r.made.n_dropped) for r in found) == want and all(r[c] == 7 for r in found for c in CLASHES)
+        assert sum(n for (*_, dropped), n in want.items() if dropped) > 100 or min_docs == 300
+    assert line_dedup.drop_common_lines(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="name the report otherwise"):
+        line_dedup.drop_common_lines(docs, report="N")
+
+
 # pipeline
 
 
