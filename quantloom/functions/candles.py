@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .features import Feature, col, feature, series
+from .features import Feature, col, feature, full, lag, rows_back
 
 _SMALL, _DOJI, _LONG = "b{0} < a{0}", "b{0} <= 0.1 * r{0}", "b{0} > a{0}"
 _NO_UPPER, _NO_LOWER, _LOWER = "u{0} < 0.1 * r{0}", "w{0} < 0.1 * r{0}", "w{0} > 0.1 * r{0}"
@@ -81,11 +81,11 @@ _SHAPE = {
 @feature
 def all_candlestick_patterns() -> Feature:
     """All patterns; false where the bars they look back on aren't there."""
-    before = lambda n: series().rowsBetween(-n, -1)
-    enough = lambda n, value: F.when(F.row_number().over(series()) > n, value)
+    before = lambda n: rows_back(n, 1)
+    enough = lambda n, value: full(n + 1, value)
     spread = col("high") - col("low")
     shape = {f"_{k}0": F.expr(v) for k, v in _SHAPE.items()}
     averages = {"_a0": enough(10, F.avg("_b0").over(before(10))), "_r0": enough(10, F.avg(spread).over(before(10))), "_n0": enough(5, F.avg(spread).over(before(5)))}
     names = [*_SHAPE, "a", "r", "n"]
-    lags = {f"{n}{k}": F.lag(f"_{n}0", k).over(series()) if k else F.col(f"_{n}0") for n in names for k in range(5)}
+    lags = {f"{n}{k}": lag(f"_{n}0", k) if k else F.col(f"_{n}0") for n in names for k in range(5)}
     return Feature({n: F.coalesce(F.expr(rule), F.lit(False)) for n, rule in PATTERNS.items()}, [shape, averages, lags])

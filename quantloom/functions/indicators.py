@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import folds
-from .features import Feature, Fold, col, feature, frame, full, highest, lag, lowest, mean, series, total, whole
+from .features import Feature, Fold, col, feature, frame, full, highest, lag, lag_of, lowest, mean, total, whole
 
 EPS = 1e-9
 
@@ -38,7 +39,7 @@ def _fold(names: list[str], run, levels: list | None = None, outputs: dict | Non
 
 @feature
 def ema(window: int) -> Feature:
-    return _fold([f"EMA_{window}"], lambda s: [folds.ema(s["close"], window)])
+    return _fold([f"EMA_{window}"], lambda s: [folds.ema(s, s["close"], window)])
 
 
 @feature
@@ -50,12 +51,12 @@ def vwma(window: int) -> Feature:
 @feature
 def macd(short_window: int, long_window: int, signal_window: int) -> Feature:
     pair, three = f"{short_window}_{long_window}", f"{short_window}_{long_window}_{signal_window}"
-    return _fold([f"MACD_{pair}", f"MACD_Signal_{three}", f"MACD_Hist_{three}"], lambda s: folds.macd(s["close"], short_window, long_window, signal_window))
+    return _fold([f"MACD_{pair}", f"MACD_Signal_{three}", f"MACD_Hist_{three}"], lambda s: folds.macd(s, s["close"], short_window, long_window, signal_window))
 
 
 @feature
 def adx(window: int) -> Feature:
-    return _fold([f"ADX_{window}", f"DI_plus_{window}", f"DI_minus_{window}"], lambda s: folds.adx(s["high"], s["low"], s["close"], window))
+    return _fold([f"ADX_{window}", f"DI_plus_{window}", f"DI_minus_{window}"], lambda s: folds.adx(s, s["high"], s["low"], s["close"], window))
 
 
 @feature
@@ -65,15 +66,15 @@ def ichimoku(short_window: int = 9, mid_window: int = 26, long_window: int = 52)
 
     t, k, b = f"Ichimoku_Tenkan_{short_window}", f"Ichimoku_Kijun_{mid_window}", f"_ichimoku_b_{long_window}"
     return Feature(
-        {t: col(t), k: col(k), f"Ichimoku_SenkouA_{short_window}_{mid_window}": F.lag((col(t) + col(k)) / 2, mid_window).over(series()), f"Ichimoku_SenkouB_{long_window}": lag(b, mid_window), f"Ichimoku_Chikou_Ratio_{mid_window}": col("close") / (lag("close", mid_window) + EPS)},
+        {t: col(t), k: col(k), f"Ichimoku_SenkouA_{short_window}_{mid_window}": lag_of((col(t) + col(k)) / 2, mid_window), f"Ichimoku_SenkouB_{long_window}": lag(b, mid_window), f"Ichimoku_Chikou_Ratio_{mid_window}": col("close") / (lag("close", mid_window) + EPS)},
         [{t: middle(short_window), k: middle(mid_window), b: middle(long_window)}],
     )
 
 
-def _again(x, window: int, times: int) -> list:
-    out = []
+def _again(s, window: int, times: int) -> list:
+    out, x = [], s["close"]
     for _ in range(times):
-        x = folds.ema(x, window)
+        x = folds.ema(s, x, window)
         out.append(x)
     return out
 
@@ -81,7 +82,7 @@ def _again(x, window: int, times: int) -> list:
 @feature
 def dema(window: int) -> Feature:
     def run(s):
-        one, two = _again(s["close"], window, 2)
+        one, two = _again(s, window, 2)
         return [2 * one - two]
 
     return _fold([f"DEMA_{window}"], run)
@@ -90,7 +91,7 @@ def dema(window: int) -> Feature:
 @feature
 def tema(window: int) -> Feature:
     def run(s):
-        one, two, three = _again(s["close"], window, 3)
+        one, two, three = _again(s, window, 3)
         return [3 * one - 3 * two + three]
 
     return _fold([f"TEMA_{window}"], run)
@@ -98,7 +99,7 @@ def tema(window: int) -> Feature:
 
 @feature
 def sar(acceleration: float, maximum: float) -> Feature:
-    return _fold([f"SAR_{_number(acceleration)}_{_number(maximum)}"], lambda s: [folds.sar(s["high"], s["low"], acceleration, maximum)])
+    return _fold([f"SAR_{_number(acceleration)}_{_number(maximum)}"], lambda s: [folds.sar(s, s["high"], s["low"], acceleration, maximum)])
 
 
 @feature
@@ -113,7 +114,7 @@ def trima(window: int) -> Feature:
 
 @feature
 def rsi(window: int) -> Feature:
-    return _fold([f"RSI_{window}"], lambda s: [folds.rsi(s["close"], window)])
+    return _fold([f"RSI_{window}"], lambda s: [folds.rsi(s, s["close"], window)])
 
 
 def _stoch(n: int) -> Column:
@@ -153,7 +154,7 @@ def cci(window: int) -> Feature:
 @feature
 def stochrsi(window: int = 14, k_window: int = 5, d_window: int = 3) -> Feature:
     name = f"{window}_{k_window}_{d_window}"
-    return _fold([f"STOCHRSI_K_{name}", f"STOCHRSI_D_{name}"], lambda s: folds.stoch_rsi(s["close"], window, k_window, d_window))
+    return _fold([f"STOCHRSI_K_{name}", f"STOCHRSI_D_{name}"], lambda s: folds.stoch_rsi(s, s["close"], window, k_window, d_window))
 
 
 @feature
@@ -196,7 +197,7 @@ def bollinger_bands(window: int, num_std: float = 2) -> Feature:
 
 @feature
 def atr(window: int) -> Feature:
-    return _fold([f"ATR_{window}"], lambda s: [folds.atr(s["high"], s["low"], s["close"], window)])
+    return _fold([f"ATR_{window}"], lambda s: [folds.atr(s, s["high"], s["low"], s["close"], window)])
 
 
 @feature
@@ -205,10 +206,13 @@ def natr(window: int) -> Feature:
     return Feature({f"NATR_{window}": F.when(col("close") != 0, 100 * col(f"ATR_{window}") / F.nullif(col("close"), F.lit(0.0)))}, [], base.folds)
 
 
+def _flow(s) -> np.ndarray:
+    return folds.flow(s["high"], s["low"], s["close"], s["volume"])
+
+
 @feature
 def obv() -> Feature:
-    sign = F.coalesce(F.signum(col("close") - lag("close")), F.lit(1.0))
-    return Feature({"OBV": F.sum("_obv_step").over(series().rowsBetween(Window.unboundedPreceding, 0))}, [{"_obv_step": sign * col("volume")}])
+    return _fold(["OBV"], lambda s: [folds.obv(s, s["close"], s["volume"])])
 
 
 @feature
@@ -219,21 +223,19 @@ def cmf(window: int) -> Feature:
 
 @feature
 def ad() -> Feature:
-    spread = col("high") - col("low")
-    step = F.when(spread > 0, ((col("close") - col("low")) - (col("high") - col("close"))) / F.nullif(spread, F.lit(0.0)) * col("volume")).otherwise(0.0)
-    return Feature({"AD": F.sum(step).over(series().rowsBetween(Window.unboundedPreceding, 0))})
+    return _fold(["AD"], lambda s: [s.total(_flow(s))])
 
 
 @feature
 def adosc(fast_window: int, slow_window: int) -> Feature:
-    return _fold([f"ADOSC_{fast_window}_{slow_window}"], lambda s: [folds.adosc(folds.accumulation(s["high"], s["low"], s["close"], s["volume"]), fast_window, slow_window)])
+    return _fold([f"ADOSC_{fast_window}_{slow_window}"], lambda s: [folds.adosc(s, s.total(_flow(s), strict=True), fast_window, slow_window)])
 
 
 def _hilbert(*names: str) -> Feature:
     every = ["HT_DCPERIOD", "HT_SINE", "HT_LEADSINE", "HT_TRENDMODE"]
     hidden = [f"_{n}" for n in every]
     shown = {n: col(f"_{n}").cast("int") if n == "HT_TRENDMODE" else col(f"_{n}") for n in names}
-    return Feature(shown, [], [Fold(hidden, lambda s: [folds.hilbert(s["close"])[n] for n in every])])
+    return Feature(shown, [], [Fold(hidden, lambda s: list(folds.hilbert(s, s["close"]).values()))])
 
 
 @feature

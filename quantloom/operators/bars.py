@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.market import seconds, spark_interval
+from .segments import SEGMENT, carried, segmented
 
 
 def ticks_to_bars(ticks: DataFrame, interval: str) -> DataFrame:
@@ -34,23 +35,27 @@ def base_interval(intervals: list[str]) -> str:
 
 
 def ordered_intervals(intervals: list[str]) -> list[str]:
-    """Known intervals by length, each once."""
-    known = {i for i in intervals if i[:-1].isdigit() and i[-1] in "mhd"}
-    return sorted(known, key=seconds)
+    """The intervals by length, each once; an unknown one raises ValueError."""
+    return sorted(set(intervals), key=seconds)
 
 
-def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: str = "symbol") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: str = "symbol", segments: int | None = None) -> DataFrame:
     """Every row of left with the columns of the latest row of right not after it, or nulls.
 
-    Both sides are stacked and the last right row is carried forward in time order, so each side is
-    shuffled once and no range join is needed.  The right row travels as a struct: its null values
-    stay null.  Of right rows with one time the greatest wins."""
+    Both sides are stacked and dealt by ranges of (by, time) into segments.  The last right row is carried forward within
+    a segment, and from segment to segment as one row a segment; so no task holds a whole series, and no range join is
+    needed.  The right row travels as a struct: its null values stay null.  Of right rows with one time the greatest
+    wins.  A null by or time of left meets nothing."""
     taken = [c for c in right.columns if c != by]
-    carried = F.struct(*[F.col(f"`{c}`") for c in taken])
-    rows = left.select(F.col(by).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_l"), F.lit(None).cast(right.select(carried.alias("r")).schema["r"].dataType).alias("_r"))
-    other = right.select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), carried.alias("_r"))
-    so_far = Window.partitionBy("_by").orderBy("_ts", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.unionByName(other).withColumn("_m", F.last("_r", ignorenulls=True).over(so_far)).where("_side = 1")
+    carried_ = F.struct(*[F.col(f"`{c}`") for c in taken])
+    key = lambda df, c: F.when(F.col(c).isNotNull(), F.col(by))
+    rows = left.select(key(left, left_ts).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_l"), F.lit(None).cast(right.select(carried_.alias("r")).schema["r"].dataType).alias("_r"))
+    other = right.where(F.col(by).isNotNull() & F.col(right_ts).isNotNull()).select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), carried_.alias("_r"))
+    both = segmented(rows.unionByName(other), ["_by"], ["_ts", "_side"], segments)
+    latest = F.max(F.when(F.col("_side") == 0, F.struct("_ts", "_r")))
+    carry = carried(both, "_by", latest).select("_by", SEGMENT, F.col("_carry._r").alias("_before"))
+    so_far = Window.partitionBy("_by", SEGMENT).orderBy("_ts", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.join(carry, ["_by", SEGMENT], "left").withColumn("_m", F.coalesce(F.last("_r", ignorenulls=True).over(so_far), "_before")).where("_side = 1")
     return met.select("_l.*", *[F.col(f"_m.`{c}`").alias(c) for c in taken if c not in left.columns or c == right_ts and c != left_ts])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quantloom import oracles, queries
-from quantloom.functions import features, folds, registry
+from quantloom.functions import features, folds, registry, scans
 from quantloom.operators import bars, simulator, trees, variation
 from quantloom.plans import evolution, pipeline
 from quantloom.sources import market
@@ -119,8 +119,8 @@ def test_wilder_and_ema_by_hand():
     import numpy as np
 
     x = np.array([1.0, 2, 3, 4, 5])
-    assert folds.ema(x, 3).tolist()[2:] == [2.0, 3.0, 4.0]
-    assert folds.wilder(x, 2).tolist()[1:] == [1.5, 2.25, 3.125, 4.0625]
+    assert scans.alone(lambda s: [folds.ema(s, s["close"], 3)], close=x)[0].tolist()[2:] == [2.0, 3.0, 4.0]
+    assert scans.alone(lambda s: [folds.wilder(s, s["close"], 2)], close=x)[0].tolist()[1:] == [1.5, 2.25, 3.125, 4.0625]
 
 
 def test_klines_coerce(spark):
