@@ -325,8 +325,13 @@ def links_of_sets(sets: list[np.ndarray], share: float) -> tuple[list[int], list
 
 
 def _identity(docs: DataFrame) -> list:
-    """Two hashes of all columns, nulls included: equal for truly equal rows alone."""
-    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    """Two hashes of all columns, nulls included: equal for truly equal rows alone.
+
+    Columns that hold maps, which Spark doesn't hash, count by their JSON: maps of other orders are other rows."""
+    cells = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        cells += [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c, c.isNull()]
     return [F.xxhash64(*cells).alias("h1"), F.xxhash64(F.lit(1), *cells).alias("h2")]
 
 

@@ -851,6 +851,18 @@ def test_common_lines(spark, monkeypatch, limit):
 CLASHES = "_doc _copy _text _row _z _part _near _kept repeats _id _hash _size _taken _nth _h1 _h2 row name number n taken part i epochs h1 h2 cid component n_words n_removed kept_sha256 cleaned target source_size _hot bucket".split()
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_maps(spark, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    good = "\n".join(" ".join(f"Word{i}x{k}" for k in range(9)) + "." for i in range(9))
+    docs = docs_of(spark, [(1, good, "a"), (1, good, "a"), (2, good + " More.", "b"), (3, good[::-1], None)])
+    docs = docs.withColumn("tags", F.when(F.col("doc_id") < 3, F.create_map(F.lit("k"), F.array(F.col("doc_id"))))).withColumn("deep", F.array(F.struct(F.create_map(F.lit(1), F.lit(2)).alias("m"))))
+    got = run(spark, docs, "").collect()
+    assert got and (stage == "best-fit packing" or {(r.doc_id, str(r.tags)) for r in got} <= {(1, "{'k': [1]}"), (2, "{'k': [2]}"), (3, "None")})
+    if stage == "simhash near-dedup":
+        assert sorted(r.doc_id for r in got) == [1, 3]
+
+
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_rows_and_any_names(spark, stage):
     run = dict(corpus_pipeline.STAGES)[stage]
