@@ -39,3 +39,26 @@ def carried(rows: DataFrame, by: str, last: Column) -> DataFrame:
     handed = rows.groupBy(F.col(f"`{by}`"), SEGMENT).agg(last.alias("_last"))
     before = Window.partitionBy(F.col(f"`{by}`")).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     return handed.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).where("_carry IS NOT NULL").drop("_last")
+
+
+def prefixed(rows: DataFrame, order: list[str], sums: dict[str, str] | None = None, segments: int | None = None) -> DataFrame:
+    """rows with _rank, their number from 0 on in order, and for each name of sums a struct (before, upto): the sum of that column before and with the row.
+
+    Local sums by segment, and each segment's start from the totals of those before it: one row a segment reaches the driver.
+    One row's upto is the next one's before to the last bit.  order should tell all rows apart; a null counts nothing."""
+    sums = sums or {}
+    cut = segmented(rows, [], order, segments)
+    here = Window.partitionBy(SEGMENT).orderBy(*[F.col(f"`{c}`") for c in order])
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumn("_rank", F.row_number().over(here).cast("long") - 1)
+    local = local.withColumns({f"_upto_{k}": F.coalesce(F.sum(F.col(f"`{c}`").cast("double")).over(so_far), F.lit(0.0)) for k, c in enumerate(sums.values())})
+    local = cut_lineage(local.withColumns({f"_before_{k}": F.coalesce(F.lag(f"_upto_{k}").over(here), F.lit(0.0)) for k in range(len(sums))}))
+    ends = local.groupBy(SEGMENT).agg(F.count("*").alias("n"), *[F.max_by(f"_upto_{k}", "_rank").alias(f"s{k}") for k in range(len(sums))]).orderBy(SEGMENT).collect()
+    starts, at = [], [0, *[0.0] * len(sums)]
+    for r in ends:
+        starts.append((r[SEGMENT], *at))
+        at = [a + b for a, b in zip(at, r[1:], strict=True)]
+    kind = f"{SEGMENT} int, _n long" + "".join(f", _s{k} double" for k in range(len(sums)))
+    met = local.join(F.broadcast(rows.sparkSession.createDataFrame(starts, kind)), SEGMENT)  # MAX_SEGMENTS rows at most
+    made = {c: F.struct((F.col(f"_s{k}") + F.col(f"_before_{k}")).alias("before"), (F.col(f"_s{k}") + F.col(f"_upto_{k}")).alias("upto")).alias(c) for k, c in enumerate(sums)}
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_n") + F.col("_rank")).alias("_rank"), *made.values())

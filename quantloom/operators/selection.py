@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut_lineage
+from .bars import as_of
+from .segments import prefixed
 from .trees import uniform
 
 
@@ -18,25 +21,29 @@ def draws(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("draw"), uniform(seed, "id").alias("u"))
 
 
-def roulette(fitness: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(draw, tree_id): with replacement, in proportion to fitness shifted above 0; uniform if all are 0."""
-    whole = Window.partitionBy()  # one row for each tree of a population
-    shifted = fitness.withColumn("w", F.col("fitness") - F.least(F.min("fitness").over(whole), F.lit(0.0)))
-    weighed = shifted.withColumn("w", F.when(F.sum("w").over(whole) > 0, F.col("w")).otherwise(1.0))
-    upto = weighed.withColumn("hi", F.sum("w").over(Window.orderBy("tree_id"))).withColumn("lo", F.col("hi") - F.col("w"))
-    whole = weighed.agg(F.sum("w").alias("all"), F.count("*").alias("n"))  # one row
-    bucket = lambda x: F.floor(x / F.col("all") * F.col("n"))  # noqa: E731  rises with x, so a draw meets its tree by an equal bucket
-    spread = upto.join(F.broadcast(whole), how="cross").select("tree_id", "lo", "hi", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))).alias("bucket"))
-    placed = drawn.join(F.broadcast(whole), how="cross").withColumn("x", F.col("u") * F.col("all")).withColumn("bucket", bucket(F.col("x")))
-    met = placed.join(spread, "bucket").where("x >= lo AND x < hi")
-    return met.groupBy("draw").agg(F.min("tree_id").alias("tree_id"))
+def roulette(fitness: DataFrame, drawn: DataFrame, segments: int | None = None) -> DataFrame:
+    """(draw, tree_id): with replacement, in proportion to fitness shifted above 0; uniform if all are 0.
 
+    Each tree has its range of the summed weights, by two-level prefix sums over tree ids; a draw's number meets the last
+    range that starts at or before it.  Draws and trees are dealt by ranges of these numbers, so a heavy tree takes no more
+    room than a light one.  Trees of no weight, or of unknown fitness, have no range."""
+    known = fitness.where("fitness IS NOT NULL")
+    least = known.agg(F.least(F.min("fitness"), F.lit(0.0)).alias("_least"))
+    shifted = known.join(F.broadcast(least), how="cross").select("tree_id", (F.col("fitness") - F.col("_least")).alias("w"), F.lit(1.0).alias("one"))
+    upto = cut_lineage(prefixed(shifted, ["tree_id"], {"weight": "w", "number": "one"}, segments))
+    total = upto.agg(F.coalesce(F.max("weight.upto"), F.lit(0.0)).alias("all"), F.count("*").alias("n"))
+    whole, n = total.first()
+    by = "weight" if whole > 0 else "number"
+    ranges = upto.where(F.col(f"{by}.upto") > F.col(f"{by}.before")).select(F.lit(0).alias("wheel"), F.col(f"{by}.before").alias("lo"), "tree_id")
+    placed = drawn.select(F.lit(0).alias("wheel"), "draw", (F.col("u") * float(whole if whole > 0 else n)).alias("x"))
+    return as_of(placed, ranges, "x", "lo", "wheel", segments).where("tree_id IS NOT NULL").select("draw", "tree_id")
 
-def tournament(fitness: DataFrame, entries: DataFrame) -> DataFrame:
+
+def tournament(fitness: DataFrame, entries: DataFrame, segments: int | None = None) -> DataFrame:
     """(draw, tree_id): the fittest of the trees that a draw's entries (draw, entry, u) pick; the earlier entry of equals."""
-    ranked = fitness.withColumn("rank", F.row_number().over(Window.orderBy("tree_id")) - 1)
-    n = fitness.agg(F.count("*").alias("n"))  # one row
-    met = entries.join(F.broadcast(n), how="cross").withColumn("rank", F.floor(F.col("u") * F.col("n")).cast("int")).join(ranked, "rank")
+    ranked = prefixed(fitness, ["tree_id"], segments=segments).select("tree_id", "fitness", F.col("_rank").alias("rank"))
+    n = fitness.count()
+    met = entries.withColumn("rank", F.floor(F.col("u") * n).cast("long")).join(ranked, "rank")
     return met.groupBy("draw").agg(F.max_by("tree_id", F.struct("fitness", -F.col("entry"))).alias("tree_id"))
 
 
@@ -48,10 +55,8 @@ def best_pool(pool: DataFrame, new: DataFrame, n: int, min_compound: float = 6.0
 
 def next_generation(nodes: DataFrame, elite_ids: DataFrame, offspring: DataFrame) -> DataFrame:
     """Nodes of the elites, renumbered from 0 in order of fitness, and of the offspring after them."""
-    order = Window.orderBy(F.desc("fitness"), "tree_id")
-    first = elite_ids.select(F.col("tree_id").alias("_old"), (F.row_number().over(order) - 1).cast("long").alias("_new"))
-    kept = nodes.join(F.broadcast(first), F.col("tree_id") == F.col("_old")).withColumn("tree_id", F.col("_new")).select(nodes.columns)
-    after = offspring.select("tree_id").distinct().select(F.col("tree_id").alias("_old"), F.row_number().over(Window.orderBy("tree_id")).cast("long").alias("_rank"))
-    n = first.agg(F.count("*").alias("_n"))
-    moved = offspring.join(F.broadcast(after), F.col("tree_id") == F.col("_old")).join(F.broadcast(n), how="cross")
-    return kept.unionByName(moved.withColumn("tree_id", F.col("_n") + F.col("_rank") - 1).select(nodes.columns))
+    first = prefixed(elite_ids.select("tree_id", (-F.col("fitness")).alias("_worse")), ["_worse", "tree_id"])
+    first = first.select(F.col("tree_id").alias("_old"), F.col("_rank").alias("_new"))
+    after = prefixed(offspring.select("tree_id").distinct(), ["tree_id"]).select(F.col("tree_id").alias("_old"), (F.col("_rank") + first.count()).alias("_new"))
+    new = lambda df, ids: df.join(ids, F.col("tree_id") == F.col("_old")).withColumn("tree_id", F.col("_new")).select(nodes.columns)
+    return new(nodes, first).unionByName(new(offspring, after))

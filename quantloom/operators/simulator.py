@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import trees as T
+from .segments import SEGMENT, segmented
 
 FLAT, SHORT, LONG = 0, -1, 1
 BRANCH = {LONG: T.LONG, FLAT: T.HOLD, SHORT: T.SHORT}
@@ -117,21 +118,35 @@ def simulate(predictions: DataFrame, bars: DataFrame, market: Market = Market(),
     return rows.groupBy(*series, "tree_id").applyInPandas(run, f"{keys}tree_id long, bar long, position int, ratio double, leverage int, profit double, compound double, held int")
 
 
-def metrics(profits: DataFrame, minimum: int = 1) -> DataFrame:
+def metrics(profits: DataFrame, minimum: int = 1, segments: int | None = None) -> DataFrame:
     """(tree_id, n, mean_return, profit_factor, win_rate, max_drawdown, compound_value) of (tree_id, bar, profit).
 
-    bar may be anything that orders a tree's profits, such as a bar and a symbol.
-    Only bars with a profit or loss count.  Drawdown is that of the summed profit from its highest value so far,
-    0 at the start.  Trees with fewer than minimum such bars have null metrics."""
+    bar may be anything that orders a tree's profits, such as a bar and a symbol.  Only bars with a profit or loss
+    count.  Drawdown is that of the summed profit from its highest value so far, 0 at the start.  Trees with fewer than
+    minimum such bars have null metrics.
+
+    A tree's bars are cut into segments.  A segment's part of a tree comes down to its sum, its highest and lowest sum so
+    far and its largest drop, which combine in order; all other sums and products need none."""
     p = F.col("profit")
-    so_far = Window.partitionBy("tree_id").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    rows = profits.where("profit IS NOT NULL").withColumn("cum", F.sum(p).over(so_far))
+    cut = segmented(profits.where("profit IS NOT NULL").select("tree_id", "bar", "profit"), ["tree_id"], ["bar"], segments)
+    so_far = Window.partitionBy("tree_id", SEGMENT).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut.withColumn("cum", F.sum(p).over(so_far))
     rows = rows.withColumn("drop", F.greatest(F.lit(0.0), F.max("cum").over(so_far)) - F.col("cum"))
-    n, gains, losses = F.count_if(p != 0), F.sum(F.greatest(p, F.lit(0.0))), F.sum(F.greatest(-p, F.lit(0.0)))
-    found = rows.groupBy("tree_id").agg(
-        n.alias("n"), (F.sum(p) / F.nullif(n, F.lit(0))).alias("mean_return"), F.when(losses > 0, F.least(gains / (losses + 1e-9), F.lit(100.0))).otherwise(100.0).alias("profit_factor"),
-        (F.count_if(p > 0) / F.nullif(n, F.lit(0))).alias("win_rate"), F.max("drop").alias("max_drawdown"), F.product(1 + p).alias("compound_value"),
-        F.sum(p * p).alias("sum_squares"), F.sum(F.least(p, F.lit(0.0))).alias("sum_losses"), F.count_if(p < 0).alias("n_losses"), F.sum(F.when(p < 0, p * p).otherwise(0.0)).alias("sum_square_losses"),
+    sums = {
+        "n": F.count_if(p != 0), "wins": F.count_if(p > 0), "total": F.sum(p), "gains": F.sum(F.greatest(p, F.lit(0.0))), "losses": F.sum(F.greatest(-p, F.lit(0.0))), "sum_squares": F.sum(p * p),
+        "sum_losses": F.sum(F.least(p, F.lit(0.0))), "n_losses": F.count_if(p < 0), "sum_square_losses": F.sum(F.when(p < 0, p * p).otherwise(0.0)), "compound_value": F.product(1 + p),
+    }
+    parts = rows.groupBy("tree_id", SEGMENT).agg(*[x.alias(c) for c, x in sums.items()], F.greatest(F.lit(0.0), F.max("cum")).alias("top"), F.min("cum").alias("bottom"), F.max("drop").alias("drop"))
+    merged = [F.product(c).alias(c) if c == "compound_value" else F.sum(c).alias(c) for c in sums]
+    whole = parts.groupBy("tree_id").agg(*merged, F.sort_array(F.collect_list(F.struct(SEGMENT, "total", "top", "bottom", "drop"))).alias("parts"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("top"), F.lit(0.0).alias("drop"))
+    combine = lambda a, b: F.struct(
+        (a["total"] + b["total"]).alias("total"), F.greatest(a["top"], a["total"] + b["top"]).alias("top"), F.greatest(a["drop"], b["drop"], a["top"] - a["total"] - b["bottom"]).alias("drop")
+    )
+    n = F.nullif(F.col("n"), F.lit(0))
+    found = whole.select(
+        "tree_id", "n", (F.col("total") / n).alias("mean_return"), F.when(F.col("losses") > 0, F.least(F.col("gains") / (F.col("losses") + 1e-9), F.lit(100.0))).otherwise(100.0).alias("profit_factor"),
+        (F.col("wins") / n).alias("win_rate"), F.aggregate("parts", start, combine)["drop"].alias("max_drawdown"), "compound_value", "sum_squares", "sum_losses", "n_losses", "sum_square_losses",
     )
     keep = F.col("n") >= minimum
     return found.select("tree_id", "n", *[F.when(keep, F.col(c)).alias(c) for c in found.columns[2:]])

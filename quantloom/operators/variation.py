@@ -6,11 +6,14 @@ Every operator takes and gives valid trees: what would break a rule leaves the t
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut_lineage
+from .segments import prefixed
 from .trees import ACTION, CLOSE_ALL, COLUMNS, DECISION, HOLD, LONG, ROOT, random_action, random_decision, uniform, with_paths
 
 _P = ("p1", "p2", "p3", "p4")
@@ -98,16 +101,16 @@ def crossover_chain(pairs: DataFrame, nodes: DataFrame, seed: int, weights: tupl
     """Pairs dealt over subtree, node and root-branch crossover; without crossover a child copies a parent.
 
     Of k crossed pairs, in random order, the first int(w * k) go to the first crossover, the next to the second, and the rest
-    to the last, each by its weight w."""
+    to the last, each by its weight w.  The children come in random order."""
     if abs(sum(weights) - 1) > 1e-9:
         raise ValueError("the weights of the crossovers must sum to 1")
     crossed = uniform(seed, F.lit("rate"), "child") < rate
-    order = Window.orderBy(uniform(seed, F.lit("chain"), "child"), "child")  # one row for each child of a generation
-    dealt = pairs.where(crossed).withColumn("_i", F.row_number().over(order)).withColumn("_k", F.count("*").over(Window.partitionBy()))
-    one = F.floor(F.lit(weights[0]) * F.col("_k"))
-    two = one + F.floor(F.lit(weights[1]) * F.col("_k"))
-    dealt = dealt.withColumn("_to", F.when(F.col("_i") <= one, 0).when(F.col("_i") <= two, 1).otherwise(2))
-    share = lambda to: dealt.where(F.col("_to") == to).select(pairs.columns)
+    dealt = cut_lineage(prefixed(pairs.where(crossed).withColumn("_u", uniform(seed, F.lit("chain"), "child")), ["_u", "child"]))
+    k = dealt.count()
+    one = math.floor(weights[0] * k)
+    two = one + math.floor(weights[1] * k)
+    ends = (0, one, two, k)
+    share = lambda to: dealt.where((F.col("_rank") >= ends[to]) & (F.col("_rank") < ends[to + 1])).select(pairs.columns)
     copies = pairs.where(~crossed).withColumn("from", F.when(uniform(seed, F.lit("copy"), "child") < 0.5, F.col("first")).otherwise(F.col("second")))
     copied = copies.join(nodes, F.col("from") == F.col("tree_id")).select(F.col("child").alias("tree_id"), *COLUMNS[1:])
     made = [
@@ -115,7 +118,14 @@ def crossover_chain(pairs: DataFrame, nodes: DataFrame, seed: int, weights: tupl
         node_crossover(share(1), nodes, seed, max_depth),
         root_branch_crossover(share(2), nodes, seed, max_depth),
     ]
-    return reduce(DataFrame.unionByName, made, copied)
+    return permuted(reduce(DataFrame.unionByName, made, copied), seed)
+
+
+def permuted(nodes: DataFrame, seed: int) -> DataFrame:
+    """The trees in random order, numbered from 0, so that what made a child no longer shows in its number."""
+    ids = nodes.select("tree_id").distinct().withColumn("_u", uniform(seed, F.lit("order"), "tree_id"))
+    new = prefixed(ids, ["_u", "tree_id"]).select(F.col("tree_id").alias("_old"), F.col("_rank").alias("_new"))
+    return nodes.join(new, F.col("tree_id") == F.col("_old")).withColumn("tree_id", F.col("_new")).select(nodes.columns)
 
 
 def _gate(seed: int, name: str, rate: float, *key: str) -> Column:

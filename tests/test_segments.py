@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom import queries
 from quantloom.functions import features, folds, registry, scans
-from quantloom.operators import bars, segments
+from quantloom.operators import bars, segments, selection, simulator, variation
 from quantloom.sources import market
 
 
@@ -152,6 +152,78 @@ def test_as_of_over_segments(spark, cut):
     assert bars.as_of(a.limit(0), b, "t", "u").count() == 0 and bars.as_of(a, b.limit(0), "t", "u").where("u IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("cut", [1, 9, 200])
+def test_prefix_sums_and_ranks(spark, cut):
+    x = random.Random(cut)
+    rows = [(k, x.choice([0.0, 0.1, 2.5, None])) for k in x.sample(range(1000), 120)]
+    got = segments.prefixed(spark.createDataFrame(rows, "id int, w double"), ["id"], {"sum": "w"}, cut).orderBy("id").collect()
+    upto = 0.0
+    for k, (r, (i, w)) in enumerate(zip(got, sorted(rows), strict=True)):
+        assert (r.id, r["_rank"]) == (i, k) and r["sum"].before == pytest.approx(upto)
+        assert k == 0 or r["sum"].before == got[k - 1]["sum"].upto  # no gap, to the last bit
+        upto += w or 0.0
+        assert r["sum"].upto == pytest.approx(upto)
+    assert segments.prefixed(spark.createDataFrame([], "id int, w double"), ["id"], {"sum": "w"}).count() == 0
+
+
+@pytest.mark.parametrize("cut", [1, 11])
+def test_roulette_by_force(spark, cut):
+    """One tree of nearly all the weight, trees of none, unknown fitness; and trees that are all alike."""
+    x = random.Random(5)
+    for scores in ([(i, -3.0 if i % 4 == 0 else 1e6 if i == 7 else x.random()) for i in range(90)] + [(200, None)], [(i, 4.0) for i in range(9)], [(3, -1.0)]):
+        known = [(i, f - min(0.0, *(g for _, g in scores if g is not None))) for i, f in sorted(scores) if f is not None]
+        known = known if sum(w for _, w in known) > 0 else [(i, 1.0) for i, _ in known]
+        total = sum(w for _, w in known)
+        drawn = [(d, x.random()) for d in range(300)] + [(300, 0.0), (301, 1 - 2**-52)]
+        want = {}
+        for d, u in drawn:
+            at = u * total
+            for i, w in known:
+                if at < w:
+                    want[d] = i
+                    break
+                at -= w
+        got = {r.draw: r.tree_id for r in selection.roulette(spark.createDataFrame(scores, "tree_id long, fitness double"), spark.createDataFrame(drawn, "draw long, u double"), cut).collect()}
+        assert len(got) == 302 and sum(got[d] != want.get(d) for d in got) <= 2  # sums in another order may move a border by a bit
+
+
+def test_permuted_trees(spark):
+    nodes = queries._trees(spark, 9)
+    got = variation.permuted(nodes, 4)
+    shape = lambda df: sorted((r.node_idx, r.p3, r.p4, r.parent_idx) for r in df.collect())
+    assert shape(got) == shape(nodes) and {r.tree_id for r in got.collect()} == set(range(9))
+    order = [r.p3 for r in got.where("node_idx = 5").orderBy("tree_id").collect()]
+    assert order != sorted(order) and sorted(order) == sorted(r.p3 for r in nodes.where("node_idx = 5").collect())
+    assert variation.permuted(nodes, 4).exceptAll(got).count() == 0
+
+
+def metrics_by_force(profits):
+    total = peak = drop = 0.0
+    compound = 1.0
+    for p in profits:
+        total += p
+        peak = max(peak, total)
+        drop = max(drop, peak - total)
+        compound *= 1 + p
+    return drop, compound, total
+
+
+@pytest.mark.parametrize("cut", [1, 17, 400])
+def test_metrics_over_segments(spark, cut):
+    """Drawdowns that begin and end in different segments, and a tree that holds most rows."""
+    x = random.Random(cut)
+    rows = [(0 if x.random() < 0.7 else x.randrange(1, 6), k, x.choice([None, 0.0, x.uniform(-0.1, 0.09)])) for k in range(300)]
+    found = {r.tree_id: r for r in simulator.metrics(spark.createDataFrame(rows, "tree_id long, bar long, profit double"), segments=cut).collect()}
+    for t in {t for t, _, _ in rows}:
+        p = [v for i, _, v in rows if i == t and v is not None]
+        drop, compound, total = metrics_by_force(p)
+        n = sum(v != 0 for v in p)
+        assert (found[t].n, found[t].n_losses) == (n, sum(v < 0 for v in p))
+        assert [found[t].max_drawdown, found[t].compound_value, found[t].mean_return, found[t].sum_squares] == pytest.approx([drop, compound, total / n, sum(v * v for v in p)])
+    plan = simulator.metrics(spark.createDataFrame(rows, "tree_id long, bar long, profit double"))._jdf.queryExecution().executedPlan().toString()
+    assert all("_segment" in line for line in plan.splitlines() if "Window [" in line)
+
+
 def test_intervals_are_all_known():
     assert bars.ordered_intervals(["1d", "5m", "1w", "1M", "5m"]) == ["5m", "1d", "1w", "1M"]
     with pytest.raises(ValueError, match="7x"):
