@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,57 +169,3 @@ def fitness(measured: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
     for x in parts[1:]:
         total = total + x
     return measured.join(F.broadcast(ends), how="cross").select("tree_id", F.coalesce(F.when(F.col("mean_return").isNotNull(), total), F.lit(-1.0)).alias("fitness"))
-
-
-def predict_population(nodes: DataFrame, bars: DataFrame, max_depth: int = 10) -> DataFrame:
-    """predict for large populations: bars stream through tasks that hold the population as arrays.
-
-    The same rows as predict.  Only for populations of at most MAX_BROADCAST_NODES nodes; larger ones go through predict."""
-    size = nodes.count()
-    if size > T.MAX_BROADCAST_NODES:
-        return T.predict(nodes, bars, max_depth)
-    held = nodes.orderBy("tree_id", "node_idx").toPandas()
-    shared = nodes.sparkSession.sparkContext.broadcast({int(t): g.to_numpy() for t, g in held.groupby("tree_id")})
-
-    keys = [c for c in bars.columns if c != "features"]
-
-    def run(batches):
-        for batch in batches:
-            x = np.array([np.asarray([np.nan if v is None else v for v in f], float) for f in batch.features]).reshape(len(batch), -1)
-            out = []
-            for tree, rows in shared.value.items():
-                kids: dict[int, list] = {}
-                for row in rows:
-                    kids.setdefault(int(row[3]), []).append(row)
-                for root in kids.get(-1, ()):
-                    out.append(batch[keys].reset_index(drop=True).join(_branch(x, kids, root, tree, max_depth)))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[*keys, "tree_id", "branch", "action", "ratio", "leverage"])
-
-    named = "".join(f"`{c}` {t}, " for c, t in bars.dtypes if c != "features")
-    return bars.select(*keys, "features").mapInPandas(run, f"{named}tree_id long, branch int, action int, ratio double, leverage double")
-
-
-def _branch(x: np.ndarray, kids: dict[int, list], root: np.ndarray, tree: int, max_depth: int) -> pd.DataFrame:
-    """The first action of one branch for all bars of a batch, breadth first with a mask for each node."""
-    n, width = x.shape
-    left, action, ratio, lever = np.ones(n, bool), np.zeros(n, int), np.full(n, np.nan), np.full(n, np.nan)
-    queue = [(int(root[1]), np.ones(n, bool), 1)]
-    for at, mask, depth in queue:
-        for row in kids.get(at, ()) if depth < max_depth else ():
-            here = mask & left
-            if row[2] == T.ACTION:
-                action[here], ratio[here], lever[here] = int(row[5]), row[6], row[7]
-                left &= ~here
-            elif here.any():
-                queue.append((int(row[1]), here & _holds(x, width, row), depth + 1))
-    return pd.DataFrame({"tree_id": tree, "branch": int(root[5]), "action": action, "ratio": pd.Series(ratio).astype(object).where(~np.isnan(ratio), None), "leverage": pd.Series(lever).astype(object).where(~np.isnan(lever), None)})
-
-
-def _holds(x: np.ndarray, width: int, row: np.ndarray) -> np.ndarray:
-    a, kind = int(row[5]), row[7]
-    if not 0 <= a < width or (kind == 1 and not 0 <= int(row[8]) < width):
-        return np.zeros(len(x), bool)
-    other = x[:, int(row[8])] if kind == 1 else row[8]
-    if kind == 2:
-        return x[:, a] == other
-    return x[:, a] >= other if row[6] == 0 else x[:, a] <= other

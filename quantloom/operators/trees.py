@@ -23,8 +23,6 @@ LONG, HOLD, SHORT = 0, 1, 2
 NEW_LONG, NEW_SHORT, CLOSE_ALL, CLOSE_PARTIAL, ADD_POSITION, FLIP_POSITION = range(1, 7)
 COLUMNS = ["tree_id", "node_idx", "node_type", "parent_idx", "depth", "p1", "p2", "p3", "p4"]
 NODE = "tree_id long, node_idx int, node_type int, parent_idx int, depth int, p1 double, p2 double, p3 double, p4 double"
-#: A population is broadcast only up to so many nodes; beyond, its joins shuffle by tree.
-MAX_BROADCAST_NODES = 1_000_000
 
 
 def uniform(seed: int, *key: Column | str) -> Column:
@@ -149,10 +147,6 @@ def weighted_population(spark: SparkSession, n_trees: int, catalog: list[tuple],
     return cut_lineage(shape.select(*COLUMNS[:5], *map(drawn, COLUMNS[5:])))
 
 
-def _hint(nodes: DataFrame, n_nodes: int | None) -> DataFrame:
-    return F.broadcast(nodes) if n_nodes is not None and n_nodes <= MAX_BROADCAST_NODES else nodes
-
-
 def with_paths(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
     """nodes with their branch and the path of node indices from the root, level by level; computed once, as its users read it many times."""
     level = nodes.where("parent_idx = -1").select(*COLUMNS, F.col("p1").cast("int").alias("branch"), F.array("node_idx").alias("path"))
@@ -235,18 +229,17 @@ def decision_holds(features: Column, p1: Column, p2: Column, p3: Column, p4: Col
     return F.coalesce(F.when(p3 == 0, compare(at(p1), p4)).when(p3 == 1, compare(at(p1), at(p4))).when(p3 == 2, at(p1) == p4), F.lit(False))
 
 
-def predict(nodes: DataFrame, bars: DataFrame, max_depth: int = 10, n_nodes: int | None = None) -> DataFrame:
+def predict(nodes: DataFrame, bars: DataFrame, max_depth: int = 10) -> DataFrame:
     """(bar, tree_id, branch, action, ratio, leverage) for each bar (bar, features), tree and branch.
 
     Other columns of bars, such as a symbol, are part of what identifies a bar and come back with it.  All branches are answered at once, so that a simulator only has to pick one.  From the root on, true decisions are
     expanded level by level; the first action in breadth-first order is the one of least (depth, path).
     Branches that reach none give action 0."""
-    small = _hint(nodes, n_nodes)
     roots = nodes.where(F.col("node_type") == ROOT).select("tree_id", F.col("p1").cast("int").alias("branch"), "node_idx")
     keys = [c for c in bars.columns if c != "features"]
-    level = bars.join(_hint(roots, n_nodes), how="cross").select(*keys, "features", "tree_id", "branch", F.array("node_idx").alias("path"), F.col("node_idx").alias("at"))
+    level = bars.join(roots, how="cross").select(*keys, "features", "tree_id", "branch", F.array("node_idx").alias("path"), F.col("node_idx").alias("at"))
     everyone, found = level.select(*keys, "tree_id", "branch"), []
-    child = small.select(F.col("tree_id").alias("_t"), "node_idx", "node_type", F.col("parent_idx").alias("_p"), "p1", "p2", "p3", "p4")
+    child = nodes.select(F.col("tree_id").alias("_t"), "node_idx", "node_type", F.col("parent_idx").alias("_p"), "p1", "p2", "p3", "p4")
     for _ in range(1, max_depth):
         met = level.join(child, (F.col("tree_id") == F.col("_t")) & (F.col("at") == F.col("_p"))).withColumn("path", F.concat("path", F.array("node_idx")))
         found.append(met.where(F.col("node_type") == ACTION).select(*keys, "tree_id", "branch", "path", "p1", "p2", "p3"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import selection, simulator, variation
+from ..operators import packed, selection, simulator, variation
 from ..operators.base import Mutation
 from ..operators.trees import require_valid, uniform
 from ..sources.storage import cut_lineage
@@ -57,7 +57,7 @@ def evaluate(nodes: DataFrame, features: DataFrame, bars: DataFrame, search: Sea
     features: (series..., bar, features).  Every series is traded for itself; a tree's metrics are those of all its
     series' profits, by bar."""
     series = tuple(c for c in features.columns if c not in ("bar", "features"))
-    acts = simulator.predict_population(nodes, features, search.max_depth)
+    acts = packed.predict_packed(nodes, features, search.max_depth)
     profits = simulator.simulate(acts, bars, search.market, series)
     measured = simulator.metrics(profits.select("tree_id", F.struct("bar", *series).alias("bar"), "profit"), search.minimum_trades)
     trees = nodes.select("tree_id").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import registry
 from .functions.features import apply, col
-from .operators import selection, simulator, trees, variation
+from .operators import packed, selection, simulator, trees, variation
 from .operators.bars import align, as_of, resample, ticks_to_bars
 from .plans import evolution, pipeline
 from .sources import market
@@ -147,11 +147,11 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.predict(_trees(spark), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3, n_nodes=150)
+    return trees.predict(_trees(spark), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3)
 
 
 def tree_predict_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulator.predict_population(_trees(spark), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3)
+    return packed.predict_packed(_trees(spark), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3)
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:

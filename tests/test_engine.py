@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quantloom import oracles, queries
 from quantloom.functions import features, folds, registry, scans
-from quantloom.operators import bars, simulator, trees, variation
+from quantloom.operators import bars, packed, simulator, trees, variation
 from quantloom.plans import evolution, pipeline
 from quantloom.sources import market
 
@@ -94,7 +94,7 @@ def test_both_predictors_agree(spark):
     x = random.Random(1)
     data = [(i, [x.uniform(0, 200) if x.random() < 0.9 else None for _ in range(4)]) for i in range(40)]
     feats = spark.createDataFrame(data, "bar long, features array<double>")
-    a, b = (rows(d.columns, d.collect()) for d in (trees.predict(nodes, feats, 5), simulator.predict_population(nodes, feats, 5)))
+    a, b = (rows(d.columns, d.collect()) for d in (trees.predict(nodes, feats, 5), packed.predict_packed(nodes, feats, 5)))
     assert a == b and len(a) == 10 * 40 * 3
 
 
@@ -172,7 +172,7 @@ def test_predictors_stop_at_the_depth_asked_for(spark):
     nodes = trees.random_population(spark, 6, queries.CATALOG, max_depth=6, seed=9)
     feats = spark.createDataFrame([(i, [float(i * 7 % 200)] * 4) for i in range(30)], "bar long, features array<double>")
     for depth in (2, 3, 6):
-        a, b = (rows(d.columns, d.collect()) for d in (trees.predict(nodes, feats, depth), simulator.predict_population(nodes, feats, depth)))
+        a, b = (rows(d.columns, d.collect()) for d in (trees.predict(nodes, feats, depth), packed.predict_packed(nodes, feats, depth)))
         assert a == b
 
 
