@@ -50,11 +50,16 @@ def build_all(config: dict[str, list[dict]]) -> list[Feature]:
 
 def classify(names: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """(feature, family, prefix, low, high) for each distinct name: the longest matching prefix of the first
-    family in the order bool, comparison, num; a name without one has a null family."""
+    family in the order bool, comparison, num; a name without one has a null family.
+
+    A name is met by its own prefixes, of the lengths that rules have, so rules are looked up by equality."""
     table = names.sparkSession.createDataFrame([(p, f, _PRIORITY[f], a, b) for p, f, a, b in rules], "prefix string, family string, priority int, low double, high double")
-    met = names.select("feature").distinct().join(F.broadcast(table), F.expr("startswith(feature, prefix)"), "left")
+    distinct = names.select("feature").distinct()
+    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for p, *_ in rules})])
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("feature")), lambda n: F.substring("feature", F.lit(1), n))
+    met = distinct.select("feature", F.explode(prefixes).alias("prefix")).join(table, "prefix")
     best = met.groupBy("feature").agg(F.min_by(F.struct("family", "prefix", "low", "high"), F.struct("priority", -F.length("prefix"))).alias("b"))
-    return best.select("feature", "b.*")
+    return distinct.join(best, "feature", "left").select("feature", "b.*")
 
 
 def feature_order(classified: DataFrame) -> DataFrame:

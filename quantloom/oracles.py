@@ -244,9 +244,9 @@ SELECT f.symbol, strftime(f.ts, '%Y-%m-%d %H:%M:%S') AS ts, f.close, round(f.sma
 FROM f ASOF LEFT JOIN hours h ON f.symbol = h.symbol AND f.ts + INTERVAL '30 minutes' >= h.ts + INTERVAL '1 hour'""",
 }
 
-_NAMES = "('RSI_14_5m'), ('%K_14_3_5m'), ('MACD_Signal_12_26_9_1h'), ('MACD_12_26_1h'), ('SMA_20_30m'), ('EMA_20_30m'), ('BB_Width_20_2_1h'), ('BB_Width_Ratio_10_50_1h'), ('HT_TRENDMODE_5m'), ('Volume_Spike_20_2.0_5m'), ('3BlackCrows_1h'), ('AD_5m'), ('ADX_14_5m'), ('ADOSC_3_10_5m'), ('SAR_0.02_0.2_5m'), ('unknown_1'), ('SMA_20_30m')"
+_NAMES = "['RSI_14_5m', '%K_14_3_5m', 'MACD_Signal_12_26_9_1h', 'MACD_12_26_1h', 'SMA_20_30m', 'EMA_20_30m', 'BB_Width_20_2_1h', 'BB_Width_Ratio_10_50_1h', 'HT_TRENDMODE_5m', 'Volume_Spike_20_2.0_5m', '3BlackCrows_1h', 'AD_5m', 'ADX_14_5m', 'ADOSC_3_10_5m', 'SAR_0.02_0.2_5m', 'unknown_1', 'SMA_20_30m']"
 _RULES = ", ".join(f"('{p}', '{f}', {dict(bool=0, comparison=1, num=2)[f]}, {'NULL' if a is None else repr(a)}, {'NULL' if b is None else repr(b)})" for p, f, a, b in RULES)
-_CLASSES = f"""n(feature) AS (VALUES {_NAMES}), r(prefix, family, priority, low, high) AS (VALUES {_RULES}),
+_CLASSES = f"""n AS (SELECT concat_ws('_', {_NAMES}[event_id % 17 + 1], json_extract_string(props, '$.k')) AS feature FROM events), r(prefix, family, priority, low, high) AS (VALUES {_RULES}),
 c AS (SELECT feature, family, prefix, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM (SELECT DISTINCT feature FROM n) LEFT JOIN r ON starts_with(feature, prefix)
       QUALIFY row_number() OVER (PARTITION BY feature ORDER BY priority, length(prefix) DESC) = 1)"""
 OTHER |= {
@@ -255,22 +255,24 @@ OTHER |= {
     "comparison_pairs": f"WITH {_CLASSES} SELECT a.feature, b.feature AS other FROM c a JOIN c b ON a.family = 'comparison' AND b.family = 'comparison' AND a.feature <> b.feature",
 }
 
-#: Ten trees by arithmetic: three roots with two decisions each, every decision above one action.
-_TREES = """t AS (SELECT range AS tree_id FROM range(10)), r AS (SELECT range AS b FROM range(3)), k AS (SELECT range AS k FROM range(2)),
+#: A tree for each user by arithmetic: three roots with two decisions each, every decision above one action.
+_TREES = """t AS (SELECT user_id AS tree_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT range AS b FROM range(3)), k AS (SELECT range AS k FROM range(2)),
 nodes AS (
   SELECT tree_id, CAST(b AS INT) AS node_idx, 1 AS node_type, -1 AS parent_idx, 0 AS depth, CAST(b AS DOUBLE) AS p1, 0.0::DOUBLE AS p2, 0.0::DOUBLE AS p3, 0.0::DOUBLE AS p4 FROM t, r
   UNION ALL SELECT tree_id, CAST(3 + 4 * b + k AS INT), 2, CAST(b AS INT), 1, CAST((tree_id + b + k) % 3 AS DOUBLE), CAST((tree_id + k) % 2 AS DOUBLE), CAST(CASE WHEN (tree_id + b) % 5 = 4 THEN 1 ELSE 0 END AS DOUBLE),
-    CAST(CASE WHEN (tree_id + b) % 5 = 4 THEN (tree_id + k) % 4 ELSE 20 + (tree_id * 7 + b * 11 + k * 13) % 60 END AS DOUBLE) FROM t, r, k
-  UNION ALL SELECT tree_id, CAST(5 + 4 * b + k AS INT), 3, CAST(3 + 4 * b + k AS INT), 2, CAST(CASE WHEN b = 1 THEN 1 + (tree_id + k) % 2 ELSE 3 + (tree_id + k) % 4 END AS DOUBLE), 0.5::DOUBLE, CAST(1 + tree_id AS DOUBLE), 0.0::DOUBLE FROM t, r, k)"""
+    CAST(CASE WHEN (tree_id + b) % 5 = 4 THEN (tree_id + k) % 4 ELSE 20 + (tree_id * 7 + b * 11 + k * 13 + n) % 60 END AS DOUBLE) FROM t, r, k
+  UNION ALL SELECT tree_id, CAST(5 + 4 * b + k AS INT), 3, CAST(3 + 4 * b + k AS INT), 2, CAST(CASE WHEN b = 1 THEN 1 + (tree_id + k) % 2 ELSE 3 + (tree_id + k) % 4 END AS DOUBLE), 0.5::DOUBLE, CAST(1 + (tree_id + n) % 100 AS DOUBLE), 0.0::DOUBLE FROM t, r, k)"""
+_COHORTS = _TREES.replace("user_id AS tree_id", "user_id % 10 AS tree_id")
+_COUPLES = "p AS (SELECT tree_id AS child, tree_id AS first, (tree_id * 3 + 1) % (SELECT max(user_id) + 1 FROM events) AS second FROM t)"
 _X = f"x AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar, [close, high, coalesce(avg(close) {over(5)}, 0), volume] AS f FROM bars)"
 _TRUE = "coalesce(CASE WHEN n.p3 = 0 THEN CASE WHEN n.p2 = 0 THEN f[CAST(n.p1 AS INT) + 1] >= n.p4 ELSE f[CAST(n.p1 AS INT) + 1] <= n.p4 END WHEN n.p3 = 1 THEN CASE WHEN n.p2 = 0 THEN f[CAST(n.p1 AS INT) + 1] >= f[CAST(n.p4 AS INT) + 1] ELSE f[CAST(n.p1 AS INT) + 1] <= f[CAST(n.p4 AS INT) + 1] END ELSE f[CAST(n.p1 AS INT) + 1] = n.p4 END, false)"
 _WALK = f"""walk AS (
   SELECT symbol, bar, f, tree_id, CAST(p1 AS INT) AS branch, node_idx, node_type, [node_idx] AS path, p1, p2, p3 FROM x, nodes WHERE node_type = 1
   UNION ALL SELECT w.symbol, w.bar, w.f, w.tree_id, w.branch, n.node_idx, n.node_type, list_append(w.path, n.node_idx), n.p1, n.p2, n.p3
   FROM walk w JOIN nodes n ON n.tree_id = w.tree_id AND n.parent_idx = w.node_idx WHERE w.node_type <> 3 AND (n.node_type = 3 OR {_TRUE}))"""
-_BROKEN = "broken AS (SELECT * FROM nodes WHERE NOT (tree_id = 1 AND node_idx = 5) AND NOT (tree_id = 2 AND node_idx = 0) AND NOT (tree_id = 3 AND node_idx IN (3, 4)))"
+_BROKEN = "broken AS (SELECT * FROM nodes WHERE NOT (tree_id % 5 = 1 AND node_idx = 5) AND NOT (tree_id % 5 = 2 AND node_idx = 0) AND NOT (tree_id % 5 = 3 AND node_idx IN (3, 4)))"
 OTHER |= {
-    "tree_predict": f"""WITH RECURSIVE {BARS}, {_X}, {_TREES}, {_WALK},
+    "tree_predict": f"""WITH RECURSIVE {BARS}, {_X}, {_COHORTS}, {_WALK},
 a AS (SELECT symbol, bar, tree_id, branch, arg_min((p1, p2, p3), (len(path), path)) AS a FROM walk WHERE node_type = 3 GROUP BY ALL)
 SELECT w.symbol, w.bar, w.tree_id, w.branch, CAST(coalesce(a.a[1], 0) AS INT) AS action, a.a[2] AS ratio, a.a[3] AS leverage FROM walk w LEFT JOIN a USING (symbol, bar, tree_id, branch) WHERE w.node_type = 1""",
     "adjacency": f"WITH {_TREES} SELECT tree_id, parent_idx, count(*) AS n_children, string_agg(CAST(node_idx AS VARCHAR), ',' ORDER BY node_idx) AS children FROM nodes WHERE parent_idx >= 0 GROUP BY ALL",
@@ -286,13 +288,13 @@ SELECT tree_id, CAST(bit_or(f) | CASE WHEN count(*) FILTER (node_type = 1) = 3 A
 i AS (SELECT tree_id, node_idx, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY node_idx) - 1 AS INT) AS new FROM cut)
 SELECT c.tree_id, a.new AS node_idx, c.node_type, coalesce(b.new, -1) AS parent_idx, c.depth, c.p1, c.p2, c.p3, c.p4 FROM cut c JOIN i a USING (tree_id, node_idx) LEFT JOIN i b ON b.tree_id = c.tree_id AND b.node_idx = c.parent_idx""",
     "subtree": f"WITH {_TREES} SELECT tree_id, node_idx, node_idx - (3 + CAST(tree_id % 2 AS INT)) AS step, CAST(CASE WHEN node_type = 2 THEN 0 ELSE 1 END AS INT) AS below FROM nodes WHERE node_idx = 3 + tree_id % 2 OR parent_idx = 3 + tree_id % 2",
-    "root_branch_copy": f"""WITH {_TREES}, p AS (SELECT range AS child, range % 10 AS first, (range * 3 + 1) % 10 AS second FROM range(8)),
+    "root_branch_copy": f"""WITH {_TREES}, {_COUPLES},
 d AS (SELECT child, b, CASE WHEN (child + b) % 2 = 0 THEN first ELSE second END AS donor FROM p, r),
 n AS (SELECT *, CASE WHEN node_type = 1 THEN node_idx WHEN node_type = 2 THEN (node_idx - 3) // 4 ELSE (node_idx - 5) // 4 END AS b FROM nodes)
 SELECT d.child AS tree_id, n.node_idx, n.node_type, n.parent_idx, n.depth, n.p1, n.p2, n.p3, n.p4 FROM d JOIN n ON n.tree_id = d.donor AND n.b = d.b""",
-    "critical_repair": f"""WITH {_TREES}, cut AS (SELECT * FROM nodes WHERE NOT (tree_id = 3 AND node_idx IN (3, 4, 5, 6)))
-SELECT tree_id, node_idx, node_type, parent_idx, p1 FROM cut UNION ALL SELECT 3, 15, 3, 0, 3.0""",
-    "lcg": "SELECT range AS seed, (((range * 1664525 + 1013904223) & 4294967295) * 1664525 + 1013904223) & 4294967295 AS state FROM range(1000)",
+    "critical_repair": f"""WITH {_TREES}, cut AS (SELECT * FROM nodes WHERE NOT (tree_id % 5 = 3 AND node_idx IN (3, 4, 5, 6)))
+SELECT tree_id, node_idx, node_type, parent_idx, p1 FROM cut UNION ALL SELECT tree_id, 15, 3, 0, 3.0 FROM t WHERE tree_id % 5 = 3""",
+    "lcg": "SELECT event_id AS seed, (((event_id * 1664525 + 1013904223) & 4294967295) * 1664525 + 1013904223) & 4294967295 AS state FROM events",
 }
 
 _SCORES = "s AS (SELECT user_id % 50 AS tree_id, round(avg(value), 3) - 40 AS fitness FROM events GROUP BY 1)"
@@ -315,8 +317,10 @@ d AS (SELECT range AS draw, {_DRAWN} AS u FROM range(100)) SELECT draw, min(tree
     "tournament": f"""WITH {_SCORES}, k AS (SELECT *, row_number() OVER (ORDER BY tree_id) - 1 AS rank, count(*) OVER () AS n FROM s),
 d AS (SELECT range // 4 AS draw, range % 4 AS entry, {_DRAWN} AS u FROM range(400)) SELECT draw, arg_max(tree_id, (fitness, -entry)) AS tree_id FROM d JOIN k ON floor(u * n) = rank GROUP BY draw""",
     "best_pool": f"WITH {_SCORES}, x AS (SELECT tree_id, fitness FROM s WHERE tree_id < 5 UNION ALL SELECT tree_id, fitness FROM s WHERE tree_id >= 5 AND tree_id % 10 > 6 AND tree_id % 4 / 4.0 < 0.6) SELECT * FROM x ORDER BY fitness DESC, tree_id LIMIT 8",
-    "next_generation": f"""WITH {_TREES}, e AS (SELECT tree_id AS old, row_number() OVER (ORDER BY (tree_id * 7) % 10 DESC, tree_id) - 1 AS new FROM t QUALIFY new < 3)
-SELECT e.new AS tree_id, node_idx, node_type, parent_idx FROM nodes JOIN e ON tree_id = old UNION ALL SELECT tree_id + 3, node_idx, node_type, parent_idx FROM nodes WHERE tree_id < 4""",
+    "next_generation": f"""WITH {_TREES}, e AS (SELECT tree_id AS old, row_number() OVER (ORDER BY n DESC, tree_id) - 1 AS new FROM t QUALIFY new < 3), o AS (SELECT tree_id AS old, row_number() OVER (ORDER BY tree_id) + 2 AS new FROM t WHERE tree_id % 4 = 1)
+SELECT e.new AS tree_id, node_idx, node_type, parent_idx FROM nodes JOIN e ON tree_id = old UNION ALL SELECT o.new, node_idx, node_type, parent_idx FROM nodes JOIN o ON tree_id = old""",
+    "permuted": f"""WITH {_TREES}, o AS (SELECT tree_id AS old, row_number() OVER (ORDER BY {variation_oracles.drawn(5, 'order', 'tree_id')}, tree_id) - 1 AS new FROM t)
+SELECT o.new AS tree_id, node_idx, node_type, parent_idx, depth, p1, p2, p3, p4 FROM nodes JOIN o ON tree_id = old""",
     "mating_roulette": f"""WITH {_MATED}, w AS (SELECT tree_id, fitness - least(min(fitness) OVER (), 0) AS w FROM e), c AS (SELECT tree_id, w, sum(w) OVER (ORDER BY tree_id) AS hi, sum(w) OVER () AS a FROM w),
 drawn AS (SELECT draw, min(tree_id) AS tree_id FROM d JOIN c ON u * a >= hi - w AND u * a < hi GROUP BY draw) {_PAIRS}""",
     "mating_tournament": f"""WITH {_MATED}, k AS (SELECT *, row_number() OVER (ORDER BY tree_id) - 1 AS rank, count(*) OVER () AS n FROM e), t AS (SELECT draw, entry, {variation_oracles.drawn(3, None, 'draw', 'entry')} AS u FROM d, (SELECT range AS entry FROM range(5))),

@@ -115,7 +115,9 @@ _NAMES = [
 
 
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.classify(spark.createDataFrame([(n,) for n in _NAMES], "feature string"))
+    """Every configured name with every number that the events have."""
+    rows = _read(spark, sf_dir, "events").select((F.col("event_id") % len(_NAMES) + 1).cast("int").alias("i"), F.get_json_object("props", "$.k").alias("k"))
+    return registry.classify(rows.select(F.concat_ws("_", F.element_at(F.array(*map(F.lit, _NAMES)), F.col("i")), "k").alias("feature")))
 
 
 def feature_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,19 +128,46 @@ def comparison_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.comparison_pairs(classify(spark, sf_dir))
 
 
-def _trees(spark: SparkSession, n: int = 10) -> DataFrame:
-    """Trees by arithmetic: three roots with two decisions each, every decision above one action."""
-    base = spark.range(n).select(F.col("id").alias("t")).withColumn("b", F.explode(F.array(*map(F.lit, range(3)))))
+def _grown(base: DataFrame) -> DataFrame:
+    """A tree for each row (t, n) of base: three roots with two decisions each, every decision above one action; n moves thresholds and leverages."""
+    base = base.withColumn("b", F.explode(F.array(*map(F.lit, range(3)))))
     two = base.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     pair = F.col("b") * 4 + F.col("k")
     row = lambda df, idx, kind, up, depth, *p: df.select(F.col("t").alias("tree_id"), idx.cast("int").alias("node_idx"), F.lit(kind).alias("node_type"), up.cast("int").alias("parent_idx"), F.lit(depth).alias("depth"), *[x.cast("double").alias(f"p{i}") for i, x in enumerate(p, 1)])
-    t, b, k, zero = F.col("t"), F.col("b"), F.col("k"), F.lit(0.0)
+    t, n, b, k, zero = F.col("t"), F.col("n"), F.col("b"), F.col("k"), F.lit(0.0)
     pairwise = (t + b) % 5 == 4
-    asks = row(two, 3 + pair, 2, b, 1, (t + b + k) % 3, (t + k) % 2, F.when(pairwise, 1).otherwise(0), F.when(pairwise, (t + k) % 4).otherwise(20 + (t * 7 + b * 11 + k * 13) % 60))
-    acts = row(two, 5 + pair, 3, 3 + pair, 2, F.when(b == 1, 1 + (t + k) % 2).otherwise(3 + (t + k) % 4), F.lit(0.5), 1 + t, zero)
+    asks = row(two, 3 + pair, 2, b, 1, (t + b + k) % 3, (t + k) % 2, F.when(pairwise, 1).otherwise(0), F.when(pairwise, (t + k) % 4).otherwise(20 + (t * 7 + b * 11 + k * 13 + n) % 60))
+    acts = row(two, 5 + pair, 3, 3 + pair, 2, F.when(b == 1, 1 + (t + k) % 2).otherwise(3 + (t + k) % 4), F.lit(0.5), 1 + (t + n) % 100, zero)
     return row(base, b, 1, F.lit(-1), 0, b, zero, zero, zero).unionByName(asks).unionByName(acts)
 
 
+def _trees(spark: SparkSession, sf_dir: str, by: str = "user_id") -> DataFrame:
+    """A tree for each user, or group of users, of the events."""
+    return _grown(_read(spark, sf_dir, "events").groupBy(F.expr(by).cast("long").alias("t")).agg(F.count("*").alias("n")))
+
+
+def _cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten trees: prediction has a row for each bar, tree and branch."""
+    return _trees(spark, sf_dir, "user_id % 10")
+
+
+def _couples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(child, first, second): every user's tree with another user's."""
+    users = _read(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("child"))
+    last = users.agg(F.max("child").alias("last"))
+    return users.distinct().join(F.broadcast(last), how="cross").select("child", F.col("child").alias("first"), ((F.col("child") * 3 + 1) % (F.col("last") + 1)).alias("second"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """The catalogue with bounds of the two numbers as the events have them."""
+    low, high = _read(spark, sf_dir, "events").agg(F.min("value"), F.max("value")).first()
+    return [(i, f, low, high) if f == "num" else (i, f, None, None) for i, f, *_ in CATALOG]
+
+
+def _users(spark: SparkSession, sf_dir: str) -> int:
+    return _read(spark, sf_dir, "events").agg(F.count_distinct("user_id")).first()[0]
+
+
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every symbol's bars, numbered, with a feature array."""
     order = Window.partitionBy("symbol").orderBy("ts")
@@ -147,47 +176,48 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.predict(_trees(spark), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3)
+    return trees.predict(_cohorts(spark, sf_dir), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3)
 
 
 def tree_predict_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed.predict_packed(_trees(spark), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3)
+    return packed.predict_packed(_cohorts(spark, sf_dir), _numbered(spark, sf_dir).select("symbol", "bar", "features"), 3)
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.adjacency(_trees(spark)).select("tree_id", "parent_idx", "n_children", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
+    return trees.adjacency(_trees(spark, sf_dir)).select("tree_id", "parent_idx", "n_children", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
 
 
 def child_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.child_overflow(_trees(spark), 1)
+    return trees.child_overflow(_trees(spark, sf_dir), 1)
 
 
 def tree_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = _trees(spark).where("NOT (tree_id = 1 AND node_idx = 5) AND NOT (tree_id = 2 AND node_idx = 0) AND NOT (tree_id = 3 AND node_idx IN (3, 4))")
+    broken = _trees(spark, sf_dir).where("NOT (tree_id % 5 = 1 AND node_idx = 5) AND NOT (tree_id % 5 = 2 AND node_idx = 0) AND NOT (tree_id % 5 = 3 AND node_idx IN (3, 4))")
     return trees.validate(broken)
 
 
 def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.compact(_trees(spark).where("NOT (tree_id % 2 = 0 AND node_idx IN (4, 6))"))
+    return trees.compact(_trees(spark, sf_dir).where("NOT (tree_id % 2 = 0 AND node_idx IN (4, 6))"))
 
 
 def subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tops = spark.range(10).select(F.col("id").alias("tree_id"), (3 + F.col("id") % 2).cast("int").alias("top"))
-    return trees.subtree(_trees(spark), tops, 3).select("tree_id", "node_idx", (F.col("node_idx") - F.col("top")).alias("step"), "below")
+    nodes = _trees(spark, sf_dir)
+    tops = nodes.where("node_idx = 0").select("tree_id", (3 + F.col("tree_id") % 2).cast("int").alias("top"))
+    return trees.subtree(nodes, tops).select("tree_id", "node_idx", (F.col("node_idx") - F.col("top")).alias("step"), "below")
 
 
 def root_branch_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.range(8).select(F.col("id").alias("child"), (F.col("id") % 10).alias("first"), ((F.col("id") * 3 + 1) % 10).alias("second"))
-    return variation.root_branch_crossover(pairs, _trees(spark), 0, 3, first_donor=(F.col("child") + F.col("branch")) % 2 == 0)
+    return variation.root_branch_crossover(_couples(spark, sf_dir), _trees(spark, sf_dir), 0, 3, first_donor=(F.col("child") + F.col("branch")) % 2 == 0)
 
 
 def critical_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _trees(spark).where("NOT (tree_id = 3 AND node_idx IN (3, 4, 5, 6))")
+    cut = _trees(spark, sf_dir).where("NOT (tree_id % 5 = 3 AND node_idx IN (3, 4, 5, 6))")
     return variation.repair_roots(cut).select("tree_id", "node_idx", "node_type", "parent_idx", "p1")
 
 
 def lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1000).select(F.col("id").alias("seed"), trees.lcg(trees.lcg(F.col("id"))).alias("state"))
+    seeds = _read(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("seed"))
+    return seeds.select("seed", trees.lcg(trees.lcg(F.col("seed"))).alias("state"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +248,9 @@ def best_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.range(10).select(F.col("id").alias("tree_id"), ((F.col("id") * 7) % 10).cast("double").alias("fitness"))
-    new = selection.next_generation(_trees(spark), selection.elites(ids, 3), _trees(spark).where("tree_id < 4"))
+    nodes = _trees(spark, sf_dir)
+    scores = _read(spark, sf_dir, "events").groupBy(F.col("user_id").cast("long").alias("tree_id")).agg(F.count("*").cast("double").alias("fitness"))
+    new = selection.next_generation(nodes, selection.elites(scores, 3), nodes.where("tree_id % 4 = 1"))
     return new.select("tree_id", "node_idx", "node_type", "parent_idx")
 
 
@@ -273,7 +304,7 @@ def population_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A population saved with its catalogue and loaded against one in another order."""
     path = f"{shared_folder(spark)}/population-{uuid.uuid4().hex}"
     own = spark.createDataFrame([(f"F{i}", f, lo, hi, i) for i, f, lo, hi in CATALOG], "feature string, family string, low double, high double, idx int")
-    save_population(_trees(spark), own, path)
+    save_population(_trees(spark, sf_dir), own, path)
     return load_population(spark, path, own.withColumn("idx", 3 - F.col("idx")))[0]
 
 
@@ -292,26 +323,29 @@ CATALOG = [(0, "num", 0.0, 200.0), (1, "num", 0.0, 300.0), (2, "comparison", Non
 
 
 def random_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.random_population(spark, 50, CATALOG, max_depth=5, seed=7)
+    return trees.random_population(spark, _users(spark, sf_dir), _catalog(spark, sf_dir), max_depth=5, seed=7)
 
 
 def weighted_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.weighted_population(spark, 50, CATALOG, max_depth=6, seed=7)
+    return trees.weighted_population(spark, _users(spark, sf_dir), _catalog(spark, sf_dir), max_depth=6, seed=7)
 
 
 def _varied(make: Callable[[DataFrame], DataFrame], deeper: bool = False) -> Query:
     """make over the trees; deeper: over trees of which each got a decision more, so that their branches differ."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes = _trees(spark)
+        nodes = _trees(spark, sf_dir)
         return make(variation.add_node(nodes, CATALOG, 9, rate=1.0, max_depth=5) if deeper else nodes).select(trees.COLUMNS)
 
     return run
 
 
+def permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variation.permuted(_trees(spark, sf_dir), 5).select(trees.COLUMNS)
+
+
 def _crossed(make: Callable[..., DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = spark.range(8).select(F.col("id").alias("child"), (F.col("id") % 10).alias("first"), ((F.col("id") * 3 + 1) % 10).alias("second"))
-        return make(pairs, _trees(spark), 5, 5)
+        return make(_couples(spark, sf_dir), _trees(spark, sf_dir), 5, 5)
 
     return run
 
@@ -320,7 +354,7 @@ def evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generation of a small search over all series; the new population."""
     bars = _numbered(spark, sf_dir)
     search = evolution.Search(CATALOG, population=8, n_elites=2, parents=4, max_depth=5)
-    return evolution.evolve(spark, _trees(spark), bars.select("symbol", "bar", "features"), bars, search, 1, f"{shared_folder(spark)}/evolve-{uuid.uuid4().hex}")
+    return evolution.evolve(spark, _cohorts(spark, sf_dir), bars.select("symbol", "bar", "features"), bars, search, 1, f"{shared_folder(spark)}/evolve-{uuid.uuid4().hex}")
 
 
 def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +374,7 @@ QUERIES: dict[str, Query] = {
     **{f.__name__: f for f in (
         ohlc_resample, daily_resample, asof_funding, asof_multi_tf, asof_multi_tf_compat, classify, feature_order, comparison_pairs, tree_predict, tree_predict_batched, adjacency, child_overflow,
         tree_validate, compact, subtree, root_branch_copy, critical_repair, lcg, elites, roulette, tournament, best_pool, next_generation, metrics, metrics_minimum, fitness, kline_files, funding_files, population_files, train_test_split, simulate, random_population, weighted_population,
-        evolve, feature_pipeline, streaming_bars,
+        evolve, feature_pipeline, streaming_bars, permuted,
     )},
     "mating_roulette": _mated(0),
     "mating_tournament": _mated(5),

@@ -50,7 +50,7 @@ more AS (SELECT n.tree_id, n.node_idx, n.node_type, CASE WHEN n.node_idx = x[1]
 
 
 def oracles(trees: str) -> dict[str, str]:
-    """SQL by query; trees: the CTEs t, r, k and nodes of ten trees with three roots, two decisions under each and an action under each of those."""
+    """SQL by query; trees: the CTEs t, r, k and nodes of trees with three roots, two decisions under each and an action under each of those."""
     deeper = f"WITH RECURSIVE {trees}, {with_node(9)}, {shape('more')}"
     branch = "CASE node_type WHEN 1 THEN node_idx WHEN 2 THEN (node_idx - 3) // 4 ELSE (node_idx - 5) // 4 END"
     around = f"(2 * {drawn(1, 'amount', 'tree_id', 'node_idx')} - 1)"
@@ -80,7 +80,7 @@ leaf AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY j) AS nth FR
 SELECT {_COLUMNS} FROM more UNION ALL SELECT tree_id, last + j, 2, CASE WHEN ups[j] = 0 THEN spot ELSE last + ups[j] END, deep[j], {named(decision(1, 'tree_id', 'j'))} FROM e
 UNION ALL SELECT tree_id, last + n + nth, 3, last + j, deep[j] + 1, {named(action(1, 'side', 'tree_id', 'j'))} FROM leaf""",
     }
-    pairs = f"p AS (SELECT range AS child, range % 10 AS first, (range * 3 + 1) % 10 AS second FROM range(8)), n AS (SELECT *, {branch} AS b FROM nodes)"
+    pairs = f"p AS (SELECT tree_id AS child, tree_id AS first, (tree_id * 3 + 1) % (SELECT max(user_id) + 1 FROM events) AS second FROM t), n AS (SELECT *, {branch} AS b FROM nodes)"
     out["root_branch_crossover"] = f"""WITH {trees}, {pairs}, d AS (SELECT child, b, CASE WHEN {drawn(5, 'branch', 'child', 'b')} < 0.5 THEN first ELSE second END AS donor FROM p, r)
 SELECT d.child AS tree_id, n.node_idx, n.node_type, n.parent_idx, n.depth, n.p1, n.p2, n.p3, n.p4 FROM d JOIN n ON n.tree_id = d.donor AND n.b = d.b"""
     for name, place in (("", "b"), ("_free", "CASE b WHEN 1 THEN 1 ELSE 0 END")):

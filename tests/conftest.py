@@ -25,3 +25,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def small_trees(spark, n=10):
+    from pyspark.sql import functions as F
+
+    from quantloom import queries
+
+    return queries._grown(spark.range(n).select(F.col("id").alias("t"), F.lit(0).alias("n")))

@@ -6,7 +6,7 @@ import random
 
 import duckdb
 import pytest
-from conftest import DATA
+from conftest import DATA, small_trees
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -84,7 +84,7 @@ def test_weighted_population_keeps_its_limits(spark):
 
 
 def test_invalid_trees_are_named(spark):
-    bad = queries._trees(spark, 3).where("NOT (tree_id = 1 AND node_idx = 5)")
+    bad = small_trees(spark, 3).where("NOT (tree_id = 1 AND node_idx = 5)")
     with pytest.raises(ValueError, match="1 \\(faults 4\\)"):
         trees.require_valid(bad)
 
@@ -162,7 +162,7 @@ def test_all_configured_functions_make_columns(spark):
 def test_resume(spark, tmp_path):
     bars_ = queries._numbered(spark, DATA).where("bar < 60")
     search = evolution.Search(queries.CATALOG, population=4, n_elites=1, parents=2, max_depth=5)
-    args = (spark, queries._trees(spark, 4), bars_.select("symbol", "bar", "features"), bars_, search)
+    args = (spark, small_trees(spark, 4), bars_.select("symbol", "bar", "features"), bars_, search)
     evolution.evolve(*args, 1, str(tmp_path))
     assert os.path.isdir(tmp_path / "generation=0") and evolution._latest(spark, str(tmp_path)) == 0
     assert evolution.evolve(*args, 1, str(tmp_path)).select("tree_id").distinct().count() == 4
@@ -182,7 +182,7 @@ def test_crossovers_get_exact_shares(spark, monkeypatch):
         real = getattr(variation, name)
         monkeypatch.setattr(variation, name, lambda pairs, *a, real=real, k=k: (got.__setitem__(k, pairs.count()), real(pairs, *a))[1])
     pairs = spark.range(17).select(F.col("id").alias("child"), (F.col("id") % 10).alias("first"), ((F.col("id") * 3 + 1) % 10).alias("second"))
-    made = variation.crossover_chain(pairs, queries._trees(spark), 4, (0.6, 0.2, 0.2), rate=1.0, max_depth=5)
+    made = variation.crossover_chain(pairs, small_trees(spark), 4, (0.6, 0.2, 0.2), rate=1.0, max_depth=5)
     assert got == {0: 10, 1: 3, 2: 4} and made.select("tree_id").distinct().count() == 17
 
 
@@ -253,16 +253,16 @@ def test_jobs_from_configuration_files(spark, tmp_path):
     search_best = evolution.Search(queries.CATALOG, min_compound=-1e9, most_drawdown=1e9)
     scored = spark.createDataFrame([(i, float(i), 1.0, 0.1) for i in range(4)], "tree_id long, fitness double, compound_value double, max_drawdown double")
     for g in (0, 1):
-        evolution._pooled(spark, str(tmp_path / "pool"), g, queries._trees(spark, 4), scored, search_best)
+        evolution._pooled(spark, str(tmp_path / "pool"), g, small_trees(spark, 4), scored, search_best)
     pooled = spark.read.parquet(str(tmp_path / "pool" / "generation=1" / "pool"))
     assert pooled.select("tree_id").distinct().count() == 8 and pooled.count() == 8 * 15
     best, judged = jobs.train(spark, config, table, catalog, str(tmp_path / "run"))
     assert best.columns == trees.COLUMNS and judged.count() == best.select("tree_id").distinct().count() <= 2
     assert trees.validate(spark.read.parquet(str(tmp_path / "run" / "search" / "generation=0" / "nodes")), 3, 5).where("faults <> 0").count() == 0
-    populations.save_population(queries._trees(spark, 3), catalog, str(tmp_path / "saved"))
+    populations.save_population(small_trees(spark, 3), catalog, str(tmp_path / "saved"))
     turned = catalog.withColumn("idx", (3 - F.col("idx")).cast("int"))
     moved, _ = populations.load_population(spark, str(tmp_path / "saved"), turned, trees=[0, 2])
-    old = {(r.tree_id, r.node_idx): r for r in queries._trees(spark, 3).collect()}
+    old = {(r.tree_id, r.node_idx): r for r in small_trees(spark, 3).collect()}
     for r in moved.collect():
         was = old[r.tree_id, r.node_idx]
         assert r.p1 == (3 - was.p1 if r.node_type == 2 else was.p1) and r.p4 == (3 - was.p4 if r.node_type == 2 and r.p3 == 1 else was.p4)

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import whole_series as plain
+from conftest import small_trees
 from pyspark.sql import functions as F
 
 from quantloom import queries
@@ -188,7 +189,7 @@ def test_roulette_by_force(spark, cut):
 
 
 def test_permuted_trees(spark):
-    nodes = queries._trees(spark, 9)
+    nodes = small_trees(spark, 9)
     got = variation.permuted(nodes, 4)
     shape = lambda df: sorted((r.node_idx, r.p3, r.p4, r.parent_idx) for r in df.collect())
     assert shape(got) == shape(nodes) and {r.tree_id for r in got.collect()} == set(range(9))

@@ -1,0 +1,24 @@
+"""Names and trees that come from tables."""
+
+from quantloom import queries
+from quantloom.functions import registry
+from conftest import DATA
+
+
+def test_names_meet_their_prefixes_by_equality(spark):
+    names = ["RSI", "RSI_14", "R", "", None, "%K_3", "MACD_Signal_1", "MACD_Sig", "HT_TRENDMODE_SMA"]
+    rows = spark.createDataFrame([(n,) for n in names + names], "feature string")
+    got = {r.feature: (r.family, r.prefix) for r in registry.classify(rows).collect()}
+    want = {}
+    for n in names:
+        fits = [(registry._PRIORITY[f], -len(p), f, p) for p, f, *_ in registry.RULES if n is not None and n.startswith(p)]
+        want[n] = min(fits)[2:] if fits else (None, None)
+    assert got == want
+    plan = registry.classify(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_every_tree_query_reads_the_events(spark):
+    for name in "classify adjacency child_overflow tree_validate compact subtree root_branch_copy critical_repair lcg next_generation mutate_parameters add_node subtree_crossover permuted".split():
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().analyzed().toString()
+        assert "value#" in plan or "event_id#" in plan or "LogicalRDD" in plan or "user_id#" in plan, name
