@@ -1,7 +1,7 @@
 """A quality classifier by co-training two views of a document.
 
 One logistic classifier sees the text's content (word buckets, character classes, marks,
-repetition), the other the page's metadata (source, language, length, layout).  Over some rounds
+repetition), the other the page's metadata (source, language, length, and the layout of its lines).  Over some rounds
 each labels the unlabelled documents it is surest of for the other: every round scores the whole corpus with
 both views, each task keeps its surest rows, and the surest of all come to the driver.  Each view is then
 calibrated on labelled rows kept out of training, the calibrated log odds are combined, and all documents scored.
@@ -85,19 +85,47 @@ def content_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.hstack([words, np.sqrt(shares), np.sqrt(stats)]).astype(np.float32)
 
 
-def metadata_features(source: list[str | None], lang: list[str | None], n_bytes: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
-    """One row a document: hashed source and language, length and layout on logarithmic scales."""
+#: Bytes of markup and of addresses.
+_MARKUP = np.isin(np.arange(256), list(b"<>{}[]|=#*_~`\\"))
+LAYOUT = 6
+
+
+def layout_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row a document: shares of repeated, empty and short lines, spread of the lines' lengths, markup, and addresses."""
+    n = len(offsets) - 1
+    breaks = np.flatnonzero(data == 0x0A)
+    starts, ends = np.sort(np.concatenate([offsets[:-1], breaks + 1])), np.sort(np.concatenate([breaks, offsets[1:]]))
+    row = np.repeat(np.arange(n), np.diff(np.searchsorted(breaks, offsets)) + 1)
+    size = ends - starts
+    name = K.range_hashes(K.byte_codes(data), starts, ends) if len(data) else np.zeros(len(starts), U64)
+    order = np.lexsort((name, row))
+    again = np.zeros(len(name))
+    again[1:] = (name[order][1:] == name[order][:-1]) & (row[order][1:] == row[order][:-1]) & (size[order][1:] > 0)
+    lines = np.bincount(row, minlength=n)
+    mean = lambda x, of=row: np.bincount(of, x, n) / np.maximum(lines, 1)
+    long = np.log1p(size)
+    inside = np.repeat(np.arange(n), np.diff(offsets))
+    per_byte = lambda hit: np.bincount(inside[hit], minlength=n) / np.maximum(np.diff(offsets), 1)
+    slashes = np.flatnonzero((data[:-2] == 0x3A) & (data[1:-1] == 0x2F) & (data[2:] == 0x2F)) if len(data) > 2 else np.zeros(0, np.int64)
+    spread = np.sqrt(np.maximum(mean(long**2) - mean(long) ** 2, 0)) / 3
+    return np.stack([np.sqrt(mean(again, row[order])), np.sqrt(mean(size == 0)), np.sqrt(mean((size > 0) & (size < 24))), spread, np.sqrt(per_byte(_MARKUP[data])), np.sqrt(30 * per_byte(slashes))], 1)
+
+
+def metadata_features(source: list[str | None], lang: list[str | None], n_bytes: np.ndarray, n_lines: np.ndarray, layout: np.ndarray) -> np.ndarray:
+    """One row a document: hashed source and language, length on logarithmic scales, and layout."""
     import zlib
 
     n = len(source)
-    out = np.zeros((n, META_SOURCES + META_LANGS + 12), np.float32)
+    out = np.zeros((n, META_SOURCES + META_LANGS + 12 + LAYOUT), np.float32)
     rows = np.arange(n)
     out[rows, [zlib.crc32((s or "").encode()) % META_SOURCES for s in source]] = 1
     out[rows, [META_SOURCES + zlib.crc32((x or "").encode()) % META_LANGS for x in lang]] = 1
     out[rows, META_SOURCES + META_LANGS + np.minimum(np.log2(1 + n_bytes).astype(int) // 2, 8)] = 1
-    out[:, -3] = np.log1p(n_bytes) / 10
-    out[:, -2] = np.log1p(n_lines) / 5
-    out[:, -1] = np.log1p(n_bytes / np.maximum(n_lines, 1)) / 10
+    at = META_SOURCES + META_LANGS + 9
+    out[:, at] = np.log1p(n_bytes) / 10
+    out[:, at + 1] = np.log1p(n_lines) / 5
+    out[:, at + 2] = np.log1p(n_bytes / np.maximum(n_lines, 1)) / 10
+    out[:, at + 3 :] = layout
     return out
 
 
@@ -171,44 +199,71 @@ Wish = tuple[int, float, int]
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # names, content, metadata
 
 
+def _loss(odds: np.ndarray, y: np.ndarray) -> float:
+    """Mean log loss of log odds."""
+    return float(np.logaddexp(0, np.where(y > 0, -odds, odds)).mean())
+
+
+def _combined(text: View, meta: View, views: tuple[np.ndarray, np.ndarray], truth: np.ndarray) -> tuple[Model, float, list[float]]:
+    """A model of both views, calibrated and combined on held-out rows; its log loss there, and each view's gain over the share of ones."""
+    for view, x in zip((text, meta), views, strict=True):
+        view.calibrate(x, truth)
+    each = [v.log_odds(x) for v, x in zip((text, meta), views, strict=True)]
+    odds = np.stack([*each, np.ones(len(truth))], 1)
+    mix = _logistic(np.clip(odds, -10, 10), truth, 0.1)
+    for k in (0, 1):  # a view can't vote against itself: without it, the other alone
+        if mix[k] < 0:
+            odds[:, k] = 0
+            mix = _logistic(np.clip(odds, -10, 10), truth, 0.1)
+    base = _loss(np.full(len(truth), np.log(truth.mean() / (1 - truth.mean()))), truth)
+    return Model(text, meta, mix), _loss(np.clip(odds, -10, 10) @ mix, truth), [base - _loss(x, truth) for x in each]
+
+
+#: Nats by which a view must beat the share of ones on held-out rows in order to label for the other one.
+LEAST_GAIN = 0.01
+
+
 def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, surest: Callable[[Model, list[Wish], list[set[int]]], list[Found]], rounds: int = 3, sure: float = 0.95, each: int = 200) -> Model:
-    """y: 0 or 1.  Every fifth labelled row calibrates and combines; the others train.
+    """y: 0 or 1.  Every fifth labelled row calibrates, combines and judges; the others train.
 
     surest(model, wishes, taken) answers each wish with the surest unlabelled rows whose names the learning view has
-    not taken yet; only those at least ``sure`` are learnt."""
+    not taken yet; only those at least ``sure`` are learnt.  A view that hardly beats the share of ones labels nothing; what a
+    view has learnt in a round it keeps only if the combined log loss on held-out rows doesn't rise by it; rounds end when
+    nothing new is kept."""
     held = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:  # nothing to tell apart: everything scores the share of ones
         share = (y.sum() + 1) / (len(y) + 2)
         flat = lambda x: View(mean=np.zeros(x.shape[1]), scale=np.zeros(x.shape[1]), weights=np.append(np.zeros(x.shape[1]), np.log(share / (1 - share))))
         return Model(flat(content), flat(metadata), np.array([0.5, 0.5, 0.0]))
-    views, truth = (content, metadata), y[held].astype(float)
-    own = [(x[~held], y[~held].astype(float)) for x in views]
+    views, truth = (content[held], metadata[held]), y[held].astype(float)
+    own = [(x[~held], y[~held].astype(float)) for x in (content, metadata)]
     taken: list[set[int]] = [set(), set()]
-    model = Model(*(View().fit(*d) for d in own), np.array([0.5, 0.5, 0.0]))
-    wishes = [(k, label, max(1, round(each * (y.mean() if label else 1 - y.mean())))) for k in (0, 1) for label in (1.0, 0.0)]
+    model, loss, gain = _combined(*(View().fit(*d) for d in own), views, truth)
+    exchanged: list[tuple[int, int, float, int]] = []
     for turn in range(rounds):
-        for view, x in zip((model.text, model.meta), views, strict=True):
-            view.calibrate(x[held], truth)  # a view that tells nothing apart is never sure
-        for (k, label, _), (names, *rows) in zip(wishes, surest(model, wishes, taken), strict=True):
+        wishes = [(k, label, max(1, round(each * (y.mean() if label else 1 - y.mean())))) for k in (0, 1) if gain[k] > LEAST_GAIN for label in (1.0, 0.0)]
+        told: list[list[tuple]] = [[], []]
+        for (k, label, _), (names, *rows) in zip(wishes, surest(model, wishes, taken) if wishes else [], strict=True):
             odds = (model.text, model.meta)[k].log_odds(rows[k]) if len(names) else np.zeros(0)
             good = _sigmoid(odds if label else -odds) >= sure
             if good.any():
-                learner = 1 - k
-                own[learner] = (np.vstack([own[learner][0], rows[learner][good]]), np.append(own[learner][1], np.full(good.sum(), label)))
-                taken[learner] |= set(names[good].tolist())
-                model.exchanged.append((turn, learner, label, int(good.sum())))
-        if not any(t == turn for t, *_ in model.exchanged):
+                told[1 - k].append((rows[1 - k][good], label, names[good]))
+        kept = False
+        for learner in (0, 1):
+            if not told[learner]:
+                continue
+            x = np.vstack([own[learner][0], *(rows for rows, *_ in told[learner])])
+            labels = np.concatenate([own[learner][1], *(np.full(len(rows), label) for rows, label, _ in told[learner])])
+            taught = [model.text, model.meta]
+            taught[learner] = View().fit(x, labels)
+            new, new_loss, new_gain = _combined(*taught, views, truth)
+            taken[learner].update(n for *_, names in told[learner] for n in names.tolist())  # not asked for again
+            if new_loss <= loss:
+                model, loss, gain, own[learner], kept = new, new_loss, new_gain, (x, labels), True
+                exchanged += [(turn, learner, label, len(rows)) for rows, label, _ in told[learner]]
+        if not kept:
             break
-        model.text, model.meta = (View().fit(*d) for d in own)
-    for view, x in zip((model.text, model.meta), views, strict=True):
-        view.calibrate(x[held], truth)
-    odds = np.stack([*model.views(content[held], metadata[held]), np.ones(held.sum())], 1)
-    mix = _logistic(np.clip(odds, -10, 10), truth, 0.1)
-    for k in (0, 1):  # a view can't vote against itself: without it, the other alone
-        if mix[k] < 0:
-            odds[:, k] = 0
-            mix = _logistic(np.clip(odds, -10, 10), truth, 0.1)
-    model.mix = mix
+    model.exchanged = exchanged
     return model
 
 
@@ -221,11 +276,11 @@ def _views(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
         part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         content.append(content_features(part, local))
         newlines = np.searchsorted(np.flatnonzero(part == 0x0A), local)
-        metadata.append(metadata_features(source[a:b], lang[a:b], np.diff(local), np.diff(newlines) + 1))
+        metadata.append(metadata_features(source[a:b], lang[a:b], np.diff(local), np.diff(newlines) + 1, layout_features(part, local)))
     return tuple(np.vstack(x) if x else np.zeros((0, w), np.float32) for x, w in zip((content, metadata), (CONTENT, METADATA), strict=True))
 
 
-CONTENT, METADATA = BUCKETS + N_CLASSES + N_STATS, META_SOURCES + META_LANGS + 12
+CONTENT, METADATA = BUCKETS + N_CLASSES + N_STATS, META_SOURCES + META_LANGS + 12 + LAYOUT
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
