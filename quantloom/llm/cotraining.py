@@ -219,8 +219,9 @@ def _combined(text: View, meta: View, views: tuple[np.ndarray, np.ndarray], trut
     return Model(text, meta, mix), _loss(np.clip(odds, -10, 10) @ mix, truth), [base - _loss(x, truth) for x in each]
 
 
-#: Nats by which a view must beat the share of ones on held-out rows in order to label for the other one.
-LEAST_GAIN = 0.01
+#: Nats a row and in all by which a view must beat the share of ones on held-out rows in order to label for the other one; a view
+#: of noise, calibrated on those rows, beats it by one nat in all, by four once in two hundred times.
+LEAST_GAIN, LEAST_TOTAL = 0.01, 4.0
 
 
 def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, surest: Callable[[Model, list[Wish], list[set[int]]], list[Found]], rounds: int = 3, sure: float = 0.95, each: int = 200) -> Model:
@@ -241,7 +242,7 @@ def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, surest: C
     model, loss, gain = _combined(*(View().fit(*d) for d in own), views, truth)
     exchanged: list[tuple[int, int, float, int]] = []
     for turn in range(rounds):
-        wishes = [(k, label, max(1, round(each * (y.mean() if label else 1 - y.mean())))) for k in (0, 1) if gain[k] > LEAST_GAIN for label in (1.0, 0.0)]
+        wishes = [(k, label, max(1, round(each * (y.mean() if label else 1 - y.mean())))) for k in (0, 1) if gain[k] > max(LEAST_GAIN, LEAST_TOTAL / len(truth)) for label in (1.0, 0.0)]
         told: list[list[tuple]] = [[], []]
         for (k, label, _), (names, *rows) in zip(wishes, surest(model, wishes, taken) if wishes else [], strict=True):
             odds = (model.text, model.meta)[k].log_odds(rows[k]) if len(names) else np.zeros(0)
@@ -257,9 +258,9 @@ def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, surest: C
             taught = [model.text, model.meta]
             taught[learner] = View().fit(x, labels)
             new, new_loss, new_gain = _combined(*taught, views, truth)
-            taken[learner].update(n for *_, names in told[learner] for n in names.tolist())  # not asked for again
             if new_loss <= loss:
                 model, loss, gain, own[learner], kept = new, new_loss, new_gain, (x, labels), True
+                taken[learner].update(n for *_, names in told[learner] for n in names.tolist())
                 exchanged += [(turn, learner, label, len(rows)) for rows, label, _ in told[learner]]
         if not kept:
             break
