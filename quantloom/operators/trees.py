@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut_lineage
+from .tours import inside, toured
 
 ROOT, DECISION, ACTION = 1, 2, 3
 LONG, HOLD, SHORT = 0, 1, 2
@@ -208,18 +209,19 @@ def require_valid(nodes: DataFrame, **limits) -> None:
 
 def compact(nodes: DataFrame) -> DataFrame:
     """nodes with indices 0.. without gaps in each tree; nodes whose parent is missing are dropped, with all below them."""
-    reached = with_paths(nodes, 64 if "depth" not in nodes.columns else nodes.agg(F.max("depth")).first()[0] + 1) if nodes.head(1) else nodes
+    reached = toured(nodes)
     new = reached.select("tree_id", F.col("node_idx").alias("old"), (F.row_number().over(Window.partitionBy("tree_id").orderBy("node_idx")) - 1).alias("new"))
     own = reached.select(COLUMNS).alias("n").join(new.alias("a"), F.expr("n.tree_id = a.tree_id AND n.node_idx = a.old"))
     met = own.join(new.alias("b"), F.expr("n.tree_id = b.tree_id AND n.parent_idx = b.old"), "left")
     return met.select("n.tree_id", F.col("a.new").alias("node_idx"), "n.node_type", F.coalesce("b.new", F.lit(-1)).alias("parent_idx"), "n.depth", "n.p1", "n.p2", "n.p3", "n.p4")
 
 
-def subtree(nodes: DataFrame, tops: DataFrame, max_depth: int = 10) -> DataFrame:
-    """The nodes below and at each top (tree_id, top), with top and relative depth."""
-    paths = with_paths(nodes, max_depth).alias("n")
-    met = paths.join(tops.alias("s"), F.expr("n.tree_id = s.tree_id AND array_contains(n.path, s.top)"))
-    return met.select("n.*", "top", (F.size("path") - F.array_position("path", F.col("top"))).cast("int").alias("below"))
+def subtree(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """The nodes below and at each top (tree_id, top), with top and how far below it they are."""
+    tour = toured(nodes)
+    met = tops.select("tree_id", "top").join(tour.select("tree_id", F.col("node_idx").alias("top"), F.col("enter").alias("top_enter"), F.col("leave").alias("top_leave"), F.col("level").alias("top_level")), ["tree_id", "top"])
+    found = tour.join(met, "tree_id").where(inside())
+    return found.select(*COLUMNS, "branch", "top", (F.col("level") - F.col("top_level")).cast("int").alias("below"))
 
 
 def decision_holds(features: Column, p1: Column, p2: Column, p3: Column, p4: Column) -> Column:

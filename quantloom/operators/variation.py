@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import cut_lineage
 from .segments import prefixed
+from .tours import inside, nearest, toured
 from .trees import ACTION, CLOSE_ALL, COLUMNS, DECISION, HOLD, LONG, ROOT, random_action, random_decision, uniform, with_paths
 
 _P = ("p1", "p2", "p3", "p4")
@@ -237,18 +238,20 @@ def add_subtree(nodes: DataFrame, catalog: list[tuple], seed: int, rate: float =
     return nodes.select(COLUMNS).unionByName(asks).unionByName(acts)
 
 
-def delete_subtree(nodes: DataFrame, seed: int, rate: float = 0.2, alpha: float = 1.0, max_depth: int = 10) -> DataFrame:
+def delete_subtree(nodes: DataFrame, seed: int, rate: float = 0.2, alpha: float = 1.0) -> DataFrame:
     """One subtree of some trees goes, rather a large one, with the decisions above it that would be left without children.
 
-    So what is cut hangs at the nearest node on its path that has siblings; a subtree without such a node, the only
-    thing below its root, stays."""
-    paths = with_paths(nodes, max_depth)
-    spans = _spans(paths).where(F.col("node_type") != ROOT)
-    tops = spans.where("siblings > 1").select("tree_id", F.col("node_idx").alias("top"), F.col("depth").alias("_d"))
-    lifted = spans.select("tree_id", "node_idx", F.explode("path").alias("top")).join(tops, ["tree_id", "top"]).groupBy("tree_id", "node_idx").agg(F.max_by("top", "_d").alias("top"))
-    cut = _picked(spans.join(lifted, ["tree_id", "node_idx"]), seed, "delete_subtree", rate, F.pow(F.col("size").cast("double"), F.lit(alpha)))
-    cut = cut.join(lifted, F.expr("_t = tree_id AND at = node_idx")).select("_t", "top")
-    return paths.join(cut, F.col("tree_id") == F.col("_t"), "left").where("top IS NULL OR NOT array_contains(path, top)").select(COLUMNS)
+    So what is cut hangs at the nearest node above it, or is it itself, that has siblings; a subtree without such a node, the
+    only thing below its root, stays."""
+    tour = cut_lineage(toured(nodes))
+    siblings = tour.groupBy("tree_id", "parent_idx").agg(F.count("*").alias("siblings"))
+    below = cut_lineage(tour.where(F.col("node_type") != ROOT).join(siblings, ["tree_id", "parent_idx"]))
+    lifted = nearest(below, "siblings > 1").where("top IS NOT NULL")
+    size = F.floor((F.col("leave") - F.col("enter") + 1) / 2).cast("double")
+    chosen = _picked(below.join(lifted, ["tree_id", "node_idx"]), seed, "delete_subtree", rate, F.pow(size, F.lit(alpha)))
+    ends = tour.select("tree_id", F.col("node_idx").alias("top"), F.col("enter").alias("top_enter"), F.col("leave").alias("top_leave"))
+    cut = chosen.join(lifted, F.expr("_t = tree_id AND at = node_idx")).select("tree_id", "top").join(ends, ["tree_id", "top"]).drop("top")
+    return tour.join(cut, "tree_id", "left").where(f"top_enter IS NULL OR NOT ({inside()})").select(COLUMNS)
 
 
 def repair_roots(nodes: DataFrame) -> DataFrame:

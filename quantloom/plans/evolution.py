@@ -96,7 +96,7 @@ def mutations(search: Search, seed: int) -> list[Mutation]:
         "add_node": lambda n, r: variation.add_node(n, c, seed, r, depth, size),
         "delete_node": lambda n, r: variation.delete_node(n, seed, r, depth, children),
         "add_subtree": lambda n, r: variation.add_subtree(n, c, seed, r, max_depth=depth, max_children=children, max_nodes=size),
-        "delete_subtree": lambda n, r: variation.delete_subtree(n, seed, r, max_depth=depth),
+        "delete_subtree": lambda n, r: variation.delete_subtree(n, seed, r),
         "reinitialize_node": lambda n, r: variation.reinitialize_nodes(n, c, seed, r, depth),
         "node_param": lambda n, r: variation.mutate_parameters(n, c, seed, r),
     }

@@ -383,7 +383,7 @@ QUERIES: dict[str, Query] = {
     "add_node": _varied(lambda n: variation.add_node(n, CATALOG, 1, rate=1.0, max_depth=5)),
     "delete_node": _varied(lambda n: variation.delete_node(n, 1, rate=1.0, max_depth=5), deeper=True),
     "add_subtree": _varied(lambda n: variation.add_subtree(n, CATALOG, 1, rate=1.0, max_depth=6), deeper=True),
-    "delete_subtree": _varied(lambda n: variation.delete_subtree(n, 1, rate=1.0, max_depth=5), deeper=True),
+    "delete_subtree": _varied(lambda n: variation.delete_subtree(n, 1, rate=1.0), deeper=True),
     "subtree_crossover": _crossed(variation.subtree_crossover),
     "node_crossover": _crossed(variation.node_crossover),
     "subtree_crossover_free": _crossed(lambda *x: variation.subtree_crossover(*x, free=True)),

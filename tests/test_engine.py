@@ -64,7 +64,7 @@ def test_every_node_stays_valid(spark):
         "added": variation.add_node(nodes, queries.CATALOG, 3, rate=1.0, max_depth=6),
         "deleted": variation.delete_node(nodes, 3, rate=1.0, max_depth=5),
         "grown": variation.add_subtree(nodes, queries.CATALOG, 3, rate=1.0, max_depth=6),
-        "pruned": variation.delete_subtree(nodes, 3, rate=1.0, max_depth=5),
+        "pruned": variation.delete_subtree(nodes, 3, rate=1.0),
     }
     for name, df in made.items():
         found = trees.validate(df, max_depth=6).collect()
