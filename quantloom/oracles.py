@@ -230,8 +230,8 @@ OTHER: dict[str, str] = {
 SELECT symbol, strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS ts, round(arg_min(price, seq), 8) AS open, round(max(price), 8) AS high, round(min(price), 8) AS low, round(arg_max(price, seq), 8) AS close, sum(volume) AS volume
 FROM t GROUP BY symbol, time_bucket(INTERVAL '1 day', ts)""",
     "asof_funding": f"""WITH {BARS},
-funding AS (SELECT time_bucket(INTERVAL '8 hours', ts) AS funding_ts, (avg(value) - 50) / 1e5 AS rate FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS ts, b.close, round(f.rate, 12) AS funding_rate FROM bars b ASOF LEFT JOIN funding f ON b.ts >= f.funding_ts""",
+funding AS (SELECT event_type AS symbol, time_bucket(INTERVAL '8 hours', ts) AS funding_ts, (avg(value) - 50) / 1e5 AS rate FROM events GROUP BY 1, 2)
+SELECT b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS ts, b.close, round(f.rate, 12) AS funding_rate FROM bars b ASOF LEFT JOIN funding f ON b.symbol = f.symbol AND b.ts >= f.funding_ts""",
     "asof_multi_tf": f"""WITH {TICKS}, {bars_cte("bars", "30 minutes")}, {bars_cte("hours", "1 hour")}, {bars_cte("fours", "4 hours")}
 SELECT b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS ts, b.close AS close_30m, h.close AS close_1h, f.close AS close_4h
 FROM bars b ASOF LEFT JOIN hours h ON b.symbol = h.symbol AND b.ts + INTERVAL '30 minutes' >= h.ts + INTERVAL '1 hour'
@@ -327,7 +327,9 @@ drawn AS (SELECT draw, min(tree_id) AS tree_id FROM d JOIN c ON u * a >= hi - w
 drawn AS (SELECT draw, arg_max(tree_id, (fitness, -entry)) AS tree_id FROM t JOIN k ON floor(u * n) = rank GROUP BY draw) {_PAIRS}""",
     "metrics_minimum": f"WITH {_MOST} SELECT tree_id, n, " + ", ".join(f"CASE WHEN n >= 500 THEN round({c}, 6) END AS {c}" for c in ("mean_return", "profit_factor", "win_rate", "max_drawdown", "compound_value", "sum_squares", "sum_losses", "sum_square_losses")) + ", CASE WHEN n >= 500 THEN n_losses END AS n_losses FROM m",
     "kline_files": f"WITH {BARS} SELECT symbol, {STAMP}, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume FROM bars",
-    "funding_files": "SELECT 'ALL' AS symbol, strftime(time_bucket(INTERVAL '8 hours', ts), '%Y-%m-%d %H:%M:%S') AS ts, round((avg(value) - 50) / 1e5, 12) AS funding_rate FROM events WHERE event_type = 'error' GROUP BY ALL",
+    "funding_files": "SELECT 'ALL' AS symbol, strftime(time_bucket(INTERVAL '8 hours', ts), '%Y-%m-%d %H:%M:%S') AS ts, round((avg(value) - 50) / 1e5, 12) AS funding_rate FROM events GROUP BY ALL",
+    "kline_range": f"WITH {BARS} SELECT symbol, {STAMP}, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume FROM bars WHERE symbol IN ('click', 'error') AND bars.ts >= TIMESTAMP '2024-01-05 12:00:00' AND bars.ts < TIMESTAMP '2024-01-20 06:30:00'",
+    "funding_range": "SELECT event_type AS symbol, strftime(time_bucket(INTERVAL '8 hours', ts), '%Y-%m-%d %H:%M:%S') AS ts, round((avg(value) - 50) / 1e5, 12) AS funding_rate FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY ALL",
     "population_files": f"WITH {_TREES} SELECT tree_id, node_idx, node_type, parent_idx, depth, CASE WHEN node_type = 2 THEN 3 - p1 ELSE p1 END AS p1, p2, p3, CASE WHEN node_type = 2 AND p3 = 1 THEN 3 - p4 ELSE p4 END AS p4 FROM nodes",
     "metrics": f"WITH {_MEASURED} SELECT tree_id, n, round(mean_return, 8) AS mean_return, round(profit_factor, 6) AS profit_factor, round(win_rate, 6) AS win_rate, round(max_drawdown, 6) AS max_drawdown, round(compound_value, 6) AS compound_value FROM m",
     "fitness": f"""WITH {_MEASURED} SELECT tree_id, round(0.1 * ({_PART("mean_return")}) + 0.2 * ({_PART("profit_factor")}) + 0.15 * ({_PART("win_rate")}) + 0.15 * (1 - ({_PART("max_drawdown")})) + 0.4 * ({_PART("compound_value")}), 6) AS fitness FROM m""",

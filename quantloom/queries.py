@@ -74,10 +74,9 @@ def daily_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = _read(spark, sf_dir, "events").where("event_type = 'error'")
-    eight = errors.groupBy(F.window("ts", "8 hours").alias("w")).agg(((F.avg("value") - 50) / 1e5).alias("funding_rate"))
-    symbols = _read(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
-    return eight.select(F.col("w.start").alias("funding_ts"), "funding_rate").join(F.broadcast(symbols), how="cross")
+    """Every symbol's rate, every eight hours, from the mean of its events."""
+    eight = _read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol"), F.window("ts", "8 hours").alias("w")).agg(((F.avg("value") - 50) / 1e5).alias("funding_rate"))
+    return eight.select("symbol", F.col("w.start").alias("funding_ts"), "funding_rate")
 
 
 def asof_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,11 +289,27 @@ def kline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(market.read_klines(spark, path, F.col("symbol")), _PRICES, 8)
 
 
+def kline_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written by symbol and day, and a range of time of two symbols read back: other days and symbols stay closed."""
+    path = f"{shared_folder(spark)}/klines-{uuid.uuid4().hex}"
+    market.write_klines(_bars(spark, sf_dir), path)
+    columns = "ts timestamp_ntz, " + ", ".join(f"{c} double" for c in _PRICES)
+    return _shown(market.read_klines_between(spark, path, columns, "2024-01-05 12:00:00", "2024-01-20 06:30:00", ["click", "error"]), _PRICES, 8)
+
+
+def funding_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funding rates of every symbol written by day, and those of a range of time read back."""
+    path = f"{shared_folder(spark)}/funding-{uuid.uuid4().hex}"
+    market.write_klines(_funding(spark, sf_dir), path, "csv", "funding_ts")
+    back = market.read_klines_between(spark, path, "funding_ts timestamp_ntz, funding_rate double", "2024-01-03", None, kind="csv", time="funding_ts")
+    return back.select("symbol", F.date_format("funding_ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("funding_rate", 12).alias("funding_rate"))
+
+
 def funding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Funding rates written as a raw CSV file and read back."""
     path = f"{shared_folder(spark)}/funding-{uuid.uuid4().hex}"
     at = F.window("ts", "8 hours")["start"].cast("timestamp")
-    rates = _read(spark, sf_dir, "events").where("event_type = 'error'").groupBy(F.unix_millis(at).alias("fundingTime")).agg(((F.avg("value") - 50) / 1e5).alias("fundingRate"))
+    rates = _read(spark, sf_dir, "events").groupBy(F.unix_millis(at).alias("fundingTime")).agg(((F.avg("value") - 50) / 1e5).alias("fundingRate"))
     market.write_table(rates, path, "csv")
     back = market.read_funding_csv(spark, path, "ALL")
     return back.select("symbol", F.date_format("funding_ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("funding_rate", 12).alias("funding_rate"))
@@ -373,7 +388,7 @@ QUERIES: dict[str, Query] = {
     **FEATURES,
     **{f.__name__: f for f in (
         ohlc_resample, daily_resample, asof_funding, asof_multi_tf, asof_multi_tf_compat, classify, feature_order, comparison_pairs, tree_predict, tree_predict_batched, adjacency, child_overflow,
-        tree_validate, compact, subtree, root_branch_copy, critical_repair, lcg, elites, roulette, tournament, best_pool, next_generation, metrics, metrics_minimum, fitness, kline_files, funding_files, population_files, train_test_split, simulate, random_population, weighted_population,
+        tree_validate, compact, subtree, root_branch_copy, critical_repair, lcg, elites, roulette, tournament, best_pool, next_generation, metrics, metrics_minimum, fitness, kline_files, kline_range, funding_files, funding_range, population_files, train_test_split, simulate, random_population, weighted_population,
         evolve, feature_pipeline, streaming_bars, permuted,
     )},
     "mating_roulette": _mated(0),

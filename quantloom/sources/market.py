@@ -62,6 +62,32 @@ def read_klines(spark: SparkSession, path: str, symbol: str | Column, kind: str
     return klines(raw.limit(rows) if rows else raw, symbol)
 
 
+def write_klines(bars: DataFrame, path: str, kind: str = "parquet", time: str = "ts") -> None:
+    """Bars, or funding rates by their time, in a folder for each symbol and day."""
+    rows = bars.withColumn("day", F.col(time).cast("date"))
+    rows.repartition("symbol", "day").write.mode("overwrite").partitionBy("symbol", "day").option("header", True).format(kind).save(path)
+
+
+def read_klines_between(spark: SparkSession, path: str, columns: str, start: str | None = None, end: str | None = None, symbols: list[str] | None = None, kind: str = "parquet", time: str = "ts") -> DataFrame:
+    """What write_klines wrote, from start on and before end, of some symbols or all; columns: their names and types as DDL.
+
+    Folders of other symbols and days are never listed for reading, let alone opened; within a day, the time itself is
+    pushed down to the files.  Null bounds are open."""
+    rows = spark.read.schema(f"{columns}, symbol string, day date").option("header", True).format(kind).load(path)
+    bounds = [(start, lambda c, x: c >= x), (end, lambda c, x: c < x)]
+    for at, holds in bounds:
+        if at is not None:
+            instant = F.lit(at).cast("timestamp_ntz")
+            rows = rows.where(holds(F.col(time), instant))
+    if start is not None:
+        rows = rows.where(F.col("day") >= F.lit(start).cast("timestamp_ntz").cast("date"))
+    if end is not None:
+        rows = rows.where(F.col("day") <= F.lit(end).cast("timestamp_ntz").cast("date"))
+    if symbols is not None:
+        rows = rows.where(F.col("symbol").isin(symbols))
+    return rows.drop("day")
+
+
 def read_klines_csv(spark: SparkSession, path: str, symbol: str | Column, rows: int | None = None) -> DataFrame:
     return read_klines(spark, path, symbol, "csv", rows)
 
