@@ -15,8 +15,9 @@ Inside one key only the edges that connect its fingerprints leave the task, neve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import pairwise
+import math
+from collections.abc import Callable, Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -109,25 +110,43 @@ def _variants(fp: np.ndarray, segments: int) -> Iterator[tuple[int, int, np.ndar
             yield piece, bit, K.mix((fp & U64(mask & ~(1 << bit))) ^ K.mix(np.array([bit + 1], U64)))
 
 
-def _links_in(fp: np.ndarray, distance: int, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect distinct fingerprints as all links of at most distance bits do.
+def _cuts(varying: int, n: int, distance: int) -> tuple[list[int], int]:
+    """Masks that cut the varying bits into pieces, and of how many of these linked fingerprints agree; the cheapest cut for n of them.
+
+    More pieces make more choices of agreeing ones, but of more bits together."""
+    bits = [k for k in range(64) if varying >> k & 1]
+    best = None
+    for m in range(distance + 1, min(len(bits), 12) + 1):
+        agree = m - distance
+        choices, width = math.comb(m, agree), len(bits) * agree // m
+        cost = choices * n * (30 + n / 2.0**width)
+        if best is None or cost < best[0]:
+            edge = [len(bits) * k // m for k in range(m + 1)]
+            best = (cost, [sum(1 << k for k in bits[x:y]) for x, y in pairwise(edge)], agree)
+    return (best[1], best[2]) if best else ([], 0)
+
+
+def _choices(fp: np.ndarray, varying: int, n: int, distance: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, what fp has in some pieces) for each choice of pieces of which linked fingerprints agree in one choice at least."""
+    masks, agree = _cuts(varying, n, distance)
+    for number, chosen in enumerate(combinations(masks, agree)):
+        yield number, fp & U64(sum(chosen))
+
+
+def _varying(fp: np.ndarray) -> int:
+    return int(np.bitwise_or.reduce(fp) ^ np.bitwise_and.reduce(fp))
+
+
+def _links_in(fp: np.ndarray, distance: int, most: int = 1024, large: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges that connect distinct fingerprints as all links of at most distance bits do; and what is too large to be compared here.
 
     Up to ``most`` fingerprints are compared directly.  From a larger set, crowds around a middle are
     taken out first: their members are one component, and done once every other fingerprint has been
-    tested against them.  What stays large is split exactly: cut into distance + 1 pieces, linked fingerprints agree in one piece, so each piece's groups are
-    compared on their own, in blocks of bounded size when a piece does not split them either."""
+    tested against them.  What stays is given back if it is more than ``large``, and else split exactly: linked fingerprints
+    agree in all but ``distance`` of any pieces, so those are compared that agree in some choice of pieces of the bits that vary."""
     parent = np.arange(len(fp))
     out_a, out_b = [], []
 
-    def compare(rows: np.ndarray) -> None:
-        for x in range(0, len(rows), most):
-            for y in range(x, len(rows), most):
-                near = _popcount(fp[rows[x : x + most], None] ^ fp[None, rows[y : y + most]]) <= distance
-                a, b = np.nonzero(near)
-                a, b = join_forest(parent, rows[x + a], rows[y + b])
-                out_a.append(a)
-                out_b.append(b)
-
     def link(a: np.ndarray, b: np.ndarray) -> None:
         a, b = join_forest(parent, a, b)
         out_a.append(a)
@@ -151,24 +170,28 @@ def _links_in(fp: np.ndarray, distance: int, most: int = 1024) -> tuple[np.ndarr
                 met[y : y + most], at[y : y + most] = hit.any(axis=1), hit.argmax(axis=1)
             link(open_[met], crowd[x + at[met]])
             open_ = open_[~met]
+    over = np.zeros(0, np.int64)
+    if large is not None and len(rest) > large:
+        over, rest = rest, over
     if len(rest) <= most:
-        compare(rest)
+        near = _popcount(fp[rest, None] ^ fp[None, rest]) <= distance
+        link(*(rest[x] for x in np.nonzero(near)))
     else:
-        cuts = np.linspace(0, 64, distance + 2).round().astype(int)
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            piece = (fp[rest] >> U64(low)) & U64((1 << int(high - low)) - 1)
+        for _, piece in _choices(fp[rest], _varying(fp[rest]), len(rest), distance):
             order = np.argsort(piece, kind="stable")
-            edge = np.flatnonzero(np.diff(piece[order], prepend=~piece[order[:1]])).tolist() + [len(order)]
-            order = rest[order]
-            for x, y in zip(edge[:-1], edge[1:], strict=True):
-                if y - x > 1:
-                    compare(order[x:y])
+            of, own = piece[order], rest[order]
+            alive, shift = np.arange(len(own) - 1), 1
+            while len(alive := alive[alive + shift < len(own)]):  # equal neighbours, and theirs, and so on
+                alive = alive[of[alive] == of[alive + shift]]
+                near = _popcount(fp[own[alive]] ^ fp[own[alive + shift]]) <= distance
+                link(own[alive[near]], own[alive[near] + shift])
+                shift += 1
     none = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+    return (np.concatenate(out_a), np.concatenate(out_b), over) if out_a else (none, none, over)
 
 
-def links_of_entries(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links between entries of equal key, thinned to what keeps their components."""
+def links_of_entries(key: np.ndarray, fp: np.ndarray, distance: int, large: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Verified links between entries of equal key, thinned to what keeps their components; and by key the fingerprints that are too many to be compared here."""
     order = np.lexsort((fp, key))
     key, fp = key[order], fp[order]
     fresh = np.ones(len(key), bool)
@@ -183,15 +206,16 @@ def links_of_entries(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np
         a = K.ranges(head[groups], size[groups] - shift)
         near = _popcount(fp[a] ^ fp[a + shift]) <= distance
         out.append((fp[a[near]], fp[a[near] + shift]))
+    left = []
     for g in np.flatnonzero(~small):
         part = fp[head[g] : head[g] + size[g]]
-        a, b = _links_in(part, distance)
+        a, b, over = _links_in(part, distance, large=large)
         out.append((part[a], part[b]))
-    if not out:
-        return np.zeros(0, U64), np.zeros(0, U64)
+        if len(over):
+            left.append((int(key[head[g]].view(np.int64)), part[over]))
     a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    return pairs[:, 0], pairs[:, 1], left
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
@@ -206,6 +230,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarr
         yield np.concatenate(held)
 
 
+#: Fingerprints of one key that a task compares; more are dealt anew.
+LARGE = 4096
+
+
 def fingerprint_links(distinct: DataFrame, distance: int = 4, segments: int | None = None, parts: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough to connect what is linked.
 
@@ -228,14 +256,44 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, segments: int | No
             rows = [(int(part[order[x]]), key[order[x:y]].tobytes(), fp[order[x:y]].tobytes()) for x, y in pairwise(edge)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["part", "keys", "fps"])
 
-    @K.lean
-    def meet(table: pa.Table) -> pa.Table:
-        read = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), U64)
-        a, b = links_of_entries(read("keys"), read("fps"), distance)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def meet(large: int | None) -> Callable[[pa.Table], pa.Table]:
+        @K.lean
+        def run(table: pa.Table) -> pa.Table:
+            read = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), U64)
+            a, b, left = links_of_entries(read("keys"), read("fps"), distance, large)
+            over = np.concatenate([f for _, f in left]) if left else np.zeros(0, U64)
+            key = np.repeat(np.array([k for k, _ in left], np.int64), [len(f) for _, f in left]) if left else np.zeros(0, np.int64)
+            columns = [np.concatenate([a, over]), np.concatenate([b, over])]
+            return pa.table({"a": columns[0].view(np.int64), "b": columns[1].view(np.int64), "key": pa.array(np.append(np.zeros(len(a), np.int64), key), mask=np.arange(len(a) + len(key)) < len(a))})
+
+        return run
 
     entries = distinct.select("fp").mapInArrow(deal, "part long, keys binary, fps binary")
-    return entries.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    found = checkpointed(entries.groupBy("part").applyInArrow(meet(LARGE), "a long, b long, key long"))
+    links = found.where("key IS NULL").select("a", "b")
+    over = found.where("key IS NOT NULL").select("key", F.col("a").alias("fp"))
+    if not over.limit(1).count():
+        return links.distinct()
+    # a large key is dealt anew by choices of pieces of the bits in which its fingerprints differ
+    shape = over.groupBy("key").agg(F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying"), F.count("*").alias("n"))
+    shaped = looked_up(checkpointed(over), checkpointed(shape), "key", "varying", "n")
+
+    @K.lean
+    def redeal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp, varying, n = (batch.column(c).to_numpy() for c in ("key", "fp", "varying", "n"))
+            for one in np.unique(key).tolist():
+                rows = np.flatnonzero(key == one)
+                for number, piece in _choices(fp[rows].view(U64), int(varying[rows[0]]) % 2**64, int(n[rows[0]]), distance):
+                    name = K.mix(piece ^ K.mix(np.array([one], np.int64).view(U64) + U64(number)))
+                    part = (name % U64(parts)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    edge = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist() + [len(part)]
+                    made = [(int(part[order[x]]), name[order[x:y]].tobytes(), fp[rows[order[x:y]]].tobytes()) for x, y in pairwise(edge)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], ["part", "keys", "fps"])
+
+    again = shaped.mapInArrow(redeal, "part long, keys binary, fps binary")
+    return links.unionByName(again.groupBy("part").applyInArrow(meet(None), "a long, b long, key long").select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -473,6 +473,61 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0 and simhash.near_duplicates(odd(spark)).count() == 10
 
 
+def components_of(fps, distance):
+    """The smallest fingerprint reachable from each, over links of distance bits."""
+    parent = np.arange(len(fps))
+    for k in range(0, len(fps), 256):
+        near = np.bitwise_count(fps[k : k + 256, None] ^ fps[None]) <= distance
+        a, b = np.nonzero(near)
+        simhash.join_forest(parent, k + a, b)
+    return fps[parent]
+
+
+def alike(rng, n, common, bits):
+    """n distinct fingerprints that differ in some of bits alone, many of them in few."""
+    varying = rng.choice(64, bits, replace=False)
+    some = rng.integers(0, 2, (n, bits), dtype=np.uint64)
+    some[: n // 2] = some[rng.integers(0, 8, n // 2)] ^ (rng.random((n // 2, bits)) < 0.1)
+    return np.unique((np.uint64(common) & ~np.uint64(sum(1 << int(v) for v in varying))) | (some << varying.astype(np.uint64)).sum(axis=1, dtype=np.uint64))
+
+
+@pytest.mark.parametrize("n, bits", [(3000, 12), (3000, 25), (2500, 43), (2000, 3)])
+def test_large_sets_link_as_by_force(n, bits):
+    fps = alike(np.random.default_rng(bits), n, 0x5A5A_1234_9876_FFFF, bits)
+    a, b, over = simhash._links_in(fps, 4, most=64)
+    assert not len(over) and (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
+    parent = np.arange(len(fps))
+    simhash.join_forest(parent, a, b)
+    assert (fps[parent] == components_of(fps, 4)).all()
+
+
+def test_many_alike_fingerprints_take_little_time():
+    import time
+
+    rng = np.random.default_rng(1)
+    fps = np.unique(rng.integers(0, 2**25, 32_500, dtype=np.uint64)) | np.uint64(0xABC << 50)
+    began = time.process_time()
+    simhash._links_in(fps, 4)
+    assert len(fps) > 32_000 and time.process_time() - began < 12  # some 2 s alone
+
+
+def test_large_keys_are_dealt_anew(spark, monkeypatch):
+    """Keys of more than LARGE fingerprints over many tasks: the same components."""
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.concatenate([alike(rng, 1500, 0x1234_5678_9ABC_DEF0, 25), alike(rng, 900, 0xFFFF_0000_FFFF_0000, 40), rng.integers(0, 2**63, 300).astype(np.uint64)]))
+    rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(5)
+    want = dict(zip(fps.view(np.int64).tolist(), components_of(fps, 4).tolist(), strict=True))
+    for large in (50, 4096):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        links = simhash.fingerprint_links(rows, 4).collect()
+        at = {int(f): k for k, f in enumerate(fps.view(np.int64))}
+        a, b = (np.array([at[r[c]] for r in links], np.int64) for c in ("a", "b"))
+        assert (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
+        parent = np.arange(len(fps))
+        simhash.join_forest(parent, a, b)
+        assert dict(zip(fps.view(np.int64).tolist(), fps[parent].tolist(), strict=True)) == want
+
+
 def test_near_duplicates_of_eight_tenths_and_more(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents").where("doc_id < 400")
     sets = {r.doc_id: frozenset(zip(*[(r.text or "").lower().split()[k:] for k in range(5)], strict=False)) for r in docs.collect()}
