@@ -62,3 +62,14 @@ def prefixed(rows: DataFrame, order: list[str], sums: dict[str, str] | None = No
     met = local.join(F.broadcast(rows.sparkSession.createDataFrame(starts, kind)), SEGMENT)  # MAX_SEGMENTS rows at most
     made = {c: F.struct((F.col(f"_s{k}") + F.col(f"_before_{k}")).alias("before"), (F.col(f"_s{k}") + F.col(f"_upto_{k}")).alias("upto")).alias(c) for k, c in enumerate(sums)}
     return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_n") + F.col("_rank")).alias("_rank"), *made.values())
+
+
+def numbered(rows: DataFrame, by: str = "symbol", order: str = "ts", name: str = "bar", segments: int | None = None) -> DataFrame:
+    """rows with their number from 0 on within each series, in order: counts of earlier segments and places within one."""
+    cut = segmented(rows, [by], [order], segments)
+    counts = cut.groupBy(F.col(f"`{by}`"), SEGMENT).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.col(f"`{by}`")).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)  # a row a segment and series
+    starts = counts.select(F.col(f"`{by}`").alias("_by"), F.col(SEGMENT).alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(F.col(f"`{by}`"), SEGMENT).orderBy(F.col(f"`{order}`"))).cast("long") - 1
+    met = cut.withColumn("_here", here).join(starts, F.col(f"`{by}`").eqNullSafe(F.col("_by")) & (F.col(SEGMENT) == F.col("_at")))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_here")).alias(name))

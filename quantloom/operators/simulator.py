@@ -151,6 +151,7 @@ def metrics(profits: DataFrame, minimum: int = 1, segments: int | None = None) -
     return found.select("tree_id", "n", *[F.when(keep, F.col(c)).alias(c) for c in found.columns[2:]])
 
 
+#: Weights of the metrics in the fitness, in this order.
 WEIGHTS = {"mean_return": 0.1, "profit_factor": 0.2, "win_rate": 0.15, "max_drawdown": 0.15, "compound_value": 0.4}
 
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut_lineage
+from ..sources.storage import written
 
 INTERVAL = ["enter", "leave", "level", "branch"]
 
@@ -34,7 +34,7 @@ def toured(nodes: DataFrame) -> DataFrame:
     leaves = own.select("tree_id", leave.alias("at"), behind.alias("to"), F.lit(-1).alias("up"), F.lit(0).alias("roots"))
     # steps, up, roots: what lies from an element (with it) up to the one that it points to (without); end: the last element so far
     tour = enters.unionByName(leaves).withColumn("steps", F.lit(1).cast("long")).withColumn("end", F.col("at"))
-    tour = cut_lineage(tour)
+    tour = written(tour)
     most = tour.groupBy("tree_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
     for _ in range(math.ceil(math.log2(max(2, most)))):
         if not tour.where("to IS NOT NULL").limit(1).count():
@@ -42,7 +42,7 @@ def toured(nodes: DataFrame) -> DataFrame:
         ahead = tour.select("tree_id", F.col("at").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("to", "up", "roots", "steps", "end")])
         met = tour.join(ahead, ["tree_id", "to"], "left")
         more = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in ("up", "roots", "steps")}
-        tour = cut_lineage(met.select("tree_id", "at", F.col("_to").alias("to"), *[x.alias(c) for c, x in more.items()], F.coalesce("_end", "end").alias("end")))
+        tour = written(met.select("tree_id", "at", F.col("_to").alias("to"), *[x.alias(c) for c, x in more.items()], F.coalesce("_end", "end").alias("end")))
     done = tour.where("to IS NULL")
     roots = nodes.where("parent_idx < 0").select("tree_id", "node_idx", F.col("p1").cast("int").alias("branch"))
     last = roots.groupBy("tree_id").agg((2 * F.max("node_idx").cast("long") + 1).alias("end"), F.count("*").alias("n_roots"))
@@ -64,9 +64,9 @@ def nearest(nodes: DataFrame, stop: str) -> DataFrame:
     """(tree_id, node_idx, top): the nearest node above, or the node itself, of which stop is true; null if there is none among nodes.
 
     Nodes jump to where the node that they point to points, until all point to a stop or to nothing."""
-    now = cut_lineage(nodes.select("tree_id", "node_idx", F.when(F.expr(stop), F.col("node_idx")).otherwise(F.col("parent_idx")).alias("top"), F.expr(stop).alias("done")))
+    now = written(nodes.select("tree_id", "node_idx", F.when(F.expr(stop), F.col("node_idx")).otherwise(F.col("parent_idx")).alias("top"), F.expr(stop).alias("done")))
     while now.where("NOT done").limit(1).count():
         ahead = now.select("tree_id", F.col("node_idx").alias("top"), F.col("top").alias("_top"), F.col("done").alias("_done"))
         met = now.join(ahead, ["tree_id", "top"], "left")
-        now = cut_lineage(met.select("tree_id", "node_idx", F.col("_top").alias("top"), F.coalesce("_done", F.lit(True)).alias("done")))
+        now = written(met.select("tree_id", "node_idx", F.col("_top").alias("top"), F.coalesce("_done", F.lit(True)).alias("done")))
     return now.drop("done")

@@ -7,12 +7,13 @@ Every operator takes and gives valid trees: what would break a rule leaves the t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut_lineage
+from ..sources.storage import cut_lineage, written
 from .segments import prefixed
 from .tours import inside, nearest, toured
 from .trees import ACTION, CLOSE_ALL, COLUMNS, DECISION, HOLD, LONG, ROOT, random_action, random_decision, uniform, with_paths
@@ -162,10 +163,10 @@ def reinitialize_nodes(nodes: DataFrame, catalog: list[tuple], seed: int, rate:
     return with_paths(nodes, max_depth).select(*COLUMNS[:5], *[F.when(hit & (F.col("node_type") == ACTION), act[p]).when(hit, ask[p]).otherwise(F.col(p)).alias(p) for p in _P])
 
 
-def _picked(rows: DataFrame, seed: int, name: str, rate: float, weight: Column) -> DataFrame:
-    """One row for each tree that the rate hits, drawn by weight: the least exponential key of its candidates."""
+def _picked(rows: DataFrame, seed: int, name: str, rate: float | Column, weight: Column) -> DataFrame:
+    """One row for each tree that the rate, or a condition, hits, drawn by weight: the least exponential key of its candidates."""
     key = -F.log(1 - uniform(seed, F.lit(name), "tree_id", "node_idx")) / weight
-    chosen = rows.where(_gate(seed, name, rate, "tree_id")).groupBy("tree_id").agg(F.min_by(F.struct("node_idx", "parent_idx", "depth", "branch"), key).alias("x"))
+    chosen = rows.where(rate if isinstance(rate, Column) else _gate(seed, name, rate, "tree_id")).groupBy("tree_id").agg(F.min_by(F.struct("node_idx", "parent_idx", "depth", "branch"), key).alias("x"))
     return chosen.select(F.col("tree_id").alias("_t"), F.col("x.node_idx").alias("at"), F.col("x.parent_idx").alias("under"), F.col("x.depth").alias("level"), F.col("x.branch").alias("side"))
 
 
@@ -178,7 +179,17 @@ def _spans(paths: DataFrame) -> DataFrame:
     return own.join(up, ["tree_id", "parent_idx"], "left").join(total, "tree_id")
 
 
-def add_node(nodes: DataFrame, catalog: list[tuple], seed: int, rate: float = 0.2, max_depth: int = 10, max_nodes: int = 256) -> DataFrame:
+def repeated(nodes: DataFrame, once: Callable[[DataFrame, int, float | Column], DataFrame], seed: int, name: str, rate: float, most: int) -> DataFrame:
+    """once(nodes, seed, which trees) from 1 to most times, as each tree draws, on the trees that the rate hits."""
+    if most == 1:
+        return once(nodes, seed, rate)
+    times = 1 + F.floor(most * uniform(seed, F.lit(f"{name} times"), "tree_id"))
+    for k in range(most):
+        nodes = written(once(nodes, seed + 7_368_787 * k, _gate(seed, name, rate, "tree_id") & (times > k)))
+    return nodes
+
+
+def add_node(nodes: DataFrame, catalog: list[tuple], seed: int, rate: float | Column = 0.2, max_depth: int = 10, max_nodes: int = 256) -> DataFrame:
     """A new decision on one edge of some trees, rather high up; what hangs below moves one level down."""
     paths = with_paths(nodes, max_depth)
     room = _spans(paths).where((F.col("parent_idx") >= 0) & (F.col("deepest") + 1 < max_depth) & (F.col("total") < max_nodes))
@@ -192,7 +203,7 @@ def add_node(nodes: DataFrame, catalog: list[tuple], seed: int, rate: float = 0.
     return old.unionByName(new)
 
 
-def delete_node(nodes: DataFrame, seed: int, rate: float = 0.2, max_depth: int = 10, max_children: int = 30) -> DataFrame:
+def delete_node(nodes: DataFrame, seed: int, rate: float | Column = 0.2, max_depth: int = 10, max_children: int = 30) -> DataFrame:
     """One decision of some trees goes, and its children move up to its parent.
 
     A decision above an action goes only if it has no siblings, as an action is an only child."""
@@ -205,8 +216,8 @@ def delete_node(nodes: DataFrame, seed: int, rate: float = 0.2, max_depth: int =
     return met.select("tree_id", "node_idx", "node_type", F.when(F.col("parent_idx") == F.col("at"), F.col("under")).otherwise(F.col("parent_idx")).alias("parent_idx"), (F.col("depth") - below.cast("int")).alias("depth"), *_P)
 
 
-def add_subtree(nodes: DataFrame, catalog: list[tuple], seed: int, rate: float = 0.2, most: int = 3, max_depth: int = 10, max_children: int = 30, max_nodes: int = 256) -> DataFrame:
-    """A subtree of 1 to most decisions under one node of some trees that has decisions below.
+def add_subtree(nodes: DataFrame, catalog: list[tuple], seed: int, rate: float = 0.2, most: int = 3, max_depth: int = 10, max_children: int = 30, max_nodes: int = 256, least: int = 1) -> DataFrame:
+    """A subtree of least to most decisions under one node of some trees that has decisions below.
 
     A new decision hangs below that node or a new one before it, as drawn, where depth allows it and else below that
     node; new decisions without others below end in an action.  Only nodes and trees with room for the largest are chosen."""
@@ -222,7 +233,7 @@ def add_subtree(nodes: DataFrame, catalog: list[tuple], seed: int, rate: float =
         one = F.struct(F.when(nested, drawn).otherwise(0).alias("up"), (F.when(nested, above).otherwise(F.col("level")) + 1).alias("level"))
         return F.concat(made, F.array(one))
 
-    numbers = F.sequence(F.lit(1), F.floor(1 + most * uniform(seed, F.lit("length"), "_t")).cast("int"))
+    numbers = F.sequence(F.lit(1), F.floor(least + (most - least + 1) * uniform(seed, F.lit("length"), "_t")).cast("int"))
     grown = cut.join(last, F.col("_t") == F.col("tree_id")).withColumn("made", F.aggregate(numbers, F.array().cast("array<struct<up:int,level:int>>"), grow))
     places = F.sequence(F.lit(1), F.size("made"))
     ends = F.filter(places, lambda k: ~F.exists(F.col("made"), lambda one: one["up"] == k))
@@ -243,9 +254,9 @@ def delete_subtree(nodes: DataFrame, seed: int, rate: float = 0.2, alpha: float
 
     So what is cut hangs at the nearest node above it, or is it itself, that has siblings; a subtree without such a node, the
     only thing below its root, stays."""
-    tour = cut_lineage(toured(nodes))
+    tour = written(toured(nodes))
     siblings = tour.groupBy("tree_id", "parent_idx").agg(F.count("*").alias("siblings"))
-    below = cut_lineage(tour.where(F.col("node_type") != ROOT).join(siblings, ["tree_id", "parent_idx"]))
+    below = written(tour.where(F.col("node_type") != ROOT).join(siblings, ["tree_id", "parent_idx"]))
     lifted = nearest(below, "siblings > 1").where("top IS NOT NULL")
     size = F.floor((F.col("leave") - F.col("enter") + 1) / 2).cast("double")
     chosen = _picked(below.join(lifted, ["tree_id", "node_idx"]), seed, "delete_subtree", rate, F.pow(size, F.lit(alpha)))

@@ -6,10 +6,18 @@ import json
 import warnings
 from pathlib import Path
 
-from ..operators.simulator import Market
+from ..operators.simulator import WEIGHTS, Market
 from . import evolution
 from .pipeline import Config
 
+#: Sections and keys of mutations in configuration files, and ours.
+MUTATION_KEYS = {
+    "node_param_mutation": {"noise_ratio": "noise", "leverage_change": "leverage_step"},
+    "add_node_mutation": {"max_add_nodes": "most_added"},
+    "delete_node_mutation": {"max_delete_nodes": "most_deleted"},
+    "add_subtree_mutation": {"node_count_range": "subtree_nodes"},
+}
+
 
 def read_config(path: str) -> dict:
     """A JSON or, where there is a YAML library, YAML file."""
@@ -47,7 +55,9 @@ def market(config: dict) -> Market:
 
 
 def search(config: dict, catalog: list[tuple]) -> evolution.Search:
-    """A search by the sections environment, ga_core, operators and evaluation; what is missing keeps its default."""
+    """A search by the sections environment, ga_core, operators and evaluation; what is missing keeps its default.
+
+    The fitness weights are listed in the order of WEIGHTS."""
     core, ops, judged = config.get("ga_core") or {}, config.get("operators") or {}, config.get("evaluation") or {}
     sizes, loop = core.get("population") or {}, core.get("evolution_loop") or {}
     given = {
@@ -61,6 +71,13 @@ def search(config: dict, catalog: list[tuple]) -> evolution.Search:
         kept["tournament"] = selection.get("tournament_k_size", 5)
     if weights := (ops.get("crossover") or {}).get("weights"):
         kept["weights"] = tuple(weights)
-    if rates := (ops.get("mutation") or {}).get("probabilities"):
+    mutation = ops.get("mutation") or {}
+    if rates := mutation.get("probabilities"):
         kept["rates"] = dict(rates)
+    if listed := (judged.get("fitness_function") or {}).get("weights"):
+        kept["fitness_weights"] = dict(zip(WEIGHTS, map(float, listed), strict=True))
+    for section, names in MUTATION_KEYS.items():
+        kept |= {ours: tuple(x) if isinstance(x, list) else x for theirs, ours in names.items() if (x := (mutation.get(section) or {}).get(theirs)) is not None}
+    for section in sorted(set(mutation) - set(MUTATION_KEYS) - {"probabilities"}):
+        warnings.warn(f"the configuration's mutation.{section} isn't known", stacklevel=2)
     return evolution.Search(catalog, market=market(judged), **kept)

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from ..operators import packed, selection, simulator, variation
 from ..operators.base import Mutation
 from ..operators.trees import require_valid, uniform
-from ..sources.storage import cut_lineage
-
+from ..sources.storage import cut_lineage, written
 
+#: Names of the mutations and our default rates; a configuration gives its own.
 RATES = {"add_node": 0.2, "delete_node": 0.2, "add_subtree": 0.2, "delete_subtree": 0.2, "reinitialize_node": 0.05, "node_param": 0.1}
 
 
 @dataclass(frozen=True)
 class Search:
     """parents: size of the mating pool; rates: of each mutation, in the order of the chain; weights: of subtree, node and
-    root-branch crossover; pool_size, warming: the pool of the best trees, and the generations before it is filled;
+    root-branch crossover; noise, leverage_step: how far parameters move; most_added, most_deleted: nodes that one mutation adds or
+    deletes at most; subtree_nodes: decisions of an added subtree; pool_size, warming: the pool of the best trees, and the generations before it is filled;
     the rest as named."""
 
     catalog: list[tuple]
@@ -36,6 +37,12 @@ class Search:
     tournament: int = 0  # entries of a tournament; 0 selects by roulette
     crossover_rate: float = 0.8
     minimum_trades: int = 1
+    fitness_weights: dict[str, float] = field(default_factory=lambda: dict(simulator.WEIGHTS))
+    noise: float = 0.1
+    leverage_step: float = 5.0
+    most_added: int = 1
+    most_deleted: int = 1
+    subtree_nodes: tuple[int, int] = (1, 3)
     max_depth: int = 6
     max_children: int = 30
     max_nodes: int = 256
@@ -61,7 +68,7 @@ def evaluate(nodes: DataFrame, features: DataFrame, bars: DataFrame, search: Sea
     profits = simulator.simulate(acts, bars, search.market, series)
     measured = simulator.metrics(profits.select("tree_id", F.struct("bar", *series).alias("bar"), "profit"), search.minimum_trades)
     trees = nodes.select("tree_id").distinct()
-    return trees.join(measured, "tree_id", "left").join(simulator.fitness(measured), "tree_id", "left").fillna(-1.0, ["fitness"])
+    return trees.join(measured, "tree_id", "left").join(simulator.fitness(measured, search.fitness_weights), "tree_id", "left").fillna(-1.0, ["fitness"])
 
 
 def parent_pairs(fitness: DataFrame, search: Search, seed: int) -> DataFrame:
@@ -85,7 +92,7 @@ def offspring(nodes: DataFrame, fitness: DataFrame, search: Search, generation:
     pairs = cut_lineage(pairs)  # every step reads its input many times
     born = variation.crossover_chain(pairs, nodes, seed, search.weights, search.crossover_rate, search.max_depth, search.max_nodes)
     for mutate in mutations(search, seed):
-        born = mutate(cut_lineage(born))
+        born = mutate(written(born))
     return born
 
 
@@ -93,12 +100,12 @@ def mutations(search: Search, seed: int) -> list[Mutation]:
     """The chain of mutations that have a rate above 0: nodes to nodes, each valid."""
     c, depth, children, size = search.catalog, search.max_depth, search.max_children, search.max_nodes
     chain: dict[str, Callable[[DataFrame, float], DataFrame]] = {
-        "add_node": lambda n, r: variation.add_node(n, c, seed, r, depth, size),
-        "delete_node": lambda n, r: variation.delete_node(n, seed, r, depth, children),
-        "add_subtree": lambda n, r: variation.add_subtree(n, c, seed, r, max_depth=depth, max_children=children, max_nodes=size),
+        "add_node": lambda n, r: variation.repeated(n, lambda m, s, hit: variation.add_node(m, c, s, hit, depth, size), seed, "add_node", r, search.most_added),
+        "delete_node": lambda n, r: variation.repeated(n, lambda m, s, hit: variation.delete_node(m, s, hit, depth, children), seed, "delete_node", r, search.most_deleted),
+        "add_subtree": lambda n, r: variation.add_subtree(n, c, seed, r, search.subtree_nodes[1], depth, children, size, search.subtree_nodes[0]),
         "delete_subtree": lambda n, r: variation.delete_subtree(n, seed, r),
         "reinitialize_node": lambda n, r: variation.reinitialize_nodes(n, c, seed, r, depth),
-        "node_param": lambda n, r: variation.mutate_parameters(n, c, seed, r),
+        "node_param": lambda n, r: variation.mutate_parameters(n, c, seed, r, search.noise, search.leverage_step),
     }
     return [lambda n, f=f, r=search.rates[name]: f(n, r) for name, f in chain.items() if search.rates.get(name, 0) > 0]
 

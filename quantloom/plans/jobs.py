@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import registry
 from ..operators import trees
+from ..operators.segments import numbered
 from ..sources.populations import load_population, save_population
 from . import config as C
 from . import evolution, pipeline
@@ -38,7 +39,7 @@ def preprocess(spark: SparkSession, bars: DataFrame, config: dict, features: pip
 def numbered_bars(table: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((symbol, bar, features), (symbol, bar, ts, open, high, low[, funding_rate])) of preprocessed features."""
     order = [r.feature for r in catalog.orderBy("idx").collect()]  # some hundreds of names
-    rows = table.withColumn("bar", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("long"))
+    rows = numbered(table)
     prices = [F.col(c).alias(c.removeprefix("bar_")) for c in table.columns if c.startswith("bar_")]
     arrays = rows.select("symbol", "bar", F.array(*[pipeline.col(n).cast("double") for n in order]).alias("features"))
     return arrays, rows.select("symbol", "bar", "ts", *prices)
@@ -53,7 +54,7 @@ def train(spark: SparkSession, config: dict, table: DataFrame, catalog: DataFram
     arrays, bars = numbered_bars(table, catalog)
     ratio = (config.get("data") or {}).get("train_ratio", 0.8)
     (seen, unseen), (bars_seen, bars_unseen) = evolution.split(arrays, ratio), evolution.split(bars, ratio)
-    first = trees.random_population(spark, search.population, listed, search.max_depth, min(3, search.max_children), search.max_nodes, search.seed)
+    first = trees.weighted_population(spark, search.population, listed, search.max_depth, search.max_children, search.max_nodes, search.seed)
     loop = (config.get("ga_core") or {}).get("evolution_loop") or {}
     evolution.evolve(spark, first, seen, bars_seen, search, generations if generations is not None else loop.get("generations", 1), f"{path}/search")
     save_population(evolution.best_trees(spark, f"{path}/search"), catalog, f"{path}/best")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df computed once into the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as a table into the shared folder and read back.
+
+    For loops of joins: a checkpoint keeps the constraints and partitionings of the plan that made it, which grow from
+    round to round until planning takes longer than the work."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

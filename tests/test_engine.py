@@ -210,10 +210,15 @@ ga_core:
 operators:
   selection: {type: TournamentSelection, tournament_k_size: 2}
   crossover: {weights: [0.6, 0.2, 0.2]}
-  mutation: {probabilities: {add_node: 0.5, delete_node: 0.5, add_subtree: 0.5, delete_subtree: 0.5, reinitialize_node: 0.1, node_param: 0.5}}
+  mutation:
+    probabilities: {add_node: 0.5, delete_node: 0.5, add_subtree: 0.5, delete_subtree: 0.5, reinitialize_node: 0.1, node_param: 0.5}
+    node_param_mutation: {noise_ratio: 0.2, leverage_change: 7}
+    add_node_mutation: {max_add_nodes: 2}
+    delete_node_mutation: {max_delete_nodes: 3}
+    add_subtree_mutation: {node_count_range: [2, 4]}
 evaluation:
   simulation_env: {taker_fee_rate: 0.001, max_additional_entries: 2}
-  fitness_function: {minimum_trades: 1}
+  fitness_function: {minimum_trades: 1, weights: [0.2, 0.2, 0.2, 0.2, 0.2]}
 feature_classification:
   feature_num: {RSI: [0, 100], ROC: [-50, 50]}
   feature_comparison: [SMA]
@@ -250,6 +255,9 @@ def test_jobs_from_configuration_files(spark, tmp_path):
     assert os.path.getmtime(tmp_path / "data" / "features" / "_SUCCESS") == before  # what is there stays
     search = C.search(config, [])
     assert (search.population, search.n_elites, search.tournament, search.weights, search.market.fee, search.market.max_added) == (4, 1, 2, (0.6, 0.2, 0.2), 0.001, 2)
+    assert (search.noise, search.leverage_step, search.most_added, search.most_deleted, search.subtree_nodes) == (0.2, 7, 2, 3, (2, 4)) and set(search.fitness_weights.values()) == {0.2}
+    with pytest.warns(UserWarning, match="swap_mutation"):
+        C.search({"operators": {"mutation": {"swap_mutation": {}}}}, [])
     search_best = evolution.Search(queries.CATALOG, min_compound=-1e9, most_drawdown=1e9)
     scored = spark.createDataFrame([(i, float(i), 1.0, 0.1) for i in range(4)], "tree_id long, fitness double, compound_value double, max_drawdown double")
     for g in (0, 1):
@@ -270,6 +278,21 @@ def test_jobs_from_configuration_files(spark, tmp_path):
         populations.load_population(spark, str(tmp_path / "saved"), turned.where("idx < 2"))
 
 
+def test_several_nodes_at_once(spark):
+    """Each tree that is hit gets or loses 1 to most decisions, and stays valid."""
+    nodes = trees.random_population(spark, 30, queries.CATALOG, max_depth=5, seed=2)
+    size = lambda df: {r.tree_id: r["count"] for r in df.groupBy("tree_id").count().collect()}
+    more = variation.repeated(nodes, lambda m, s, hit: variation.add_node(m, queries.CATALOG, s, hit, 9), 3, "add_node", 0.6, 3)
+    grown = [b - a for a, b in zip(*(list(dict(sorted(size(d).items())).values()) for d in (nodes, more)), strict=True)]
+    assert {0, 1, 2, 3} == set(grown) and trees.validate(more, max_depth=9).where("faults <> 0").count() == 0
+    fewer = variation.repeated(more, lambda m, s, hit: variation.delete_node(m, s, hit, 9), 4, "delete_node", 1.0, 3)
+    shrunk = [a - b for a, b in zip(*(list(dict(sorted(size(d).items())).values()) for d in (more, fewer)), strict=True)]
+    assert max(shrunk) > 1 and min(shrunk) >= 0 and trees.validate(fewer, max_depth=9).where("faults <> 0").count() == 0
+    grown = variation.add_subtree(nodes, queries.CATALOG, 5, 1.0, 4, 9, least=4)
+    added = [b - a for a, b in zip(*(list(dict(sorted(size(d).items())).values()) for d in (nodes, grown)), strict=True)]
+    assert all(n == 0 or 5 <= n <= 8 for n in added) and any(added)
+
+
 def test_search_checks_its_sizes():
     with pytest.raises(ValueError, match="named"):
         evolution.Search([], rates={"none": 1.0})

@@ -167,6 +167,14 @@ def test_prefix_sums_and_ranks(spark, cut):
     assert segments.prefixed(spark.createDataFrame([], "id int, w double"), ["id"], {"sum": "w"}).count() == 0
 
 
+@pytest.mark.parametrize("cut", [1, 13])
+def test_numbers_within_series(spark, cut):
+    x = random.Random(cut)
+    rows = [(x.choice(["A", "A", "B", None]), t) for t in x.sample(range(500), 150)]
+    got = sorted(((r.symbol, r.ts, r.bar) for r in segments.numbered(spark.createDataFrame(rows, "symbol string, ts int"), segments=cut).collect()), key=str)
+    assert got == sorted(((s, t, sorted(u for v, u in rows if v == s).index(t)) for s, t in rows), key=str)
+
+
 @pytest.mark.parametrize("cut", [1, 11])
 def test_roulette_by_force(spark, cut):
     """One tree of nearly all the weight, trees of none, unknown fitness; and trees that are all alike."""

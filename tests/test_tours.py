@@ -46,8 +46,8 @@ def test_tours_by_force(spark, monkeypatch):
     parents[11] = {i: -1 if i == 0 else 0 for i in range(300)}
     parents[12] = {5: 4}
     rounds = []
-    real = tours.cut_lineage
-    monkeypatch.setattr(tours, "cut_lineage", lambda df: (rounds.append(1), real(df))[1])
+    real = tours.written
+    monkeypatch.setattr(tours, "written", lambda df: (rounds.append(1), real(df))[1])
     got = tours.toured(spark.createDataFrame(rows_of(parents), trees.NODE)).collect()
     want = {(t, i): v for t, tree in parents.items() for i, v in walk(tree).items()}
     assert {(r.tree_id, r.node_idx): (r.enter, r.leave, r.level, r.branch) for r in got} == want
