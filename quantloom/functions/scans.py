@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.segments import SEGMENT
+from ..operators.segments import SEGMENT, undealt
 
 BARS = ("open", "high", "low", "close", "volume")
 #: Rows that a guess of a state starts from.
@@ -267,6 +267,8 @@ class Cut:
 
 def cuts(rows: DataFrame) -> dict[int, Cut]:
     """By segment; at most one for each."""
+    if undealt(rows):
+        return {}
     counted = rows.groupBy("symbol", SEGMENT).agg(F.count("*").alias("n"))
     order = Window.partitionBy("symbol").orderBy(SEGMENT)
     found = counted.select("symbol", SEGMENT, F.lag(SEGMENT).over(order).alias("before"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("at")).where("before IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.market import seconds, spark_interval
-from .segments import SEGMENT, carried, segmented
+from .segments import SEGMENT, carried, segmented, undealt
 
 
 def ticks_to_bars(ticks: DataFrame, interval: str) -> DataFrame:
@@ -52,10 +52,12 @@ def as_of(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: st
     rows = left.select(key(left, left_ts).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_l"), F.lit(None).cast(right.select(carried_.alias("r")).schema["r"].dataType).alias("_r"))
     other = right.where(F.col(by).isNotNull() & F.col(right_ts).isNotNull()).select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), carried_.alias("_r"))
     both = segmented(rows.unionByName(other), ["_by"], ["_ts", "_side"], segments)
+    so_far = Window.partitionBy("_by", SEGMENT).orderBy("_ts", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last("_r", ignorenulls=True).over(so_far)
     latest = F.max(F.when(F.col("_side") == 0, F.struct("_ts", "_r")))
     carry = carried(both, "_by", latest).select("_by", SEGMENT, F.col("_carry._r").alias("_before"))
-    so_far = Window.partitionBy("_by", SEGMENT).orderBy("_ts", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    met = both.join(carry, ["_by", SEGMENT], "left").withColumn("_m", F.coalesce(F.last("_r", ignorenulls=True).over(so_far), "_before")).where("_side = 1")
+    met = both.withColumn("_m", own) if undealt(both) else both.join(carry, ["_by", SEGMENT], "left").withColumn("_m", F.coalesce(own, "_before"))
+    met = met.where("_side = 1")
     return met.select("_l.*", *[F.col(f"_m.`{c}`").alias(c) for c in taken if c not in left.columns or c == right_ts and c != left_ts])
 
 

@@ -17,20 +17,29 @@ from ..sources.storage import cut_lineage
 #: Rows of a segment, and segments at most; beyond that, segments grow, and tasks stream through them.
 SEGMENT_ROWS, MAX_SEGMENTS = 16_384, 4_096
 SEGMENT = "_segment"
+_ALONE = "alone"
 
 
 def segmented(rows: DataFrame, by: list[str], order: list[str], segments: int | None = None) -> DataFrame:
     """rows with _segment, in order within each partition, which is one segment; computed once.
 
-    Rows that are equal in all of by and order stay in one segment."""
+    Rows that are equal in all of by and order stay in one segment.  What fills no more than one segment is not dealt."""
     if segments is None:
         rows = cut_lineage(rows)
         segments = min(MAX_SEGMENTS, max(1, math.ceil(rows.count() / SEGMENT_ROWS)))
     key = [F.col(f"`{c}`") for c in [*by, *order]]
+    if segments == 1:
+        nought = F.hash(*key).bitwiseAND(F.lit(0)).alias(SEGMENT, metadata={_ALONE: True})
+        return rows.coalesce(1).sortWithinPartitions(*key).select(*[F.col(f"`{c}`") for c in rows.columns], nought)
     dealt = rows.repartitionByRange(segments, *key).sortWithinPartitions(*key)
     return cut_lineage(dealt.withColumn(SEGMENT, F.spark_partition_id()))
 
 
+def undealt(rows: DataFrame) -> bool:
+    """Whether what segmented() made is one segment, so that nothing is carried."""
+    return bool(rows.schema[SEGMENT].metadata.get(_ALONE))
+
+
 def carried(rows: DataFrame, by: str, last: Column) -> DataFrame:
     """(by, _segment, _carry) for the series of rows, which segmented() made, that go on from an earlier segment.
 
