@@ -26,6 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest id, a null one being the largest.
 
+    Candidates come from SimHashes and their deletion-variant signatures, and further ones from MinHash bands; each link is verified.
     Texts without words are one group; among rows of one id and group that of the smallest hash of all columns stays,
     and one of truly equal rows; a text of any length counts whole; other columns only tell rows apart, whatever
     their names; an empty table gives an empty result."""

@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     return looked_up(fps, named, "fp", "component_id").select("doc_id", "fp", "component_id")
 
 
-#: MinHash bands of the pipeline's candidates and the rows of each: a pair of similarity 0.8 shares no band in 4 of 10,000 cases.
+#: MinHash bands that add to the candidates of the SimHashes, and the rows of each: a pair of similarity 0.8 shares no band in 4 of 10,000 cases.
 BANDS, BAND_ROWS = 20, 5
 _FACTORS = K.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U64)) | U64(1)
 #: Documents of one group of candidates that a task compares at once.
@@ -339,6 +339,11 @@ def set_names(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The SimHash of every document's set of shingles; 0 for an empty one."""
+    return majority_bits(hashes, np.cumsum(counts) - counts, counts)
+
+
 def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The BANDS MinHash keys of every document's set, one row each; zeros for an empty one."""
     out, full = np.zeros((len(counts), BANDS), U64), np.flatnonzero(counts > 0)
@@ -426,7 +431,14 @@ def _block(seed: int, n: str):
     return F.pmod(F.xxhash64(F.lit(seed), "cid"), F.col(n))
 
 
-def _similar(docs: DataFrame, width: int, share: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _alike(classes: DataFrame, distance: int) -> DataFrame:
+    """(cid, key): the component of every set's fingerprint (fp), by links of at most distance bits over deletion variants."""
+    links = fingerprint_links(checkpointed(classes.select("fp").distinct()), distance)
+    labels = checkpointed(connected_components(classes.sparkSession, links, "fp"))
+    return checkpointed(looked_up(classes.select("cid", "fp"), labels, "fp", "component").select("cid", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key")))
+
+
+def _similar(docs: DataFrame, width: int, share: float, distance: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, doc_id, cid) of every row, and (cid, component) of the sets that have a link."""
     spark = docs.sparkSession
     names = [f"b{k}" for k in range(BANDS)]
@@ -434,10 +446,10 @@ def _similar(docs: DataFrame, width: int, share: float, id_col: str, text_col: s
     @K.lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(set_names(*x), band_keys(*x)) for x in _sliced(batch.column(3), width)]
-            cid, keys = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, U64), np.zeros((0, BANDS), U64))
-            columns = [cid, *(np.ascontiguousarray(keys[:, k]) for k in range(BANDS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x.view(np.int64)) for x in columns)], ["h1", "h2", "doc_id", "cid", *names])
+            made = [(set_names(*x), set_fingerprints(*x), band_keys(*x)) for x in _sliced(batch.column(3), width)]
+            cid, fp, keys = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, U64), np.zeros(0, U64), np.zeros((0, BANDS), U64))
+            columns = [cid, fp, *(np.ascontiguousarray(keys[:, k]) for k in range(BANDS))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x.view(np.int64)) for x in columns)], ["h1", "h2", "doc_id", "cid", "fp", *names])
 
     @K.lean
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,12 +461,12 @@ def _similar(docs: DataFrame, width: int, share: float, id_col: str, text_col: s
 
     text = F.col(f"`{text_col}`").cast("string").alias("_text")
     slim = docs.select(*_identity(docs), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text)
-    sketched = checkpointed(slim.mapInArrow(sketch, "h1 long, h2 long, doc_id long, cid long, " + ", ".join(f"{n} long" for n in names)))
+    sketched = checkpointed(slim.mapInArrow(sketch, "h1 long, h2 long, doc_id long, cid long, fp long, " + ", ".join(f"{n} long" for n in names)))
     rows = sketched.select("h1", "h2", "doc_id", "cid")
-    classes = checkpointed(sketched.where("cid <> 0").groupBy("cid").agg(F.min("h1").alias("h1"), *[F.min(n).alias(n) for n in names]))
-    entries = classes.select("cid", F.explode(F.array(*names)).alias("key"))
+    classes = checkpointed(sketched.where("cid <> 0").groupBy("cid").agg(F.min("h1").alias("h1"), *[F.min(n).alias(n) for n in ("fp", *names)]))
+    entries = _alike(classes, distance).select("cid", "key").unionByName(classes.select("cid", F.explode(F.array(*names)).alias("key")))
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
-    shared = checkpointed(shared.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))  # bands that hold the same sets count once
+    shared = checkpointed(shared.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))  # groups that hold the same sets count once
     members = looked_up(entries, shared, "key", "n").where("n IS NOT NULL")
     members = checkpointed(members.withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
     texts = slim.select("h1", "_text").join(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("h1"), "h1", "left_semi").select("_text")
@@ -481,15 +493,16 @@ def _similar(docs: DataFrame, width: int, share: float, id_col: str, text_col: s
     return rows, connected_components(spark, edges, "cid")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row: groups of documents that share most of their shingles.
 
-    Two documents link if the Jaccard similarity of their sets of shingles is at least ``share``,
-    counted on the whole sets.  Candidates share one of BANDS MinHash keys; of pairs at 0.8 that
-    misses 4 in 10,000, above it fewer.  SimHashes can't do that at bearable cost: at 0.8 they differ
-    in 15 of 100 bits.  Only verified links are thinned.  Equal sets are merged first; texts without
+    Candidates are the sets of shingles whose SimHashes deletion-variant signatures connect, at most
+    ``distance`` bits from one to the next; two of them link if the Jaccard similarity of the whole sets is at least
+    ``share``.  At 0.8 SimHashes differ in 15 of 100 bits, and more deletions aren't bearable; so sets that
+    share one of BANDS MinHash keys are candidates too: of pairs at 0.8 those miss 4 in 10,000, above it
+    fewer.  Only verified links are thinned.  Equal sets are merged first; texts without
     words are one group.  Nulls, repeated rows and empty tables are taken as in near_duplicates."""
-    rows, components = _similar(docs, width, share, id_col, text_col)
+    rows, components = _similar(docs, width, share, distance, id_col, text_col)
     classes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"))
     joined = checkpointed(classes.join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -497,13 +510,13 @@ def similar_documents(docs: DataFrame, width: int = 5, share: float = 0.8, id_co
     return looked_up(rows, named, "cid", "component_id").select("doc_id", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, width: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their near-duplicate group; all columns stay.
+def keep_one_per_group(docs: DataFrame, width: int = 5, share: float = 0.8, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their near-duplicate group, as similar_documents makes them; all columns stay.
 
     One row of each group stays: that of the smallest id, a null one being the largest, and among rows of
     one id that of the smallest hash of all columns; of truly equal rows any.  A document without words is
     a group with its like."""
-    rows, components = _similar(docs, width, share, id_col, text_col)
+    rows, components = _similar(docs, width, share, distance, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     classes = rows.groupBy("cid").agg(F.min(order).alias("r")).join(components, "cid", "left")
     found = classes.groupBy(F.coalesce("component", "cid")).agg(F.min("r").alias("r")).select("r.h1", "r.h2")

@@ -554,6 +554,23 @@ def test_pairs_of_eight_tenths_link_and_lower_ones_do_not(spark, gone, linked):
     assert sum(comp[2 * i] == comp[2 * i + 1] for i in range(150)) == linked
 
 
+def test_deletion_variants_find_what_no_band_holds(spark):
+    """Pairs of 9 shingles, 8 of them shared, that have no MinHash key in common and fingerprints 4 bits apart."""
+    ends = [
+        ("w775253 w78197 w800800 w846098 w524842 w146141 w760240 w623512 w253693 w170116 w297745 w340395", "w355599", "v285390"),
+        ("w690330 w20572 w59183 w710956 w257266 w270726 w482181 w581990 w408253 w825246 w384413 w335642", "w678232", "v893894"),
+        ("w784533 w966685 w762604 w594531 w779328 w38786 w279957 w36043 w530928 w564712 w951849 w490454", "w748260", "v335198"),
+        ("w613577 w994198 w880205 w854839 w928294 w313636 w533005 w938061 w805251 w16364 w16368 w718757", "w51585", "v539634"),
+    ]
+    texts = [f"{head} {last}" for head, *lasts in ends for last in lasts]
+    made = [simhash.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 5) for t in texts]
+    bands = np.concatenate([simhash.band_keys(*x) for x in made])
+    assert not (bands[::2] == bands[1::2]).any()
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == {i: i - i % 2 for i in range(8)}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()) == [0, 2, 4, 6]
+
+
 def test_crowds_keep_components_of_verified_links(spark, monkeypatch):
     """Copies of one template around the threshold, in groups of many blocks, against all pairs by force."""
     monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
