@@ -99,30 +99,53 @@ def random_population(spark: SparkSession, n_trees: int, catalog: list[tuple], m
     return cut_lineage(reduce(DataFrame.unionByName, levels).select(COLUMNS).repartition("tree_id"))  # what follows reads it many times
 
 
-def _shape(rng: np.random.Generator, budget: int, max_depth: int, max_children: int) -> list[tuple[int, int, int, int]]:
-    """(type, parent, depth, branch) of one tree's nodes, as weighted_population grows them."""
-    kinds, up, depth, branch, kids = [ROOT] * 3, [-1] * 3, [0] * 3, [0, 1, 2], [0] * 3
-    closed, open_ = [False] * 3, 3  # closed: has an action; open: nodes still without children
-
-    def add(kind: int, parent: int) -> None:
-        nonlocal open_
-        open_ += (kind == DECISION) - (kids[parent] == 0)
-        kids[parent] += 1
-        closed[parent] |= kind == ACTION
-        for column, x in ((kinds, kind), (up, parent), (depth, depth[parent] + 1), (branch, branch[parent]), (kids, 0), (closed, kind == ACTION)):
-            column.append(x)
-
-    while True:
-        room = (max_children - np.array(kids)) * ~np.array(closed) * (np.array(depth) + 2 < max_depth)
-        fits = np.array([len(kinds) + 1 + open_ + (k > 0) <= budget for k in kids])
-        weight = np.maximum(room * fits, 0) / (np.array(depth) + 1.0)
-        if not weight.any():
+def _shapes(rngs: list[np.random.Generator], budgets: np.ndarray, max_depth: int, max_children: int) -> dict[str, np.ndarray]:
+    """tree (its place in rngs), node_idx, node_type, parent_idx, depth and branch of some trees' nodes, as weighted_population grows them.
+
+    Every step adds a node to each tree that still grows, so the nodes of all are one matrix.  A tree draws the numbers that
+    rng.choice(n, p=weights) and rng.random() would draw for it alone."""
+    n_trees, most = len(rngs), int(budgets.max(initial=3))
+    drawn = np.stack([rng.random(2 * most) for rng in rngs]) if rngs else np.zeros((0, 2 * most))
+    kind, up, depth, branch, kids = (np.zeros((n_trees, most), np.int32) for _ in range(5))
+    kind[:, :3], up[:, :3], branch[:, :3] = ROOT, -1, range(3)
+    weight = np.zeros((n_trees, most))  # free places over depth + 1; none below an action
+    weight[:, :3] = max_children * (2 < max_depth)
+    open_, used, size = np.full(n_trees, 3), np.zeros(n_trees, np.int64), np.full(n_trees, 3)  # open: nodes still without children
+    grows = np.arange(n_trees)
+    for n in range(3, most):
+        now = weight[grows, :n]
+        left = budgets[grows] - (n + 1 + open_[grows])
+        now[left == 0] *= kids[grows[left == 0], :n] == 0
+        now[left < 0] = 0
+        total = now.sum(axis=1)
+        grows, now, total = grows[total > 0], now[total > 0], total[total > 0, None]
+        if not len(grows):
             break
-        parent = int(rng.choice(len(kinds), p=weight / weight.sum()))
-        add(ACTION if kids[parent] == 0 and rng.random() < 0.5 else DECISION, parent)
-    for i in [i for i, k in enumerate(kids) if k == 0 and kinds[i] != ACTION]:
-        add(ACTION, i)
-    return list(zip(kinds, up, depth, branch, strict=True))
+        chance = (now / total).cumsum(axis=1)
+        chance /= chance[:, -1:]
+        parent = (chance <= drawn[grows, used[grows], None]).sum(axis=1)
+        first = kids[grows, parent] == 0
+        act = first & (drawn[grows, used[grows] + 1] < 0.5)
+        used[grows] += 1 + first
+        open_[grows] += ~act - first.astype(np.int64)
+        kids[grows, parent] += 1
+        above = depth[grows, parent]
+        weight[grows, parent] = np.where(act, 0, (max_children - kids[grows, parent]) * (above + 2 < max_depth) / (above + 1.0))
+        weight[grows, n] = np.where(act, 0, max_children * (above + 3 < max_depth) / (above + 2.0))
+        kind[grows, n], up[grows, n], depth[grows, n], branch[grows, n] = np.where(act, ACTION, DECISION), parent, above + 1, branch[grows, parent]
+        size[grows] = n + 1
+    tree, node = np.nonzero(np.arange(most) < size[:, None])
+    bare = (kids[tree, node] == 0) & (kind[tree, node] != ACTION)
+    under, at = tree[bare], node[bare]
+    count = np.bincount(under, minlength=n_trees)
+    place = size[under] + np.arange(len(under)) - (np.cumsum(count) - count)[under]
+    ends = {"tree": under, "node_idx": place, "node_type": np.full(len(under), ACTION), "parent_idx": at, "depth": depth[under, at] + 1, "branch": branch[under, at]}
+    grown = {"tree": tree, "node_idx": node, "node_type": kind[tree, node], "parent_idx": up[tree, node], "depth": depth[tree, node], "branch": branch[tree, node]}
+    return {name: np.concatenate([x, ends[name]]) for name, x in grown.items()}
+
+
+#: Trees that a task grows at once.
+TREES_AT_ONCE = 256
 
 
 def weighted_population(spark: SparkSession, n_trees: int, catalog: list[tuple], max_depth: int = 6, max_children: int = 30, max_nodes: int = 256, seed: int = 0) -> DataFrame:
@@ -136,10 +159,12 @@ def weighted_population(spark: SparkSession, n_trees: int, catalog: list[tuple],
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for trees in batches:
-            for t in trees["id"]:
-                rng = np.random.default_rng([seed, int(t)])
-                nodes = _shape(rng, int(rng.integers(max(6, max_nodes // 2), max_nodes + 1)), max_depth, max_children)
-                yield pd.DataFrame(nodes, columns=["node_type", "parent_idx", "depth", "branch"]).assign(tree_id=t, node_idx=range(len(nodes)))
+            for k in range(0, len(trees), TREES_AT_ONCE):
+                ids = trees["id"].to_numpy()[k : k + TREES_AT_ONCE]
+                rngs = [np.random.default_rng([seed, int(t)]) for t in ids]
+                budgets = np.array([rng.integers(max(6, max_nodes // 2), max_nodes + 1) for rng in rngs])
+                nodes = pd.DataFrame(_shapes(rngs, budgets, max_depth, max_children))
+                yield nodes.assign(tree_id=ids[nodes["tree"]])[["node_type", "parent_idx", "depth", "branch", "tree_id", "node_idx"]]
 
     shape = spark.range(n_trees).mapInPandas(grow, "node_type int, parent_idx int, depth int, branch int, tree_id long, node_idx int")
     act, ask = random_action(F.col("branch"), "tree_id", "node_idx", seed=seed), random_decision(catalog, "tree_id", "node_idx", seed=seed)

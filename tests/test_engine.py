@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import DATA, small_trees
 from pyspark.sql import functions as F
@@ -83,6 +84,35 @@ def test_weighted_population_keeps_its_limits(spark):
     assert small.count() == 12
 
 
+def grown_alone(rng, budget, max_depth, max_children):
+    """(type, parent, depth, branch) of one tree's nodes, drawn node by node with rng.choice."""
+    nodes, kids = [(1, -1, 0, b) for b in range(3)], [0, 0, 0]
+    while True:
+        bare = sum(k == 0 and kind != 3 for k, (kind, *_) in zip(kids, nodes))
+        free = [(max_children - k) * (kind != 3 and d + 2 < max_depth and len(nodes) + 1 + bare + (k > 0) <= budget) if k == 0 or (3, i) not in {(x[0], x[1]) for x in nodes} else 0 for i, (k, (kind, _, d, _)) in enumerate(zip(kids, nodes))]
+        weight = np.array([w / (d + 1.0) for w, (_, _, d, _) in zip(free, nodes)])
+        if not weight.any():
+            break
+        parent = int(rng.choice(len(nodes), p=weight / weight.sum()))
+        kind = 3 if kids[parent] == 0 and rng.random() < 0.5 else 2
+        nodes.append((kind, parent, nodes[parent][2] + 1, nodes[parent][3]))
+        kids[parent] += 1
+        kids.append(0)
+    return nodes + [(3, i, d + 1, b) for i, (kind, _, d, b) in enumerate(nodes) if kids[i] == 0 and kind != 3]
+
+
+@pytest.mark.parametrize(("max_depth", "max_children", "most"), [(6, 30, 256), (5, 3, 40), (2, 3, 9), (3, 1, 6)])
+def test_trees_grown_together_are_those_grown_alone(max_depth, max_children, most):
+    draw = lambda: [np.random.default_rng([5, t]) for t in range(30)]
+    budgets = np.array([max(6, most - t) for t in range(30)])
+    got = trees._shapes(draw(), budgets, max_depth, max_children)
+    order = np.lexsort((got["node_idx"], got["tree"]))
+    rows = list(zip(*(got[c][order].tolist() for c in ("tree", "node_idx", "node_type", "parent_idx", "depth", "branch")), strict=True))
+    want = [grown_alone(rng, b, max_depth, max_children) for rng, b in zip(draw(), budgets.tolist(), strict=True)]
+    assert rows == [(t, i, *node) for t, nodes in enumerate(want) for i, node in enumerate(nodes)]
+    assert not len(trees._shapes([], np.zeros(0, np.int64), 6, 30)["tree"])
+
+
 def test_invalid_trees_are_named(spark):
     bad = small_trees(spark, 3).where("NOT (tree_id = 1 AND node_idx = 5)")
     with pytest.raises(ValueError, match="1 \\(faults 4\\)"):
