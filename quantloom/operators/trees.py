@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut_lineage
+from ..sources.storage import cut_lineage, written
 from .tours import inside, toured
 
 ROOT, DECISION, ACTION = 1, 2, 3
@@ -234,7 +234,7 @@ def require_valid(nodes: DataFrame, **limits) -> None:
 
 def compact(nodes: DataFrame) -> DataFrame:
     """nodes with indices 0.. without gaps in each tree; nodes whose parent is missing are dropped, with all below them."""
-    reached = toured(nodes)
+    reached = toured(written(nodes))
     new = reached.select("tree_id", F.col("node_idx").alias("old"), (F.row_number().over(Window.partitionBy("tree_id").orderBy("node_idx")) - 1).alias("new"))
     own = reached.select(COLUMNS).alias("n").join(new.alias("a"), F.expr("n.tree_id = a.tree_id AND n.node_idx = a.old"))
     met = own.join(new.alias("b"), F.expr("n.tree_id = b.tree_id AND n.parent_idx = b.old"), "left")
@@ -243,7 +243,7 @@ def compact(nodes: DataFrame) -> DataFrame:
 
 def subtree(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """The nodes below and at each top (tree_id, top), with top and how far below it they are."""
-    tour = toured(nodes)
+    tour = toured(written(nodes))
     met = tops.select("tree_id", "top").join(tour.select("tree_id", F.col("node_idx").alias("top"), F.col("enter").alias("top_enter"), F.col("leave").alias("top_leave"), F.col("level").alias("top_level")), ["tree_id", "top"])
     found = tour.join(met, "tree_id").where(inside())
     return found.select(*COLUMNS, "branch", "top", (F.col("level") - F.col("top_level")).cast("int").alias("below"))

@@ -254,7 +254,7 @@ def delete_subtree(nodes: DataFrame, seed: int, rate: float = 0.2, alpha: float
 
     So what is cut hangs at the nearest node above it, or is it itself, that has siblings; a subtree without such a node, the
     only thing below its root, stays."""
-    tour = written(toured(nodes))
+    tour = written(toured(written(nodes)))  # a tour reads its nodes six times
     siblings = tour.groupBy("tree_id", "parent_idx").agg(F.count("*").alias("siblings"))
     below = written(tour.where(F.col("node_type") != ROOT).join(siblings, ["tree_id", "parent_idx"]))
     lifted = nearest(below, "siblings > 1").where("top IS NOT NULL")

@@ -77,6 +77,18 @@ def test_subtrees_and_compaction(spark):
     assert sorted(r.node_idx for r in cut if r.tree_id == 2) == list(range(13)) and trees.compact(nodes.limit(0)).count() == 0
 
 
+def test_what_makes_the_nodes_runs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    nodes = trees.cut_lineage(small_trees(spark, 4)).mapInArrow(count, trees.NODE)
+    assert variation.delete_subtree(nodes, 1, rate=1.0).count() < 60 == made.value
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_deleted_subtrees_leave_valid_trees(spark, seed):
     nodes = trees.random_population(spark, 8, queries.CATALOG, max_depth=6, seed=seed)
