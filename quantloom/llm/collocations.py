@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import P1, U64, lean, mix, text_buffers, xxh64_ranges
-from .storage import checkpointed, stored
+from .storage import checkpointed, dropped, stored
 
 #: Bytes of text that a task holds expanded at once; longer texts are cut between pieces, which no phrase crosses.
 BITE = 5_000_000
@@ -134,8 +134,25 @@ class Words:
         return self.langs.take(pa.array(self.lang[place])).cast(pa.string()), phrase.cast(pa.string()), pa.array(np.bincount(number, minlength=len(one)).astype(np.int64)), pa.array(h[one].view(np.int64))
 
 
+def _named(texts: DataFrame, size: int) -> DataFrame:
+    """(h): the hash of each phrase of size words of rows (lang, phrase), as Words makes it."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = Words(batch.column(0).to_pylist(), [p.encode() for p in batch.column(1).to_pylist()])
+            h = words.hash[::size]
+            for k in range(1, size):
+                h = mix(h * P1 + words.hash[k::size])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    return texts.select("lang", "phrase").mapInArrow(run, "h long")
+
+
 def _pass(texts: DataFrame, size: int, last: bool, n_buckets: int, min_count: int, frequent: dict[int, np.ndarray], buckets: dict[int, np.ndarray]) -> DataFrame:
-    """One pass over (lang, text): rows (lang, phrase, n, h) of counted phrases by bite, and rows (block, counts) of filled buckets by task."""
+    """One pass over (lang, text): rows (lang, phrase, n) of counted phrases by bite, and rows (block, counts) of filled buckets by task."""
     shared = texts.sparkSession.sparkContext.broadcast((frequent, buckets))
     kind = np.uint8 if min_count < 256 else np.uint32
 
@@ -145,7 +162,7 @@ def _pass(texts: DataFrame, size: int, last: bool, n_buckets: int, min_count: in
         for langs, some in bites(batches):
             words = Words(langs, some)
             at, h = words.candidates(size, *shared.value)
-            found = words.counted(at, h, size)
+            found = words.counted(at, h, size)[:3]  # hashes, which nothing compresses, are made anew of the frequent phrases
             if not last:
                 _, h = words.longer(at, h, size)
                 bucket, n = np.unique((h & U64(n_buckets - 1)).astype(np.uint32), return_counts=True)
@@ -156,10 +173,10 @@ def _pass(texts: DataFrame, size: int, last: bool, n_buckets: int, min_count: in
         for block in range(0, len(filled), BLOCK):
             part = filled[block : block + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())] + [pa.array([block]), pa.array([press.compress(part.tobytes())], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64())] + [pa.array([block]), pa.array([press.compress(part.tobytes())], pa.binary())], names)
 
-    names = ["lang", "phrase", "n", "h", "block", "counts"]
-    return texts.mapInArrow(run, "lang string, phrase string, n long, h long, block long, counts binary")
+    names = ["lang", "phrase", "n", "block", "counts"]
+    return texts.mapInArrow(run, "lang string, phrase string, n long, block long, counts binary")
 
 
 def _filled(counted: DataFrame, n_buckets: int, min_count: int) -> np.ndarray:
@@ -181,7 +198,7 @@ def _filled(counted: DataFrame, n_buckets: int, min_count: int) -> np.ndarray:
 
 
 def _bitmap(frequent: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of the hashes h of n frequent phrases, with some 16 bits for each up to MAX_BITS."""
+    """A bitmap of the hashes h of n phrases, with some 16 bits for each up to MAX_BITS."""
     size = min(MAX_BITS, max(1 << 16, 1 << math.ceil(math.log2(max(1, 16 * n)))))
     bit = F.col("h").bitwiseAND(F.lit(size - 1)) + 1
     rows = frequent.groupBy(F.bitmap_bucket_number(bit).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
@@ -204,11 +221,12 @@ def frequent_phrases(docs: DataFrame, most_words: int = 4, min_count: int = 30,
         phrases = counted.where("phrase IS NOT NULL")
         if totals is None:
             totals = checkpointed(phrases.groupBy("lang").agg(F.sum("n").alias("n")))
-        of_size = stored(phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("h").alias("h")).where(F.col("f") >= min_count))
-        found.append(of_size.select("lang", "phrase", "f"))
+        of_size = stored(phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count))
+        found.append(of_size)
         n = of_size.count()
         if size < most_words:
-            frequent[size], buckets[size + 1] = _bitmap(of_size, n), _filled(counted, n_buckets, min_count)
+            frequent[size], buckets[size + 1] = _bitmap(_named(of_size, size), n), _filled(counted, n_buckets, min_count)
+        dropped(counted)  # its sums and totals are written, its buckets here
     return found, totals
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -900,6 +901,15 @@ def test_collocations(spark, monkeypatch):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+def test_counts_by_bite_hold_no_hashes_and_go(spark, monkeypatch):
+    kept, real = [], collocations.stored
+    monkeypatch.setattr(collocations, "stored", lambda df: (kept.append(real(df)), kept[-1])[1])
+    docs = spark.createDataFrame([("en", "new york city " * 40)], "lang string, text string")
+    assert collocations.collocations(docs).count()
+    assert not [t for t in kept if "h" in t.columns]
+    assert not [f for t, f in zip(kept, (os.path.dirname(t.inputFiles()[0].removeprefix("file:").lstrip("/")) for t in kept), strict=True) if "block" in t.columns and os.path.exists(f"/{f}")]
+
+
 def test_sieves_let_through_what_is_frequent_and_little_else():
     """Both bitmaps prune, and bites cut between pieces only."""
     x = random.Random(3)
