@@ -51,21 +51,26 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, *values: str) -> Data
     return met.where("_hot").drop("_hot").unionByName(rest)
 
 
-def thinned(edges: DataFrame) -> DataFrame:
+def _trees(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a task's edges (a, b) in order, and for each the place of the smallest node of its component in them."""
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held, strict=True) if held else ((), ())))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    top = np.arange(len(nodes))
+    join_forest(top, at[: len(a)], at[len(a) :])
+    return nodes, top
+
+
+def thinned(edges: DataFrame, tasks: int) -> DataFrame:
     """(a, b): fewer of the edges (a, b), with the same components and few at each node.
 
     Each task finds the components of its edges, and ties each one's nodes into a binary tree, the smallest on top: a
     dense group of g nodes comes down to g - 1 edges for each EDGES_A_TASK edges, and a node has three at most
     in each task, however many it had."""
-    edges = checkpointed(edges.select("a", "b").where("a <> b").distinct())
 
     @lean
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        a, b = (table.column(c).to_numpy() for c in ("a", "b"))
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        top = np.arange(len(nodes))
-        join_forest(top, at[: len(a)], at[len(a) :])
+        nodes, top = _trees(batches)
         order = np.argsort(top, kind="stable")
         head = np.flatnonzero(np.concatenate(([True], np.diff(top[order]) > 0))) if len(nodes) else np.zeros(0, np.int64)
         first = np.repeat(head, np.diff(np.append(head, len(nodes))))
@@ -73,18 +78,38 @@ def thinned(edges: DataFrame) -> DataFrame:
         low = np.flatnonzero(place > 0)
         yield pa.RecordBatch.from_arrays([pa.array(nodes[order[first[low] + (place[low] - 1) // 2]]), pa.array(nodes[order[low]])], ["a", "b"])
 
-    return edges.coalesce(max(1, math.ceil(edges.count() / EDGES_A_TASK))).mapInArrow(forest, "a long, b long")
+    return edges.coalesce(tasks).mapInArrow(forest, "a long, b long")
+
+
+def _labelled_at_once(edges: DataFrame, node: str) -> DataFrame:
+    """(node, component) of at most EDGES_A_TASK edges, which one task reads."""
+
+    @lean
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, top = _trees(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[top])], [node, "component"])
+
+    return checkpointed(edges.coalesce(1).mapInArrow(label, f"{node} long, component long"))
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, node: str) -> DataFrame:
-    """(node, component): component is the smallest node reachable over edges (a, b).
+    """(node, component): component is the smallest node reachable over edges (a, b).  Give a written table: edges are read twice.
 
-    Every round, a node takes the smallest label among its own and its neighbours', its old label's
+    Edges that fit a task, at first or once thinned, are done in it; each round over joins costs the driver thousands of tasks.
+    Otherwise, in every round, a node takes the smallest label among its own and its neighbours', its old label's
     owner takes it too, and labels jump to their label's label, so that the number of rounds grows
     with the logarithm of a component's width.  Each round is checkpointed; only the number of
     changed labels reaches the driver.  Nodes without edges don't occur in the result."""
-    edges = thinned(edges)
-    both = checkpointed(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct())
+    edges = edges.select("a", "b").where("a <> b")
+    n = edges.count()
+    while n > EDGES_A_TASK:
+        edges = checkpointed(thinned(edges, math.ceil(n / EDGES_A_TASK)))
+        n, before = edges.count(), n
+        if 2 * n > before:  # the trees of so many tasks don't get much smaller
+            break
+    if n <= EDGES_A_TASK:
+        return _labelled_at_once(edges, node)
+    both = checkpointed(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
     labels = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
     while True:
         near = both.join(labels, "u").groupBy("v").agg(F.min("l").alias("m")).withColumnRenamed("v", "u")

@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     spark = docs.sparkSession
     fps = checkpointed(fingerprints(docs, width, id_col, text_col))
     classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    components = connected_components(spark, fingerprint_links(classes, distance), "fp")
+    components = connected_components(spark, checkpointed(fingerprint_links(classes, distance)), "fp")
     joined = checkpointed(classes.join(components, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = checkpointed(looked_up(joined, least, "component", "component_id").select("fp", "component_id"))
@@ -433,8 +433,8 @@ def _block(seed: int, n: str):
 
 def _alike(classes: DataFrame, distance: int) -> DataFrame:
     """(cid, key): the component of every set's fingerprint (fp), by links of at most distance bits over deletion variants."""
-    links = fingerprint_links(checkpointed(classes.select("fp").distinct()), distance)
-    labels = checkpointed(connected_components(classes.sparkSession, links, "fp"))
+    links = checkpointed(fingerprint_links(checkpointed(classes.select("fp").distinct()), distance))
+    labels = connected_components(classes.sparkSession, links, "fp")
     return checkpointed(looked_up(classes.select("cid", "fp"), labels, "fp", "component").select("cid", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key")))
 
 

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import chat_format, collocations, cotraining, difference_cover, knn, line_dedup, mixing, oracles, packing, queries, quality, recompression, simhash, url_filter, vector_codes
+from quantloom.llm import chat_format, collocations, components, cotraining, difference_cover, knn, line_dedup, mixing, oracles, packing, queries, quality, recompression, simhash, url_filter, vector_codes
 from quantloom.llm import kernels as K
 
 DATA = "/root/testdata/sf0.001"
@@ -492,6 +492,32 @@ def alike(rng, n, common, bits):
     return np.unique((np.uint64(common) & ~np.uint64(sum(1 << int(v) for v in varying))) | (some << varying.astype(np.uint64)).sum(axis=1, dtype=np.uint64))
 
 
+def test_components_that_fit_a_task_need_no_rounds(spark, monkeypatch):
+    """Chains, stars, pairs, loops and repeated edges: the smallest nodes by force, at once, once thinned, and in rounds."""
+    rng = np.random.default_rng(3)
+    names = np.unique(rng.integers(-(2**62), 2**62, 1200))
+    rng.shuffle(names)
+    a, b = np.concatenate([np.arange(300), np.full(300, 400), np.arange(800, 1000, 2), [700] * 3]), np.concatenate([np.arange(1, 301), np.arange(401, 701), np.arange(801, 1001, 2), [700, 710, 710]])
+    parent = np.arange(len(names))
+    order = np.argsort(names)
+    rank = np.argsort(order)
+    components.join_forest(parent, rank[a], rank[b])
+    want = {int(names[i]): int(names[order[parent[rank[i]]]]) for i in set(np.concatenate([a, b]).tolist())}
+    rows = list(zip(names[a].tolist(), names[b].tolist(), strict=True))
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(8).localCheckpoint()
+    dense = spark.createDataFrame(rows * 16, "a long, b long").repartition(8).localCheckpoint()
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for some, most in ((edges, 500_000), (dense, 3000), (edges, 100)):
+        monkeypatch.setattr(components, "EDGES_A_TASK", most)
+        spark.sparkContext.setJobGroup(f"components {most}", "")
+        got = components.connected_components(spark, some, "n")
+        jobs.append(len(tracker.getJobIdsForGroup(f"components {most}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r.n: r.component for r in got.collect()} == want
+    assert jobs[0] <= 5 and jobs[1] <= 12 and jobs[2] > 30, jobs
+    assert components.connected_components(spark, edges.limit(0), "n").count() == 0
+
+
 @pytest.mark.parametrize("n, bits", [(3000, 12), (3000, 25), (2500, 43), (2000, 3)])
 def test_large_sets_link_as_by_force(n, bits):
     fps = alike(np.random.default_rng(bits), n, 0x5A5A_1234_9876_FFFF, bits)
